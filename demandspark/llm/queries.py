@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP7_SQL, op7_mix
 from .packing import op9_pack
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .sharding import op8_shard
 from .simhash import op10_simhash
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op7_mix": op7_mix,
+    "op8_shard": op8_shard,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
 }
@@ -21,4 +25,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
+    "op7_mix": OP7_SQL,
 }
