@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op6_embedding_dedup
+from .language_id import op3_language_id
 from .mixing import OP7_SQL, op7_mix
 from .packing import op9_pack
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .sharding import op8_shard
 from .simhash import op10_simhash
+from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_id": op3_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mix": op7_mix,
     "op8_shard": op8_shard,
     "op9_pack": op9_pack,

@@ -63,14 +63,10 @@ def _steps(radius: int) -> list[int]:
     return sorted(s for s in (sum(x << (5 * i) for i, x in enumerate(d)) for d in near) if s >= 0)
 
 
-def stars(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(node, centre) for the components that links between left and right (unsigned fingerprints) make; centres are smallest as signed longs."""
-    apart = np.bitwise_count(left[:, None] ^ right[None, :])
-    i, j = np.nonzero((apart <= radius) & (left[:, None] != right[None, :]))
-    if not len(i):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    nodes, ends = np.unique(np.concatenate([left[i], right[j]]).view(np.int64), return_inverse=True)
-    u, v = ends[: len(i)], ends[len(i) :]
+def components_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, centre) for the links (u, v): a star for each component around its smallest node, the centres themselves left out."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
     label = np.arange(len(nodes))
     while True:
         least = np.minimum(label[u], label[v])
@@ -85,6 +81,15 @@ def stars(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
     return nodes[far], nodes[label[far]]
 
 
+def stars(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, centre) for the components that links between left and right (unsigned fingerprints) make; centres are smallest as signed longs."""
+    apart = np.bitwise_count(left[:, None] ^ right[None, :])
+    i, j = np.nonzero((apart <= radius) & (left[:, None] != right[None, :]))
+    if not len(i):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return components_of(left[i].view(np.int64), right[j].view(np.int64))
+
+
 def near_links(prints: DataFrame, radius: int = 2, rows_per_block: int = 2048) -> DataFrame:
     """(u, v): links that connect what lies within `radius` differing bits, for the distinct values of prints.fp."""
     quarter = lambda i: (F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) + radius) * (1 << (5 * i))
