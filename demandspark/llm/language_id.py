@@ -99,22 +99,22 @@ class Profiles:
         return self.langs[best], float(1 - apart[best] / (len(grams) * self.size))
 
 
-def identify(docs: DataFrame, profiles: DataFrame, size: int = 300, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added (replaced if there), from the text alone.
+def identify(docs: DataFrame, profiles: DataFrame, size: int = 300, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """docs with lang_out and score_out added (replaced if there), from the text alone.
 
     Null texts and texts without a letter: `und`, score 0. Without profiles all are `und`. Repeated rows stay. The profiles go to the
     tasks as one array; their size is bounded by learn_profiles."""
     held = Profiles([(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()], size)
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop(lang_out, score_out)
     at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [held.predict(x.as_py()) for x in b.column(at)]
             lang, score = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, lang, score], [*b.schema.names, lang_out, score_out])
 
-    schema = rows.select(*rows.columns, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = rows.select(*rows.columns, F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -125,8 +125,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
 
 def keep_known(docs: DataFrame, profiles: DataFrame, least: float = 0.3, size: int = 300) -> DataFrame:
     """docs without those of unknown language or with a score below `least`; the columns stay as they are."""
-    told = identify(docs, profiles, size)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    told = identify(docs, profiles, size, lang_out="_told_lang", score_out="_told_score")
+    return told.where((F.col("_told_lang") != UNKNOWN) & (F.col("_told_score") >= least)).select(*docs.columns)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

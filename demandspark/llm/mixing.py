@@ -67,14 +67,14 @@ def _slots(plan: DataFrame, slots: int) -> tuple[DataFrame, int]:
     return ranked.select("source_rank", "block", "slot", "whole"), words
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> Mix:
     """The mix of docs. Size: words of the text (null and empty: 0); such documents are in `documents` and take no slot.
 
     A source's stream takes its documents by md5(seed, id), repeated rows one after the other, so that reruns agree; it ends at its
-    target. The schedule has about `slots` slots at every corpus size (a slot is one equal-token block). An empty table gives no rows."""
+    target. key_col, if given, is carried as `row_key` through documents and schedule. The schedule has about `slots` slots at every corpus size (a slot is one equal-token block). An empty table gives no rows."""
     spark = docs.sparkSession
     size = F.when(F.length(text_col) > 0, F.regexp_count(text_col, F.lit(WORD))).otherwise(0).cast("long")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0).cast("long")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("key"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0).cast("long")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("key"), *([F.col(key_col).alias("row_key")] if key_col else []))
     slim = written(slim)
     plan = written(source_plan(slim, weights, most))
     digits = hex_digits(slim.count())
@@ -84,13 +84,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sl
     placed = written(placed.drop("one", "bucket", "key"))
     taken, words = _slots(plan, slots)
     epochs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size")), lambda at: at < F.floor("target"))
-    times = placed.where("size > 0").select("source_rank", "row", "doc_id", "size", F.explode(epochs).alias("at"))
+    carried = ["row_key"] if key_col else []
+    times = placed.where("size > 0").select("source_rank", "row", "doc_id", *carried, "size", F.explode(epochs).alias("at"))
     last = F.col("at") + F.col("size") - 1
     stretches = times.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / words), F.floor(last / words))))
     met = stretches.join(taken, ["source_rank", "block"])
     begin = F.greatest(F.col("at"), F.col("block") * words)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * words, F.col("whole"))
-    schedule = met.select("slot", "source_rank", "block", "row", "doc_id", (begin - F.col("at")).alias("from_word"), (end - begin).alias("words")).where("words > 0")
+    schedule = met.select("slot", "source_rank", "block", "row", "doc_id", *carried, (begin - F.col("at")).alias("from_word"), (end - begin).alias("words")).where("words > 0")
     return Mix(plan, placed, schedule)
 
 
@@ -100,6 +101,17 @@ def taken_words(mixed: Mix) -> DataFrame:
     return mixed.documents.join(sums, ["source_rank", "row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs in the order of the schedule: a document stands wherever a slot begins it, whole, up to `most` times. Those without words go.
+
+    A source so exceeds its target by part of one document at most. The columns stay as they are."""
+    keyed = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    begun = mix(keyed, key_col="_mix_row", **options).schedule.where("from_word = 0")
+    places = written(begun.select(F.col("row_key").alias("_mix_row"), F.col("slot").alias("_mix_slot"), F.col("doc_id").alias("_mix_id")))
+    placed = keyed.join(places, "_mix_row")
+    return placed.repartitionByRange("_mix_slot", "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)
+
+
 def op7_mix(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return taken_words(mix(docs)).select("doc_id", "size", "source_size", "target", "taken")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op6_embedding_dedup
 from .language_id import op3_language_id
+from .media import op4_chroma_match
 from .mixing import OP7_SQL, op7_mix
 from .packing import op9_pack
 from .secret_scan import OP2_SQL, op2_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_id": op3_language_id,
+    "op4_chroma_match": op4_chroma_match,
     "op5_toxicity": op5_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_mix": op7_mix,

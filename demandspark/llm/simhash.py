@@ -111,26 +111,107 @@ def near_links(prints: DataFrame, radius: int = 2, rows_per_block: int = 2048) -
     return pairs.select(F.col("left.fps").alias("a"), F.col("right.fps").alias("b")).mapInArrow(compare, "u long, v long")
 
 
+def _named(prints: DataFrame, nodes: DataFrame, joined: DataFrame, id_col: str) -> DataFrame:
+    grown = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grown = written(grown)
+    least = written(grown.groupBy("component").agg(F.min("least").alias("component_id")))
+    named = written(grown.join(least, "component").select("fp", "component_id"))
+    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+
+
 def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id reachable by links of at most `radius` differing bits.
 
     Null and empty texts have the fingerprint 0 and link like any other. Rows that repeat stay, each with its own row. Null ids get the
     component of their fingerprint. An empty table gives no rows. Links are between distinct fingerprints, so that copies cost nothing."""
     prints = written(fingerprints(docs, width, id_col, text_col))
+    return _named(prints, prints.groupBy("fp").agg(F.min(id_col).alias("least")), connected(near_links(prints, radius)), id_col)
+
+
+def forests(left: np.ndarray, right: np.ndarray, radius: int, count: int) -> tuple[list[int], list[int]]:
+    """Links of `count` disjoint spanning forests of what lies within radius between left and right, nearest links first."""
+    found = []
+    for at in range(0, len(left), 256):
+        apart = np.bitwise_count(left[at : at + 256, None] ^ right[None, :])
+        i, j = np.nonzero(apart <= radius)
+        if len(i):
+            found.append((apart[i, j], left[i + at], right[j]))
+    if not found:
+        return [], []
+    apart, u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = u != v
+    order = np.argsort(apart[keep], kind="stable")
+    nodes, ends = np.unique(np.concatenate([u[keep][order], v[keep][order]]), return_inverse=True)
+    roots = [list(range(len(nodes))) for _ in range(count)]
+    half, out_u, out_v = len(order), [], []
+    for x, y in zip(ends[:half].tolist(), ends[half:].tolist(), strict=True):
+        for root in roots:  # the first forest in which the link joins two trees takes it
+            p, q = x, y
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            while root[q] != q:
+                root[q] = root[root[q]]
+                q = root[q]
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out_u.append(x)
+                out_v.append(y)
+                break
+    signed = nodes.view(np.int64)
+    return signed[out_u], signed[out_v]
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets, prints = [], []
+        for x in b.column(1):
+            words = (x.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+            n = min(width, max(1, len(words)))
+            hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)]
+            sets.append(np.unique(np.array(hashes, np.uint64)).view(np.int64))
+            prints.append(fingerprint(x.as_py(), width))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["fp", "found", "shingles"])
+
+
+def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 12, forests_of: int = 3, rows_per_block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) for near copies: equal fingerprints, or within `radius` bits and of Jaccard similarity >= least by shingles.
+
+    radius covers what the similarity lets expect (0.8: 10 bits of 64). At this radius quarter counts prune little, so tiles go by the whole
+    fingerprint's count. Of the candidates in a pair of blocks, those of a few disjoint spanning forests, nearest first, are verified
+    on whole texts: as many as there are nodes at most, and a group stays together unless all its disjoint paths fail."""
+    prints = written(fingerprints(docs, width, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    joined = connected(near_links(prints, radius))
-    grown = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    grown = written(grown)
-    least = written(grown.groupBy("component").agg(F.min("least").alias("component_id")))
-    named = written(grown.join(least, "component").select("fp", "component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
-
+    tiles = written(prints.select("fp").distinct().select("fp", F.bit_count("fp").cast("long").alias("tile")))
+    large = large_keys(tiles, "tile", rows_per_block)
+    blocks = block_of(tiles, "tile", "fp", large).groupBy("tile", "block", "parts").agg(F.collect_list("fp").alias("fps"))
+    pairs = paired(blocks, large, "tile", list(range(radius + 1)), ["fps"])
 
-def dedup(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, one row of each group: that with the smallest id (of rows with this id, one of them; a null id stays as it is)."""
-    groups = simhash_groups(docs, radius, width, id_col, text_col)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                u, v = forests(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64), radius, forests_of)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    sides = pairs.select(F.col("left.fps").alias("a"), F.col("right.fps").alias("b"))
+    links = written(sides.mapInArrow(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    asked = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct().join(nodes, "fp")
+    texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("_text")).join(written(asked), "least").select("fp", "_text")
+    sets = texts.mapInArrow(lambda b: _shingles(b, width), "fp long, found long, shingles array<long>").where("fp = found")
+    sets = written(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    met = links.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    true = met.where(common >= least * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return _named(prints, nodes, connected(true), id_col)
+
+
+def dedup(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, one row of each group of similar_groups: that with the smallest id (of rows with this id, one of them; rows without id stay)."""
+    groups = similar_groups(docs, least, width, radius, id_col=id_col, text_col=text_col)
     kept = written(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
