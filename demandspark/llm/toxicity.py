@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 HEAD = b"\x01" + bytes(range(128, 168)) + b"\x02"
 TAIL = b"\x03" + bytes(range(200, 216)) + b"\x04"
 LEVEL = 6
@@ -128,22 +130,26 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def learn(labelled: DataFrame, sample_bytes: int = 2_000_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Scorer:
-    """A scorer from labelled rows (label 0 or 1; others, and null texts, teach nothing).
+def learn(docs: DataFrame, labels: DataFrame, sample_bytes: int = 2_000_000, sample_docs: int = 20_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Scorer:
+    """A scorer from the documents that labels(id, label 0 or 1) marks; other labels, and null texts, teach nothing.
 
-    The driver fits it on a bounded sample: about sample_bytes of toxic and twice as much of ordinary text for the dictionaries, and as much again for the
-    curve, documents being chosen by a digest of their id. Without rows of both classes every score is 0."""
-    known = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    known = known.select(id_col, text_col, F.col(label_col).cast("int").alias("_y"))
-    totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.sum(F.octet_length(text_col)).alias("n")).collect()}
-    if not all(totals.get(y) for y in (0, 1)):
+    The driver fits it on a bounded sample: about sample_bytes of toxic and twice as much of ordinary text for the dictionaries, and as
+    much again for the curve, and sample_docs documents of either class at most on average; they are chosen by a digest of
+    their id. Only ids and lengths are shuffled; the chosen ids, so bounded, are broadcast to the scan that reads their texts.
+    Without rows of both classes every score is 0."""
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    known = written(docs.where(F.col(text_col).isNotNull()).select(id_col, F.octet_length(text_col).alias("_bytes")).join(marked, id_col))
+    totals = {r["_y"]: r for r in known.groupBy("_y").agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("docs")).collect()}
+    if not all(y in totals and totals[y]["bytes"] for y in (0, 1)):
         return Scorer(TAIL + HEAD, TAIL + HEAD)
     chance = (F.pmod(F.xxhash64(F.lit(5), id_col), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    share = {y: (2 - y) * sample_bytes / totals[y] for y in (0, 1)}
+    share = {y: min((2 - y) * sample_bytes / totals[y]["bytes"], sample_docs / totals[y]["docs"]) for y in (0, 1)}
     words = F.when(F.col("_y") == 1, F.lit(min(0.6, share[1]))).otherwise(F.lit(min(0.6, share[0])))
     curve = F.when(F.col("_y") == 1, F.lit(min(0.4, share[1]))).otherwise(F.lit(min(0.4, share[0])))
     use = F.when(chance < words, F.lit(0)).when((chance >= 0.6) & (chance < curve + 0.6), F.lit(1))
-    rows = known.select(F.col(text_col).alias("text"), "_y", use.alias("_use"), F.xxhash64(text_col).alias("_h")).where("_use IS NOT NULL").orderBy("_use", "_y", "_h").collect()
+    chosen = known.select(id_col, "_y", use.alias("_use")).where("_use IS NOT NULL").distinct()
+    drawn = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    rows = sorted(drawn.select(F.col(text_col).alias("text"), "_y", "_use").collect(), key=lambda r: (r["_use"], r["_y"], r["text"]))
     texts = lambda use, y: [r["text"] for r in rows if r["_use"] == use and r["_y"] == y]
     scorer = Scorer(*train_dictionaries(texts(0, 1), texts(0, 0)))
     drawn = [r for r in rows if r["_use"] == 1]
@@ -172,5 +178,5 @@ def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     docs = docs.withColumn("held_out", out)
-    scorer = learn(docs.where("NOT held_out").join(labels.where("toxic IS NOT NULL"), "doc_id"))
+    scorer = learn(docs.where("NOT held_out"), labels)
     return score_toxicity(docs, scorer).select("doc_id", "held_out", "score", "predicted")
