@@ -102,14 +102,15 @@ def taken_words(mixed: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs in the order of the schedule: a document stands wherever a slot begins it, whole, up to `most` times. Those without words go.
+    """docs as the schedule takes them: a document stands wherever a slot begins it, whole, up to `most` times; those without words go.
 
-    A source so exceeds its target by part of one document at most. The columns stay as they are."""
-    keyed = written(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    A source so exceeds its target by part of one document at most. Columns stay as they are. Texts are shuffled once, by row: each
+    partition is an even share of the whole mix, in the schedule's order. docs must be a table read from files (its rows are numbered in
+    two scans, which give the same partitions); write other frames first."""
+    keyed = docs.withColumn("_mix_row", F.monotonically_increasing_id())
     begun = mix(keyed, key_col="_mix_row", **options).schedule.where("from_word = 0")
-    places = written(begun.select(F.col("row_key").alias("_mix_row"), F.col("slot").alias("_mix_slot"), F.col("doc_id").alias("_mix_id")))
-    placed = keyed.join(places, "_mix_row")
-    return placed.repartitionByRange("_mix_slot", "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)
+    places = written(begun.select(F.col("row_key").alias("_mix_row"), F.col("slot").alias("_mix_slot")))
+    return keyed.join(places, "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
