@@ -95,18 +95,18 @@ def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
 
 
 def trigram_bits(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """The row's entry in the index: bit i is set if the lower-cased text contains trigram i of the rules' vocabulary (63 at most)."""
+    """The row's entry in the index: bit i is set if text, lower-cased, contains trigram i of the rules' vocabulary (63 at most)."""
     grams = _vocabulary(rules)
     if len(grams) > 63:
         raise ValueError("more than 63 trigrams: scan with fewer rules at a time")
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.aggregate(F.array(*(F.when(F.contains(lower, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(grams))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    # lower() may fold other letters to these too: the candidates only grow
+    return reduce(Column.bitwiseOR, (F.when(F.contains(text, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(grams)), F.lit(0).cast("long"))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index as rows (trigram, id), to be written once and asked again and again."""
     grams = _vocabulary(rules)
-    bits = docs.select(id_col, trigram_bits(F.coalesce(text_col, F.lit("")), rules).alias("_bits"))
+    bits = docs.select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("_lower")).select(id_col, trigram_bits(F.col("_lower"), rules).alias("_bits"))
     found = F.array_compact(F.array(*(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(g)) for i, g in enumerate(grams))))
     return bits.select(F.explode(found).alias("trigram"), id_col)
 
@@ -144,7 +144,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_c
 
     Null and empty texts give an empty array. Rows are neither moved nor merged, so that nothing is shuffled and repeats stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop(out).withColumn("_bits", trigram_bits(text, rules))
+    rows = docs.drop(out).withColumn("_lower", F.lower(text)).withColumn("_bits", trigram_bits(F.col("_lower"), rules)).drop("_lower")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     for k, r in enumerate(rules):
         hit = candidate(F.col("_bits"), r, rules) & text.rlike(r.pattern)
