@@ -50,9 +50,13 @@ def learn_profiles(labelled: DataFrame, size: int = 300, docs_per_language: int
 
     Rows without lang or text teach nothing. The result has size * languages rows at most; over max_languages languages raise."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    totals = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(totals) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     chance = (F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    sample = known.join(totals, known[lang_col] == totals["_lang"]).where(chance * F.col("_n") <= docs_per_language).select("_lang", text_col)
+    # the share of each language goes into the scan as a literal of max_languages entries at most: no text is shuffled to be sampled
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, docs_per_language / n))), F.col(lang_col)) if totals else F.lit(0.0)
+    sample = known.where(chance <= share).select(F.col(lang_col).alias("_lang"), text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,8 +71,6 @@ def learn_profiles(labelled: DataFrame, size: int = 300, docs_per_language: int
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked = counts.withColumn("rank", rank).where(F.col("rank") <= size)
-    if totals.limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     return ranked.select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
