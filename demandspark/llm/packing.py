@@ -177,7 +177,7 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, piece: int, block: i
     yield table()
 
 
-def pack(docs: DataFrame, capacity: int = 2048, piece: int = 512, windows_per_block: int = 64, slack: int = 12, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, piece: int = 512, windows_per_block: int = 256, slack: int = 8, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, an array, if with_ids).
 
     Every id of every document, END_ID included, lies in exactly one piece; a null or empty text is one piece of one id. The pieces of a
