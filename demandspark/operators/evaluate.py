@@ -30,6 +30,26 @@ def validation_predictions(panel: DataFrame, g: Granularity = MONTHLY, mode: str
     return rows.select("product", "model_name", "cand_ord", "fold", "horizon_step", F.element_at("dates", at).alias("date"), F.element_at("y", at).alias("actual"), value.alias("validation_prediction"))
 
 
+def model_validation(panel: DataFrame, model: str, forecaster, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON) -> DataFrame:
+    """Validation rows of a model that isn't a closed form, to be given to leaderboard as `extra`. Its status there is then ok.
+
+    forecaster(panel, horizon) -> (product, date, forecast, horizon_step) sees each product up to the fold's cut; one call for each fold,
+    for all products that the model is a candidate of."""
+    segments = product_segments(panel, g.season)
+    asked = segments.join(F.broadcast(candidates(panel.sparkSession, mode).where(F.col("model_name") == model)), "segment")
+    cuts = fold_cutoffs(asked.select("product", "n_points", "cand_ord"), g.season, horizon, FOLDS[mode])
+    numbered = panel.withColumn("_rn", F.row_number().over(Window.partitionBy("product").orderBy("date")))
+    out = []
+    for fold in range(FOLDS[mode]):
+        mine = cuts.where(F.col("fold") == fold).select("product", "cand_ord", "cut")
+        known = numbered.join(mine, "product")
+        made = forecaster(known.where("_rn <= cut").select("product", "date", "y"), horizon)
+        true = known.where((F.col("_rn") > F.col("cut")) & (F.col("_rn") <= F.col("cut") + horizon)).select("product", "date", "cand_ord", F.col("y").alias("actual"))
+        rows = true.join(made, ["product", "date"])
+        out.append(rows.select("product", F.lit(model).alias("model_name"), "cand_ord", F.lit(fold).alias("fold"), "horizon_step", "date", "actual", F.col("forecast").alias("validation_prediction")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def product_metrics(validated: DataFrame) -> DataFrame:
     """A row for each product and model: metrics, n_folds."""
     return validated.groupBy("product", "model_name", "cand_ord").agg(*metric_columns(), F.countDistinct("fold").alias("n_folds"))

@@ -139,3 +139,23 @@ def leakage_audit(columns: list[str], g: Granularity = MONTHLY) -> list[dict]:
         {"check": "lags_positive", "passed": all(k > 0 for k in g.lags), "detail": ""},
         {"check": "rolling_excludes_current", "passed": back <= set(columns) | back, "detail": "frames end one row before"},
     ]
+
+
+def feature_metadata(columns: list[str], client: dict[str, str] | None = None, external: dict[str, str] | None = None) -> list[dict]:
+    """name, source, future_availability and model families of each feature. client and external: column -> future availability; an external
+    entry overrides the default."""
+    calendar = {"month", "quarter", "year", "weekofyear", "month_sin", "month_cos", "week_sin", "week_cos", "time_index"}
+    seasonal = {"is_peak_season", "is_low_season", "months_to_peak", "seasonal_pattern_type"}
+    out = []
+    for c in columns:
+        source = "calendar" if c in calendar else "seasonal" if c in seasonal else "client" if c in (client or {}) else "external" if c in (external or {}) else "demand"
+        future = (external or {}).get(c) or (client or {}).get(c) or ("safe_for_future" if source in ("calendar", "seasonal") else "recursive")
+        out.append({"feature_name": c, "source": source, "leakage_safe": True, "future_availability": future, "models": ["random_forest", "xgboost"] + (["prophet"] if c in ("is_peak_season", "is_low_season") else [])})
+    return out
+
+
+def partition_future(metadata: list[dict]) -> tuple[list[str], list[str], list[str]]:
+    """(features to train on, those of them to be filled by climatology later, excluded): scenario-only and historical context can't be known ahead."""
+    shut = [m["feature_name"] for m in metadata if m["future_availability"] in ("scenario_only", "historical_context")]
+    keep = [m["feature_name"] for m in metadata if m["feature_name"] not in shut]
+    return keep, [m["feature_name"] for m in metadata if m["future_availability"] == "requires_future_values"], shut

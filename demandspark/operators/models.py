@@ -80,6 +80,41 @@ def step_date(last: Column, step: Column, g: Granularity = MONTHLY) -> Column:
     return F.date_add(last, (7 * step).cast("int")) if g.name == "weekly" else F.add_months(last, step)
 
 
+def package_forecast(panel: DataFrame, model: str, g: Granularity = MONTHLY, horizon: int = 3) -> DataFrame | None:
+    """(product, date, forecast, horizon_step) by sarima or prophet, a product at a time; None if the package is missing.
+
+    A product whose fit fails, or that has too short a history, has no rows. A group is one product's history."""
+    if not available(model):
+        return None
+    season, step = g.season, g.step
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("date")
+        y = pdf["y"].astype(float)
+        try:
+            if model == "sarima":
+                from statsmodels.tsa.statespace.sarimax import SARIMAX
+
+                if len(y) < 2 * season + 4:
+                    raise ValueError("short history")
+                fit = SARIMAX(y.to_numpy(), order=(1, 1, 1), seasonal_order=(1, 1, 1, season), enforce_stationarity=False, enforce_invertibility=False).fit(disp=False, method="lbfgs", maxiter=150)
+                out = fit.forecast(horizon)
+            else:
+                from prophet import Prophet
+
+                fit = Prophet(yearly_seasonality="auto", weekly_seasonality=False, daily_seasonality=False).fit(pd.DataFrame({"ds": pd.to_datetime(pdf["date"]), "y": y}))
+                out = fit.predict(fit.make_future_dataframe(horizon, freq="MS" if "MONTH" in step else "W"))["yhat"].tail(horizon)
+        except Exception:  # noqa: BLE001  one product's fit must not lose the others
+            out = []
+        return pd.DataFrame({"product": pdf["product"].iloc[0], "forecast": [max(0.0, float(v)) for v in out], "horizon_step": range(1, len(out) + 1)})
+
+    made = panel.select("product", "date", "y").groupBy("product").applyInPandas(run, "product string, forecast double, horizon_step int")
+    last = panel.groupBy("product").agg(F.max("date").alias("_last"))
+    return made.join(last, "product").select("product", step_date(F.col("_last"), F.col("horizon_step"), g).alias("date"), "forecast", "horizon_step")
+
+
 def tree_regressor(model: str):
     """The pyspark.ml counterpart of a tree model: 100 trees, seed 42."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor

@@ -210,6 +210,21 @@ def test_tree_forecast(spark):
     assert len(rows) == 4 and {r.horizon_step for r in rows} == {1, 2} and all(r.forecast >= 0 for r in rows)
 
 
+def test_model_validation_joins_the_leaderboard(spark):
+    df = frame(spark, months((2021, 1), [100 + 5 * (i % 12) for i in range(36)], "big") + months((2021, 1), [9] * 36, "small"))
+    extra = evaluate.model_validation(df, "random_forest", lambda p, h: models.forecast(p, "naive", horizon=h))
+    assert extra.count() == 9 and {r.product for r in extra.collect()} == {"big"}
+    board, _ = evaluate.leaderboard(df, extra=extra)
+    status = {(r.product, r.model_name): r.status for r in board.where("scope = 'product'").collect()}
+    assert status["big", "random_forest"] == "ok" and status["big", "xgboost"] == "skipped"
+    assert models.package_forecast(df, "sarima") is None or models.available("sarima")
+
+
+def test_future_availability():
+    meta = features.feature_metadata(["month", "lag_1", "temperature", "ahri_shipments", "promo"], {"promo": "scenario_only"}, {"temperature": "requires_future_values", "ahri_shipments": "historical_context"})
+    assert features.partition_future(meta) == (["month", "lag_1", "temperature"], ["temperature"], ["ahri_shipments", "promo"])
+
+
 def test_confidence():
     assert insights.model_confidence("good") == "High" and insights.model_confidence("good", n_critical=1) == "Low" and insights.model_confidence("good", n_warnings=3, n_failed=1) == "Low"
 
