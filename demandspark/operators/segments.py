@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON, Granularity
+from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON
 
 FAST = ("naive", "seasonal_naive", "moving_average", "exponential_smoothing")
 ADVANCED = ("sarima", "prophet", "random_forest", "xgboost")
@@ -19,7 +19,12 @@ def product_segments(panel: DataFrame, season: int = MONTHLY.season) -> DataFram
     y = F.greatest("y", F.lit(0.0))
     per = panel.groupBy("product").agg(F.count("*").alias("n_points"), F.sum(y).alias("total_demand"), F.avg((F.col("y") == 0).cast("double")).alias("zero_ratio"))
     whole = per.agg(F.sum("total_demand").alias("_all"), F.percentile("total_demand", F.lit(0.2)).alias("_p20"), F.count("*").alias("_n"))
-    ranked = per.withColumn("_upto", F.sum("total_demand").over(Window.orderBy(F.desc("total_demand"), "product").rowsBetween(Window.unboundedPreceding, 0)))
+    # running totals in two levels: whole buckets of similar totals first, then within a bucket, so that no task orders all products
+    per = per.withColumn("_bucket", F.floor(-16 * F.log2(F.col("total_demand") + 1)).cast("int"))
+    sums = per.groupBy("_bucket").agg(F.sum("total_demand").alias("_sum"))  # a double has 2^1024 at most: 16,385 buckets
+    larger = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_larger"))
+    within = Window.partitionBy("_bucket").orderBy(F.desc("total_demand"), "product").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = per.join(F.broadcast(larger), "_bucket").withColumn("_upto", F.col("_larger") + F.sum("total_demand").over(within))
     low = (F.col("_n") >= 5) & (F.col("total_demand") <= F.col("_p20"))
     segment = (
         F.when(F.col("n_points") < season, "short_history")
