@@ -23,20 +23,22 @@ def block_of(df: DataFrame, key: str, id_col: str, large: DataFrame) -> DataFram
 def paired(blocks: DataFrame, large: DataFrame, key: str, steps: list[int], payload: list[str]) -> DataFrame:
     """Pairs of blocks (left_*, right_*): each block with itself and the others of its key, and with the blocks of key + step for the other steps.
 
-    A block goes out once for each block that it meets; the two meet under a key of their own, so that no key gathers more than two blocks."""
+    A block meets itself where it is. For every other block that it meets it goes out once; the two meet under a key of their own, so
+    that no key gathers more than two blocks."""
     parts = large.select(F.col(key).alias("_to"), F.col("parts").alias("_to_parts"))
     own = blocks.select(key, "block", "parts", F.struct(*payload).alias("_has"))
+    outgoing = own.where("parts > 1") if steps == [0] else own
 
     def sent(sign: int) -> DataFrame:
-        out = own.withColumn("_to", F.explode(F.array(*(F.col(key) + F.lit(sign * s) for s in steps)).cast("array<long>")))
+        out = outgoing.withColumn("_to", F.explode(F.array(*(F.col(key) + F.lit(sign * s) for s in steps)).cast("array<long>")))
         return out.join(parts, "_to", "left").withColumn("_to_block", F.explode(F.sequence(F.lit(0), F.coalesce("_to_parts", F.lit(1)) - 1)))
 
     def once(mine: Column, other: Column, same: Column) -> Column:
-        return ~same | (mine <= other)
+        return ~same | (mine < other)
 
     left = sent(1).where(once(F.col("block"), F.col("_to_block"), F.col(key) == F.col("_to")))
     right = sent(-1).where(once(F.col("_to_block"), F.col("block"), F.col(key) == F.col("_to")))
     left = left.select(F.col(key).alias("_a"), F.col("block").alias("_i"), F.col("_to").alias("_b"), F.col("_to_block").alias("_j"), F.col("_has").alias("left"))
     right = right.select(F.col("_to").alias("_a"), F.col("_to_block").alias("_i"), F.col(key).alias("_b"), F.col("block").alias("_j"), F.col("_has").alias("right"))
-    same = (F.col("_a") == F.col("_b")) & (F.col("_i") == F.col("_j"))
-    return left.join(right, ["_a", "_i", "_b", "_j"]).select("left", "right", same.alias("same"))
+    alone = own.select(F.col("_has").alias("left"), F.col("_has").alias("right"), F.lit(True).alias("same"))
+    return alone.unionByName(left.join(right, ["_a", "_i", "_b", "_j"]).select("left", "right", F.lit(False).alias("same")))
