@@ -169,9 +169,9 @@ def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             words = (x.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
             n = min(width, max(1, len(words)))
             hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)]
-            sets.append(np.unique(np.array(hashes, np.uint64)).view(np.int64))
+            sets.append(np.unique(np.array(hashes, np.uint64).astype(np.uint32)).view(np.int32))
             prints.append(fingerprint(x.as_py(), width))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["fp", "found", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], ["fp", "found", "shingles"])
 
 
 def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 12, forests_of: int = 3, rows_per_block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +198,7 @@ def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5, radius:
     links = written(sides.mapInArrow(compare, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     asked = links.select(F.col("u").alias("fp")).union(links.select(F.col("v").alias("fp"))).distinct().join(nodes, "fp")
     texts = docs.select(F.col(id_col).alias("least"), F.col(text_col).alias("_text")).join(written(asked), "least").select("fp", "_text")
-    sets = texts.mapInArrow(lambda b: _shingles(b, width), "fp long, found long, shingles array<long>").where("fp = found")
+    sets = texts.mapInArrow(lambda b: _shingles(b, width), "fp long, found long, shingles array<int>").where("fp = found")
     sets = written(sets.groupBy("fp").agg(F.first("shingles").alias("shingles")))
     met = links.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -209,9 +209,13 @@ def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5, radius:
 def dedup(docs: DataFrame, least: float = 0.8, width: int = 5, radius: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, one row of each group of similar_groups: that with the smallest id (of rows with this id, one of them; rows without id stay)."""
     groups = similar_groups(docs, least, width, radius, id_col=id_col, text_col=text_col)
-    kept = written(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    twice = written(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col))
+    gone = written(gone)
+    # what goes is less than what stays, and only ids that repeat need their rows together
+    once = docs.join(gone, id_col, "left_anti").join(twice, id_col, "left_anti")
+    again = docs.join(twice, id_col, "left_semi").join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
