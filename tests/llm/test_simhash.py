@@ -103,3 +103,39 @@ def test_dedup_by_similarity(spark):
 def test_dedup_keeps_rows_without_id(spark):
     docs = make_docs(spark, ["same text", "same text", "same text"], ids=[None, 3, 3])
     assert sorted(str(r.doc_id) for r in dedup(docs).collect()) == ["3", "None"]
+
+
+def test_dedup_in_a_template_family(spark):
+    rng = random.Random(5)
+    template = words(rng, 200).split()
+    texts = []
+    for _ in range(50):
+        w = list(template)
+        for k in rng.sample(range(200), 6):
+            w[k] = f"own{rng.randrange(10**6)}"
+        twin = list(w)
+        for k in rng.sample(range(200), 3):
+            twin[k] = f"own{rng.randrange(10**6)}"
+        texts += [" ".join(w), " ".join(twin)]
+    alike = np.array([[jaccard(a, b) >= 0.8 for b in texts] for a in texts])
+    want = components(len(texts), lambda i, j: alike[i, j])
+    docs = make_docs(spark, texts)
+    assert 30 <= len(set(want)) < 75
+    for block in (1 << 18, 5000):
+        got = {r.doc_id: r.component_id for r in similar_groups(docs, shingles_per_block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_dedup_down_to_the_least_similarity(spark):
+    rng = random.Random(6)
+    texts, near = [], 0
+    while near < 150:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(150, 300))]
+        twin = list(w)
+        for k in rng.sample(range(len(w)), round(len(w) * 0.0235)):
+            twin[k] = "other"
+        if 0.8 <= jaccard(" ".join(w), " ".join(twin)) < 0.85:
+            near += 1
+            texts += [" ".join(w), " ".join(twin)]
+    got = {r.doc_id: r.component_id for r in similar_groups(make_docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))]
