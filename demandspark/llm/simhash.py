@@ -163,8 +163,15 @@ def forests(left: np.ndarray, right: np.ndarray, radius: int, count: int) -> tup
     return signed[out_u], signed[out_v]
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what is built for one of them stays small."""
     for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in _cut(batches):
         sets, digests = [], np.empty(b.num_rows, np.uint64)
         for k, x in enumerate(b.column(1)):
             words = (x.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
@@ -180,11 +187,11 @@ def _prefix_length(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
-def _common_shingles(sets: DataFrame, sample_docs: int = 1 << 15, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(sets: DataFrame, sample_docs: int = 1 << 13, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
     """(shingles in ascending order, their counts) of the most common ones in a sample: they only order the prefixes, so nothing is lost by them."""
     step = max(1, sets.count() // sample_docs)
     drawn = sets.where(F.pmod(F.xxhash64(F.lit(9), "_row"), F.lit(step)) == 0).select(F.explode("shingles").alias("token"))
-    often = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    often = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = (often.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(token)
     return token[order], n[order]
@@ -196,7 +203,7 @@ def _postings(sets: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies in the same task give their prefix once
-        for b in batches:
+        for b in _cut(batches):
             tokens, prints, sizes, lengths = [], [], [], []
             for print_, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if print_ in seen:
@@ -267,7 +274,7 @@ def _verified(sets: DataFrame, candidates: DataFrame, least: float, shingles_per
     pairs = paired(blocks, large, "component", [0], ["has"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _cut(batches):
             u, v = [], []
             for x, y, same in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
                 prints, held = [], []
