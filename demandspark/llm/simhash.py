@@ -187,11 +187,11 @@ def _prefix_length(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1 if n else 0
 
 
-def _common_shingles(sets: DataFrame, sample_docs: int = 1 << 13, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(sets: DataFrame, sample_docs: int = 1 << 16, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(shingles in ascending order, their counts) of the most common ones in a sample: they only order the prefixes, so nothing is lost by them."""
     step = max(1, sets.count() // sample_docs)
     drawn = sets.where(F.pmod(F.xxhash64(F.lit(9), "_row"), F.lit(step)) == 0).select(F.explode("shingles").alias("token"))
-    often = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    often = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = (often.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(token)
     return token[order], n[order]
