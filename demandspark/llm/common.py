@@ -41,6 +41,19 @@ def dropped(df: DataFrame | None) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A broadcast table of digests of ids holds this many rows at most.
+BUCKETS = 1 << 20
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose id may be among ids, rows whose id is not), without a shuffle of df: digests of ids, BUCKETS at most, are broadcast.
+
+    Of ids many times more than BUCKETS every row may be one; what follows must sort that out. Null is an id like others."""
+    bucket = F.pmod(F.xxhash64(F.col(id_col)), F.lit(BUCKETS)).cast("int")
+    taken = F.broadcast(written(ids.select(bucket.alias("_bucket")).distinct()))
+    return df.join(taken, bucket == F.col("_bucket"), "left_semi"), df.join(taken, bucket == F.col("_bucket"), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

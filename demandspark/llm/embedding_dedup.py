@@ -79,7 +79,7 @@ def _hashed(tables: int, depth: int, seed: int):
 
 def _verified(least: float, tables: int):
     """Pairs of blocks -> (node, links, centre): partial counts of links, and a star for each component in the pair."""
-    from .simhash import components_of
+    from .components import components_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,19 +8,18 @@ it sees, not all pairs, and the stars are joined to connected components.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_of, large_keys, paired
 from .common import written
-from .components import connected
+from .components import components_of, connected
 
 SEED = 42
 #: Shingles hashed at a time: bounds the bit matrix of a long document.
@@ -64,24 +63,6 @@ def _steps(radius: int) -> list[int]:
     return sorted(s for s in (sum(x << (5 * i) for i, x in enumerate(d)) for d in near) if s >= 0)
 
 
-def components_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, centre) for the links (u, v): a star for each component around its smallest node, the centres themselves left out."""
-    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    u, v = ends[: len(u)], ends[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, least)
-        np.minimum.at(new, v, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
 def stars(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, centre) for the components that links between left and right (unsigned fingerprints) make; centres are smallest as signed longs."""
     apart = np.bitwise_count(left[:, None] ^ right[None, :])
@@ -129,202 +110,6 @@ def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str
     return _named(prints, prints.groupBy("fp").agg(F.min(id_col).alias("least")), connected(near_links(prints, radius)), id_col)
 
 
-def forests(left: np.ndarray, right: np.ndarray, radius: int, count: int) -> tuple[list[int], list[int]]:
-    """Links of `count` disjoint spanning forests of what lies within radius between left and right, nearest links first."""
-    found = []
-    for at in range(0, len(left), 256):
-        apart = np.bitwise_count(left[at : at + 256, None] ^ right[None, :])
-        i, j = np.nonzero(apart <= radius)
-        if len(i):
-            found.append((apart[i, j], left[i + at], right[j]))
-    if not found:
-        return [], []
-    apart, u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = u != v
-    order = np.argsort(apart[keep], kind="stable")
-    nodes, ends = np.unique(np.concatenate([u[keep][order], v[keep][order]]), return_inverse=True)
-    roots = [list(range(len(nodes))) for _ in range(count)]
-    half, out_u, out_v = len(order), [], []
-    for x, y in zip(ends[:half].tolist(), ends[half:].tolist(), strict=True):
-        for root in roots:  # the first forest in which the link joins two trees takes it
-            p, q = x, y
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            while root[q] != q:
-                root[q] = root[root[q]]
-                q = root[q]
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                out_u.append(x)
-                out_v.append(y)
-                break
-    signed = nodes.view(np.int64)
-    return signed[out_u], signed[out_v]
-
-
-def _cut(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what is built for one of them stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
-def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for b in _cut(batches):
-        sets, digests = [], np.empty(b.num_rows, np.uint64)
-        for k, x in enumerate(b.column(1)):
-            words = (x.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            n = min(width, max(1, len(words)))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1)), np.uint64)
-            digests[k] = xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED)
-            sets.append(np.unique(hashes.astype(np.uint32).view(np.int32)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests.view(np.int64)), pa.array(sets, pa.list_(pa.int32()))], [b.schema.names[0], "_row", "fp", "shingles"])
-
-
-def _prefix_length(n: int, least: float) -> int:
-    """Two sets of Jaccard similarity >= least share one of their first so many shingles in any order that all sets follow."""
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
-
-
-def _common_shingles(sets: DataFrame, sample_docs: int = 1 << 16, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in ascending order, their counts) of the most common ones in a sample: they only order the prefixes, so nothing is lost by them."""
-    step = max(1, sets.count() // sample_docs)
-    drawn = sets.where(F.pmod(F.xxhash64(F.lit(9), "_row"), F.lit(step)) == 0).select(F.explode("shingles").alias("token"))
-    often = drawn.groupBy("token").agg(F.count("*").alias("n")).where("n >= 4").orderBy(F.desc("n"), "token").limit(most).toArrow()
-    token, n = (often.column(k).to_numpy() for k in (0, 1))
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def _postings(sets: DataFrame, least: float) -> DataFrame:
-    """(token, fp, n): the prefix of each set of n shingles, rare ones first."""
-    common, counts = _common_shingles(sets)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies in the same task give their prefix once
-        for b in _cut(batches):
-            tokens, prints, sizes, lengths = [], [], [], []
-            for print_, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if print_ in seen:
-                    continue
-                seen.add(print_)
-                t = x.values.to_numpy()
-                if not len(t):
-                    continue
-                often = np.zeros(len(t), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, t), len(common) - 1)
-                    often = np.where(common[at] == t, counts[at], 0)
-                prefix = t[np.lexsort((t, often))[: _prefix_length(len(t), least)]]
-                tokens.append(prefix)
-                prints.append(print_)
-                sizes.append(len(t))
-                lengths.append(len(prefix))
-            if tokens:
-                cols = [np.concatenate(tokens), np.repeat(np.array(prints, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "fp", "n"])
-
-    return sets.select("fp", "shingles").mapInArrow(run, "token int, fp long, n int")
-
-
-def similar_links(prints: np.ndarray, sets: list[np.ndarray], first: int, least: float) -> tuple[list[int], list[int]]:
-    """Links that join whatever pairs of Jaccard similarity >= least join: between sets[:first] and the others, or among all if first is 0.
-
-    Every pair that shares a shingle of both prefixes (rare ones first) is verified, unless verified links join it already."""
-    many, lengths = len(sets), np.array([len(s) for s in sets])
-    distinct, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    often, ends = np.bincount(ids, minlength=len(distinct)), np.concatenate([[0], lengths.cumsum()])
-    own = [ids[ends[i] : ends[i + 1]] for i in range(many)]
-    prefix = [t[np.lexsort((t, often[t]))[: _prefix_length(len(t), least)]] for t in own]
-    tokens = np.concatenate(prefix)
-    holders = np.repeat(np.arange(many), [len(p) for p in prefix])[np.argsort(tokens, kind="stable")]
-    starts = np.searchsorted(np.sort(tokens), np.arange(len(distinct) + 1))
-    label, mark = np.arange(many), np.zeros(len(distinct), bool)
-    u, v = [], []
-    for i in range(first or many):
-        met = np.unique(np.concatenate([holders[starts[t] : starts[t + 1]] for t in prefix[i]]))
-        met = met[met >= first] if first else met[met > i]
-        n = lengths[met]
-        met = met[(label[met] != label[i]) & (np.minimum(n, lengths[i]) >= least * np.maximum(n, lengths[i]) - 1e-9)]
-        if not len(met):
-            continue
-        mark[own[i]] = True
-        for j in met.tolist():
-            if label[j] == label[i]:
-                continue
-            shared = int(np.count_nonzero(mark[own[j]]))
-            if shared >= least * (lengths[i] + lengths[j] - shared) - 1e-9:
-                label[label == label[j]] = label[i]
-                u.append(int(prints[i]))
-                v.append(int(prints[j]))
-        mark[own[i]] = False
-    return u, v
-
-
-def _verified(sets: DataFrame, candidates: DataFrame, least: float, shingles_per_block: int) -> DataFrame:
-    """(u, v): verified links between the sets(fp, shingles) of each component of candidates(_row, component).
-
-    A component of more shingles than a block holds is cut into blocks and every pair of its blocks is compared."""
-    # always by sort and merge, so that what is shuffled grows with the input alone
-    met = written(sets.join(candidates.hint("merge"), "_row").select("component", "fp", "shingles"))
-    sums = met.groupBy("component").agg(F.sum(F.size("shingles")).alias("_n")).where(F.col("_n") > shingles_per_block)
-    large = written(sums.select("component", F.ceil(F.col("_n") / F.lit(shingles_per_block)).cast("int").alias("parts")))
-    blocks = block_of(met, "component", "fp", large).groupBy("component", "block", "parts").agg(F.collect_list(F.struct("fp", "shingles")).alias("has"))
-    pairs = paired(blocks, large, "component", [0], ["has"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _cut(batches):
-            u, v = [], []
-            for x, y, same in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
-                prints, held = [], []
-                for side in (x,) if same else (x, y):
-                    prints.append(side.values.field("fp").to_numpy())
-                    held.extend(s.values.to_numpy() for s in side.values.field("shingles"))
-                if len(held) > 1:
-                    got = similar_links(np.concatenate(prints), held, 0 if same else len(prints[0]), least)
-                    u += got[0]
-                    v += got[1]
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    # a block that meets itself is sent to Python once
-    sides = pairs.select(F.col("left.has").alias("a"), F.when(~F.col("same"), F.col("right.has")).alias("b"), "same")
-    return sides.mapInArrow(run, "u long, v long")
-
-
-def similar_groups(docs: DataFrame, least: float = 0.8, width: int = 5, shingles_per_block: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for near copies: Jaccard similarity >= least by shingles of width words. fp is a digest of the set of shingles.
-
-    No pair is missed: sets that are similar enough share a shingle among the first of their shingles in one order for all (rare ones
-    first), as many as the similarity asks for. Sets that so meet, and whose sizes allow it, are joined to candidate components, by links as
-    many as the prefixes at most; within these every pair that meets is verified, unless verified links join it already."""
-    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("_row"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    sets = written(rows.mapInArrow(lambda b: _shingles(b, width), f"`{id_col}` {kind}, _row long, fp long, shingles array<int>"))
-    prints = sets.select(id_col, "fp")
-    nodes = written(sets.groupBy("fp").agg(F.min(id_col).alias("least"), F.min("_row").alias("_row")))
-    by_size = Window.partitionBy("token").orderBy("n", "fp")
-    meet = _postings(sets, least).select("fp", "n", F.lag("fp").over(by_size).alias("before"), F.lag("n").over(by_size).alias("less"))
-    meet = meet.where((F.col("before") != F.col("fp")) & (F.col("less") >= F.col("n") * least - 1e-9))
-    found = connected(meet.select(F.col("fp").alias("u"), F.col("before").alias("v")))
-    candidates = found.join(nodes, found["node"] == nodes["fp"]).select("_row", "component")
-    true = _verified(sets.select("_row", "fp", "shingles"), candidates, least, shingles_per_block)
-    return _named(prints, nodes.select("fp", "least"), connected(true), id_col)
-
-
-def dedup(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, one row of each group of similar_groups: that with the smallest id (of rows with this id, one of them; rows without id stay)."""
-    groups = similar_groups(docs, least, width, id_col=id_col, text_col=text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    twice = written(groups.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(id_col))
-    gone = written(gone)
-    # what goes is less than what stays, and only ids that repeat need their rows together
-    once = docs.join(gone, id_col, "left_anti").join(twice, id_col, "left_anti")
-    again = docs.join(twice, id_col, "left_semi").join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return once.unionByName(again).select(*docs.columns)
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     found = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

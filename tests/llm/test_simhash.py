@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 from conftest_llm import make_docs, words
 from demandspark.llm.components import connected
-from demandspark.llm.simhash import _steps, dedup, fingerprint, forests, similar_groups, simhash_groups
+from demandspark.llm.near_copies import dedup, similar_groups
+from demandspark.llm.simhash import _steps, fingerprint, simhash_groups
 
 
 def slow_print(text, width=3):
@@ -60,15 +61,6 @@ def test_tiles_lose_no_pair():
         assert abs(key(x) - key(y)) in steps
 
 
-def test_forests_span():
-    rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    near = np.concatenate([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 60, 5)])
-    u, v = forests(base, near, 3, 1)
-    assert len(u) == len(set(base.tolist() + near.tolist())) - 20
-    assert all(bin(int(a) ^ int(b)).count("1") <= 3 for a, b in zip(np.array(u).view(np.uint64), np.array(v).view(np.uint64), strict=True))
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450), (7, 7), (900, 901), (901, 900)] + [(1000, 2000 + i) for i in range(300)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
