@@ -54,6 +54,17 @@ def split_by_ids(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame,
     return df.join(taken, bucket == F.col("_bucket"), "left_semi"), df.join(taken, bucket == F.col("_bucket"), "left_anti")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores put before it that df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-All words of a source, its documents in shuffled order and the stream repeated up to `most` times, are cut into blocks of equal words.
-Slot i of the schedule takes the golden-ratio point frac(i / phi) through the cumulative target weights to a source; the slots of a
-source are ranked, and slot rank r is joined with block r of the source's stream. At every point of the schedule each source is within
-a few blocks of its share.
+All words of a source, its documents in shuffled order and the stream repeated up to `most` times, are cut into blocks of equal words,
+as many as its target needs. Slot i of the schedule takes the golden-ratio point frac(i / phi) through the cumulative numbers of blocks to
+a source; the slots of a source are ranked, and slot rank r is joined with block r of the source's stream. At every point of the schedule
+each source is within a few blocks of its share. Points fall a few short of some sources and beyond others: the former get late slots
+after the last one, the slots beyond a source's blocks are empty. So every source gives its target to the word, however small it is.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hex_digits, running, written
+from .common import WORD, fresh, hex_digits, running, written
 
 GOLDEN = 0.6180339887498949
-SLOTS = 1 << 18
+#: Words of a block, at every corpus size.
+BLOCK = 1024
 CHUNK = 4096
 CELLS = 1024
+#: About how many documents a running total sees in one task.
+ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -50,41 +54,45 @@ def source_plan(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: in
     return s.select("source", "source_size", "source_rank", "weight", target.alias("target"))
 
 
-def _slots(plan: DataFrame, slots: int) -> tuple[DataFrame, int]:
-    """(source_rank, block, slot, whole) in the order of the schedule, and the words of a block."""
+def _slots(plan: DataFrame, words: int) -> DataFrame:
+    """(source_rank, block, slot, whole): every block of every source once, in the order of the schedule."""
     ends = Window.orderBy("source_rank").rowsBetween(Window.unboundedPreceding, 0)
-    bounds = plan.select("source_rank", F.floor("target").alias("whole")).withColumn("high", F.sum("whole").over(ends))
-    bounds = written(bounds.withColumn("low", F.col("high") - F.col("whole")))
-    total = bounds.agg(F.max("high")).first()[0] or 0
-    words = max(1, -(-total // slots))
+    bounds = plan.select("source_rank", F.floor("target").alias("whole"), F.ceil(F.floor("target") / F.lit(words)).alias("blocks"))
+    bounds = written(bounds.withColumn("high", F.sum("blocks").over(ends)).withColumn("low", F.col("high") - F.col("blocks")))
+    total, sources = bounds.agg(F.max("high"), F.count("*")).first()
+    total = total or 0
     cell = lambda c: F.floor(c * CELLS / F.lit(float(max(1, total))))
-    ranges = bounds.where("whole > 0").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    spark = plan.sparkSession
-    points = spark.range(-(-total // words)).select(F.col("id").alias("slot"), F.floor(F.expr(f"(CAST(id AS DOUBLE) * {GOLDEN}D) % 1.0D") * total).alias("point"))
+    ranges = bounds.where("blocks > 0").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    points = plan.sparkSession.range(total).select(F.col("id").alias("slot"), F.floor(F.expr(f"(CAST(id AS DOUBLE) * {GOLDEN}D) % 1.0D") * total).alias("point"))
     fallen = points.withColumn("cell", cell(F.col("point"))).join(ranges, "cell").where("point >= low AND point < high")
-    fallen = fallen.select("source_rank", "whole", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), F.lit(1).alias("one"))
-    ranked = running(fallen, ["source_rank"], "chunk", ["slot"], {"one": "block"})
-    return ranked.select("source_rank", "block", "slot", "whole"), words
+    fallen = fallen.select("source_rank", "whole", "blocks", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), F.lit(1).alias("one"))
+    ranked = written(running(fallen, ["source_rank"], "chunk", ["slot"], {"one": "block"}))
+    had = ranked.groupBy("source_rank").agg(F.count("*").alias("had"))
+    short = bounds.join(had, "source_rank", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < blocks")
+    late = short.withColumn("block", F.explode(F.sequence("had", F.col("blocks") - 1)))
+    late = late.withColumn("slot", F.lit(total) + (F.col("block") - F.col("had")) * F.lit(sources) + F.col("source_rank"))
+    held = ["source_rank", "block", "slot", "whole"]
+    return ranked.where("block < blocks").select(*held).unionByName(late.select(*held))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> Mix:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, words: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key_col: str | None = None) -> Mix:
     """The mix of docs. Size: words of the text (null and empty: 0); such documents are in `documents` and take no slot.
 
     A source's stream takes its documents by md5(seed, id), repeated rows one after the other, so that reruns agree; it ends at its
-    target. key_col, if given, is carried as `row_key` through documents and schedule. The schedule has about `slots` slots at every corpus size (a slot is one equal-token block). An empty table gives no rows."""
-    spark = docs.sparkSession
+    target. key_col, if given, is carried as `row_key` through documents and schedule. A slot is a block of `words` words of one source (its last
+    one may be shorter), so that slots grow with the corpus. Very long texts lie in many blocks. An empty table gives no rows."""
+    carried = ["row_key"] if key_col else []
     size = F.when(F.length(text_col) > 0, F.regexp_count(text_col, F.lit(WORD))).otherwise(0).cast("long")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(size, F.lit(0).cast("long")).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")).cast("binary")).alias("key"), *([F.col(key_col).alias("row_key")] if key_col else []))
     slim = written(slim)
     plan = written(source_plan(slim, weights, most))
-    digits = hex_digits(slim.count())
+    digits = hex_digits(slim.count(), ROWS)
     named = slim.join(plan.select("source", "source_rank", "source_size", "target").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     named = named.withColumns({"bucket": F.substring("key", 1, digits) if digits else F.lit(""), "one": F.lit(1)})
-    placed = running(named, ["source_rank"], "bucket", ["key", "doc_id", "size"], {"size": "start", "one": "row"})
+    placed = running(named, ["source_rank"], "bucket", ["key", "doc_id", "size", *carried], {"size": "start", "one": "row"})
     placed = written(placed.drop("one", "bucket", "key"))
-    taken, words = _slots(plan, slots)
+    taken = _slots(plan, words)
     epochs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size")), lambda at: at < F.floor("target"))
-    carried = ["row_key"] if key_col else []
     times = placed.where("size > 0").select("source_rank", "row", "doc_id", *carried, "size", F.explode(epochs).alias("at"))
     last = F.col("at") + F.col("size") - 1
     stretches = times.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / words), F.floor(last / words))))
@@ -104,13 +112,15 @@ def taken_words(mixed: Mix) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the schedule takes them: a document stands wherever a slot begins it, whole, up to `most` times; those without words go.
 
-    A source so exceeds its target by part of one document at most. Columns stay as they are. Texts are shuffled once, by row: each
-    partition is an even share of the whole mix, in the schedule's order. docs must be a table read from files (its rows are numbered in
-    two scans, which give the same partitions); write other frames first."""
-    keyed = docs.withColumn("_mix_row", F.monotonically_increasing_id())
-    begun = mix(keyed, key_col="_mix_row", **options).schedule.where("from_word = 0")
-    places = written(begun.select(F.col("row_key").alias("_mix_row"), F.col("slot").alias("_mix_slot")))
-    return keyed.join(places, "_mix_row").sortWithinPartitions("_mix_slot", "_mix_row").select(*docs.columns)
+    A source so exceeds its target by part of one document at most. Columns stay as they are, whatever their names. Repeated rows are
+    documents of their own; without words (null, empty) none is taken; an empty table gives no rows. The rows are numbered in a written
+    copy, so that every later scan sees the same numbers. Texts are shuffled once, by number: each partition is an even share of
+    the whole mix, in the schedule's order."""
+    row, slot = fresh(docs, "_mix_row", "_mix_slot")
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    begun = mix(keyed, key_col=row, **options).schedule.where("from_word = 0")
+    places = written(begun.select(F.col("row_key").alias(row), F.col("slot").alias(slot)))
+    return keyed.join(places.hint("merge"), row).sortWithinPartitions(slot, row).select(*docs.columns)
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
@@ -129,16 +139,11 @@ s3 AS (
     / sum(w) OVER (ORDER BY ratio, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM s2),
 f AS (SELECT arg_min(level, (ratio, r)) AS first_level FROM s3 WHERE level <= ratio),
 p AS (SELECT s3.*, CASE WHEN first_level IS NULL OR ratio < first_level THEN cap::DOUBLE ELSE first_level * w END AS target FROM s3, f),
-b AS (SELECT *, floor(target)::BIGINT AS whole, sum(floor(target)::BIGINT) OVER (ORDER BY r)::BIGINT AS high FROM p),
-t AS (SELECT max(high) AS total, greatest(1, ((max(high) + {SLOTS - 1}) // {SLOTS}))::BIGINT AS words FROM b),
-i AS (SELECT x AS slot, floor(((x::DOUBLE * {GOLDEN}) % 1.0) * total)::BIGINT AS point FROM t, range(0, ((total + words - 1) // words)::BIGINT) g(x)),
-k AS (SELECT r, whole, slot, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS block FROM i JOIN b ON point >= high - whole AND point < high),
-n AS (SELECT r, count(*) AS blocks FROM k GROUP BY r),
 o AS (
   SELECT d.*, p.r, p.source_size, p.target, coalesce(sum(size) OVER (PARTITION BY p.r ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target, (
     greatest(0, least(start + size, lim) - start) + greatest(0, least(start + source_size + size, lim) - start - source_size)
     + greatest(0, least(start + 2 * source_size + size, lim) - start - 2 * source_size))::BIGINT AS taken
-FROM (SELECT o.*, least(coalesce(n.blocks, 0) * t.words, floor(target)) AS lim FROM o LEFT JOIN n USING (r), t)
+FROM (SELECT o.*, floor(target) AS lim FROM o)
 """
