@@ -1,20 +1,21 @@
-"""Secret scans: regex rules behind a trigram index (DataFrame functions only).
+"""Secret scans: regex rules behind a trigram inverted index (DataFrame functions only).
 
 From each rule's regex follows a Boolean trigram query: an OR of ANDs over lower-cased trigrams, one AND for each literal that a match
-must contain (`trigram_query`). The index holds the postings of those trigrams that some query asks for. It is kept as one bitmap for
-each row, so that intersecting postings is a bitwise AND in the scan that reads the text, and the text is never shuffled; `postings`
-gives the same index as lists. Only candidates are verified with the regex; a rule without a mandatory trigram scans all rows.
+must contain (`trigram_query`). The index holds the postings (trigram, id) of the trigrams that some query asks for, and is written once.
+A rule's postings are intersected by counting, for each id and AND, how many of its trigrams the id has. Texts meet the candidates by id
+and only those are verified with the regex; a rule without a mandatory trigram scans every text.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, split_by_ids, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -94,76 +95,102 @@ def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for a in trigram_query(r.pattern) or () for t in a})
 
 
-def trigram_bits(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """The row's entry in the index: bit i is set if text, lower-cased, contains trigram i of the rules' vocabulary (63 at most)."""
-    grams = _vocabulary(rules)
-    if len(grams) > 63:
-        raise ValueError("more than 63 trigrams: scan with fewer rules at a time")
-    # lower() may fold other letters to these too: the candidates only grow
-    return reduce(Column.bitwiseOR, (F.when(F.contains(text, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(grams)), F.lit(0).cast("long"))
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index as rows (trigram, id), to be written once and asked again and again."""
-    grams = _vocabulary(rules)
-    bits = docs.select(id_col, F.lower(F.coalesce(text_col, F.lit(""))).alias("_lower")).select(id_col, trigram_bits(F.col("_lower"), rules).alias("_bits"))
-    found = F.array_compact(F.array(*(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(g)) for i, g in enumerate(grams))))
-    return bits.select(F.explode(found).alias("trigram"), id_col)
+    """The index: (trigram, id) of each trigram that the rules ask for, for any number of them; rows without id are left out.
+
+    lower() may fold letters beyond A-Z to these too: there are only more candidates."""
+    grams = F.array(*map(F.lit, _vocabulary(rules))).cast("array<string>")
+    found = _bound(F.lower(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.filter(grams, lambda g: F.contains(t, g)))
+    return docs.where(F.col(id_col).isNotNull()).select(F.explode(found).alias("trigram"), F.col(id_col).alias("id"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
+    """(id, asks): the numbers of the rules whose trigram query the postings of an id fulfil; ids without any are left out."""
+    ands = [(t, k, c, len(a)) for k, r in enumerate(rules) for c, a in enumerate(trigram_query(r.pattern) or ()) for t in a]
+    clauses = index.sparkSession.createDataFrame(ands, "trigram string, rule int, clause int, needs int")  # as many rows as the rules have trigrams
+    met = index.join(F.broadcast(clauses), "trigram").groupBy("id", "rule", "clause").agg(F.count("*").alias("n"), F.max("needs").alias("needs"))
+    return met.where("n >= needs").groupBy("id").agg(F.collect_set("rule").alias("asks"))
 
 
-def candidate(bits: Column, rule: Rule, rules: tuple[Rule, ...]) -> Column:
-    """Whether the rule's trigram query holds for a row of the index; true where the rule has none."""
-    query, grams = trigram_query(rule.pattern), _vocabulary(rules)
-    if query is None:
-        return F.lit(True)
-    masks = [sum(1 << grams.index(t) for t in a) for a in query]
-    return reduce(Column.__or__, (bits.bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long") for m in masks))
+#: Matches whose places are added up at a time; a text's matches cost about this many steps each.
+MATCHES = 128
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """All leftmost non-overlapping matches that are long enough, as (start, order, kind, end) in code points, end exclusive.
 
-    Spark's functions give matches and the text between them, not positions: a match starts after the gaps and matches before it."""
-    gaps, found = F.transform(F.split(text, rule.pattern, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
-    asked = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.least else found
-    pieces = F.arrays_zip(gaps.alias("gap"), found.alias("found"), asked.alias("asked"))
-    kind = "struct<start:int,ord:int,kind:string,end:int>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("spans"))
+    Spark's functions give matches and the text between them, not positions: a match starts after the gaps and matches before it. These
+    are added up in chunks of MATCHES, the chunks' sums before that, so that the cost grows with the matches and not with their square."""
+    kind = "array<struct<start:int,ord:int,kind:string,end:int>>"
+
+    def asked(m: Column) -> Column:
+        return F.length(F.regexp_extract(m, rule.pattern, rule.group)) if rule.least else F.length(m)
+
+    def chunk(pieces: Column, start: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            at = acc["at"] + p["gap"]
+            span = F.struct(at.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (at + p["found"]).alias("end"))
+            spans = F.when(p["asked"] >= rule.least, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
+            return F.struct((at + p["found"]).alias("at"), spans.alias("spans"))
+
+        return F.aggregate(pieces, F.struct(start.alias("at"), F.array().cast(kind).alias("spans")), step, lambda a: a["spans"])
+
+    def placed(pieces: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pieces) / MATCHES).cast("int") - 1), lambda i: F.slice(pieces, i * MATCHES + 1, F.lit(MATCHES)))
+        sums = lambda parts: F.transform(parts, lambda c: F.aggregate(c, F.lit(0), lambda acc, p: acc + p["gap"] + p["found"]))
+        before = lambda totals: F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + t))
+        both = lambda parts: F.arrays_zip(parts.alias("part"), F.slice(before(sums(parts)), F.lit(1), F.size(parts)).alias("start"))
+        return _bound(chunks, lambda parts: F.flatten(F.transform(both(parts), lambda x: chunk(x["part"], x["start"]))))
 
-    def step(acc: Column, p: Column) -> Column:
-        start, size = acc["at"] + p["gap"], F.coalesce(p["found"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (start + size).alias("end"))
-        kept = p["found"].isNotNull() & (p["asked"] >= rule.least)
-        return F.struct((start + size).alias("at"), F.when(kept, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def between(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), F.lit(1), F.size(found))
+        sizes, long = F.transform(found, F.length), F.transform(found, asked)
+        pieces = F.arrays_zip(gaps.alias("gap"), sizes.alias("found"), long.alias("asked"))
+        return F.when(F.size(found) > 0, _bound(pieces, placed)).otherwise(F.array().cast(kind))
 
-    return F.aggregate(pieces, zero, step, lambda a: a["spans"])
+    return _bound(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), between)
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", out: str = "secrets") -> DataFrame:
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", out: str = "secrets", id_col: str = "doc_id") -> DataFrame:
     """docs with `out` added (replaced if there): array of (start, ord, kind, end), ordered by start, then by the rules' order.
 
-    Null and empty texts give an empty array. Rows are neither moved nor merged, so that nothing is shuffled and repeats stay."""
+    Null and empty texts give an empty array. Rows that repeat stay; rows of one id are verified if any of them is a candidate, rows without
+    id always. Only rows whose id may be a candidate are shuffled, to meet the candidates; a broadcast table of at most 2 ** 20
+    digests of ids tells. Any number of matches in a text and of trigrams in the rules will do. An empty table gives no rows."""
+    docs = docs.drop(out)
+    asks, by = fresh(docs, "_asks", "_asked_id")
+    found = written(candidates(written(postings(docs, rules, id_col, text_col)), rules).select(F.col("id").alias(by), F.col("asks").alias(asks)))
+    maybe, apart = split_by_ids(docs, found.select(F.col(by).alias(id_col)), id_col)
+    met = maybe.join(found.hint("merge"), F.col(id_col) == F.col(by), "left").drop(by)
+    rows = apart.withColumn(asks, F.lit(None).cast("array<int>")).unionByName(met)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop(out).withColumn("_lower", F.lower(text)).withColumn("_bits", trigram_bits(F.col("_lower"), rules)).drop("_lower")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
+    spans = []
     for k, r in enumerate(rules):
-        hit = candidate(F.col("_bits"), r, rules) & text.rlike(r.pattern)
-        rows = rows.withColumn(f"_spans{k}", F.when(hit, _spans(text, r, k)).otherwise(none))
-    return rows.withColumn(out, F.array_sort(F.concat(*(f"_spans{k}" for k in range(len(rules)))))).drop("_bits", *(f"_spans{k}" for k in range(len(rules))))
+        hit = F.lit(True) if trigram_query(r.pattern) is None else F.coalesce(F.array_contains(asks, k), F.lit(False)) | F.col(id_col).isNull()
+        spans.append(F.when(hit, _spans(text, r, k)).otherwise(none))
+    return rows.withColumn(out, F.array_sort(F.concat(*spans))).drop(asks)
 
 
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each found span (for `assign`: keyword and value) replaced by mark; texts without secrets stay as they are."""
-    spans = F.col("_found")
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", mark: str = "[secret]", id_col: str = "doc_id") -> DataFrame:
+    """docs with each found span (for `assign`: keyword and value) replaced by mark; spans that overlap become one mark. Texts without secrets
+    stay as they are, null and empty ones too; columns keep their order. An empty table gives no rows."""
+    name = fresh(docs, "_found")[0]
+    spans, text = F.col(name), F.col(text_col)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["done"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("done"))
+        new = F.array_append(acc["done"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["done"]).alias("done"))
 
-    clean = F.aggregate(spans, zero, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
-    return scan_secrets(docs, rules, text_col, "_found").withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop("_found")
+    clean = F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["done"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    found = scan_secrets(docs, rules, text_col, name, id_col)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
 
 
 def _joined(spans: Column) -> Column:
