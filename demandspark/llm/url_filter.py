@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Hexadecimal digits of the digest on which urls and rules are joined.
 PREFIX_DIGITS = 8
+SALTS = 8
 
 
 def url_host(url: Column) -> Column:
@@ -42,23 +45,30 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     (of equally long ones the longer host, then the rule text). Without a fitting rule: rule null, verdict `default`. A null url, or one
     without ://, has an empty host and path and no rule. Repeated rows stay repeated; an empty table gives no rows.
 
-    Expressions: a suffix for each label of the host, a prefix for each length that rule paths have. One shuffle, keyed by row."""
-    hashed = url_rules(rules)
+    Expressions: a suffix for each label of the host, a prefix for each length that rule paths have. They are made once for each distinct
+    (host, start of the path as long as the longest rule path), so that a hot host is few rows; what the join with the rules leaves, the best
+    rule of each, meets the pages by (host, start)."""
+    hashed = written(url_rules(rules))
     lengths = hashed.agg(F.sort_array(F.collect_set("_path_length")).alias("_lengths"))  # one row, as many entries as a path is long at most
     lengths = [r["_lengths"] for r in lengths.collect()][0] or []
     rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-    kept = [c for c in rows.columns if c not in ("host", "path")]
-    rows = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*kept).alias("_kept"), "host", "path")
+    start = F.substring("path", 1, max(lengths, default=0))
+    # every (host, start of the path) once: the expressions of a url follow from it
+    places = rows.where("host != ''").select("host", start.alias("_start")).distinct()
     labels = F.split("host", r"\.", -1)
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)).cast("array<string>"), lambda p: p.isNotNull())
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.filter(F.array(*(F.when(F.length("_start") >= n, F.substring("_start", 1, n)) for n in lengths)).cast("array<string>"), lambda p: p.isNotNull())
     digests = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _digest(s, p))))
-    asked = rows.select("*", F.explode_outer(digests).alias("_asked")).withColumn("_short", F.substring("_asked", 1, PREFIX_DIGITS))
-    met = asked.join(hashed, "_short", "left")
-    fits = F.col("_asked") == F.col("_digest")
-    rank = F.when(fits, F.struct((F.col("_host_length") + F.col("_path_length")).alias("n"), F.col("_host_length").alias("h"), F.col("rule").alias("rule"), F.col("action").alias("action")))
-    best = met.groupBy("_row").agg(F.max(rank).alias("_best"), F.first("_kept").alias("_kept"), F.first("host").alias("host"), F.first("path").alias("path"))
-    return best.select("_kept.*", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+    asked = places.select("host", "_start", F.explode(digests).alias("_asked")).withColumn("_short", F.substring("_asked", 1, PREFIX_DIGITS))
+    # each rule stands in SALTS rows, so that an expression that very many hosts ask for goes to as many tasks
+    salted = hashed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = asked.withColumn("_salt", F.pmod(F.xxhash64("host", "_start"), F.lit(SALTS)).cast("int")).join(salted, ["_short", "_salt"]).where(F.col("_asked") == F.col("_digest"))
+    rank = F.struct((F.col("_host_length") + F.col("_path_length")).alias("n"), F.col("_host_length").alias("h"), F.col("rule").alias("rule"), F.col("action").alias("action"))
+    best = written(met.groupBy("host", "_start").agg(F.max(rank).alias("_best")))
+    told = best.select(F.col("host").alias("_h"), F.col("_start").alias("_s"), "_best")
+    out = rows.join(told, (F.col("host") == F.col("_h")) & (start == F.col("_s")), "left")
+    kept = [c for c in rows.columns if c not in ("host", "path")]
+    return out.select(*kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query.
