@@ -15,8 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh, written
+
 UNKNOWN = "und"
-_word = re.compile(r"[^\W\d_]+")
+#: Letters are what \w matches but for digits of any kind: \w and \d disagree about superscripts and the like.
+_odd = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_word = re.compile(rf"[^\W\d_{re.escape(_odd)}]+")
 #: Letters of a text that are counted at a time: bounds the arrays of a very long document.
 PART = 1 << 20
 
@@ -45,18 +49,16 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return g, np.bincount(where, np.concatenate(counts)).astype(np.int64)
 
 
-def learn_profiles(labelled: DataFrame, size: int = 300, docs_per_language: int = 2000, max_languages: int = 500, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+def learn_profiles(labelled: DataFrame, size: int = 300, docs_per_language: int = 2000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """(lang, gram, rank) from a bounded sample of labelled rows: about docs_per_language documents of each language, by a digest of the id.
 
-    Rows without lang or text teach nothing. The result has size * languages rows at most; over max_languages languages raise."""
+    Rows without lang or text teach nothing; very long texts count whole; an empty table gives no profiles. The result has size * languages
+    rows at most, for any number of languages."""
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    totals = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
-    if len(totals) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+    # written, so that its size is known when the join is planned: texts stay where they are read
+    totals = written(known.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")))
     chance = (F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # the share of each language goes into the scan as a literal of max_languages entries at most: no text is shuffled to be sampled
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, docs_per_language / n))), F.col(lang_col)) if totals else F.lit(0.0)
-    sample = known.where(chance <= share).select(F.col(lang_col).alias("_lang"), text_col)
+    sample = known.join(totals, F.col(lang_col) == F.col("_lang")).where(chance * F.col("_n") <= docs_per_language).select("_lang", text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,14 +77,16 @@ def learn_profiles(labelled: DataFrame, size: int = 300, docs_per_language: int
 
 
 class Profiles:
-    """The profiles as arrays: the n-grams that any has, and the rank of each in each language (`size` where it is missing)."""
+    """The profiles, gram by gram: which languages have it, at which rank. As large as the profiles themselves."""
 
     def __init__(self, rows: list[tuple[str, int, int]], size: int):
         self.size, self.langs = size, sorted({r[0] for r in rows})
-        self.grams = np.unique(np.array([r[1] for r in rows], np.int64))
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), size, np.int64)
-        for lang, gram, rank in rows:
-            self.ranks[np.searchsorted(self.grams, gram), self.langs.index(lang)] = rank
+        number = {lang: k for k, lang in enumerate(self.langs)}
+        gram, lang, rank = (np.array([r[1] for r in rows], np.int64), np.array([number[r[0]] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+        order = np.lexsort((lang, gram))
+        self.lang, self.rank = lang[order], rank[order]
+        self.grams, self.starts = np.unique(gram[order], return_index=True)
+        self.starts = np.append(self.starts, len(order))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): score is 1 less the distance as a share of the largest possible. Ties fall by the language's code."""
@@ -93,19 +97,23 @@ class Profiles:
         grams, counts = grams[order], counts[order]
         first = np.concatenate([[True], counts[1:] != counts[:-1]])
         rank = np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))  # equally frequent ones share a rank
-        where = np.searchsorted(self.grams, grams)
-        where[(where == len(self.grams)) | (self.grams[np.minimum(where, len(self.grams) - 1)] != grams)] = len(self.grams)
-        known = self.ranks[where]
-        apart = np.where(known < self.size, np.minimum(np.abs(known - rank[:, None]), self.size), self.size).sum(0)
-        best = int(apart.argmin())
-        return self.langs[best], float(1 - apart[best] / (len(grams) * self.size))
+        where = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        known = self.grams[where] == grams
+        start, many = self.starts[where[known]], self.starts[where[known] + 1] - self.starts[where[known]]
+        # the places of each gram's languages, one after the other
+        at = np.arange(many.sum()) + np.repeat(start - np.concatenate([[0], many.cumsum()[:-1]]), many)
+        apart = np.minimum(np.abs(self.rank[at] - np.repeat(rank[known], many)), self.size)
+        # a gram that a language lacks costs `size`
+        total = len(grams) * self.size - np.bincount(self.lang[at], self.size - apart, len(self.langs))
+        best = int(total.argmin())
+        return self.langs[best], float(1 - total[best] / (len(grams) * self.size))
 
 
 def identify(docs: DataFrame, profiles: DataFrame, size: int = 300, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with lang_out and score_out added (replaced if there), from the text alone.
 
-    Null texts and texts without a letter: `und`, score 0. Without profiles all are `und`. Repeated rows stay. The profiles go to the
-    tasks as one array; their size is bounded by learn_profiles."""
+    Null texts and texts without a letter: `und`, score 0. Without profiles all are `und`. Repeated rows stay, very long texts count whole, an
+    empty table gives no rows. The profiles go to the tasks as one array; their size is bounded by learn_profiles."""
     held = Profiles([(r["lang"], r["gram"], r["rank"]) for r in profiles.collect()], size)
     rows = docs.drop(lang_out, score_out)
     at = rows.columns.index(text_col)
@@ -126,12 +134,14 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
 
 
 def keep_known(docs: DataFrame, profiles: DataFrame, least: float = 0.3, size: int = 300) -> DataFrame:
-    """docs without those of unknown language or with a score below `least`; the columns stay as they are."""
-    told = identify(docs, profiles, size, lang_out="_told_lang", score_out="_told_score")
-    return told.where((F.col("_told_lang") != UNKNOWN) & (F.col("_told_score") >= least)).select(*docs.columns)
+    """docs without those of unknown language or with a score below `least`; the columns stay as they are, whatever their names."""
+    lang, score = fresh(docs, "_told_lang", "_told_score")
+    told = identify(docs, profiles, size, lang_out=lang, score_out=score)
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; profiles from the others than the held-out ones. Edge cases as in identify."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     profiles = learn_profiles(docs.where("NOT held_out"))
     return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
