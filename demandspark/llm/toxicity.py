@@ -1,10 +1,10 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Both dictionaries share a base of ordinary words. On top of it one holds what is typical of ordinary texts, the other the passages that are
-typical of toxic ones, found by comparing in how many training texts of either class each substring occurs. A window is a word; it is
-compressed with both dictionaries between a fixed head and tail (zstandard finds no match in the last bytes and gives up on blocks
-that hardly shrink), and the difference of the lengths is its distance. A logistic curve, fitted on other training texts, turns the
-largest differences and their counts over the whole text into a probability.
+Every word of a text, between blanks, is a window: wider ones were tried, and what their other words cost by chance hid the difference. A
+window is compressed with a dictionary trained on toxic and one trained on ordinary text, and the bytes that the toxic one saves are its distance.
+Both dictionaries begin with the same base of ordinary words, so that what is common costs the same with either; then follows what
+zstandard's training keeps of the words that are typical of a class. A logistic curve, fitted on texts that neither dictionary has seen, turns
+the distances of a text's windows into a probability.
 """
 
 from __future__ import annotations
@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: zstandard finds no match in the last bytes of a block and gives up on blocks that hardly shrink: every window stands between these.
 HEAD = b"\x01" + bytes(range(128, 168)) + b"\x02"
 TAIL = b"\x03" + bytes(range(200, 216)) + b"\x04"
 LEVEL = 6
-#: Words whose difference a task remembers.
+#: Windows whose distance a task remembers.
 MEMO = 200_000
 THRESHOLD = 0.3
+#: A passage is typical of toxic texts if chance would bring it among so many candidates with this probability at most.
+CHANCE = 0.01
+#: And is at least so much denser there (natural logarithm).
+DENSER = math.log(8)
 _word = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -35,56 +40,91 @@ def _words(text: str | None) -> list[bytes]:
     return _word.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-def _parts(text: str, least: int = 4, most: int = 8) -> set[bytes]:
-    out = set()
-    for w in {b" " + w[:64] + b" " for w in _words(text)}:
-        for n in range(least, min(most, len(w)) + 1):
-            out.update(w[i : i + n] for i in range(len(w) - n + 1))
-    return out
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str], toxic_bytes: int = 512, base_bytes: int = 4096, ratio: float = 8.0) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents from texts of both classes; either list may be empty."""
-    in_toxic: Counter = Counter()
-    for t in toxic:
-        in_toxic.update(_parts(t))
-    least = max(5, len(toxic) // 25)
-    frequent = {k for k, v in in_toxic.items() if v >= least}
-    in_ordinary: Counter = Counter()
-    for t in ordinary:
-        in_ordinary.update(_parts(t) & frequent)
-    # from a low estimate of the one share and a high one of the other, so that chance finds don't count
-    low = lambda n: max(0.01, n - 1.5 * math.sqrt(n)) / (len(toxic) + 1)
-    high = lambda n: (n + 1.5 * math.sqrt(n) + 1) / (len(ordinary) + 1)
-    odds = {k: math.log(low(in_toxic[k]) / high(in_ordinary[k])) for k in frequent}
-    typical: list[bytes] = []
-    for k in sorted((k for k, o in odds.items() if o > math.log(ratio)), key=lambda k: (-in_toxic[k] * len(k) ** 0.5, k)):
-        if sum(map(len, typical)) + len(k) > toxic_bytes:
-            break
-        if not any(k in c or c in k for c in typical):
-            typical.append(k)
-    words: Counter = Counter()
-    for t in ordinary:
-        words.update({b" " + w[:64] + b" " for w in _words(t)})
-    common = [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))]
-    base, more, held = [], [], 0
-    for w in common:
-        (base if held < base_bytes else more).append(w)
-        held += len(w)
-        if held > base_bytes + toxic_bytes:
-            break
-    mark = b"".join(reversed(typical))  # what is nearest to the end is cheapest to refer to
-    plain = b"".join(reversed(more))[: len(mark)]
-    return b"".join(reversed(base)) + plain + TAIL + HEAD, b"".join(reversed(base)) + mark + TAIL + HEAD
+def _passages(word: bytes, least: int = 4, most: int = 8) -> set[bytes]:
+    """The substrings of least to most bytes of a word between blanks."""
+    w = b" " + word + b" "
+    return {w[i : i + n] for n in range(least, min(most, len(w)) + 1) for i in range(len(w) - n + 1)}
+
+
+def _tail(k: int, n: int, p: float) -> float:
+    """The natural logarithm of an upper bound (Chernoff) on the chance of k hits or more in n draws of probability p."""
+    if k <= n * p:
+        return 0.0
+    q = k / n
+    return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
+
+#: Of one text a passage counts so often at most, so that no text decides alone.
+OFTEN = 4
+
+
+def _counted(texts: list[str], only: set[bytes] | None = None) -> tuple[Counter, Counter, Counter, int]:
+    """(passage: texts that hold it, passage: texts that hold it twice or more, passage: its places, OFTEN of a text at most, words)."""
+    once, twice, places, total = Counter(), Counter(), Counter(), 0
+    for t in texts:
+        words = _words(t)
+        total += len(words)
+        mine: Counter = Counter()
+        for w, n in Counter(words).items():
+            for k in _passages(w) if only is None else _passages(w) & only:
+                mine[k] += n
+        once.update(mine.keys())
+        twice.update(k for k, n in mine.items() if n > 1)
+        places.update({k: min(n, OFTEN) for k, n in mine.items()})
+    return once, twice, places, total
+
+
+def typical_passages(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """Passages that toxic texts hold more often than chance allows, those with most evidence first, none within another.
+
+    Among the texts that hold a passage (and among those that hold it repeatedly), as many would be toxic as among all texts if it meant
+    nothing; the chance of so many more is held against the number of candidates. The evidence is the places in toxic texts times the
+    logarithm of how much denser they are there."""
+    if not toxic or not ordinary:
+        return []
+    once, twice, places, words = _counted(toxic)
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    need = math.log(CHANCE / max(1, 2 * len(once)))
+    found = {k for k, v in once.items() if v * math.log(share) <= need}  # even with no ordinary text at all
+    once0, twice0, places0, words0 = _counted(ordinary, found)
+    sure = [k for k in found if min(_tail(once[k], once[k] + once0[k], share), _tail(twice[k], twice[k] + twice0[k], share)) <= need]
+    denser = {k: math.log(places[k] / words * words0 / (places0[k] + 1)) for k in sure}
+    chosen: list[bytes] = []
+    for k in sorted((k for k in sure if denser[k] > DENSER), key=lambda k: (-places[k] * denser[k], -len(k), k)):
+        if not any(k in c or c in k for c in chosen):
+            chosen.append(k)
+    return chosen
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """What zstandard's dictionary training keeps of the samples; too few for it are kept as they are, the last ones first to go."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str], size: int = 4096, base_size: int = 16384) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionary contents from texts of both classes; either list may be empty.
+
+    The ordinary one is trained on the words without a typical passage, to base_size bytes. The toxic one is trained on the typical passages
+    of toxic texts, as often as they stand there, to `size` bytes, and is put behind the ordinary one; in the other content bytes that match
+    nothing take this place, so that a window without a typical passage costs the same with both but for chance."""
+    marks = typical_passages(toxic, ordinary)
+    holds = re.compile(b"|".join(map(re.escape, marks)) or rb"(?!)")
+    inside = re.compile(b"|".join(re.escape(m.strip()) for m in marks) or rb"(?!)")
+    plain = [x for x in (b"".join(b" " + w for w in _words(t) if not inside.search(w)) for t in ordinary) if x]
+    base = _trained(plain, base_size)
+    typical = _trained([x for x in (b"".join(m for w in _words(t) for m in holds.findall(b" " + w + b" ")) for t in toxic) if x], size)
+    return base + b"\x05" * len(typical) + TAIL + HEAD, base + typical + TAIL + HEAD
 
 
 class Scorer:
-    """Compression differences of the distinct words of a text, and the probability that they stand for."""
+    """The distances of a text's windows, and the probability that they stand for."""
 
     def __init__(self, ordinary: bytes, toxic: bytes, mean=None, spread=None, weights=None):
         self.dictionaries, self.mean, self.spread, self.weights = (ordinary, toxic), mean, spread, weights
-        self._memo: dict[bytes, int] = {}
-        self._pair = None
+        self._pair, self._memo = None, {}
 
     def __getstate__(self):
         return self.dictionaries, self.mean, self.spread, self.weights
@@ -92,22 +132,30 @@ class Scorer:
     def __setstate__(self, state):
         self.__init__(*state[0], *state[1:])
 
-    def difference(self, word: bytes) -> int:
+    def distance(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves over the ordinary one."""
         if self._pair is None:
             raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in self.dictionaries]
-            self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in raw]
-        got = self._memo.get(word)
+            self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in raw]
+        got = self._memo.get(window)
         if got is None:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
-            window = HEAD + b" " + word + b" " + TAIL
-            got = self._memo[word] = len(self._pair[0].compress(window)) - len(self._pair[1].compress(window))
+            whole = HEAD + b" " + window + b" " + TAIL
+            got = self._memo[window] = len(self._pair[0](whole)) - len(self._pair[1](whole))
         return got
 
+    def distances(self, text: str | None) -> np.ndarray:
+        """Of all windows of the whole text; a text without words has one empty window."""
+        words = _words(text) or [b""]
+        return np.fromiter(map(self.distance, words), float, len(words))
+
     def features(self, text: str | None) -> np.ndarray:
-        d = np.sort(np.array([self.difference(w) for w in set(_words(text))] or [0], float))[::-1]
-        return np.array([d[0], d[:2].mean(), d[:4].mean(), (d >= 2).mean(), np.log1p((d >= 3).sum()), np.log1p((d >= 2).sum()), np.log1p(len(d))])
+        d = self.distances(text)
+        n = len(d)
+        top = -np.sort(-np.partition(d, n - 8)[n - 8 :]) if n > 8 else -np.sort(-d)
+        hits, sure = (d >= 2).sum(), (d >= 3).sum()
+        return np.array([top[0], top[:2].mean(), top[:4].mean(), hits / n, np.log((hits + 0.1) / n), np.log((sure + 0.1) / n), np.log1p(hits), np.log1p(sure), np.log1p(n)])
 
     def fit(self, texts: list[str], toxic: list[int], weights: list[float], rounds: int = 40, ridge: float = 1e-2) -> Scorer:
         """Logistic regression by Newton's method; weights undo the sampling of the classes."""
@@ -161,7 +209,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_bytes: int = 2_000_000, sam
 def score_toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= threshold) added (replaced if there), from whole texts alone.
 
-    A null text counts as empty; an empty one gets the score of a text without words. Repeated rows stay. Nothing is shuffled."""
+    A null text counts as empty; an empty one gets the score of a text without words. Repeated rows stay, very long texts are scored whole, an
+    empty table gives no rows. Nothing is shuffled."""
     rows = docs.drop("score", "predicted")
     at = rows.columns.index(text_col)
 
@@ -174,6 +223,7 @@ def score_toxicity(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; learned from the labels of the others than the held-out ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
