@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metric_columns
+from ..sources.tables import materialized
 from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON, Granularity
-from .models import CLOSED_FORM, available, predict, series
+from .models import CLOSED_FORM, NEEDS, available, predict, series
 from .segments import candidates, fold_cutoffs, product_segments
 
 INTERVAL_Z = 1.28
@@ -30,24 +33,61 @@ def validation_predictions(panel: DataFrame, g: Granularity = MONTHLY, mode: str
     return rows.select("product", "model_name", "cand_ord", "fold", "horizon_step", F.element_at("dates", at).alias("date"), F.element_at("y", at).alias("actual"), value.alias("validation_prediction"))
 
 
-def model_validation(panel: DataFrame, model: str, forecaster, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON) -> DataFrame:
-    """Validation rows of a model that isn't a closed form, to be given to leaderboard as `extra`. Its status there is then ok.
+def asked_of(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", segments: DataFrame | None = None) -> DataFrame:
+    """(product, n_points, segment, model_name, cand_ord): which models each product is a candidate of."""
+    segments = product_segments(panel, g.season) if segments is None else segments
+    return segments.select("product", "n_points", "segment").join(F.broadcast(candidates(panel.sparkSession, mode)), "segment")  # at most 22 rows
 
-    forecaster(panel, horizon) -> (product, date, forecast, horizon_step) sees each product up to the fold's cut; one call for each fold,
-    for all products that the model is a candidate of."""
-    segments = product_segments(panel, g.season)
-    asked = segments.join(F.broadcast(candidates(panel.sparkSession, mode).where(F.col("model_name") == model)), "segment")
-    cuts = fold_cutoffs(asked.select("product", "n_points", "cand_ord"), g.season, horizon, FOLDS[mode])
+
+def fold_validation(panel: DataFrame, model: str, forecaster, fold: int, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, asked: DataFrame | None = None) -> DataFrame:
+    """Validation rows of one fold of a model that isn't a closed form: forecaster(panel, horizon) -> (product, date, forecast, horizon_step)
+    sees each product that asks for the model up to the fold's cut, in one call for all of them."""
+    mine = (asked_of(panel, g, mode) if asked is None else asked).where(F.col("model_name") == model)
+    cuts = fold_cutoffs(mine.select("product", "n_points", "cand_ord"), g.season, horizon, FOLDS[mode]).where(F.col("fold") == fold).select("product", "cand_ord", "cut")
     numbered = panel.withColumn("_rn", F.row_number().over(Window.partitionBy("product").orderBy("date")))
-    out = []
-    for fold in range(FOLDS[mode]):
-        mine = cuts.where(F.col("fold") == fold).select("product", "cand_ord", "cut")
-        known = numbered.join(mine, "product")
-        made = forecaster(known.where("_rn <= cut").select("product", "date", "y"), horizon)
-        true = known.where((F.col("_rn") > F.col("cut")) & (F.col("_rn") <= F.col("cut") + horizon)).select("product", "date", "cand_ord", F.col("y").alias("actual"))
-        rows = true.join(made, ["product", "date"])
-        out.append(rows.select("product", F.lit(model).alias("model_name"), "cand_ord", F.lit(fold).alias("fold"), "horizon_step", "date", "actual", F.col("forecast").alias("validation_prediction")))
-    return reduce(DataFrame.unionByName, out)
+    known = numbered.join(cuts, "product")
+    made = forecaster(known.where("_rn <= cut").select(*panel.columns), horizon)
+    true = known.where((F.col("_rn") > F.col("cut")) & (F.col("_rn") <= F.col("cut") + horizon)).select("product", "date", "cand_ord", F.col("y").alias("actual"))
+    rows = true.join(made, ["product", "date"])
+    return rows.select("product", F.lit(model).alias("model_name"), "cand_ord", F.lit(fold).alias("fold"), "horizon_step", "date", "actual", F.col("forecast").alias("validation_prediction"))
+
+
+def model_validation(panel: DataFrame, model: str, forecaster, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON) -> DataFrame:
+    """The rows of all folds, to be given to leaderboard as `extra`."""
+    return reduce(DataFrame.unionByName, (fold_validation(panel, model, forecaster, fold, g, mode, horizon) for fold in range(FOLDS[mode])))
+
+
+@dataclass
+class Advanced:
+    """What validating the models beyond the closed forms gave: rows (None without any), failures (model, reason), seconds of each model."""
+
+    rows: DataFrame | None = None
+    failures: dict[str, str] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=dict)
+
+
+def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON) -> Advanced:
+    """Validates each of forecasters (model -> forecaster) for the products that ask for it, fold by fold. A fold that fails loses its own rows
+    only; a model without any row is failed, with the first reason. A model that no product asks for isn't run. The rows are written."""
+    asked = materialized(asked_of(panel, g, mode))
+    wanted = {r["model_name"] for r in asked.select("model_name").distinct().collect()}
+    out, made = Advanced(), []
+    for model, forecaster in forecasters.items():
+        if model not in wanted:
+            continue
+        began, reason, had = time.time(), "", 0
+        for fold in range(FOLDS[mode]):
+            try:
+                rows = materialized(fold_validation(panel, model, forecaster, fold, g, mode, horizon, asked))
+                had += rows.limit(1).count()
+                made.append(rows)
+            except Exception as e:  # noqa: BLE001  one failing fold or model must not lose the others
+                reason = reason or (str(e).splitlines() or [type(e).__name__])[0][:200]
+        out.seconds[model] = time.time() - began
+        if reason and not had:
+            out.failures[model] = reason
+    out.rows = reduce(DataFrame.unionByName, made) if made else None
+    return out
 
 
 def product_metrics(validated: DataFrame) -> DataFrame:
@@ -56,12 +96,12 @@ def product_metrics(validated: DataFrame) -> DataFrame:
 
 
 def hybrid_weights(metrics: DataFrame) -> DataFrame:
-    """(product, model_name, weight): of each product's up to three best models with a positive wMAPE, by inverse wMAPE, to four decimals; two at least."""
-    best = Window.partitionBy("product").orderBy("wmape", "cand_ord")
+    """(product, model_name, weight): of each product's up to three best models with a positive wMAPE, by inverse wMAPE, to four decimals (halves up); two at least."""
+    best = Window.partitionBy("product").orderBy(F.round("wmape", 9), "cand_ord")
     top = metrics.where(F.col("wmape") > 0).withColumn("_r", F.row_number().over(best)).where("_r <= 3")
     whole = Window.partitionBy("product")
     top = top.withColumn("_n", F.count("*").over(whole)).where("_n >= 2")
-    return top.select("product", "model_name", F.bround((1 / F.col("wmape")) / F.sum(1 / F.col("wmape")).over(whole), 4).alias("weight"), F.col("_n").alias("n_components"))
+    return top.select("product", "model_name", F.round((1 / F.col("wmape")) / F.sum(1 / F.col("wmape")).over(whole) + 1e-9, 4).alias("weight"), F.col("_n").alias("n_components"))
 
 
 def hybrid_validation(validated: DataFrame, weights: DataFrame) -> DataFrame:
@@ -72,28 +112,49 @@ def hybrid_validation(validated: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def selected(metrics: DataFrame) -> DataFrame:
-    """metrics with `selected`: the product's model of least wMAPE, then bias, then MAE, then candidate order."""
-    order = Window.partitionBy("product").orderBy(F.col("wmape").asc_nulls_last(), F.abs("forecast_bias").asc_nulls_last(), F.col("mae").asc_nulls_last(), "cand_ord")
+    """metrics with `selected`: the product's model of least wMAPE, then bias, then MAE (to nine decimals), then candidate order."""
+    order = Window.partitionBy("product").orderBy(F.round("wmape", 9).asc_nulls_last(), F.round(F.abs("forecast_bias"), 9).asc_nulls_last(), F.round("mae", 9).asc_nulls_last(), "cand_ord")
     return metrics.withColumn("selected", (F.row_number().over(order) == 1) & F.col("wmape").isNotNull())
 
 
-def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: The row for the model that is only announced.
+LSTM = ("lstm", "future_extension", "Requires larger datasets, tuning, and additional runtime validation.")
+
+
+def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, advanced: Advanced | None = None) -> tuple[DataFrame, DataFrame]:
     """(leaderboard, validation rows, hybrid included).
 
-    Scope product: each candidate with status ok, skipped (its package is missing, or it is validated elsewhere) or insufficient_history.
-    Scope ALL: errors pooled over products, the least wMAPE selected. extra: validation rows of other models."""
+    Scope product: each candidate with its status and reason: ok, failed, skipped (its package is missing, or nobody ran it) or
+    insufficient_history. Scope ALL: errors pooled over products, the least wMAPE selected, and the row of a model only announced.
+    extra, or advanced.rows: validation rows of models that aren't closed forms. seconds: of the whole validation of such a model."""
+    advanced = advanced or Advanced(extra)
     segments = product_segments(panel, g.season)
     rows = validation_predictions(panel, g, mode, horizon, segments)
-    if extra is not None:
-        rows = rows.unionByName(extra)
+    if advanced.rows is not None:
+        rows = rows.unionByName(advanced.rows)
     every = rows.unionByName(hybrid_validation(rows, hybrid_weights(product_metrics(rows))))
     metrics = selected(product_metrics(every))
-    asked = segments.select("product", "segment").join(F.broadcast(candidates(panel.sparkSession, mode)), "segment")
-    missing = [m for m in ("sarima", "prophet", "random_forest", "xgboost") if not available(m)] + ["random_forest", "xgboost"]
-    rest = asked.join(metrics.select("product", "model_name"), ["product", "model_name"], "left_anti")
-    status = F.when(F.col("model_name").isin(*missing), "skipped").otherwise("insufficient_history")
-    blank = rest.select("product", "model_name", "cand_ord", status.alias("status"))
-    product = metrics.withColumns({"scope": F.lit("product"), "status": F.lit("ok")}).unionByName(blank.withColumns({"scope": F.lit("product"), "selected": F.lit(False)}), allowMissingColumns=True)
+    rest = asked_of(panel, g, mode, segments).join(metrics.select("product", "model_name"), ["product", "model_name"], "left_anti")
+    beyond = [m for m in ("sarima", "prophet", "random_forest", "xgboost") if m not in advanced.seconds]
+    status, reason = F.lit("insufficient_history"), F.lit("the history is too short for a fold")
+    for m in beyond:
+        why = f"the package {NEEDS[m]} is not installed" if not available(m) else "not run"
+        status, reason = F.when(F.col("model_name") == m, "skipped").otherwise(status), F.when(F.col("model_name") == m, why).otherwise(reason)
+    for m, why in advanced.failures.items():
+        status, reason = F.when(F.col("model_name") == m, "failed").otherwise(status), F.when(F.col("model_name") == m, why).otherwise(reason)
+    blank = rest.select("product", "model_name", "cand_ord", status.alias("status"), reason.alias("reason"), F.lit(False).alias("selected"))
+    product = metrics.withColumn("status", F.lit("ok")).unionByName(blank, allowMissingColumns=True).withColumn("scope", F.lit("product"))
     pooled = every.groupBy("model_name", "cand_ord").agg(*metric_columns(), F.countDistinct("fold").alias("n_folds"), F.countDistinct("product").alias("n_products"))
-    pooled = selected(pooled.withColumn("product", F.lit("ALL"))).withColumns({"scope": F.lit("ALL"), "status": F.lit("ok")})
-    return product.unionByName(pooled, allowMissingColumns=True), every
+    pooled = selected(pooled.withColumn("product", F.lit("ALL"))).withColumn("status", F.lit("ok"))
+    told = panel.sparkSession.createDataFrame([("ALL", *LSTM, False)], "product string, model_name string, status string, reason string, selected boolean")
+    pooled = pooled.unionByName(told, allowMissingColumns=True).withColumn("scope", F.lit("ALL"))
+    seconds = F.lit(None).cast("double")
+    for m, took in advanced.seconds.items():
+        seconds = F.when(F.col("model_name") == m, F.lit(took)).otherwise(seconds)
+    return product.unionByName(pooled, allowMissingColumns=True).withColumn("seconds", seconds), every
+
+
+def portfolio_metrics(board: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: the metrics over the validation rows of every product's selected model, and how many products and rows these are of."""
+    best = board.where("scope = 'product' AND selected").select("product", "model_name")
+    return rows.join(best, ["product", "model_name"]).agg(*metric_columns(), F.countDistinct("product").alias("n_products"))

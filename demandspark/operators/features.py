@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import degree_days, duration_months, months_to_peak, pattern_code
@@ -11,8 +11,11 @@ from .panel import bounded_ffill, calendar_features, temporal_features
 
 #: Fixed values.
 SUMMER, WINTER = (5, 6, 7, 8, 9), (11, 12, 1, 2, 3)
-SECTOR_DEFAULTS = {"hvac": ("summer_peak", (5, 6, 7, 8, 9), (12, 1, 2))}
-LEAKAGE = ("revenue", "turnover", "income", "invoice", "grosssales", "netsales", "profit", "margin", "shipped", "delivered", "fulfilled", "returned", "backorder")
+SECTOR_DEFAULTS = {"hvac": ("summer_peak", (5, 6, 7, 8, 9), (11, 12, 1, 2))}
+LEAKAGE = ("revenue", "profit", "margin", "turnover", "grosssales", "netsales", "income", "earnings", "إيراد", "ربح", "هامش", "عائد", "أرباح")
+#: What can be known ahead, by meaning; the rest of the uploaded and side columns need future values.
+FUTURE = {"temperature": "requires_future_values", "holiday": "safe_for_future", "price": "scenario_only", "promotion": "scenario_only", "discount": "scenario_only"}
+FUTURE_DEFAULT = "requires_future_values"
 
 
 def seasonal_profile(panel: DataFrame) -> DataFrame:
@@ -92,28 +95,58 @@ def climatology(panel: DataFrame, column: str) -> DataFrame:
     return months.join(per, ["product", "month"], "left").join(whole, "product").select("product", "month", F.coalesce("_m", "_all").alias("value"))
 
 
+def _corr(x: str) -> Column:
+    """Pearson's correlation of a column with y over the rows that have both; NULL without variance."""
+    y = F.when(F.col(x).isNotNull(), F.col("y"))
+    return F.try_divide(F.covar_pop(x, "y"), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def relevance(panel: DataFrame, column: str) -> DataFrame:
     """(lag, correlation, n) of a feature, 0 to 3 periods earlier, with demand over all products, in one pass."""
     w = Window.partitionBy("product").orderBy("date")
     rows = panel.select("y", *(F.lag(column, k).over(w).alias(f"x{k}") for k in range(4)))
-    wide = rows.agg(*(F.corr(f"x{k}", "y").alias(f"c{k}") for k in range(4)), *(F.count(f"x{k}").alias(f"n{k}") for k in range(4)))
+    wide = rows.agg(*(_corr(f"x{k}").alias(f"c{k}") for k in range(4)), *(F.count(f"x{k}").alias(f"n{k}") for k in range(4)))
     out = wide.select(F.expr("stack(4, 0, c0, n0, 1, c1, n1, 2, c2, n2, 3, c3, n3) AS (lag, correlation, n)"))
     strength = F.when((F.col("n") < 8) | F.col("correlation").isNull(), "insufficient_history").when(F.abs("correlation") >= 0.5, "strong").when(F.abs("correlation") >= 0.25, "moderate").otherwise("weak")
     return out.withColumn("strength", strength)
 
 
-def build_features(panel: DataFrame, g: Granularity = MONTHLY, sector: str | None = None) -> DataFrame:
-    """The whole feature panel: calendar, lags, rolling values, growth and seasonality."""
+def ranked_relevance(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, correlation_now, best_lag, best_lag_correlation, coverage, n_obs, verdict), strongest first: verdict, then size of the best
+    correlation, then name. A feature with fewer than eight values, or without variance, is insufficient_history. One pass for all features."""
+    if not columns:
+        return panel.sparkSession.createDataFrame([], "feature string, correlation_now double, best_lag int, best_lag_correlation double, coverage double, n_obs long, verdict string")
+    w = Window.partitionBy("product").orderBy("date")
+    rows = panel.select("y", *(F.lag(F.col(f"`{c}`").try_cast("double"), k).over(w).alias(f"x{i}_{k}") for i, c in enumerate(columns) for k in range(4)))
+    figures = [F.count("*").alias("n"), F.stddev_samp("y").alias("sy")]
+    for i in range(len(columns)):
+        figures += [F.count(f"x{i}_0").alias(f"n{i}"), F.stddev_samp(f"x{i}_0").alias(f"s{i}"), *(_corr(f"x{i}_{k}").alias(f"c{i}_{k}") for k in range(4))]
+    wide = rows.agg(*figures)
+    one = lambda i, c: F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n_obs"), F.col(f"s{i}").alias("s"), F.array(*(F.col(f"c{i}_{k}") for k in range(4))).alias("c"))
+    each = wide.select("n", "sy", F.explode(F.array(*(one(i, c) for i, c in enumerate(columns)))).alias("f")).select("n", "sy", "f.*")
+    # the earliest lag of the largest absolute correlation
+    best = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.struct(F.lit(0.0).alias("r"), F.lit(0).alias("k")), lambda a, k: F.when(F.abs(F.get("c", k)) > F.abs(a["r"]), F.struct(F.get("c", k).alias("r"), k.alias("k"))).otherwise(a))
+    each = each.withColumn("b", best)
+    bare = (F.col("n_obs") < 8) | (F.coalesce("sy", F.lit(0.0)) == 0) | (F.coalesce("s", F.lit(0.0)) == 0)
+    size = F.abs("b.r")
+    verdict = F.when(bare, "insufficient_history").when(size >= 0.5, "strong").when(size >= 0.25, "moderate").otherwise("weak")
+    shown = lambda c: F.when(~bare, c)
+    out = each.select("feature", shown(F.round(F.coalesce(F.get("c", F.lit(0)), F.lit(0.0)), 3)).alias("correlation_now"), shown(F.col("b.k")).alias("best_lag"), shown(F.round("b.r", 3)).alias("best_lag_correlation"), F.round(F.col("n_obs") / F.col("n"), 3).alias("coverage"), "n_obs", verdict.alias("verdict"))
+    rank = F.when(F.col("verdict") == "strong", 0).when(F.col("verdict") == "moderate", 1).when(F.col("verdict") == "weak", 2).otherwise(3)
+    return out.orderBy(rank, F.desc(F.abs(F.coalesce("best_lag_correlation", F.lit(0.0)))), "feature")
+
+
+def build_features(panel: DataFrame, g: Granularity = MONTHLY, sector: str | None = None, detected: DataFrame | None = None) -> DataFrame:
+    """The whole feature panel: calendar, lags, rolling values, growth and seasonality (found in the panel unless it is given)."""
     base = panel.select("product", "date", "y", *(c for c in panel.columns if c not in ("product", "date", "y")))
     full = temporal_features(calendar_features(base, g.name == "weekly"), g)
-    return seasonal_features(full, seasonal_detection(panel, sector))
+    return seasonal_features(full, seasonal_detection(panel, sector) if detected is None else detected)
 
 
-def numeric_features(panel: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
+def numeric_features(panel: DataFrame, g: Granularity = MONTHLY, detected: DataFrame | None = None) -> DataFrame:
     """build_features as numbers, for tree models."""
-    f = build_features(panel, g)
-    f = f.withColumns({"seasonal_pattern_type": pattern_code(F.col("seasonal_pattern_type")), "is_peak_season": F.col("is_peak_season").cast("int"), "is_low_season": F.col("is_low_season").cast("int")})
-    return f
+    f = build_features(panel, g, detected=detected)
+    return f.withColumns({"seasonal_pattern_type": pattern_code(F.col("seasonal_pattern_type")), "is_peak_season": F.col("is_peak_season").cast("int"), "is_low_season": F.col("is_low_season").cast("int")})
 
 
 def matrices(features: DataFrame) -> dict[str, DataFrame]:
@@ -128,29 +161,63 @@ def matrices(features: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def leakage_audit(columns: list[str], g: Granularity = MONTHLY) -> list[dict]:
-    """Checks of the feature panel's columns: no column of post-sale figures, and the features of demand look back only."""
+def leakage_audit(features: DataFrame, g: Granularity = MONTHLY, metadata: list[dict] = (), excluded: list[str] = ()) -> list[dict]:
+    """Checks of a feature panel, its rows included: lags and rolling values are computed anew, per product and from earlier rows only, and
+    compared; no raw date, demand or post-sale column is among the tree features; every feature says what of it can be known ahead."""
     from ..functions.names import matches
 
-    leaks = [c for c in columns if any(matches(c, k) for k in LEAKAGE)]
-    back = {f"lag_{k}" for k in g.lags} | {f"rolling_mean_{n}" for n in g.windows} | {f"rolling_std_{g.windows[0]}"}
+    w = Window.partitionBy("product").orderBy("date")
+    lags = {f"lag_{k}": F.lag("y", k).over(w) for k in g.lags if f"lag_{k}" in features.columns}
+    rolling = {f"rolling_mean_{n}": F.avg("y").over(w.rowsBetween(-n, -1)) for n in g.windows if f"rolling_mean_{n}" in features.columns}
+    checked = features.select(*(F.col(c).alias(f"a_{c}") for c in (lags | rolling)), *(x.alias(f"b_{c}") for c, x in (lags | rolling).items()))
+    differs = lambda c: F.col(f"a_{c}").isNotNull() & ~F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= 1e-6 * (1 + F.abs(f"b_{c}")), F.lit(False))
+    lost = lambda c: F.col(f"a_{c}").isNull() & F.col(f"b_{c}").isNotNull()
+    found = checked.agg(F.count("*").alias("_n"), *(F.count_if(differs(c) | (lost(c) if c in lags else F.lit(False))).alias(c) for c in lags | rolling)).first().asDict()
+    wrong = lambda names: [f"{c}: {found[c]} rows" for c in names if found[c]]
+    tree = [c for c in features.columns if c not in ("product", "date", "y")]
+    told = {m["feature_name"] for m in metadata if m.get("future_availability")}
+    leaks, targets = [c for c in tree if any(matches(c, k) for k in LEAKAGE)], [c for c in tree if c.lower() in ("y", "qty", "quantity", "demand")]
+    raw = [f.name for f in features.schema.fields if f.name in tree and f.dataType.typeName().startswith(("date", "timestamp"))]
+    open_ = [c for c in tree if c not in told] if metadata else []
+    skew = [m["feature_name"] for m in metadata if m["future_availability"] in ("requires_future_values", "historical_context")]
+    check = lambda name, bad, detail="": {"check": name, "passed": not bad, "detail": ", ".join(bad) or detail}
     return [
-        {"check": "no_post_sale_columns", "passed": not leaks, "detail": ", ".join(leaks)},
-        {"check": "lags_positive", "passed": all(k > 0 for k in g.lags), "detail": ""},
-        {"check": "rolling_excludes_current", "passed": back <= set(columns) | back, "detail": "frames end one row before"},
+        check("rolling_excludes_current", wrong(rolling)),
+        check("lags_computed_per_product", wrong(lags)),
+        check("no_raw_date_in_tree_features", raw),
+        check("post_sale_metrics_excluded", leaks, "excluded: " + ", ".join(excluded) if excluded else ""),
+        check("no_target_in_features", targets),
+        check("future_availability_classified", open_),
+        check("future_value_features_flagged", [], ", ".join(skew)),
     ]
 
 
+CALENDAR = {"month": "temporal", "quarter": "temporal", "year": "temporal", "weekofyear": "temporal", "month_sin": "cyclical", "month_cos": "cyclical", "week_sin": "cyclical", "week_cos": "cyclical", "time_index": "trend"}
+SEASONAL = ("is_peak_season", "is_low_season", "months_to_peak", "seasonal_pattern_type")
+TREES = ["xgboost", "random_forest"]
+
+
+def _source(column: str) -> str:
+    for start, source in (("lag_", "lag"), ("rolling_mean_", "rolling"), ("rolling_std_", "volatility"), ("pop_growth", "growth")):
+        if column.startswith(start):
+            return source
+    return CALENDAR.get(column) or ("seasonal_detected" if column in SEASONAL else "degree_days" if column.endswith("_degree_days") else "external")
+
+
 def feature_metadata(columns: list[str], client: dict[str, str] | None = None, external: dict[str, str] | None = None) -> list[dict]:
-    """name, source, future_availability and model families of each feature. client and external: column -> future availability; an external
-    entry overrides the default."""
-    calendar = {"month", "quarter", "year", "weekofyear", "month_sin", "month_cos", "week_sin", "week_cos", "time_index"}
-    seasonal = {"is_peak_season", "is_low_season", "months_to_peak", "seasonal_pattern_type"}
+    """feature_name, source, leakage_safe, future_availability and models of each feature. client: uploaded column -> its meaning; external:
+    side column -> its future availability, which overrides the default (future values are needed)."""
     out = []
     for c in columns:
-        source = "calendar" if c in calendar else "seasonal" if c in seasonal else "client" if c in (client or {}) else "external" if c in (external or {}) else "demand"
-        future = (external or {}).get(c) or (client or {}).get(c) or ("safe_for_future" if source in ("calendar", "seasonal") else "recursive")
-        out.append({"feature_name": c, "source": source, "leakage_safe": True, "future_availability": future, "models": ["random_forest", "xgboost"] + (["prophet"] if c in ("is_peak_season", "is_low_season") else [])})
+        mine = c in (client or {}) or c in (external or {})
+        source = "external" if mine else _source(c)
+        if c in (external or {}):
+            future = external[c]
+        elif source in ("degree_days", "external"):
+            future = FUTURE.get((client or {}).get(c), FUTURE_DEFAULT)
+        else:
+            future = "safe_for_future"
+        out.append({"feature_name": c, "source": source, "leakage_safe": True, "future_availability": future, "models": TREES + (["prophet"] if c in ("is_peak_season", "is_low_season") else [])})
     return out
 
 

@@ -8,28 +8,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import band
-from ..types import BIAS_BANDS, ERROR_BANDS, MONTHLY, Granularity
-from .evaluate import HYBRID, INTERVAL_Z, hybrid_weights
+from ..sources.tables import materialized
+from ..types import BIAS_BANDS, ERROR_BANDS, MONTHLY, RELATIVE_BANDS, VALIDATION_HORIZON, Granularity
+from . import evaluate
+from .evaluate import HYBRID, INTERVAL_Z, hybrid_weights, product_metrics, selected, validation_predictions
 from .models import CLOSED_FORM, predict, series, step_date
 
 
-def product_forecasts(panel: DataFrame, board: DataFrame, g: Granularity = MONTHLY, horizon: int | None = None) -> DataFrame:
-    """(product, date, forecast, lower_bound, upper_bound, model_used, horizon_step, forecast_start_date).
-
-    The selected model, or the weighted sum of the hybrid's components, over the whole history; naive where none was validated. Bounds:
-    1.28 validation RMSE to either side, from 0; NULL without validation."""
+def used_models(board: DataFrame) -> DataFrame:
+    """(product, model_used, rmse, model_name, weight): the selected model of each product, or the components of its hybrid."""
     mine = board.where("scope = 'product'")
     best = mine.where("selected").select("product", F.col("model_name").alias("model_used"), "rmse")
     weights = hybrid_weights(mine.where((F.col("status") == "ok") & (F.col("model_name") != HYBRID)))
     parts = best.where(F.col("model_used") == HYBRID).join(weights, "product").select("product", "model_used", "rmse", "model_name", "weight")
     single = best.where(F.col("model_used") != HYBRID).select("product", "model_used", "rmse", F.col("model_used").alias("model_name"), F.lit(1.0).alias("weight"))
-    used = series(panel).join(parts.unionByName(single), "product", "left").fillna({"model_used": "naive", "model_name": "naive", "weight": 1.0})
+    return parts.unionByName(single)
+
+
+def advanced_forecasts(panel: DataFrame, used: DataFrame, forecasters: dict, horizon: int) -> tuple[DataFrame | None, list[str]]:
+    """((product, model_name, horizon_step, forecast) of the models in use that aren't closed forms, warnings). A model that fails has no rows."""
+    wanted = {r["model_name"] for r in used.where(~F.col("model_name").isin(*CLOSED_FORM)).select("model_name").distinct().collect()}
+    made, notes = [], []
+    for model in sorted(wanted):
+        try:
+            mine = panel.join(used.where(F.col("model_name") == model).select("product").distinct(), "product", "left_semi")
+            rows = forecasters[model](mine, horizon).select("product", F.lit(model).alias("model_name"), F.col("horizon_step").cast("int").alias("horizon_step"), F.col("forecast").alias("_told"))
+            made.append(materialized(rows))
+        except Exception as e:  # noqa: BLE001  its products fall back to naive
+            notes.append(f"{model}: the final forecast failed ({type(e).__name__}: {str(e)[:150]}); naive is used")
+    return (reduce(DataFrame.unionByName, made) if made else None), notes
+
+
+def product_forecasts(panel: DataFrame, board: DataFrame, g: Granularity = MONTHLY, horizon: int | None = None, others: DataFrame | None = None) -> DataFrame:
+    """(product, date, forecast, lower_bound, upper_bound, model_used, horizon_step, forecast_start_date).
+
+    The selected model, or the weighted sum of the hybrid's components, over the whole history; naive where none was validated, and for a
+    product for which any part has no forecast (others: those of models that aren't closed forms, see advanced_forecasts). Bounds:
+    1.28 validation RMSE to either side, from 0; NULL without validation."""
+    used = series(panel).join(used_models(board), "product", "left").fillna({"model_used": "naive", "model_name": "naive", "weight": 1.0})
     rows = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon or g.horizon))))
-    value = reduce(lambda rest, m: F.when(F.col("model_name") == m, predict(m, F.col("y"), F.col("horizon_step"), g)).otherwise(rest), CLOSED_FORM, F.lit(None).cast("double"))
-    rows = rows.withColumn("_f", F.col("weight") * value).groupBy("product", "last_date", "model_used", "rmse", "horizon_step").agg(F.sum("_f").alias("forecast"))
+    told = F.lit(None).cast("double")
+    if others is not None:
+        rows, told = rows.join(others, ["product", "model_name", "horizon_step"], "left"), F.greatest(F.col("_told"), F.lit(0.0))
+        told = F.when(F.col("_told").isNotNull() & ~F.isnan("_told"), told)
+    value = reduce(lambda rest, m: F.when(F.col("model_name") == m, predict(m, F.col("y"), F.col("horizon_step"), g)).otherwise(rest), CLOSED_FORM, told)
+    plain = predict("naive", F.col("y"), F.col("horizon_step"), g)
+    rows = rows.withColumns({"_f": value, "_naive": plain}).groupBy("product", "last_date", "model_used", "rmse", "horizon_step")
+    rows = rows.agg(F.sum(F.col("weight") * F.col("_f")).alias("forecast"), F.bool_or(F.col("_f").isNull()).alias("_lost"), F.first("_naive").alias("_naive"))
+    lost = F.bool_or("_lost").over(Window.partitionBy("product"))
+    rows = rows.withColumn("_lost", lost).withColumns({"forecast": F.when(F.col("_lost"), F.col("_naive")).otherwise(F.col("forecast")), "model_used": F.when(F.col("_lost"), F.lit("naive")).otherwise(F.col("model_used"))})
     date = step_date(F.col("last_date"), F.col("horizon_step"), g)
     spread = INTERVAL_Z * F.col("rmse")
-    lower = F.when(F.col("rmse").isNotNull(), F.greatest(F.col("forecast") - spread, F.lit(0.0)))
+    lower = F.when(F.col("rmse").isNotNull() & F.col("forecast").isNotNull(), F.greatest(F.col("forecast") - spread, F.lit(0.0)))
     return rows.select("product", date.alias("date"), "forecast", lower.alias("lower_bound"), (F.col("forecast") + spread).alias("upper_bound"), "model_used", "horizon_step", step_date(F.col("last_date"), F.lit(1), g).alias("forecast_start_date"))
 
 
@@ -44,6 +74,21 @@ def total_panel(panel: DataFrame) -> DataFrame:
     return panel.groupBy("date").agg(F.sum("y").alias("y")).select(F.lit("__TOTAL__").alias("product"), "date", "y")
 
 
+def direct_total(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int | None = None) -> DataFrame:
+    """(date, direct_total_forecast, lower_bound, upper_bound, model_used, horizon_step): the total series forecast by the best of the four
+    fast closed forms, validated on it; no rows if it is shorter than a season, two periods and a validation window."""
+    total = total_panel(panel)
+    n = total.groupBy("product").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= g.season + 2 + VALIDATION_HORIZON)
+    rows = validation_predictions(total, g, mode, VALIDATION_HORIZON, n.withColumn("segment", F.lit("normal")))
+    best = selected(product_metrics(rows)).where("selected").select("product", F.col("model_name").alias("model_used"), "rmse")
+    used = series(total).join(n.select("product"), "product").join(best, "product", "left").fillna({"model_used": "naive"})
+    steps = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon or g.horizon))))
+    value = reduce(lambda rest, m: F.when(F.col("model_used") == m, predict(m, F.col("y"), F.col("horizon_step"), g)).otherwise(rest), CLOSED_FORM, F.lit(None).cast("double"))
+    spread = INTERVAL_Z * F.col("rmse")
+    lower = F.when(F.col("rmse").isNotNull(), F.greatest(F.col("f") - spread, F.lit(0.0)))
+    return steps.withColumn("f", value).select(step_date(F.col("last_date"), F.col("horizon_step"), g).alias("date"), F.col("f").alias("direct_total_forecast"), lower.alias("lower_bound"), (F.col("f") + spread).alias("upper_bound"), "model_used", "horizon_step")
+
+
 def chart_data(panel: DataFrame, validation: DataFrame, board: DataFrame, forecasts: DataFrame) -> DataFrame:
     """(product, date, kind, value): history, validation of the selected model and forecast, by product and for ALL."""
     best = board.where("scope = 'product' AND selected").select("product", "model_name")
@@ -54,10 +99,35 @@ def chart_data(panel: DataFrame, validation: DataFrame, board: DataFrame, foreca
     return rows.unionByName(whole.select(F.lit("ALL").alias("product"), "date", "kind", "value"))
 
 
-def metric_cards(board: DataFrame) -> DataFrame:
-    """(metric, value, label) of the best pooled model: five cards."""
-    best = board.where("scope = 'ALL' AND selected")
-    cards = best.select(F.expr("stack(5, 'wMAPE', wmape, 'Bias', forecast_bias, 'MAPE', mape, 'MAE', mae, 'RMSE', rmse) AS (metric, value)"))
+def mean_demand(panel: DataFrame) -> DataFrame:
+    """One row: the mean over products of their mean demand a period."""
+    return panel.groupBy("product").agg(F.avg("y").alias("m")).agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("mean_demand"))
+
+
+def overlay(panel: DataFrame, total: DataFrame) -> DataFrame:
+    """(date, actual, forecast): all products' demand and their total forecast side by side; either is NULL where the other stands alone."""
+    actual = panel.groupBy("date").agg(F.sum("y").alias("actual"))
+    return actual.join(total.select("date", F.col("total_forecast").alias("forecast")), "date", "full_outer")
+
+
+def metric_cards(board: DataFrame, rows: DataFrame, panel: DataFrame) -> DataFrame:
+    """(metric, value, label, direction): five cards over the validation rows of the selected models. MAE and RMSE are labelled by their share of
+    mean demand; an undefined value is poor, of these two needs_attention. direction is the bias's, beyond 5 %."""
+    one = evaluate.portfolio_metrics(board, rows).crossJoin(mean_demand(panel))  # one row each
+    cards = one.select("mean_demand", F.expr("stack(5, 'wMAPE', wmape, 'Forecast Bias', forecast_bias, 'MAPE', mape, 'MAE', mae, 'RMSE', rmse) AS (metric, value)"))
+    relative = F.when(F.col("mean_demand") > 0, F.col("value") / F.col("mean_demand"))
+    label = F.when(F.col("metric").isin("wMAPE", "MAPE"), band(F.col("value"), ERROR_BANDS, "poor")).when(F.col("metric") == "Forecast Bias", band(F.abs("value"), BIAS_BANDS, "poor")).otherwise(band(relative, RELATIVE_BANDS, "needs_attention"))
     way = F.when(F.col("value") > 0.05, "over-forecasting").when(F.col("value") < -0.05, "under-forecasting").otherwise("balanced")
-    label = F.when(F.col("metric").isin("wMAPE", "MAPE"), band(F.col("value"), ERROR_BANDS)).when(F.col("metric") == "Bias", way)
-    return cards.select("metric", "value", label.alias("label"), F.when(F.col("metric") == "Bias", band(F.abs("value"), BIAS_BANDS)).alias("severity"))
+    return cards.select("metric", "value", label.alias("label"), F.when(F.col("metric") == "Forecast Bias", way).alias("direction"))
+
+
+def forecast_summary(board: DataFrame, rows: DataFrame, forecasts: DataFrame, total: DataFrame) -> DataFrame:
+    """One row: portfolio wMAPE and bias, their label and direction, the whole expected demand, its first peak period, steps, products
+    forecast and validated, and the best pooled model."""
+    bias = F.col("forecast_bias")
+    way = F.when(bias > 0.05, "over-forecasting").when(bias < -0.05, "under-forecasting").otherwise("balanced")
+    own = evaluate.portfolio_metrics(board, rows).select(F.round("wmape", 4).alias("portfolio_wmape"), "forecast_bias", way.alias("bias_direction"), band(F.col("wmape"), ERROR_BANDS, "poor").alias("confidence_label"), F.col("n_products").alias("n_products_evaluated"))
+    peak = F.max_by("date", F.struct("total_forecast", -F.datediff("date", F.lit("1970-01-01"))))
+    whole = total.agg(F.coalesce(F.sum("total_forecast"), F.lit(0.0)).alias("total_expected_demand"), peak.alias("peak_forecast_period"), F.count("*").alias("forecast_horizon"))
+    best = board.where("scope = 'ALL' AND selected").agg(F.first("model_name").alias("best_overall_model"))
+    return own.crossJoin(whole).crossJoin(best).crossJoin(forecasts.agg(F.countDistinct("product").alias("n_products_forecasted")))  # one row each

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib.util import find_spec
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..types import MONTHLY, Granularity
@@ -123,31 +123,54 @@ def tree_regressor(model: str):
     return RandomForestRegressor(numTrees=100, maxDepth=10, featureSubsetStrategy="all", **common) if model == "random_forest" else GBTRegressor(maxIter=100, **common)
 
 
-def tree_forecast(panel: DataFrame, model: str, features, g: Granularity = MONTHLY, horizon: int = 3, regressor=None) -> DataFrame:
+LEAST_ROWS = 5
+
+
+def tree_forecast(panel: DataFrame, model: str, g: Granularity = MONTHLY, horizon: int = 3, fill: tuple[str, ...] = (), sector: str | None = None, regressor=None) -> DataFrame:
     """(product, date, forecast, horizon_step) by one tree model over all products, step by step.
 
-    features(panel) adds numeric feature columns (a row's own y aside). Each step appends the next period of every product, builds its
-    features from what is known or predicted, and predicts all products in one transform; only the history that lags reach back to is
-    carried on, and it is written so that the plan doesn't grow."""
+    panel: product, date, y and numeric columns that may be trained on. Seasonality is found once, in the history. Each step appends the next
+    period of every product, builds its features from what is known or predicted, and predicts all products in one transform; only the
+    rows that lags reach back to are carried on, in a written table. Later values of the columns in `fill` are the mean of their calendar
+    month, other columns keep their last one. Raises if fewer than five rows have all features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
-    from ..sources.tables import materialized
+    from ..sources.tables import dropped, materialized
+    from .features import climatology, numeric_features, seasonal_detection
 
-    base = panel.select("product", "date", "y")
-    known = features(base)
+    extra = [c for c in panel.columns if c not in ("product", "date", "y")]
+    base = materialized(panel.select("product", "date", "y", *extra))
+    seasons = materialized(seasonal_detection(base, sector))
+    known = numeric_features(base, g, seasons)
     names = [c for c in known.columns if c not in ("product", "date", "y")]
-    strict = [c for c in names if c != "months_to_peak"]
-    train = known.dropna(subset=[*strict, "y"]).fillna(12, ["months_to_peak"] if "months_to_peak" in names else []).fillna(0, names)
+    filled = lambda df: df.fillna(12, ["months_to_peak"]).fillna(0, names)
+    train = filled(known.dropna(subset=[c for c in names if c != "months_to_peak"] + ["y"]))
+    if train.limit(LEAST_ROWS).count() < LEAST_ROWS:
+        raise ValueError(f"fewer than {LEAST_ROWS} rows have all features")
     fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor or tree_regressor(model)]).fit(train)
-    rows, out = base, None
+    later = None
+    for c in fill:
+        month = climatology(base, c).withColumnRenamed("value", f"_next_{c}")
+        later = month if later is None else later.join(month, ["product", "month"])
+    later = materialized(later) if later is not None else None
+    backward = Window.partitionBy("product").orderBy(F.desc("date"))
+    reach = max(*g.lags, *g.windows) + 1
+    numbered = base.withColumns({"_at": F.row_number().over(Window.partitionBy("product").orderBy("date")) - 1, "_back": F.row_number().over(backward)})
+    rows, out = materialized(numbered.where(F.col("_back") <= reach).drop("_back")), None
     for k in range(1, horizon + 1):
-        last = rows.groupBy("product").agg(F.max("date").alias("date"))
-        new = last.select("product", step_date(F.col("date"), F.lit(1), g).alias("date"), F.lit(None).cast("double").alias("y"), F.lit(True).alias("_new"))
-        both = rows.withColumn("_new", F.lit(False)).unionByName(new)
-        ready = features(both.drop("_new")).join(new.select("product", "date"), ["product", "date"], "left_semi").fillna(12, ["months_to_peak"] if "months_to_peak" in names else []).fillna(0, names)
-        made = materialized(fitted.transform(ready).select("product", "date", F.greatest("prediction", F.lit(0.0)).alias("forecast")))
-        step = made.withColumn("horizon_step", F.lit(k))
-        out = step if out is None else out.unionByName(step)
-        rows = materialized(rows.unionByName(made.select("product", "date", F.col("forecast").alias("y"))))
+        last = rows.withColumn("_back", F.row_number().over(backward)).where("_back = 1").drop("_back")
+        new = last.withColumns({"date": step_date(F.col("date"), F.lit(1), g), "y": F.lit(None).cast("double"), "_at": F.col("_at") + 1})
+        if later is not None:
+            new = new.withColumn("month", F.month("date")).join(later, ["product", "month"], "left")
+            new = new.withColumns({c: F.col(f"_next_{c}") for c in fill}).drop("month", *(f"_next_{c}" for c in fill))
+        ready = numeric_features(rows.unionByName(new).drop("_at"), g, seasons).where("y IS NULL")
+        ready = ready.drop("time_index").join(new.select("product", F.col("_at").alias("time_index")), "product")
+        made = fitted.transform(filled(ready)).select("product", F.greatest("prediction", F.lit(0.0)).alias("_made"))
+        grown = materialized(rows.unionByName(new).join(made, "product", "left").withColumn("y", F.coalesce("y", "_made")).drop("_made"))
+        dropped(rows)
+        rows = grown
+        if k == horizon:
+            ahead = rows.withColumn("_back", F.row_number().over(backward)).where(F.col("_back") <= horizon)
+            out = ahead.select("product", "date", F.col("y").alias("forecast"), (F.lit(horizon + 1) - F.col("_back")).alias("horizon_step"))
     return out

@@ -39,10 +39,11 @@ def panel(df: DataFrame, g: Granularity = MONTHLY, **more: Column) -> DataFrame:
     return densify(aggregate_demand(df, g, **more), g)
 
 
-def bounded_ffill(df: DataFrame, column: str, limit: int = 2) -> DataFrame:
-    """Carries a value forward over at most `limit` NULLs of a product."""
+def bounded_ffill(df: DataFrame, column: str | list[str], limit: int = 2) -> DataFrame:
+    """Carries the values of one column, or of several, forward over at most `limit` NULLs of a product."""
     w = Window.partitionBy("product").orderBy("date")
-    return df.withColumn(column, F.coalesce(F.col(column), *(F.lag(column, k).over(w) for k in range(1, limit + 1))))
+    columns = [column] if isinstance(column, str) else column
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), *(F.lag(F.col(f"`{c}`"), k).over(w) for k in range(1, limit + 1))) for c in columns}) if columns else df
 
 
 def ffill(df: DataFrame, column: str, by: list[str] | None = None, order: str = "date") -> DataFrame:
@@ -50,12 +51,23 @@ def ffill(df: DataFrame, column: str, by: list[str] | None = None, order: str =
     return df.withColumn(column, F.last(column, ignorenulls=True).over(w))
 
 
-def period_feature(df: DataFrame, column: str, g: Granularity = MONTHLY) -> DataFrame:
-    """(product, date, column) by period: the largest value of a column that has two distinct values at most, else the mean."""
-    binary = df.agg((F.countDistinct(column) <= 2).alias("_binary"))
+def period_features(df: DataFrame, columns: list[str], g: Granularity = MONTHLY) -> DataFrame:
+    """(product, date, columns) by period: the largest value of a column that has two distinct values at most, else the mean. One aggregate for all."""
+    binary = df.agg(*(F.coalesce(F.countDistinct(F.col(f"`{c}`")) <= 2, F.lit(True)).alias(f"b{i}") for i, c in enumerate(columns))).first()
     rows = df.where(F.col("product").isNotNull() & F.col("date").isNotNull()).withColumn("date", period_of(F.col("date"), g))
-    both = rows.groupBy("product", "date").agg(F.max(F.col(column).cast("double")).alias("_max"), F.avg(column).alias("_avg"))
-    return both.join(F.broadcast(binary)).select("product", "date", F.when(F.col("_binary"), F.col("_max")).otherwise(F.col("_avg")).alias(column))
+    value = lambda c: F.col(f"`{c}`").try_cast("double") if dict(df.dtypes)[c] == "string" else F.col(f"`{c}`").cast("double")
+    return rows.groupBy("product", "date").agg(*((F.max(value(c)) if binary[i] else F.avg(value(c))).alias(c) for i, c in enumerate(columns)))
+
+
+def period_feature(df: DataFrame, column: str, g: Granularity = MONTHLY) -> DataFrame:
+    return period_features(df, [column], g)
+
+
+def with_period_features(panel: DataFrame, df: DataFrame, columns: list[str], g: Granularity = MONTHLY) -> DataFrame:
+    """panel with the columns by period, carried forward over gaps of up to two periods."""
+    if not columns:
+        return panel
+    return bounded_ffill(panel.join(period_features(df, columns, g), ["product", "date"], "left"), columns)
 
 
 def calendar_features(df: DataFrame, weekly: bool = False) -> DataFrame:

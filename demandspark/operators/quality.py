@@ -11,8 +11,22 @@ from ..functions.coerce import normalized
 from ..types import MONTHLY, Granularity
 from .panel import panel as build_panel
 from .panel import period_of
+from .quantiles import exact_quantile, medians
 
 PERIOD_DAYS = {"monthly": 30, "weekly": 7}
+#: The category of each kind of issue.
+CATEGORY = {
+    "missing_date_column": "structural", "missing_product_column": "structural", "missing_qty_column": "structural", "invalid_dates": "structural", "invalid_demand_values": "structural", "invalid_product_identifiers": "structural", "empty_rows": "structural", "exact_duplicate_rows": "structural",
+    "insufficient_history": "time_series", "missing_periods": "time_series", "intermittent_demand": "time_series", "large_temporal_gaps": "time_series", "irregular_frequency": "time_series", "multiple_records_same_product_period": "time_series",
+    "negative_demand": "business", "unusual_demand_observations": "business", "suspicious_constant_demand": "business", "unusual_inventory_values": "business", "unusual_lead_times": "business", "inconsistent_product_identifiers": "business",
+    "product_coverage_imbalance": "representation", "region_imbalance": "representation", "customer_imbalance": "representation", "seasonal_coverage_gap": "representation", "recent_history_gap": "representation",
+}
+#: The categories that count for forecasts, the kinds that count for inventory, and the meanings that either area asks for.
+FORECAST_CATEGORIES = ("structural", "time_series", "representation")
+INVENTORY_ISSUES = ("unusual_inventory_values", "unusual_lead_times", "negative_demand")
+INVENTORY_MEANINGS = ("stock_on_hand", "available_inventory", "lead_time", "safety_stock")
+DRIVER_MEANINGS = ("price", "promotion", "discount")
+SEVERITY = {"critical": 0, "warning": 1, "info": 2}
 
 
 @dataclass
@@ -22,12 +36,15 @@ class Issue:
     confidence: float
     affected_records: int
     recommended_action: str
-    area: str = "forecast"
     detail: str = ""
     affected_products: list = field(default_factory=list)
 
+    @property
+    def category(self) -> str:
+        return CATEGORY[self.issue_type]
+
     def record(self) -> dict:
-        return asdict(self)
+        return asdict(self) | {"category": self.category}
 
 
 def invalid_counts(raw: DataFrame, date: Column, qty: Column, date_raw: Column, qty_raw: Column, product: Column) -> DataFrame:
@@ -97,12 +114,27 @@ def longest_zero_run(panel: DataFrame) -> DataFrame:
 
 
 def mad_outliers(rows: DataFrame, by: str = "product", value: str = "qty", factor: float = 5.0, least: int = 8) -> DataFrame:
-    """(by, n, outliers): values further than 5 median absolute deviations from the group's median."""
-    known = rows.where(F.col(value).isNotNull() & F.col(by).isNotNull())
-    middle = known.groupBy(by).agg(F.median(value).alias("_med"), F.count("*").alias("n")).where(F.col("n") >= least)
-    apart = known.join(middle, by).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
-    spread = apart.groupBy(by).agg(F.median("_dev").alias("_mad")).where("_mad > 0")
-    return apart.join(spread, by).groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("_dev") > factor * F.col("_mad")).alias("outliers"))
+    """(by, n, outliers): values further than 5 median absolute deviations from the group's median. Works on counts of distinct values."""
+    per, middle = medians(rows, by, value)
+    apart = per.join(middle.where(F.col("n") >= least), by).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    spread = apart.groupBy(by).agg(F.percentile(F.col("_dev"), F.lit(0.5), F.col("w")).alias("_mad")).where("_mad > 0")
+    return apart.join(spread, by).groupBy(by).agg(F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("_dev") > factor * F.col("_mad"), F.col("w"))), F.lit(0)).alias("outliers"))
+
+
+def negative_values(rows: DataFrame, column: str) -> DataFrame:
+    """One row: values of a column that are below 0, and all that are numbers."""
+    v = F.col(f"`{column}`").try_cast("double")
+    return rows.agg(F.count_if(F.coalesce(v < 0, F.lit(False))).alias("n_negative"), F.count(v).alias("n_values"))
+
+
+def lead_time_figures(rows: DataFrame, column: str, factor: float = 5.0, least: int = 8) -> DataFrame:
+    """One row: values that are 0 or less, and values further than 5 median absolute deviations from the column's median (0 if that deviation is
+    0, or of fewer than eight values). The medians of the whole column are found without gathering it."""
+    v = rows.select(F.col(f"`{column}`").try_cast("double").alias("v")).where("v IS NOT NULL")
+    apart = v.crossJoin(F.broadcast(exact_quantile(v, "v", 0.5, "median"))).withColumn("dev", F.abs(F.col("v") - F.col("median")))  # one row
+    far = apart.crossJoin(F.broadcast(exact_quantile(apart, "dev", 0.5, "mad")))  # one row
+    counts = far.agg(F.count("*").alias("n"), F.count_if(F.col("v") <= 0).alias("n_not_positive"), F.count_if((F.col("mad") > 0) & (F.col("dev") > factor * F.col("mad"))).alias("_far"))
+    return counts.select("n_not_positive", F.when(F.col("n") >= least, F.col("_far")).otherwise(0).alias("outliers"))
 
 
 def constant_demand(rows: DataFrame) -> DataFrame:
@@ -153,6 +185,20 @@ def insufficient_history(panel: DataFrame, least: int = 12) -> DataFrame:
     return panel.groupBy("product").agg(F.count("*").alias("n_points")).where(F.col("n_points") < least)
 
 
+def missing_columns(mapping) -> list[Issue]:
+    """A critical issue for each of date, product and quantity that no column holds."""
+    return [Issue(f"missing_{r}_column", "critical", 1.0, 0, "review_coverage") for r in ("date", "product", "qty") if getattr(mapping, r) is None]
+
+
+def identifier_columns(rows: DataFrame, least: float = 0.95) -> list[str]:
+    """The columns beside product, date and qty whose values are nearly all different: over 95 % distinct among those that are there."""
+    extra = [c for c in rows.columns if c not in ("product", "date", "qty")]
+    if not extra:
+        return []
+    found = rows.agg(*(F.try_divide(F.countDistinct(F.col(f"`{c}`")), F.count(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(extra))).first()
+    return [c for i, c in enumerate(extra) if (found[i] or 0) > least]
+
+
 def issues(rows: DataFrame, g: Granularity = MONTHLY, segments: dict[str, str] | None = None, counts: dict | None = None) -> list[Issue]:
     """Issue records of clean-typed rows (product, date, qty, extras). counts: the row of invalid_counts, if it was taken on the raw rows.
 
@@ -174,8 +220,12 @@ def issues(rows: DataFrame, g: Granularity = MONTHLY, segments: dict[str, str] |
             add("negative_demand", "warning", 0.5, counts["negative_demand"], "review_negative_demand")
     dup = exact_duplicates(rows).first()
     if dup["duplicate_rows"]:
-        few = dup["duplicate_rows"] / dup["n_rows"] < 0.02
-        add("exact_duplicate_rows", "info" if few else "warning", 0.6 if few else 0.4, dup["duplicate_rows"], "remove_exact_duplicates" if few else "review_duplicates")
+        if ids := identifier_columns(rows):  # an identifier that repeats with its row is no second sale
+            add("exact_duplicate_rows", "warning", 0.85, dup["duplicate_rows"], "remove_exact_duplicates", ids[0])
+        elif dup["duplicate_rows"] / dup["n_rows"] < 0.02:
+            add("exact_duplicate_rows", "info", 0.6, dup["duplicate_rows"], "remove_exact_duplicates")
+        else:
+            add("exact_duplicate_rows", "warning", 0.4, dup["duplicate_rows"], "review_duplicates")
     p = build_panel(rows, g)
     short = insufficient_history(p)
     low = short.agg(F.count("*").alias("n"), F.min("n_points").alias("m")).first()
@@ -214,32 +264,32 @@ def issues(rows: DataFrame, g: Granularity = MONTHLY, segments: dict[str, str] |
             add(f"{kind}_imbalance", "info", conf, d["n_groups"], "review_coverage")
     for meaning in ("stock_on_hand", "available_inventory"):
         if column := (segments or {}).get(meaning):
-            if m := rows.where(F.col(column).try_cast("double") < 0).count():
-                add("unusual_inventory_values", "warning", 0.7, m, "review_inventory_values", area="inventory", detail=column)
+            if m := negative_values(rows, column).first()["n_negative"]:
+                add("unusual_inventory_values", "warning", 0.7, m, "review_inventory_values", detail=column)
     if column := (segments or {}).get("lead_time"):
-        value = F.col(column).try_cast("double")
-        wrong = rows.where(value <= 0).count()
-        odd = mad_outliers(rows.select(F.lit("all").alias("_k"), value.alias("_v")), "_k", "_v").agg(F.sum("outliers")).first()[0] or 0
+        wrong, odd = lead_time_figures(rows, column).first()
         if wrong or odd:
-            add("unusual_lead_times", "warning" if wrong else "info", 0.6, wrong + odd, "review_lead_times", area="inventory", detail=column)
+            add("unusual_lead_times", "warning" if wrong else "info", 0.6, wrong + odd, "review_lead_times", detail=column)
     cover = seasonal_coverage(rows).first()
     if (cover["span_days"] or 0) >= 365 and cover["n_months"] < 12:
         add("seasonal_coverage_gap", "warning", 0.8, 12 - cover["n_months"], "review_coverage", detail=cover["missing_months"])
     old = stale_products(rows, g)
     if m := old.count():
         add("recent_history_gap", "warning", 0.7, m, "review_coverage", affected_products=names(old))
-    rank = {"critical": 0, "warning": 1, "info": 2}
-    return sorted(out, key=lambda i: (rank[i.severity], -i.confidence))
+    return sorted(out, key=lambda i: (SEVERITY[i.severity], -i.affected_records))
 
 
 PENALTY = {"critical": 40, "warning": 15, "info": 4}
 
 
-def readiness(found: list[Issue], has_inventory: bool = False, has_drivers: bool = False) -> dict[str, float]:
-    """Scores of 0 to 100 by area: 100 less the issues' penalties, weighted by their confidence."""
-    score = lambda area: max(0.0, 100 - sum(PENALTY[i.severity] * max(i.confidence, 0.3) for i in found if i.area == area))
-    forecast = score("forecast")
-    return {"forecast": forecast, "inventory": score("inventory") if has_inventory else 0.0, "scenario": 0.5 * forecast + (50 if has_drivers else 0)}
+def readiness(found: list[Issue], meanings: set[str] = frozenset()) -> dict[str, int]:
+    """Scores of 0 to 100 by area: 100 less the penalties of the issues that count there, each times its confidence (0.3 at least).
+
+    meanings: what the other columns mean. Without any inventory column that score is 0; half the scenario's score hangs on a driver of demand."""
+    score = lambda counts: round(max(0.0, 100 - sum(PENALTY[i.severity] * max(i.confidence, 0.3) for i in found if counts(i))))
+    forecast = score(lambda i: i.category in FORECAST_CATEGORIES)
+    inventory = score(lambda i: i.issue_type in INVENTORY_ISSUES) if set(meanings) & set(INVENTORY_MEANINGS) else 0
+    return {"forecast": forecast, "inventory": inventory, "scenario": round(min(100, 0.5 * forecast + (50 if set(meanings) & set(DRIVER_MEANINGS) else 0)))}
 
 
 def ready_for_features(found: list[Issue]) -> bool:

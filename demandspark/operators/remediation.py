@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import date_format_of, to_date, to_number
+from ..sources.tables import dropped, materialized
 from ..types import MONTHLY, Granularity
 from .panel import panel
 
@@ -80,40 +81,86 @@ EXECUTORS = {
 }
 
 
-def build_plan(issues: list) -> dict[str, list[dict]]:
-    """auto, review and advisory items, one for each action: hygiene first, then in the issues' order."""
+def impact(df: DataFrame, actions: list[str], issues: list = (), g: Granularity = MONTHLY) -> dict[str, dict[str, int]]:
+    """action -> rows_affected, records_removed, values_modified, new_periods_created: what each would do to these rows. One aggregate for all
+    that are counted by row; duplicates and missing periods each take one of their own."""
+    from . import quality
+
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    raw, texts = F.col("qty"), [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    value, parsed = to_number(raw), to_date(df, "date", date_format_of(df, "date"))
+    empty = F.lit(True)
+    for c in df.columns:
+        empty = empty & F.col(f"`{c}`").isNull()
+    trims = sum((F.when(F.col(f"`{c}`") != F.trim(F.col(f"`{c}`")), 1).otherwise(0) for c in texts), F.lit(0))
+    counted = {
+        "trim_whitespace": F.sum(trims), "remove_empty_rows": n(empty), "standardize_date_format": F.count("*") if dict(df.dtypes)["date"] == "string" else F.lit(0), "fill_missing_demand": n(value.isNull()),
+        "remove_invalid_dates": n(parsed.isNull() & F.col("date").isNotNull()), "remove_invalid_demand": n(value.isNull() & raw.isNotNull()), "remove_negative_demand": n(value < 0), "standardize_product_identifiers": n(F.col("product").cast("string") != F.trim(F.col("product").cast("string"))),
+    }
+    asked = [a for a in actions if a in counted]
+    found = df.agg(F.lit(0).alias("_"), *(F.coalesce(counted[a], F.lit(0)).alias(a) for a in asked)).first().asDict()
+    removes = ("remove_empty_rows", "remove_exact_duplicates", "remove_invalid_dates", "remove_invalid_demand", "remove_negative_demand", "aggregate_duplicate_product_date")
+    out = {}
+    for a in actions:
+        if a in found:
+            k = found[a]
+        elif a == "remove_exact_duplicates":
+            k = quality.exact_duplicates(df).first()["duplicate_rows"]
+        elif a == "aggregate_duplicate_product_date":
+            whole = df.select("product", parsed.alias("date")).where("product IS NOT NULL AND date IS NOT NULL").groupBy("product", "date").agg(F.count("*").alias("n"))
+            k = whole.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
+        elif a == "insert_missing_periods":
+            k = quality.missing_periods(df.select("product", parsed.alias("date")), g).agg(F.coalesce(F.sum("missing_periods"), F.lit(0))).first()[0]
+        else:
+            k = sum(i.affected_records for i in issues if i.recommended_action == a)
+        k, removed, created = int(k), a in removes, a == "insert_missing_periods"
+        out[a] = {"rows_affected": k, "records_removed": k if removed else 0, "values_modified": 0 if removed or created or a not in POLICY else k, "new_periods_created": k if created else 0}
+    return out
+
+
+def build_plan(issues: list, df: DataFrame | None = None, g: Granularity = MONTHLY) -> dict[str, list[dict]]:
+    """auto, review and advisory items, one for each action: hygiene first, then in the issues' order. With the rows given, every item tells
+    what it would do (see impact), and hygiene that would do nothing is left out."""
     plan: dict[str, list[dict]] = {"auto": [{"action": a, "issue_type": "hygiene", "affected_records": None} for a, p in POLICY.items() if p == "auto"], "review": [], "advisory": []}
     seen = {x["action"] for x in plan["auto"]}
     for i in issues:
         if i.recommended_action in seen:
             continue
         seen.add(i.recommended_action)
-        bucket = POLICY.get(i.recommended_action, "advisory")
-        plan["review" if bucket == "review" else "advisory" if bucket == "advisory" else bucket if bucket == "auto" else "review"].append({"action": i.recommended_action, "issue_type": i.issue_type, "affected_records": i.affected_records})
+        bucket = {"auto": "auto", "review": "review"}.get(POLICY.get(i.recommended_action), "advisory")
+        plan[bucket].append({"action": i.recommended_action, "issue_type": i.issue_type, "affected_records": i.affected_records, "confidence": i.confidence})
+    if df is not None:
+        told = impact(df, [x["action"] for items in plan.values() for x in items], issues, g)
+        plan = {k: [x | {"impact": told[x["action"]]} for x in items] for k, items in plan.items()}
+        plan["auto"] = [x for x in plan["auto"] if x["impact"]["rows_affected"] or x["action"] == "standardize_date_format"]
     return plan
 
 
-AUDIT = "status string, action string, records_affected long, timestamp timestamp, detail string"
+AUDIT = "status string, action string, records_affected long, records_removed long, values_modified long, new_periods_created long, timestamp timestamp, detail string"
 
 
 def execute_plan(df: DataFrame, plan: dict[str, list[dict]], approved: tuple[str, ...], g: Granularity = MONTHLY, override: tuple[str, ...] = (), keep_extras: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, audit frame): automatic items, then approved ones; the rest are listed as not applied, a failing one as failed.
 
-    remove_negative_demand runs by override only, and is marked. records_affected is the number of rows lost or gained."""
+    Each step reads the written rows of the one before and writes its own. The audit holds what impact counted on the rows that the step
+    found. remove_negative_demand runs by override only, and is marked."""
     log, now = [], datetime.datetime.now
     asked = [(x["action"], "auto") for x in plan["auto"]] + [(x["action"], "review") for x in plan["review"]] + [(a, "override") for a in override if POLICY.get(a) == "never"]
-    size = df.count()
+    none, mine = (0, 0, 0, 0), None
     for action, bucket in asked:
         if bucket == "review" and action not in approved or POLICY.get(action) == "never" and bucket != "override":
-            log.append(("not_applied", action, 0, now(), "not approved"))
+            log.append(("not_applied", action, *none, now(), "not approved"))
             continue
         try:
+            told = impact(df, [action], (), g)[action]
             new = EXECUTORS[action](df, g, keep_extras=True) if action == "insert_missing_periods" and keep_extras else EXECUTORS[action](df, g)
-            after = new.count()
+            new = materialized(new)
         except Exception as e:  # noqa: BLE001  one failing repair must not lose the others
-            log.append(("failed", action, 0, now(), str(e)[:200]))
+            log.append(("failed", action, *none, now(), str(e)[:200]))
             continue
-        log.append(("applied", action, abs(after - size), now(), "manual override" if bucket == "override" else ""))
-        df, size = new, after
-    log += [("not_applied", x["action"], 0, now(), "advisory") for x in plan["advisory"]]
+        log.append(("applied", action, *told.values(), now(), "manual override" if bucket == "override" else ""))
+        if mine is not None:
+            dropped(mine)
+        df = mine = new
+    log += [("not_applied", x["action"], *none, now(), "advisory") for x in plan["advisory"]]
     return df, df.sparkSession.createDataFrame(log, AUDIT)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON
+from .quantiles import exact_quantile
 
 FAST = ("naive", "seasonal_naive", "moving_average", "exponential_smoothing")
 ADVANCED = ("sarima", "prophet", "random_forest", "xgboost")
@@ -18,7 +19,7 @@ def product_segments(panel: DataFrame, season: int = MONTHLY.season) -> DataFram
     the 20th percentile, with five products or more), normal. Ties of totals go by product."""
     y = F.greatest("y", F.lit(0.0))
     per = panel.groupBy("product").agg(F.count("*").alias("n_points"), F.sum(y).alias("total_demand"), F.avg((F.col("y") == 0).cast("double")).alias("zero_ratio"))
-    whole = per.agg(F.sum("total_demand").alias("_all"), F.percentile("total_demand", F.lit(0.2)).alias("_p20"), F.count("*").alias("_n"))
+    whole = per.agg(F.sum("total_demand").alias("_all"), F.count("*").alias("_n")).crossJoin(exact_quantile(per, "total_demand", 0.2, "_p20"))  # one row each
     # running totals in two levels: whole buckets of similar totals first, then within a bucket, so that no task orders all products
     per = per.withColumn("_bucket", F.floor(-16 * F.log2(F.col("total_demand") + 1)).cast("int"))
     sums = per.groupBy("_bucket").agg(F.sum("total_demand").alias("_sum"))  # a double has 2^1024 at most: 16,385 buckets

@@ -25,10 +25,10 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands of all kinds: by their number every fifth is thinned to be intermittent, the next one starts late."""
-    n = F.pmod(F.regexp_extract("product", r"(\d+)", 1).cast("int"), F.lit(5))
-    keep = F.when(n == 0, F.col("l_orderkey") % 40 == 0).when(n == 1, F.col("date") >= F.lit("2001-03-01").cast("timestamp_ntz")).otherwise(True)
-    return brand_rows(spark, sf_dir).where(keep)
+    """Line items twice, by brand and by part: products of all kinds, from large and dense to sparse and short ones."""
+    items = read_table(spark, sf_dir, "lineitem")
+    parts = items.select(F.col("l_partkey").cast("string").alias("product"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("qty"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return brand_rows(spark, sf_dir).select("product", "date", "qty", "price").unionByName(parts)
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,8 @@ def mixed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 BRAND = "base AS (SELECT p_brand AS product, l_shipdate AS date, l_quantity AS qty, l_extendedprice / l_quantity AS price, l_discount AS discount, l_orderkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey)"
 PART = "base AS (SELECT CAST(l_partkey AS VARCHAR) AS product, l_shipdate AS date, l_quantity AS qty FROM lineitem)"
 EVENT = "base AS (SELECT event_type AS product, ts AS date, value AS qty FROM events)"
-MIXED = BRAND.replace("base AS", "all_rows AS") + """, base AS (SELECT * FROM all_rows WHERE CASE CAST(regexp_extract(product, '(\\d+)', 1) AS INT) % 5
-  WHEN 0 THEN l_orderkey % 40 = 0 WHEN 1 THEN date >= TIMESTAMP '2001-03-01' ELSE TRUE END)"""
+MIXED = """base AS (SELECT p_brand AS product, l_shipdate AS date, l_quantity AS qty FROM lineitem JOIN part ON l_partkey = p_partkey
+  UNION ALL SELECT CAST(l_partkey AS VARCHAR), l_shipdate, l_quantity FROM lineitem)"""
 DIRTY = BRAND.replace("base AS", "all_rows AS") + """, base AS (SELECT
   CASE WHEN l_orderkey % 103 = 0 THEN '  ' WHEN l_orderkey % 7 = 0 THEN ' ' || lower(product) ELSE product END AS product,
   CASE WHEN l_orderkey % 89 = 0 THEN 'n/a' WHEN l_orderkey % 101 = 0 THEN NULL ELSE strftime(date, '%Y-%m-%d') END AS date,

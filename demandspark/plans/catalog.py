@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.coerce import to_date, to_number
 from ..operators import analysis, evaluate, external, features, forecast, insights, intake, models, quality, remediation, segments
 from ..operators import panel as P
+from ..sources.tables import materialized
 from ..types import MONTHLY, WEEKLY, RunConfig
 from . import bindings as B
 from . import pipeline
@@ -170,13 +171,6 @@ def infer_frequency(spark, d):
     return intake.infer_frequency(B.brand_rows(spark, d))
 
 
-@query()
-def detect_roles(spark, d):
-    """role, column: what intake finds in the dirty upload."""
-    m = intake.run_intake(B.dirty_rows(spark, d)).mapping
-    return spark.createDataFrame([("date", m.date), ("product", m.product), ("qty", m.qty)], "role string, found string")
-
-
 # --- quality
 
 
@@ -280,12 +274,6 @@ def q_insufficient_history(spark, d):
     return quality.insufficient_history(B.mixed_panel(spark, d))
 
 
-@query()
-def q_issue_records(spark, d):
-    found = quality.issues(B.mixed_rows(spark, d).select("product", "date", "qty"))
-    return spark.createDataFrame([(i.issue_type, i.severity, i.confidence, int(i.affected_records), i.recommended_action) for i in found], "issue_type string, severity string, confidence double, affected_records long, recommended_action string")
-
-
 # --- repairs
 
 
@@ -415,11 +403,6 @@ def feature_relevance_lags(spark, d):
     return features.relevance(B.brand_panel(spark, d).withColumn("x", F.sqrt("y")), "x")
 
 
-@query()
-def feature_panel(spark, d):
-    return features.build_features(B.mixed_panel(spark, d))
-
-
 # --- segments and folds
 
 _SEG = """per AS (SELECT product, count(*) AS n_points, sum(greatest(y, 0)) AS total_demand, avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS zero_ratio FROM panel GROUP BY 1),
@@ -487,21 +470,14 @@ for _model, _key in (("naive", "fc_naive"), ("seasonal_naive", "fc_seasonal_naiv
     ORACLE_SQL[_key] = _forecast_sql(_model, B.panel_sql(B.PART) if _model == "croston" else PANEL)
 
 
-def _tree(spark, d, model: str) -> DataFrame:
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    small = RandomForestRegressor(numTrees=20, maxDepth=6, seed=42, featuresCol="features", labelCol="y") if model == "random_forest" else GBTRegressor(maxIter=10, seed=42, featuresCol="features", labelCol="y")
-    return models.tree_forecast(B.brand_panel(spark, d), model, features.numeric_features, horizon=2, regressor=small)
-
-
 @query()
 def fc_random_forest(spark, d):
-    return _tree(spark, d, "random_forest")
+    return models.tree_forecast(B.brand_panel(spark, d), "random_forest", horizon=MONTHLY.horizon)
 
 
 @query()
 def fc_gradient_boosting(spark, d):
-    return _tree(spark, d, "xgboost")
+    return models.tree_forecast(B.brand_panel(spark, d), "xgboost", horizon=MONTHLY.horizon)
 
 
 # --- validation and selection
@@ -513,53 +489,54 @@ val AS (SELECT product, model_name, CAST(cand_ord AS INT) AS cand_ord, CAST(fold
 _METRICS = """avg(abs(validation_prediction - actual)) AS mae, sqrt(avg((validation_prediction - actual) ** 2)) AS rmse, avg(CASE WHEN actual != 0 THEN abs(validation_prediction - actual) / abs(actual) END) AS mape,
 CASE WHEN sum(abs(actual)) != 0 THEN sum(abs(validation_prediction - actual)) / sum(abs(actual)) END AS wmape, CASE WHEN sum(abs(actual)) != 0 THEN sum(validation_prediction - actual) / sum(abs(actual)) END AS forecast_bias, count(*) AS n_rows"""
 _MET = f"met AS (SELECT product, model_name, cand_ord, {_METRICS}, count(DISTINCT fold) AS n_folds FROM val GROUP BY 1, 2, 3)"
-_HYB = f"""top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY wmape, cand_ord) AS k FROM met WHERE wmape > 0) WHERE k <= 3), cnt AS (SELECT *, count(*) OVER (PARTITION BY product) AS nc, sum(1 / wmape) OVER (PARTITION BY product) AS inv FROM top3),
-wgt AS (SELECT product, model_name, round_even((1 / wmape) / inv, 4) AS weight, nc AS n_components FROM cnt WHERE nc >= 2),
+_HYB = f"""top3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product ORDER BY round(wmape, 9), cand_ord) AS k FROM met WHERE wmape > 0) WHERE k <= 3), cnt AS (SELECT *, count(*) OVER (PARTITION BY product) AS nc, sum(1 / wmape) OVER (PARTITION BY product) AS inv FROM top3),
+wgt AS (SELECT product, model_name, round((1 / wmape) / inv + 1e-9, 4) AS weight, nc AS n_components FROM cnt WHERE nc >= 2),
 hyb AS (SELECT product, 'hybrid_ensemble' AS model_name, 99 AS cand_ord, fold, horizon_step, date, first(actual) AS actual, sum(weight * validation_prediction) AS validation_prediction FROM val JOIN wgt USING (product, model_name) GROUP BY product, fold, horizon_step, date HAVING count(*) = max(n_components)),
 every AS (SELECT * FROM val UNION ALL BY NAME SELECT * FROM hyb),
 emet AS (SELECT product, model_name, cand_ord, {_METRICS}, count(DISTINCT fold) AS n_folds FROM every GROUP BY 1, 2, 3),
-sel AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY wmape NULLS LAST, abs(forecast_bias) NULLS LAST, mae NULLS LAST, cand_ord) = 1 AND wmape IS NOT NULL AS selected FROM emet)"""
+sel AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY round(wmape, 9) NULLS LAST, round(abs(forecast_bias), 9) NULLS LAST, round(mae, 9) NULLS LAST, cand_ord) = 1 AND wmape IS NOT NULL AS selected FROM emet)"""
 _ALL = f"WITH {MPANEL}, {_VAL}, {_MET}, {_HYB}"
 
 
-@query(f"WITH {MPANEL}, {_VAL} SELECT product, model_name, cand_ord, fold, horizon_step, date, {r('actual', 'validation_prediction', digits=4)} FROM val", digits=4)
+@query(f"WITH {MPANEL}, {_VAL} SELECT product, model_name, cand_ord, fold, horizon_step, date, {r('actual', 'validation_prediction', digits=6)} FROM val", digits=6)
 def validation_predictions(spark, d):
     return evaluate.validation_predictions(B.mixed_panel(spark, d))
 
 
-@query(f"WITH {MPANEL}, {_VAL}, {_MET} SELECT product, model_name, cand_ord, {r('mae', 'rmse', 'mape', 'wmape', 'forecast_bias', digits=4)}, n_rows, n_folds FROM met", digits=4)
+@query(f"WITH {MPANEL}, {_VAL}, {_MET} SELECT product, model_name, cand_ord, {r('mae', 'rmse', 'mape', 'wmape', 'forecast_bias', digits=6)}, n_rows, n_folds FROM met", digits=6)
 def metrics_by_product_model(spark, d):
     return evaluate.product_metrics(evaluate.validation_predictions(B.mixed_panel(spark, d)))
 
 
-@query(f"{_ALL} SELECT product, model_name, weight, n_components FROM wgt", digits=4)
+@query(f"{_ALL} SELECT product, model_name, weight, n_components FROM wgt", digits=6)
 def hybrid_weights(spark, d):
     return evaluate.hybrid_weights(evaluate.product_metrics(evaluate.validation_predictions(B.mixed_panel(spark, d))))
 
 
-@query(f"{_ALL} SELECT product, model_name, CAST(cand_ord AS INT) AS cand_ord, CAST(fold AS INT) AS fold, CAST(horizon_step AS INT) AS horizon_step, date, {r('actual', 'validation_prediction', digits=3)} FROM hyb", digits=3)
+@query(f"{_ALL} SELECT product, model_name, CAST(cand_ord AS INT) AS cand_ord, CAST(fold AS INT) AS fold, CAST(horizon_step AS INT) AS horizon_step, date, {r('actual', 'validation_prediction', digits=6)} FROM hyb", digits=6)
 def hybrid_validation(spark, d):
-    rows = evaluate.validation_predictions(B.mixed_panel(spark, d))
+    rows = materialized(evaluate.validation_predictions(materialized(B.mixed_panel(spark, d))))
     return evaluate.hybrid_validation(rows, evaluate.hybrid_weights(evaluate.product_metrics(rows)))
 
 
-@query(f"{_ALL} SELECT product, model_name, {r('wmape', digits=4)}, selected FROM sel", digits=4)
+@query(f"{_ALL} SELECT product, model_name, {r('wmape', digits=6)}, selected FROM sel", digits=6)
 def best_model(spark, d):
-    board, _ = evaluate.leaderboard(B.mixed_panel(spark, d))
+    board = _board(spark, d)[1]
     return board.where("scope = 'product' AND status = 'ok'").select("product", "model_name", "wmape", "selected")
 
 
 @query(f"""{_ALL}, pool AS (SELECT model_name, cand_ord, {_METRICS}, count(DISTINCT product) AS n_products FROM every GROUP BY 1, 2)
-SELECT model_name, {r('mae', 'rmse', 'mape', 'wmape', 'forecast_bias', digits=4)}, n_rows, n_products, row_number() OVER (ORDER BY wmape NULLS LAST, abs(forecast_bias), mae, cand_ord) = 1 AS selected FROM pool""", digits=4)
+SELECT model_name, {r('mae', 'rmse', 'mape', 'wmape', 'forecast_bias', digits=6)}, n_rows, n_products, row_number() OVER (ORDER BY round(wmape, 9) NULLS LAST, round(abs(forecast_bias), 9), round(mae, 9), cand_ord) = 1 AS selected FROM pool
+UNION ALL SELECT 'lstm', NULL, NULL, NULL, NULL, NULL, NULL, NULL, FALSE""", digits=6)
 def leaderboard_all(spark, d):
-    board, _ = evaluate.leaderboard(B.mixed_panel(spark, d))
+    board = _board(spark, d)[1]
     return board.where("scope = 'ALL'").select("model_name", "mae", "rmse", "mape", "wmape", "forecast_bias", "n_rows", "n_products", "selected")
 
 
 @query(f"""{_ALL}, ask AS (SELECT product, model_name FROM seg JOIN cand USING (segment)) SELECT product, model_name, CASE WHEN model_name IN ('sarima', 'prophet', 'random_forest', 'xgboost') THEN 'skipped' ELSE 'insufficient_history' END AS status FROM ask
 WHERE NOT EXISTS (SELECT 1 FROM emet WHERE emet.product = ask.product AND emet.model_name = ask.model_name)""")
 def leaderboard_unvalidated(spark, d):
-    board, _ = evaluate.leaderboard(B.mixed_panel(spark, d))
+    board = _board(spark, d)[1]
     return board.where("scope = 'product' AND status != 'ok'").select("product", "model_name", "status")
 
 
@@ -572,17 +549,24 @@ one AS (SELECT product, last, model_used, rmse, step, sum(weight * greatest(CASE
 fc AS (SELECT product, CAST(last + to_months(CAST(step AS INT)) AS DATE) AS date, forecast, CASE WHEN rmse IS NOT NULL THEN greatest(forecast - 1.28 * rmse, 0.0) END AS lower_bound, forecast + 1.28 * rmse AS upper_bound, model_used, CAST(step AS INT) AS horizon_step, CAST(last + INTERVAL 1 MONTH AS DATE) AS forecast_start_date FROM one)"""
 
 
+def _board(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(panel, leaderboard, validation rows), each written once, for what reads them several times."""
+    p = materialized(B.mixed_panel(spark, d))
+    board, rows = evaluate.leaderboard(p)
+    return p, materialized(board), materialized(rows)
+
+
 def _forecasts(spark, d) -> DataFrame:
-    p = B.mixed_panel(spark, d)
-    return forecast.product_forecasts(p, evaluate.leaderboard(p)[0])
+    p, board, _ = _board(spark, d)
+    return forecast.product_forecasts(p, board)
 
 
-@query(f"{_FC} SELECT product, date, {r('forecast', 'lower_bound', 'upper_bound', digits=3)}, model_used, horizon_step, forecast_start_date FROM fc", digits=3)
+@query(f"{_FC} SELECT product, date, {r('forecast', 'lower_bound', 'upper_bound', digits=6)}, model_used, horizon_step, forecast_start_date FROM fc", digits=6)
 def product_forecasts(spark, d):
     return _forecasts(spark, d)
 
 
-@query(f"""{_FC} SELECT date, round(sum(forecast), 2) + 0.0 AS total_forecast, round(coalesce(sum(lower_bound), 0), 2) + 0.0 AS total_lower, round(coalesce(sum(upper_bound), 0), 2) + 0.0 AS total_upper, count(lower_bound) AS n_bounded, CAST(row_number() OVER (ORDER BY date) AS INT) AS horizon_step FROM fc GROUP BY date""", digits=2)
+@query(f"""{_FC} SELECT date, round(sum(forecast), 6) + 0.0 AS total_forecast, round(coalesce(sum(lower_bound), 0), 6) + 0.0 AS total_lower, round(coalesce(sum(upper_bound), 0), 6) + 0.0 AS total_upper, count(lower_bound) AS n_bounded, CAST(row_number() OVER (ORDER BY date) AS INT) AS horizon_step FROM fc GROUP BY date""", digits=6)
 def total_forecast(spark, d):
     return forecast.total_forecast(_forecasts(spark, d))
 
@@ -592,26 +576,14 @@ def direct_total_series(spark, d):
     return forecast.total_panel(B.mixed_panel(spark, d))
 
 
-@query()
-def direct_total_leaderboard(spark, d):
-    board, _ = evaluate.leaderboard(forecast.total_panel(B.mixed_panel(spark, d)))
-    return board.where("scope = 'product'").select("product", "model_name", "wmape", "status", "selected")
-
-
 @query(f"""{_FC}, shown AS (SELECT e.product, e.date, e.validation_prediction AS v FROM every e JOIN best ON e.product = best.product AND e.model_name = best.model_used),
 rws AS (SELECT product, date, 'history' AS kind, y AS value FROM panel UNION ALL SELECT product, date, 'validation', v FROM shown UNION ALL SELECT product, date, 'forecast', forecast FROM fc)
-SELECT product, date, kind, {r('value', digits=2)} FROM (SELECT * FROM rws UNION ALL SELECT 'ALL', date, kind, sum(value) FROM rws WHERE kind != 'validation' GROUP BY date, kind)""", digits=2)
+SELECT product, date, kind, {r('value', digits=6)} FROM (SELECT * FROM rws UNION ALL SELECT 'ALL', date, kind, sum(value) FROM rws WHERE kind != 'validation' GROUP BY date, kind)""", digits=6)
 def chart_data_union(spark, d):
-    p = B.mixed_panel(spark, d)
-    board, rows = evaluate.leaderboard(p)
+    p, board, rows = _board(spark, d)
     return forecast.chart_data(p, rows, board, forecast.product_forecasts(p, board))
 
 
-@query()
-def metric_cards(spark, d):
-    return forecast.metric_cards(evaluate.leaderboard(B.mixed_panel(spark, d))[0])
-
-
 # --- performance and scenarios
 
 _DIR = "CASE WHEN {0} > 0 THEN 'over' WHEN {0} < 0 THEN 'under' WHEN {0} = 0 THEN 'exact' END"
@@ -705,14 +677,15 @@ def demand_concentration(spark, d):
 
 @query(f"""{_ALL}, q AS (SELECT product, segment, wmape, forecast_bias FROM seg FULL JOIN (SELECT product, wmape, forecast_bias FROM sel WHERE selected) USING (product)),
 s AS (SELECT *, CASE WHEN wmape > 0.35 THEN 2 WHEN wmape > 0.20 THEN 1 ELSE 0 END + CASE WHEN abs(forecast_bias) > 0.30 THEN 2 WHEN abs(forecast_bias) > 0.15 THEN 1 ELSE 0 END + CASE WHEN segment IN ('intermittent', 'short_history') THEN 1 ELSE 0 END AS score FROM q)
-SELECT product, segment, {r('wmape', 'forecast_bias', digits=4)}, CAST(score AS INT) AS score, CASE WHEN score >= 3 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS level FROM s""", digits=4)
+SELECT product, segment, {r('wmape', 'forecast_bias', digits=6)}, CAST(score AS INT) AS score, CASE WHEN score >= 3 THEN 'high' WHEN score >= 1 THEN 'medium' ELSE 'low' END AS level FROM s""", digits=6)
 def risk_scores(spark, d):
-    p = B.mixed_panel(spark, d)
-    return insights.risk_scores(evaluate.leaderboard(p)[0], segments.product_segments(p)).drop("drivers")
+    p, board, _ = _board(spark, d)
+    return insights.risk_scores(board, segments.product_segments(p)).drop("drivers", "volume")
 
 
-@query(f"""WITH {_SN}, f AS (SELECT avg(v) AS forecast_mean, count(*) AS n FROM (SELECT sum(forecast) AS v FROM bl GROUP BY date)), t AS (SELECT sum(y) AS v, row_number() OVER (ORDER BY date DESC) AS k FROM panel GROUP BY date), c AS (SELECT avg(v) AS recent_mean FROM t, f WHERE k <= n), g AS (SELECT *, round_even((forecast_mean - recent_mean) / recent_mean, 4) AS growth FROM f, c)
-SELECT {r('forecast_mean', 'recent_mean', 'growth', digits=3)}, CASE WHEN growth > 0.05 THEN 'up' WHEN growth < -0.05 THEN 'down' ELSE 'stable' END AS direction FROM g""", digits=3)
+@query(f"""WITH {_SN}, n AS (SELECT count(DISTINCT date) AS periods, sum(forecast) AS forecast_total FROM bl), t AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY date DESC) AS k FROM panel),
+c AS (SELECT product, avg(y) * max(periods) AS m FROM t, n WHERE k <= periods GROUP BY 1), g AS (SELECT forecast_total, recent_total, CASE WHEN recent_total > 0 THEN (forecast_total - recent_total) / recent_total END AS change FROM n, (SELECT sum(m) AS recent_total FROM c))
+SELECT {r('forecast_total', 'recent_total', 'change', digits=3)}, CASE WHEN change > 0.05 THEN 'up' WHEN change < -0.05 THEN 'down' WHEN change IS NOT NULL THEN 'stable' END AS direction FROM g""", digits=3)
 def direction_total(spark, d):
     return insights.total_direction(B.brand_panel(spark, d), _baseline(spark, d))
 
@@ -726,14 +699,3 @@ def pipeline_end_to_end(spark, d):
     if done.status != "ok":
         raise RuntimeError("; ".join(done.errors))
     return done.results["forecasts"]
-
-
-@query()
-def stream_period_sums(spark, d):
-    """The watermarked sums of the event stream, run once over what there is."""
-    from ..sources.tables import materialized
-    from ..streaming.ingest import run_available
-
-    rows = materialized(B.read_table(spark, d, "events").select("event_type", "ts", "value").repartition(4))
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
-    return run_available(spark, path, path + "-sums", path + "-progress", rows.schema)

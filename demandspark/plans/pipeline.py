@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import date_format_of, to_date, to_number
-from ..operators import analysis, evaluate, features, forecast, insights, intake, quality, remediation, segments
-from ..operators.panel import granularity, panel, period_feature
+from ..operators import analysis, evaluate, external, features, forecast, insights, intake, models, quality, remediation, segments
+from ..operators.panel import granularity, panel, with_period_features
 from ..sources.tables import materialized
 from ..types import RunConfig
 
@@ -35,72 +35,116 @@ def _intake(x: Context) -> None:
     found = intake.run_intake(x.raw, x.config.extra.get("memory"), x.config.extra.get("reviewer"))
     if x.config.mapping:
         found = intake.correct(found, {c: r for r, c in vars(x.config.mapping).items() if c})
+    x.results["intake"] = found
+    x.warnings += found.warnings
     missing = [r for r in ("date", "product", "qty") if getattr(found.mapping, r) is None]
     if missing:
+        x.results["issues"] = quality.missing_columns(found.mapping)
         raise Halt(f"no column for {', '.join(missing)}")
-    x.results["intake"] = found
-    x.warnings += found.warnings
+    m = found.mapping
+    rest = [c for c in x.raw.columns if c not in (m.date, m.product, m.qty)]
+    x.results["names"] = {c: f"client_{c}" if c.lower() in ("date", "product", "qty", "y") else c for c in rest}
+    x.results["meanings"] = {i["detected_meaning"]: x.results["names"][i["column"]] for i in found.inputs if i["confidence"] in ("high", "medium") and i["column"] in x.results["names"]}
+    if x.config.extra.get("memory_path"):
+        intake.confirm_mapping(found, x.config.extra["memory_path"])
 
 
-def _typed(x: Context) -> DataFrame:
+def _named(x: Context) -> DataFrame:
+    """The upload under the engine's names, values as they are."""
     m = x.results["intake"].mapping
-    rest = [c for c in x.raw.columns if c not in (m.date, m.product, m.qty)]
-    fmt = date_format_of(x.raw, m.date)
-    safe = {c: f"client_{c}" if c in ("date", "product", "qty", "y") else c for c in rest}
-    return x.raw.select(F.col(f"`{m.product}`").cast("string").alias("product"), to_date(x.raw, m.date, fmt).alias("date"), to_number(F.col(f"`{m.qty}`")).alias("qty"), *(F.col(f"`{c}`").alias(n) for c, n in safe.items()))
+    return x.raw.select(F.col(f"`{m.product}`").cast("string").alias("product"), F.col(f"`{m.date}`").alias("date"), F.col(f"`{m.qty}`").alias("qty"), *(F.col(f"`{c}`").alias(n) for c, n in x.results["names"].items()))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"date": to_date(rows, "date", date_format_of(rows, "date")), "qty": to_number(F.col("qty"))})
 
 
 def _quality(x: Context) -> None:
-    m, g = x.results["intake"].mapping, granularity(x.config.granularity)
-    fmt = date_format_of(x.raw, m.date)
-    counts = quality.invalid_counts(x.raw, to_date(x.raw, m.date, fmt), to_number(F.col(f"`{m.qty}`")), F.col(f"`{m.date}`"), F.col(f"`{m.qty}`"), F.col(f"`{m.product}`")).first().asDict()
-    rows = materialized(_typed(x))
-    x.results["rows"] = rows
-    meant = {i["detected_meaning"]: i["column"] for i in x.results["intake"].inputs if i["confidence"] in ("high", "medium") and i["column"] in rows.columns}
+    g = granularity(x.config.granularity)
+    named = materialized(_named(x))
+    rows = materialized(_typed(named))
+    counts = quality.invalid_counts(named, to_date(named, "date", date_format_of(named, "date")), to_number(F.col("qty")), F.col("date"), F.col("qty"), F.col("product")).first().asDict()
+    meant = x.results["meanings"]
     found = quality.issues(rows, g, meant, counts)
-    x.results |= {"issues": found, "readiness": quality.readiness(found, bool(set(meant) & {"stock_on_hand", "lead_time"}), bool(set(meant) & {"price", "promotion", "discount"})), "plan": remediation.build_plan(found)}
+    past = intake.history_summary(rows).first().asDict()
+    x.results |= {"named": named, "rows": rows, "issues": found, "readiness": quality.readiness(found, set(meant)), "plan": remediation.build_plan(found, named, g), "history": past}
+    x.results["presence"] = intake.presence_readiness(x.results["intake"].mapping, x.results["intake"].inputs, past["n_products"], past["n_sufficient"], past["avg_zero_period_ratio"])
+    if not quality.ready_for_features(found):
+        x.warnings.append("quality: the data is not fully ready for features; going on may fail there")
 
 
 def _repair(x: Context) -> None:
     plan = x.results["plan"]
     approved = tuple(p["action"] for p in plan["review"]) if x.config.auto_approve_quality else x.config.approved
-    rows, audit = remediation.execute_plan(x.results["rows"], plan, approved, granularity(x.config.granularity), keep_extras=x.config.keep_extras)
-    x.results |= {"rows": materialized(rows), "audit": audit}
+    rows, audit = remediation.execute_plan(x.results["named"], plan, approved, granularity(x.config.granularity), keep_extras=x.config.keep_extras)
+    x.results |= {"rows": materialized(_typed(rows)), "audit": audit}
+
+
+def _external(x: Context) -> None:
+    """The side tables of the data's own span: a frame that is given, or built from a folder of side files."""
+    frame, folder = x.config.extra.get("external"), x.config.extra.get("external_folder")
+    if frame is None and folder:
+        span = x.results["rows"].agg(F.min("date").cast("date").cast("string").alias("a"), F.max("date").cast("date").cast("string").alias("b")).first()
+        if span["a"]:
+            frame, notes, missing = external.build_external(x.raw.sparkSession, span["a"], span["b"], folder, granularity(x.config.granularity), x.config.city, x.config.sector)
+            x.warnings += notes + [f"{c}: no side file" for c in missing]
+    x.results["external"] = frame
 
 
 def _features(x: Context) -> None:
     g = granularity(x.config.granularity)
-    rows = x.results["rows"]
+    rows, names = x.results["rows"], x.results["names"]
     base = materialized(panel(rows, g))
-    if not base.limit(1).count():
+    if base.isEmpty():
         raise Halt("no row has a product, a date and a quantity")
-    ways = intake.route([i for i in x.results["intake"].inputs if i["column"] in rows.columns])
-    full = base
-    for c in ways["features"]:
-        full = full.join(period_feature(rows.withColumn(c, F.col(c).try_cast("double")), c, g), ["product", "date"], "left")
-    full = features.build_features(full, g, x.config.sector)
-    audit = features.leakage_audit([c for c in full.columns if c not in ("product", "date", "y")], g)
+    ways = {k: [names[c] for c in v if names.get(c) in rows.columns] for k, v in intake.route([i for i in x.results["intake"].inputs if i["column"] in names]).items()}
+    client = {c: m for m, c in x.results["meanings"].items() if c in ways["features"]} | {c: "" for c in ways["features"] if c not in x.results["meanings"].values()}
+    full = with_period_features(base, rows, ways["features"], g)
+    side = {}
+    if x.results.get("external") is not None:
+        full, notes = features.align_external(full, x.results["external"])
+        x.warnings += notes
+        told = external.get_registry()
+        side = {c: told[c]["future_availability"] if c in told else features.FUTURE_DEFAULT for c in full.columns if c not in (*base.columns, *client)}
+    heat = next((c for c, m in client.items() if m == "temperature"), None)
+    if heat and "cooling_degree_days" not in full.columns:
+        full = features.with_degree_days(full, heat)
+    inputs = [c for c in full.columns if c not in base.columns and c not in features.CALENDAR]
+    full = materialized(features.build_features(full.select(*base.columns, *inputs), g, x.config.sector))
+    metadata = features.feature_metadata([c for c in full.columns if c not in ("product", "date", "y")], client, {c: f for c, f in side.items() if c in inputs})
+    keep, fill, shut = features.partition_future(metadata)
+    x.warnings += [f"{c}: left out of training, its later values are unknown" for c in shut] + [f"{c}: later values are the mean of their calendar month" for c in fill]
+    audit = features.leakage_audit(full, g, metadata, ways["excluded"])
     if not all(a["passed"] for a in audit):
         raise Halt("leakage audit failed: " + "; ".join(a["check"] for a in audit if not a["passed"]))
-    x.results |= {"panel": base, "features": full, "routes": ways, "leakage_audit": audit}
+    trained = [c for c in inputs if c in keep]
+    x.results |= {"panel": base, "features": full, "routes": ways, "leakage_audit": audit, "metadata": metadata, "matrices": features.matrices(full), "tree_inputs": trained, "tree_fill": tuple(c for c in fill if c in trained), "relevance": features.ranked_relevance(full, inputs)}
 
 
-def _external(x: Context) -> None:
-    frame = x.config.extra.get("external")
-    if frame is not None:
-        x.results["features"], notes = features.align_external(x.results["features"], frame)
-        x.warnings += notes
+def _forecasters(x: Context) -> dict:
+    """model -> forecaster(panel, horizon) of the models beyond the closed forms that can run here."""
+    g = granularity(x.config.granularity)
+    if not x.config.advanced_models:
+        return {}
+    trees = {m: (lambda p, h, m=m: models.tree_forecast(p, m, g, h, x.results["tree_fill"], x.config.sector)) for m in ("random_forest", "xgboost")}
+    return trees | {m: (lambda p, h, m=m: models.package_forecast(p, m, g, h)) for m in ("sarima", "prophet") if models.available(m)} | x.config.extra.get("forecasters", {})
 
 
 def _model(x: Context) -> None:
-    g = granularity(x.config.granularity)
-    base = x.results["panel"]
-    board, rows = evaluate.leaderboard(base, g, x.config.evaluation_mode)
+    g, mode = granularity(x.config.granularity), x.config.evaluation_mode
+    base, horizon = x.results["panel"], x.config.horizon or g.horizon
+    wide = x.results["features"].select("product", "date", "y", *(F.col(f"`{c}`").cast("double").alias(c) for c in x.results["tree_inputs"]))
+    forecasters = _forecasters(x)
+    advanced = evaluate.validate_advanced(wide, forecasters, g, mode) if forecasters else evaluate.Advanced()
+    board, rows = evaluate.leaderboard(base, g, mode, advanced=advanced)
     board, rows = materialized(board), materialized(rows)
-    out = materialized(forecast.product_forecasts(base, board, g, x.config.horizon))
-    if not out.limit(1).count():
+    others, notes = forecast.advanced_forecasts(wide, materialized(forecast.used_models(board)), forecasters, horizon)
+    x.warnings += notes
+    out = materialized(forecast.product_forecasts(base, board, g, horizon, others))
+    if out.isEmpty():
         raise Halt("no forecast was made")
-    x.results |= {"leaderboard": board, "validation": rows, "forecasts": out, "total": forecast.total_forecast(out), "segments": materialized(segments.product_segments(base, g.season)), "chart_data": forecast.chart_data(base, rows, board, out), "cards": forecast.metric_cards(board)}
+    total = forecast.total_forecast(out)
+    x.results |= {"leaderboard": board, "validation": rows, "forecasts": out, "total": total, "direct_total": forecast.direct_total(base, g, mode, horizon), "segments": materialized(segments.product_segments(base, g.season)), "chart_data": forecast.chart_data(base, rows, board, out), "cards": forecast.metric_cards(board, rows, base), "summary": forecast.forecast_summary(board, rows, out, total)}
 
 
 def _performance(x: Context) -> None:
@@ -112,11 +156,12 @@ def _performance(x: Context) -> None:
 
 def _insights(x: Context) -> None:
     r = x.results
-    r["insights"] = insights.generate(r["panel"], r["forecasts"], r["leaderboard"], r["segments"], r["issues"])
+    told = r["performance_summary"].first().asDict() if "performance_summary" in r else None
+    r["insights"] = insights.generate(r["panel"], r["forecasts"], r["leaderboard"], r["segments"], r["issues"], x.config.extra.get("scenario"), r["summary"].first().asDict(), told)
 
 
 #: (name, stage, whether the run goes on without it)
-STAGES = [("intake", _intake, False), ("quality", _quality, False), ("repair", _repair, False), ("features", _features, False), ("external", _external, True), ("model", _model, False), ("performance", _performance, True), ("insights", _insights, True)]
+STAGES = [("intake", _intake, False), ("quality", _quality, False), ("repair", _repair, False), ("external", _external, True), ("features", _features, False), ("model", _model, False), ("performance", _performance, True), ("insights", _insights, True)]
 
 
 def _run(x: Context, stages: list) -> Context:

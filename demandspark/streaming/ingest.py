@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _instant(c: str) -> Column:
+    """A zone-less timestamp as an instant, read in UTC whatever the session's zone: watermarks need instants, weeks must start at midnight."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})"))
+
+
+def _zoneless(c: str) -> Column:
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({c}), TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+
+def _sums(rows: DataFrame, width: str) -> DataFrame:
+    sums = rows.groupBy("product", F.window("ts", width).alias("w")).agg(F.coalesce(F.sum("qty"), F.lit(0.0)).alias("y"), F.count("*").alias("n"))
+    return sums.select("product", _zoneless("w.start").alias("period_start"), _zoneless("w.end").alias("period_end"), "y", "n")
+
+
+def _rows(events: DataFrame, product: str, date: str, qty: str) -> DataFrame:
+    zoneless = events.select(F.col(product).cast("string").alias("product"), F.col(date).cast("timestamp_ntz").alias("ts"), F.col(qty).cast("double").alias("qty"))
+    return zoneless.withColumn("ts", _instant("ts"))
+
+
 def period_sums(stream: DataFrame, width: str = "7 days", late: str = "2 days", product: str = "event_type", date: str = "ts", qty: str = "value") -> DataFrame:
-    """(product, period_start, y, n): tumbling sums; rows later than the watermark are dropped, finished windows leave the state."""
-    rows = stream.select(F.col(product).cast("string").alias("product"), F.col(date).cast("timestamp").alias("ts"), F.col(qty).cast("double").alias("qty"))
-    sums = rows.withWatermark("ts", late).groupBy("product", F.window("ts", width).alias("w")).agg(F.coalesce(F.sum("qty"), F.lit(0.0)).alias("y"), F.count("*").alias("n"))
-    return sums.select("product", F.col("w.start").alias("period_start"), "y", "n")
+    """(product, period_start, period_end, y, n): tumbling sums; rows later than the watermark are dropped, finished windows leave the state."""
+    return _sums(_rows(stream, product, date, qty).withWatermark("ts", late), width)
 
 
-def run_available(spark: SparkSession, folder: str, out: str, checkpoint: str, schema) -> DataFrame:
-    """Reads what lies in folder as a stream, appends finished windows to the Parquet table `out`, and returns that table."""
+def run_available(spark: SparkSession, folder: str, out: str, checkpoint: str, schema, width: str = "7 days") -> DataFrame:
+    """Reads what lies in folder as a stream, appends finished windows to the Parquet table `out`, and returns that table with the windows that
+    the watermark leaves open: these are summed from their rows in folder, and are finished by a later run when more has come."""
     stream = spark.readStream.schema(schema).parquet(folder)
-    query = period_sums(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query = period_sums(stream, width).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    done = spark.read.schema("product string, period_start timestamp_ntz, period_end timestamp_ntz, y double, n long").parquet(out)
+    until = done.agg(F.max("period_end").alias("until"))  # windows leave the state in order, so that all later ones are open
+    rows = _rows(spark.read.schema(schema).parquet(folder), "event_type", "ts", "value").crossJoin(F.broadcast(until)).where(F.col("until").isNull() | (_zoneless("ts") >= F.col("until")))  # one row
+    return done.withColumn("finished", F.lit(True)).unionByName(_sums(rows, width).withColumn("finished", F.lit(False)))

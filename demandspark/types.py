@@ -31,10 +31,10 @@ WEEKLY = Granularity("weekly", "INTERVAL 7 DAY", (1, 4, 52), (4, 12), 52, 4, 26)
 GRANULARITIES = {g.name: g for g in (MONTHLY, WEEKLY)}
 FOLDS = {"fast": 2, "balanced": 3, "full": 4}
 VALIDATION_HORIZON = 3
-#: (upper bound, label) in order; what exceeds all takes the last label.
-ERROR_BANDS = ((0.10, "excellent"), (0.20, "good"), (0.35, "fair"), (float("inf"), "poor"))
-BIAS_BANDS = ((0.05, "balanced"), (0.15, "slight"), (0.30, "notable"), (float("inf"), "severe"))
-RELATIVE_BANDS = ((0.15, "low"), (0.30, "moderate"), (0.50, "high"), (float("inf"), "very_high"))
+#: Fixed values: (upper bound, label) in order; what exceeds all takes the last label. Bias goes by its size, MAE and RMSE by their share of mean demand.
+ERROR_BANDS = ((0.10, "excellent"), (0.20, "good"), (0.35, "needs_attention"), (float("inf"), "poor"))
+BIAS_BANDS = ((0.05, "excellent"), (0.15, "good"), (0.30, "needs_attention"), (float("inf"), "poor"))
+RELATIVE_BANDS = ((0.15, "excellent"), (0.30, "good"), (0.50, "needs_attention"), (float("inf"), "poor"))
 
 
 @dataclass
@@ -47,4 +47,7 @@ class RunConfig:
     sector: str | None = None
     mapping: CoreMapping | None = None
     keep_extras: bool = True
+    #: Whether tree models (and installed packages) are fitted for the products that ask for them.
+    advanced_models: bool = True
+    city: str | None = None
     extra: dict = field(default_factory=dict)
