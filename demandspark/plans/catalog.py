@@ -503,9 +503,10 @@ def validation_predictions(spark, d):
     return evaluate.validation_predictions(B.mixed_panel(spark, d))
 
 
-@query(f"WITH {MPANEL}, {_VAL}, {_MET} SELECT product, model_name, cand_ord, {r('mae', 'rmse', 'mape', 'wmape', 'forecast_bias', digits=6)}, n_rows, n_folds FROM met", digits=6)
+@query(f"WITH {MPANEL}, {_VAL}, {_MET} SELECT product, model_name, cand_ord, {r('mae', 'rmse')}, {r('mape', 'wmape', 'forecast_bias', digits=10)}, n_rows, n_folds FROM met", digits=10)
 def metrics_by_product_model(spark, d):
-    return evaluate.product_metrics(evaluate.validation_predictions(B.mixed_panel(spark, d)))
+    found = evaluate.product_metrics(evaluate.validation_predictions(B.mixed_panel(spark, d)))
+    return found.withColumns({c: F.round(c, 6) for c in ("mae", "rmse")})
 
 
 @query(f"{_ALL} SELECT product, model_name, weight, n_components FROM wgt", digits=6)
@@ -519,7 +520,7 @@ def hybrid_validation(spark, d):
     return evaluate.hybrid_validation(rows, evaluate.hybrid_weights(evaluate.product_metrics(rows)))
 
 
-@query(f"{_ALL} SELECT product, model_name, {r('wmape', digits=6)}, selected FROM sel", digits=6)
+@query(f"{_ALL} SELECT product, model_name, {r('wmape', digits=10)}, selected FROM sel", digits=10)
 def best_model(spark, d):
     board = _board(spark, d)[1]
     return board.where("scope = 'product' AND status = 'ok'").select("product", "model_name", "wmape", "selected")
