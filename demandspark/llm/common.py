@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,21 +15,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. On one machine (a local master) it is set to a temporary folder
+    where it is unset; on a cluster that raises, since executors could not read such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables of written() made inside are deleted at the end, but for those made with keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for made in _open.pop():
+            dropped(made)
+
+
+def written(df: DataFrame, keep: bool = False) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: computed once, with its lineage cut, safe from lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _open and not keep:
+        _open[-1].append(out)
     return out
 
 

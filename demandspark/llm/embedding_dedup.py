@@ -57,8 +57,8 @@ def codes(x: np.ndarray, tables: int, depth: int, seed: int) -> np.ndarray:
     return out
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(vectors) -> np.ndarray:
+    x = np.asarray(vectors, np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow in the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -77,6 +77,16 @@ def _hashed(tables: int, depth: int, seed: int):
     return run
 
 
+def _flat(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _members(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, copies, unit vectors, codes) of a block; a bucket's key holds the length of its vectors."""
+    return rows.field("node").to_numpy(), rows.field("copies").to_numpy(), _unit(_flat(rows.field("vector"))), _flat(rows.field("codes"))
+
+
 def _verified(least: float, tables: int):
     """Pairs of blocks -> (node, links, centre): partial counts of links, and a star for each component in the pair."""
     from .components import components_of
@@ -85,18 +95,17 @@ def _verified(least: float, tables: int):
         for b in batches:
             nodes, links, centres = [], [], []
             for left, right, same, bucket in zip(*(b.column(k) for k in range(4)), strict=True):
-                left, right, bucket = left.as_py(), right.as_py(), bucket.as_py()
-                n1, n2 = (np.array([r["node"] for r in s], np.int64) for s in (left, right))
-                w1, w2 = (np.array([r["copies"] for r in s], np.int64) for s in (left, right))
-                x1, x2 = (_unit([r["vector"] for r in s]) for s in (left, right))
+                (n1, w1, x1, k1), (n2, w2, x2, k2) = _members(left.values), _members(right.values)
+                if x1.shape[1] != x2.shape[1]:
+                    continue
+                bucket = bucket.as_py()
                 near = x1 @ x2.T >= least
                 if same.as_py():
                     near = np.triu(near, 1)
                 i, j = np.nonzero(near)
                 for at in range(0, len(i), 1 << 16):
                     p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                    c1 = np.array([r["codes"] for r in left], np.int64).reshape(len(left), tables, -1)[p]
-                    c2 = np.array([r["codes"] for r in right], np.int64).reshape(len(right), tables, -1)[q]
+                    c1, c2 = k1.reshape(len(k1), tables, -1)[p], k2.reshape(len(k2), tables, -1)[q]
                     shared = np.where((c1[:, :, :, None] == c2[:, :, None, :]).any(3), c1, np.iinfo(np.int64).max)
                     mine = shared.reshape(len(p), -1).min(1) == bucket
                     p, q = p[mine], q[mine]
@@ -127,11 +136,13 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, tables: int = 6, de
     # digests of the vector's text: 0.0 and -0.0 are one
     zero = F.lit(0).cast(rows.schema["vector"].dataType.elementType)
     plain = F.transform("vector", lambda x: F.when(x == 0, zero).otherwise(x))
-    rows = rows.withColumn("node", F.when(usable, F.xxhash64("label", plain))).withColumn("vector", F.when(usable, plain))
-    slim = written(rows.select("id", "node"))
-    nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("id").alias("first_id")))
+    digest = lambda seed: F.when(usable, F.xxhash64(F.lit(seed), "label", plain))  # noqa: E731  two of 64 bits: no two vectors are taken for one
+    rows = rows.withColumns({"_k1": digest(1), "_k2": digest(2)}).withColumn("vector", F.when(usable, plain))
+    slim = written(rows.select("id", "_k1", "_k2"))
+    nodes = rows.where("_k1 IS NOT NULL").groupBy("_k1", "_k2").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"), F.min("id").alias("first_id"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
     hashed = nodes.select("node", "vector").mapInArrow(_hashed(tables, depth, seed), "node long, codes array<long>")
-    full = written(nodes.join(hashed, "node"))
+    full = written(nodes.drop("_k1", "_k2").join(hashed, "node"))
     label = F.coalesce(F.col("label").cast("string"), F.lit(""))
     spread = full.select("node", F.xxhash64(label, F.size("vector")).alias("_of"), F.explode(F.array_distinct("codes")).alias("code")).select("node", "code", F.xxhash64("_of", "code").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
@@ -145,14 +156,15 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, tables: int = 6, de
     found = written(columns.mapInArrow(_verified(least, tables), "node long, links long, centre long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected(found.select(F.col("node").alias("u"), F.col("centre").alias("v")))
-    known = nodes.select("node", "copies", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = nodes.select("node", "_k1", "_k2", "copies", "first_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = written(known.join(counts, "node", "left"))
     least_id = written(known.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    named = written(known.join(least_id, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
-    out = slim.join(named, "node", "left")
+    named = written(known.join(least_id, "component").select("_k1", "_k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
+    out = slim.join(named, ["_k1", "_k2"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component; nulls, zeros, repeats and empty tables as in embedding_links."""
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

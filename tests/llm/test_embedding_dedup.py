@@ -56,3 +56,17 @@ def test_against_brute_force(spark):
     assert found >= 0.99 * true and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g != w for g, w in zip(got, want, strict=True)) <= 4
     assert embedding_links(df.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(600):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        cos = rng.uniform(0.9805, 0.984)
+        rows += [a.tolist(), (cos * a + np.sqrt(1 - cos * cos) * b / np.linalg.norm(b)).tolist()]
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in embedding_links(df).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(600)) >= 594
