@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP12_SQL, op12_decontaminate
 from .embedding_dedup import op6_embedding_dedup
 from .language_id import op3_language_id
 from .media import op4_chroma_match
 from .mixing import OP7_SQL, op7_mix
 from .packing import op9_pack
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .sharding import op8_shard
 from .simhash import op10_simhash
@@ -28,10 +30,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
     "op7_mix": OP7_SQL,
+    "op12_decontaminate": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
