@@ -13,6 +13,7 @@ from .media import op4_chroma_match
 from .mixing import OP7_SQL, op7_mix
 from .packing import op9_pack
 from .prefix_trie import OP13_SQL, op13_prefix_trie
+from .ranked_search import OP11_SQL, op11_search
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .sharding import op8_shard
 from .simhash import op10_simhash
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_pack": op9_pack,
     "op10_simhash": op10_simhash,
+    "op11_search": op11_search,
     "op12_decontaminate": op12_decontaminate,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -38,6 +40,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
     "op7_mix": OP7_SQL,
+    "op11_search": OP11_SQL,
     "op12_decontaminate": OP12_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
