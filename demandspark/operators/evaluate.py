@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metric_columns
-from ..sources.tables import materialized
+from ..sources.tables import dropped, materialized
 from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON, Granularity
-from .models import CLOSED_FORM, NEEDS, available, predict, series
-from .segments import candidates, fold_cutoffs, product_segments
+from .models import CLOSED_FORM, NEEDS, available, predicted_by, prefixes, series
+from .segments import candidates, fold_cuts, fold_cutoffs, product_segments
 
 INTERVAL_Z = 1.28
 HYBRID = "hybrid_ensemble"
@@ -22,15 +24,18 @@ HYBRID = "hybrid_ensemble"
 def validation_predictions(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, segments: DataFrame | None = None) -> DataFrame:
     """(product, model_name, cand_ord, fold, horizon_step, date, actual, validation_prediction) of the closed-form candidates.
 
-    A product's series travels as one array and is cut for each fold: one shuffle for all folds and models."""
+    A product's series is read once, forward, and what each fold may know of it is kept: one shuffle and one scan for all folds, models and
+    steps, which are told apart on these few values only."""
     segments = product_segments(panel, g.season) if segments is None else segments
-    cuts = fold_cutoffs(segments, g.season, horizon, FOLDS[mode])
-    rows = series(panel).join(cuts.select("product", "segment", "fold", "cut"), "product")
-    rows = rows.join(F.broadcast(candidates(panel.sparkSession, mode).where(F.col("model_name").isin(*CLOSED_FORM))), "segment")  # at most 22 rows
-    rows = rows.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("train", F.slice("y", F.lit(1), F.col("cut")))
-    value = reduce(lambda rest, m: F.when(F.col("model_name") == m, predict(m, F.col("train"), F.col("horizon_step"), g)).otherwise(rest), CLOSED_FORM, F.lit(None).cast("double"))
-    at = (F.col("cut") + F.col("horizon_step")).cast("int")
-    return rows.select("product", "model_name", "cand_ord", "fold", "horizon_step", F.element_at("dates", at).alias("date"), F.element_at("y", at).alias("actual"), value.alias("validation_prediction"))
+    rows = series(panel).join(segments.select("product", "segment", fold_cuts(F.col("n_points"), g.season, horizon, FOLDS[mode]).alias("cuts")), "product").where(F.size("cuts") > 0)
+    after = lambda c: lambda p: F.slice(c, p["cut"] + 1, F.lit(horizon))
+    kept = F.transform(prefixes(F.col("y"), F.col("cuts"), g, horizon), lambda p: F.struct(p.alias("prefix"), after("dates")(p).alias("dates"), after("y")(p).alias("actuals")))
+    folds = rows.select("product", "segment", F.posexplode_outer(kept).alias("fold", "kept")).select("product", "segment", "fold", "kept.*")
+    asked = candidates(panel.sparkSession, mode).where(F.col("model_name").isin(*CLOSED_FORM))
+    rows = folds.join(F.broadcast(asked), "segment").withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))  # at most 22 rows
+    at = lambda c: F.get(c, F.col("horizon_step") - 1)
+    value = predicted_by(F.col("model_name"), F.col("prefix"), F.col("horizon_step"), g)
+    return rows.select("product", "model_name", "cand_ord", "fold", "horizon_step", at("dates").alias("date"), at("actuals").alias("actual"), value.alias("validation_prediction"))
 
 
 def asked_of(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", segments: DataFrame | None = None) -> DataFrame:
@@ -66,26 +71,33 @@ class Advanced:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON) -> Advanced:
-    """Validates each of forecasters (model -> forecaster) for the products that ask for it, fold by fold. A fold that fails loses its own rows
-    only; a model without any row is failed, with the first reason. A model that no product asks for isn't run. The rows are written."""
+def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, parallel: int = 4) -> Advanced:
+    """Validates each of forecasters (model -> forecaster) for the products that ask for it. Folds and models don't depend on each other: `parallel`
+    of them are fitted at a time. A fold that fails loses its own rows only; a model without any row is failed, with the first reason. A
+    model that no product asks for isn't run. The rows are written."""
     asked = materialized(asked_of(panel, g, mode))
     wanted = {r["model_name"] for r in asked.select("model_name").distinct().collect()}
-    out, made = Advanced(), []
-    for model, forecaster in forecasters.items():
-        if model not in wanted:
-            continue
-        began, reason, had = time.time(), "", 0
-        for fold in range(FOLDS[mode]):
-            try:
-                rows = materialized(fold_validation(panel, model, forecaster, fold, g, mode, horizon, asked))
-                had += rows.limit(1).count()
-                made.append(rows)
-            except Exception as e:  # noqa: BLE001  one failing fold or model must not lose the others
-                reason = reason or (str(e).splitlines() or [type(e).__name__])[0][:200]
-        out.seconds[model] = time.time() - began
-        if reason and not had:
-            out.failures[model] = reason
+    models, out, made = [m for m in forecasters if m in wanted], Advanced(), []
+
+    def run(model: str, fold: int) -> tuple[DataFrame | None, str, float]:
+        began = time.time()
+        try:
+            rows = materialized(fold_validation(panel, model, forecasters[model], fold, g, mode, horizon, asked))
+            return rows, "", time.time() - began
+        except Exception as e:  # noqa: BLE001  one failing fold or model must not lose the others
+            return None, (str(e).splitlines() or [type(e).__name__])[0][:200], time.time() - began
+
+    with ThreadPoolExecutor(parallel) as pool:
+        runs = {m: [pool.submit(inheritable_thread_target(panel.sparkSession)(run), m, fold) for fold in range(FOLDS[mode])] for m in models}
+        for model, futures in runs.items():
+            found = [f.result() for f in futures]
+            rows = [r for r, _, _ in found if r is not None]
+            reason = next((why for _, why, _ in found if why), "")
+            out.seconds[model] = sum(took for _, _, took in found)
+            if reason and not any(r.limit(1).count() for r in rows):
+                out.failures[model] = reason
+            made += rows
+    dropped(asked)
     out.rows = reduce(DataFrame.unionByName, made) if made else None
     return out
 
@@ -122,18 +134,20 @@ LSTM = ("lstm", "future_extension", "Requires larger datasets, tuning, and addit
 
 
 def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, advanced: Advanced | None = None) -> tuple[DataFrame, DataFrame]:
-    """(leaderboard, validation rows, hybrid included).
+    """(leaderboard, validation rows, hybrid included, written).
 
     Scope product: each candidate with its status and reason: ok, failed, skipped (its package is missing, or nobody ran it) or
     insufficient_history. Scope ALL: errors pooled over products, the least wMAPE selected, and the row of a model only announced.
     extra, or advanced.rows: validation rows of models that aren't closed forms. seconds: of the whole validation of such a model."""
     advanced = advanced or Advanced(extra)
-    segments = product_segments(panel, g.season)
+    segments = materialized(product_segments(panel, g.season))
     rows = validation_predictions(panel, g, mode, horizon, segments)
     if advanced.rows is not None:
         rows = rows.unionByName(advanced.rows)
-    every = rows.unionByName(hybrid_validation(rows, hybrid_weights(product_metrics(rows))))
-    metrics = selected(product_metrics(every))
+    rows = materialized(rows)
+    every = materialized(rows.unionByName(hybrid_validation(rows, hybrid_weights(product_metrics(rows)))))
+    dropped(rows)
+    metrics = materialized(selected(product_metrics(every)))
     rest = asked_of(panel, g, mode, segments).join(metrics.select("product", "model_name"), ["product", "model_name"], "left_anti")
     beyond = [m for m in ("sarima", "prophet", "random_forest", "xgboost") if m not in advanced.seconds]
     status, reason = F.lit("insufficient_history"), F.lit("the history is too short for a fold")

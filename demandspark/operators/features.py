@@ -145,7 +145,11 @@ def build_features(panel: DataFrame, g: Granularity = MONTHLY, sector: str | Non
 
 def numeric_features(panel: DataFrame, g: Granularity = MONTHLY, detected: DataFrame | None = None) -> DataFrame:
     """build_features as numbers, for tree models."""
-    f = build_features(panel, g, detected=detected)
+    return as_numbers(build_features(panel, g, detected=detected))
+
+
+def as_numbers(f: DataFrame) -> DataFrame:
+    """The seasonal features as numbers."""
     return f.withColumns({"seasonal_pattern_type": pattern_code(F.col("seasonal_pattern_type")), "is_peak_season": F.col("is_peak_season").cast("int"), "is_low_season": F.col("is_low_season").cast("int")})
 
 

@@ -12,7 +12,7 @@ from ..sources.tables import materialized
 from ..types import BIAS_BANDS, ERROR_BANDS, MONTHLY, RELATIVE_BANDS, VALIDATION_HORIZON, Granularity
 from . import evaluate
 from .evaluate import HYBRID, INTERVAL_Z, hybrid_weights, product_metrics, selected, validation_predictions
-from .models import CLOSED_FORM, predict, series, step_date
+from .models import CLOSED_FORM, histories, predicted, predicted_by, step_date
 
 
 def used_models(board: DataFrame) -> DataFrame:
@@ -45,14 +45,15 @@ def product_forecasts(panel: DataFrame, board: DataFrame, g: Granularity = MONTH
     The selected model, or the weighted sum of the hybrid's components, over the whole history; naive where none was validated, and for a
     product for which any part has no forecast (others: those of models that aren't closed forms, see advanced_forecasts). Bounds:
     1.28 validation RMSE to either side, from 0; NULL without validation."""
-    used = series(panel).join(used_models(board), "product", "left").fillna({"model_used": "naive", "model_name": "naive", "weight": 1.0})
-    rows = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon or g.horizon))))
+    horizon = horizon or g.horizon
+    used = histories(panel, g, horizon).join(used_models(board), "product", "left").fillna({"model_used": "naive", "model_name": "naive", "weight": 1.0})
+    rows = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     told = F.lit(None).cast("double")
     if others is not None:
         rows, told = rows.join(others, ["product", "model_name", "horizon_step"], "left"), F.greatest(F.col("_told"), F.lit(0.0))
         told = F.when(F.col("_told").isNotNull() & ~F.isnan("_told"), told)
-    value = reduce(lambda rest, m: F.when(F.col("model_name") == m, predict(m, F.col("y"), F.col("horizon_step"), g)).otherwise(rest), CLOSED_FORM, told)
-    plain = predict("naive", F.col("y"), F.col("horizon_step"), g)
+    value = predicted_by(F.col("model_name"), F.col("prefix"), F.col("horizon_step"), g, told)
+    plain = predicted("naive", F.col("prefix"), F.col("horizon_step"), g)
     rows = rows.withColumns({"_f": value, "_naive": plain}).groupBy("product", "last_date", "model_used", "rmse", "horizon_step")
     rows = rows.agg(F.sum(F.col("weight") * F.col("_f")).alias("forecast"), F.bool_or(F.col("_f").isNull()).alias("_lost"), F.first("_naive").alias("_naive"))
     lost = F.bool_or("_lost").over(Window.partitionBy("product"))
@@ -81,9 +82,10 @@ def direct_total(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanc
     n = total.groupBy("product").agg(F.count("*").alias("n_points")).where(F.col("n_points") >= g.season + 2 + VALIDATION_HORIZON)
     rows = validation_predictions(total, g, mode, VALIDATION_HORIZON, n.withColumn("segment", F.lit("normal")))
     best = selected(product_metrics(rows)).where("selected").select("product", F.col("model_name").alias("model_used"), "rmse")
-    used = series(total).join(n.select("product"), "product").join(best, "product", "left").fillna({"model_used": "naive"})
-    steps = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon or g.horizon))))
-    value = reduce(lambda rest, m: F.when(F.col("model_used") == m, predict(m, F.col("y"), F.col("horizon_step"), g)).otherwise(rest), CLOSED_FORM, F.lit(None).cast("double"))
+    horizon = horizon or g.horizon
+    used = histories(total, g, horizon).join(n.select("product"), "product").join(best, "product", "left").fillna({"model_used": "naive"})
+    steps = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    value = predicted_by(F.col("model_used"), F.col("prefix"), F.col("horizon_step"), g)
     spread = INTERVAL_Z * F.col("rmse")
     lower = F.when(F.col("rmse").isNotNull(), F.greatest(F.col("f") - spread, F.lit(0.0)))
     return steps.withColumn("f", value).select(step_date(F.col("last_date"), F.col("horizon_step"), g).alias("date"), F.col("f").alias("direct_total_forecast"), lower.alias("lower_bound"), (F.col("f") + spread).alias("upper_bound"), "model_used", "horizon_step")

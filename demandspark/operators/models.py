@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib.util import find_spec
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import MONTHLY, Granularity
@@ -29,51 +29,67 @@ def series(panel: DataFrame) -> DataFrame:
     return panel.groupBy("product").agg(pairs.alias("_s")).select("product", F.col("_s.y").alias("y"), F.element_at("_s", -1)["date"].alias("last_date"), F.col("_s.date").alias("dates"))
 
 
-def naive(y: Column, step: Column, g: Granularity = MONTHLY) -> Column:
-    return F.element_at(y, -1)
+def _scan(y: Column, cuts: Column) -> Column:
+    """One forward scan over y: the state of every recurrence after so many values as cuts (ascending) say, as an array in their order.
 
+    level: exponential smoothing. size, gap: Croston's smoothed size of non-zero demands and of their distance, NULL before the first."""
+    kept = "array<struct<cut:int,level:double,size:double,gap:double>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("gap"), F.lit(1.0).alias("since"), F.array().cast(kept).alias("kept"))
+    smooth = lambda a, old, new: F.when(old.isNull(), new).otherwise(a * new + (1 - a) * old)
 
-def seasonal_naive(y: Column, step: Column, g: Granularity = MONTHLY) -> Column:
-    """Repeats the last season; the last value where there is less than one."""
-    at = F.size(y) - g.season + F.pmod(step - 1, F.lit(g.season)) + 1
-    return F.when(F.size(y) >= g.season, F.try_element_at(y, at.cast("int"))).otherwise(F.element_at(y, -1))
+    def add(s: Column, x: Column) -> Column:
+        hit = x != 0
+        at, level = s["at"] + 1, smooth(ALPHA, s["level"], x)
+        size = F.when(hit, smooth(CROSTON_ALPHA, s["size"], x)).otherwise(s["size"])
+        gap = F.when(hit, smooth(CROSTON_ALPHA, s["gap"], s["since"])).otherwise(s["gap"])
+        state = F.struct(at.alias("cut"), level.alias("level"), size.alias("size"), gap.alias("gap"))
+        return F.struct(at.alias("at"), level.alias("level"), size.alias("size"), gap.alias("gap"), F.when(hit, 1.0).otherwise(s["since"] + 1).alias("since"), F.when(F.array_contains(cuts, at), F.array_append(s["kept"], state)).otherwise(s["kept"]).alias("kept"))
 
+    return F.aggregate(y, start, add, lambda s: s["kept"])
 
-def moving_average(y: Column, step: Column, g: Granularity = MONTHLY) -> Column:
-    n = F.least(F.lit(g.average), F.size(y))
-    last = F.slice(y, F.size(y) - n + 1, n)
-    return F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / n
 
+def prefixes(y: Column, cuts: Column, g: Granularity = MONTHLY, horizon: int = 1) -> Column:
+    """What the closed forms need to know of the first `cut` values of y, for each of cuts (ascending): array of (cut, naive, moving_average,
+    exponential_smoothing, croston, season), season: the values that the next `horizon` periods repeat, NULL where there is less than one season."""
 
-def exponential_smoothing(y: Column, step: Column, g: Granularity = MONTHLY) -> Column:
-    return F.aggregate(y, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(ALPHA * x + (1 - ALPHA) * a))
+    def told(s: Column) -> Column:
+        cut = s["cut"]
+        n = F.least(F.lit(g.average), cut)
+        average = F.aggregate(F.slice(y, cut - n + 1, n), F.lit(0.0), lambda a, x: a + x) / n
+        season = F.when(cut >= g.season, F.slice(y, F.greatest(cut - g.season, F.lit(0)) + 1, F.lit(min(horizon, g.season))))
+        croston = F.coalesce(s["size"] / s["gap"], F.lit(0.0))
+        return F.struct(cut.alias("cut"), F.get(y, cut - 1).alias("naive"), average.alias("moving_average"), s["level"].alias("exponential_smoothing"), croston.alias("croston"), season.alias("season"))
 
+    return F.transform(_scan(y, cuts), told)
 
-def croston(y: Column, step: Column, g: Granularity = MONTHLY) -> Column:
-    """Smoothed size of non-zero demands over their smoothed distance; 0 if there is none."""
-    start = F.struct(F.lit(None).cast("double").alias("size"), F.lit(None).cast("double").alias("gap"), F.lit(1.0).alias("since"))
 
-    def add(a: Column, x: Column) -> Column:
-        smooth = lambda old, new: F.when(old.isNull(), new).otherwise(CROSTON_ALPHA * new + (1 - CROSTON_ALPHA) * old)
-        hit = x != 0
-        return F.struct(F.when(hit, smooth(a["size"], x)).otherwise(a["size"]).alias("size"), F.when(hit, smooth(a["gap"], a["since"])).otherwise(a["gap"]).alias("gap"), F.when(hit, 1.0).otherwise(a["since"] + 1).alias("since"))
+def predicted(model: str, prefix: Column, step: Column, g: Granularity = MONTHLY) -> Column:
+    """The closed-form model's prediction `step` periods after a prefix (an entry of prefixes), at least 0.
 
-    return F.coalesce(F.aggregate(y, start, add, lambda a: a["size"] / a["gap"]), F.lit(0.0))
+    naive repeats the last value, seasonal_naive the last season (the last value where there is less than one), the others are level."""
+    value = F.coalesce(F.get(prefix["season"], F.pmod(step - 1, F.lit(g.season)).cast("int")), prefix["naive"]) if model == "seasonal_naive" else prefix[model]
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
 
 
-_FORMS = {"naive": naive, "seasonal_naive": seasonal_naive, "moving_average": moving_average, "exponential_smoothing": exponential_smoothing, "croston": croston}
+def predicted_by(name: Column, prefix: Column, step: Column, g: Granularity = MONTHLY, otherwise: Column | None = None) -> Column:
+    """As predicted, for the model that a column names."""
+    out = F.lit(None).cast("double") if otherwise is None else otherwise
+    for m in CLOSED_FORM:
+        out = F.when(name == m, predicted(m, prefix, step, g)).otherwise(out)
+    return out
 
 
-def predict(model: str, y: Column, step: Column, g: Granularity = MONTHLY) -> Column:
-    """The closed-form model's prediction `step` periods after the series y, at least 0."""
-    value = _FORMS[model](y, step, g)
-    return F.when(value.isNotNull(), F.greatest(value, F.lit(0.0)))
+def histories(panel: DataFrame, g: Granularity = MONTHLY, horizon: int = 1) -> DataFrame:
+    """(product, last_date, prefix): the whole history of each product as an entry of prefixes."""
+    rows = series(panel)
+    return rows.select("product", "last_date", F.get(prefixes(F.col("y"), F.array(F.size("y")), g, horizon), F.lit(0)).alias("prefix"))
 
 
 def forecast(panel: DataFrame, model: str, g: Granularity = MONTHLY, horizon: int | None = None) -> DataFrame:
     """(product, date, forecast, horizon_step) of one closed-form model for all products."""
-    rows = series(panel).withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon or g.horizon))))
-    return rows.select("product", step_date(F.col("last_date"), F.col("horizon_step"), g).alias("date"), predict(model, F.col("y"), F.col("horizon_step"), g).alias("forecast"), "horizon_step")
+    horizon = horizon or g.horizon
+    rows = histories(panel, g, horizon).withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return rows.select("product", step_date(F.col("last_date"), F.col("horizon_step"), g).alias("date"), predicted(model, F.col("prefix"), F.col("horizon_step"), g).alias("forecast"), "horizon_step")
 
 
 def step_date(last: Column, step: Column, g: Granularity = MONTHLY) -> Column:
@@ -127,50 +143,42 @@ LEAST_ROWS = 5
 
 
 def tree_forecast(panel: DataFrame, model: str, g: Granularity = MONTHLY, horizon: int = 3, fill: tuple[str, ...] = (), sector: str | None = None, regressor=None) -> DataFrame:
-    """(product, date, forecast, horizon_step) by one tree model over all products, step by step.
+    """(product, date, forecast, horizon_step) by one tree model over all products.
 
-    panel: product, date, y and numeric columns that may be trained on. Seasonality is found once, in the history. Each step appends the next
-    period of every product, builds its features from what is known or predicted, and predicts all products in one transform; only the
-    rows that lags reach back to are carried on, in a written table. Later values of the columns in `fill` are the mean of their calendar
-    month, other columns keep their last one. Raises if fewer than five rows have all features."""
+    panel: product, date, y and numeric columns that may be trained on. The model is fitted by pyspark.ml, then sent to the tasks as flat
+    arrays: a task holds a block of products and goes through all their steps, each on what is known or predicted before. Seasonality is
+    found once, in the history. Later values of the columns in `fill` are the mean of their calendar month, other columns keep their last
+    one. Raises if fewer than five rows have all features. The result is written."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     from ..sources.tables import dropped, materialized
-    from .features import climatology, numeric_features, seasonal_detection
+    from . import trees
+    from .features import as_numbers, climatology, numeric_features, seasonal_detection, seasonal_features
+    from .panel import calendar_features
 
     extra = [c for c in panel.columns if c not in ("product", "date", "y")]
-    base = materialized(panel.select("product", "date", "y", *extra))
+    base = materialized(panel.select("product", F.col("date").cast("date").alias("date"), F.col("y").cast("double").alias("y"), *extra))
     seasons = materialized(seasonal_detection(base, sector))
-    known = numeric_features(base, g, seasons)
-    names = [c for c in known.columns if c not in ("product", "date", "y")]
-    filled = lambda df: df.fillna(12, ["months_to_peak"]).fillna(0, names)
-    train = filled(known.dropna(subset=[c for c in names if c != "months_to_peak"] + ["y"]))
-    if train.limit(LEAST_ROWS).count() < LEAST_ROWS:
-        raise ValueError(f"fewer than {LEAST_ROWS} rows have all features")
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor or tree_regressor(model)]).fit(train)
-    later = None
-    for c in fill:
-        month = climatology(base, c).withColumnRenamed("value", f"_next_{c}")
-        later = month if later is None else later.join(month, ["product", "month"])
-    later = materialized(later) if later is not None else None
-    backward = Window.partitionBy("product").orderBy(F.desc("date"))
-    reach = max(*g.lags, *g.windows) + 1
-    numbered = base.withColumns({"_at": F.row_number().over(Window.partitionBy("product").orderBy("date")) - 1, "_back": F.row_number().over(backward)})
-    rows, out = materialized(numbered.where(F.col("_back") <= reach).drop("_back")), None
-    for k in range(1, horizon + 1):
-        last = rows.withColumn("_back", F.row_number().over(backward)).where("_back = 1").drop("_back")
-        new = last.withColumns({"date": step_date(F.col("date"), F.lit(1), g), "y": F.lit(None).cast("double"), "_at": F.col("_at") + 1})
-        if later is not None:
-            new = new.withColumn("month", F.month("date")).join(later, ["product", "month"], "left")
-            new = new.withColumns({c: F.col(f"_next_{c}") for c in fill}).drop("month", *(f"_next_{c}" for c in fill))
-        ready = numeric_features(rows.unionByName(new).drop("_at"), g, seasons).where("y IS NULL")
-        ready = ready.drop("time_index").join(new.select("product", F.col("_at").alias("time_index")), "product")
-        made = fitted.transform(filled(ready)).select("product", F.greatest("prediction", F.lit(0.0)).alias("_made"))
-        grown = materialized(rows.unionByName(new).join(made, "product", "left").withColumn("y", F.coalesce("y", "_made")).drop("_made"))
-        dropped(rows)
-        rows = grown
-        if k == horizon:
-            ahead = rows.withColumn("_back", F.row_number().over(backward)).where(F.col("_back") <= horizon)
-            out = ahead.select("product", "date", F.col("y").alias("forecast"), (F.lit(horizon + 1) - F.col("_back")).alias("horizon_step"))
-    return out
+    train = None
+    try:
+        known = numeric_features(base, g, seasons)
+        names = [c for c in known.columns if c not in ("product", "date", "y")]
+        whole = known.dropna(subset=[c for c in names if c != "months_to_peak"] + ["y"])
+        train = materialized(whole.fillna(12, ["months_to_peak"]).fillna(0, names).select("y", *(F.col(f"`{c}`").cast("double").alias(c) for c in names)))
+        if train.limit(LEAST_ROWS).count() < LEAST_ROWS:
+            raise ValueError(f"fewer than {LEAST_ROWS} rows have all features")
+        fitted = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor or tree_regressor(model)]).fit(train)
+
+        def ahead(rows: DataFrame) -> DataFrame:
+            for c in fill:
+                month = climatology(base, c).select("product", F.col("month").alias("_month"), F.col("value").alias(f"_next_{c}"))
+                rows = rows.withColumn("_month", F.month("date")).join(month, ["product", "_month"], "left").withColumn(c, F.col(f"_next_{c}")).drop("_month", f"_next_{c}")
+            return as_numbers(seasonal_features(calendar_features(rows, g.name == "weekly"), seasons))
+
+        ready, order = trees.known_ahead(base, extra, ahead, g, horizon, step_date)
+        told = trees.recursive_forecast(ready, trees.exported(fitted.stages[-1]), names, order, g, horizon)
+        return materialized(told.select("product", step_date(F.col("last_date"), F.col("horizon_step"), g).alias("date"), "forecast", "horizon_step"))
+    finally:
+        for made in (base, seasons, train):
+            dropped(made)

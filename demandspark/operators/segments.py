@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON
@@ -45,13 +45,16 @@ def candidates(spark: SparkSession, mode: str = "balanced") -> DataFrame:
     return spark.createDataFrame(rows, "segment string, model_name string, cand_ord int")
 
 
-def fold_cutoffs(lengths: DataFrame, season: int = MONTHLY.season, horizon: int = VALIDATION_HORIZON, folds: int = FOLDS["balanced"]) -> DataFrame:
-    """lengths(product, n_points, ...) with a row for each fold: fold, cut (rows before the test window). None if the history is too short."""
-    n = F.col("n_points")
+def fold_cuts(n: Column, season: int = MONTHLY.season, horizon: int = VALIDATION_HORIZON, folds: int = FOLDS["balanced"]) -> Column:
+    """Of a history of n periods the array of cuts: how many periods each fold may see. Empty if it is too short."""
     train = F.when(n >= season + 2 + horizon, season + 2).otherwise(F.greatest(F.lit(4), n - 2 * horizon))
     splits = F.least(F.lit(folds), F.floor((n - train) / horizon))
     step = F.greatest(F.lit(horizon), F.floor((n - train - horizon) / F.greatest(splits, F.lit(1))))
-    rows = lengths.withColumns({"_train": train, "_splits": splits, "_step": step}).where((n >= F.col("_train") + horizon) & (F.col("_splits") >= 1))
-    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), (F.col("_splits") - 1).cast("int"))))
-    rows = rows.withColumn("cut", (F.col("_train") + F.col("fold") * F.col("_step")).cast("int")).where(F.col("cut") + horizon <= n)
-    return rows.drop("_train", "_splits", "_step")
+    fits = (n >= train + horizon) & (splits >= 1)
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(splits, F.lit(1)).cast("int") - 1), lambda k: (train + k * step).cast("int"))
+    return F.when(fits, F.filter(cuts, lambda c: c + horizon <= n)).otherwise(F.array().cast("array<int>"))
+
+
+def fold_cutoffs(lengths: DataFrame, season: int = MONTHLY.season, horizon: int = VALIDATION_HORIZON, folds: int = FOLDS["balanced"]) -> DataFrame:
+    """lengths(product, n_points, ...) with a row for each fold: fold, cut (rows before the test window). None if the history is too short."""
+    return lengths.select("*", F.posexplode(fold_cuts(F.col("n_points"), season, horizon, folds)).alias("fold", "cut"))

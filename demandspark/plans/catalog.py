@@ -500,18 +500,18 @@ _ALL = f"WITH {MPANEL}, {_VAL}, {_MET}, {_HYB}"
 
 @query(f"WITH {MPANEL}, {_VAL} SELECT product, model_name, cand_ord, fold, horizon_step, date, {r('actual', 'validation_prediction', digits=6)} FROM val", digits=6)
 def validation_predictions(spark, d):
-    return evaluate.validation_predictions(B.mixed_panel(spark, d))
+    return evaluate.validation_predictions(materialized(B.mixed_panel(spark, d)))
 
 
 @query(f"WITH {MPANEL}, {_VAL}, {_MET} SELECT product, model_name, cand_ord, {r('mae', 'rmse')}, {r('mape', 'wmape', 'forecast_bias', digits=10)}, n_rows, n_folds FROM met", digits=10)
 def metrics_by_product_model(spark, d):
-    found = evaluate.product_metrics(evaluate.validation_predictions(B.mixed_panel(spark, d)))
+    found = evaluate.product_metrics(evaluate.validation_predictions(materialized(B.mixed_panel(spark, d))))
     return found.withColumns({c: F.round(c, 6) for c in ("mae", "rmse")})
 
 
 @query(f"{_ALL} SELECT product, model_name, weight, n_components FROM wgt", digits=6)
 def hybrid_weights(spark, d):
-    return evaluate.hybrid_weights(evaluate.product_metrics(evaluate.validation_predictions(B.mixed_panel(spark, d))))
+    return evaluate.hybrid_weights(evaluate.product_metrics(evaluate.validation_predictions(materialized(B.mixed_panel(spark, d)))))
 
 
 @query(f"{_ALL} SELECT product, model_name, CAST(cand_ord AS INT) AS cand_ord, CAST(fold AS INT) AS fold, CAST(horizon_step AS INT) AS horizon_step, date, {r('actual', 'validation_prediction', digits=6)} FROM hyb", digits=6)
@@ -554,7 +554,7 @@ def _board(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel, leaderboard, validation rows), each written once, for what reads them several times."""
     p = materialized(B.mixed_panel(spark, d))
     board, rows = evaluate.leaderboard(p)
-    return p, materialized(board), materialized(rows)
+    return p, materialized(board), rows
 
 
 def _forecasts(spark, d) -> DataFrame:
@@ -592,7 +592,7 @@ _NAIVE = "val2 AS (SELECT * FROM val WHERE model_name = 'naive')"
 
 
 def _naive_rows(spark, d) -> DataFrame:
-    return evaluate.validation_predictions(B.mixed_panel(spark, d)).where("model_name = 'naive'").drop("cand_ord")
+    return evaluate.validation_predictions(materialized(B.mixed_panel(spark, d))).where("model_name = 'naive'").drop("cand_ord")
 
 
 @query(f"""WITH {MPANEL}, {_VAL}, {_NAIVE}, e AS (SELECT *, validation_prediction - actual AS error FROM val2) SELECT product, model_name, fold, horizon_step, date, {r('actual', digits=4)}, round(validation_prediction, 4) AS predicted, {r('error', digits=4)}, round(CASE WHEN actual != 0 THEN error / actual * 100 END, 4) + 0.0 AS error_pct, {_DIR.format('error')} AS direction FROM e""", digits=4)

@@ -137,7 +137,7 @@ def _model(x: Context) -> None:
     forecasters = _forecasters(x)
     advanced = evaluate.validate_advanced(wide, forecasters, g, mode) if forecasters else evaluate.Advanced()
     board, rows = evaluate.leaderboard(base, g, mode, advanced=advanced)
-    board, rows = materialized(board), materialized(rows)
+    board = materialized(board)
     others, notes = forecast.advanced_forecasts(wide, materialized(forecast.used_models(board)), forecasters, horizon)
     x.warnings += notes
     out = materialized(forecast.product_forecasts(base, board, g, horizon, others))

@@ -71,10 +71,13 @@ def materialized(df: DataFrame) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(df: DataFrame | None) -> None:
     """Deletes a table of materialized() that nothing will read again."""
     path = getattr(df, "_written_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        drop_path(df.sparkSession, path)
