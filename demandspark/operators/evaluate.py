@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import metric_columns
 from ..sources.tables import dropped, materialized
 from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON, Granularity
-from .models import CLOSED_FORM, NEEDS, available, predicted_by, prefixes, series
+from .models import CLOSED_FORM, FITTED, predicted_by, prefixes, series
 from .segments import candidates, fold_cuts, fold_cutoffs, product_segments
 
 INTERVAL_Z = 1.28
@@ -136,7 +136,7 @@ LSTM = ("lstm", "future_extension", "Requires larger datasets, tuning, and addit
 def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, advanced: Advanced | None = None) -> tuple[DataFrame, DataFrame]:
     """(leaderboard, validation rows, hybrid included, written).
 
-    Scope product: each candidate with its status and reason: ok, failed, skipped (its package is missing, or nobody ran it) or
+    Scope product: each candidate with its status and reason: ok, failed, skipped (nobody ran it) or
     insufficient_history. Scope ALL: errors pooled over products, the least wMAPE selected, and the row of a model only announced.
     extra, or advanced.rows: validation rows of models that aren't closed forms. seconds: of the whole validation of such a model."""
     advanced = advanced or Advanced(extra)
@@ -149,11 +149,10 @@ def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balance
     dropped(rows)
     metrics = materialized(selected(product_metrics(every)))
     rest = asked_of(panel, g, mode, segments).join(metrics.select("product", "model_name"), ["product", "model_name"], "left_anti")
-    beyond = [m for m in ("sarima", "prophet", "random_forest", "xgboost") if m not in advanced.seconds]
+    beyond = [m for m in FITTED if m not in advanced.seconds]
     status, reason = F.lit("insufficient_history"), F.lit("the history is too short for a fold")
     for m in beyond:
-        why = f"the package {NEEDS[m]} is not installed" if not available(m) else "not run"
-        status, reason = F.when(F.col("model_name") == m, "skipped").otherwise(status), F.when(F.col("model_name") == m, why).otherwise(reason)
+        status, reason = F.when(F.col("model_name") == m, "skipped").otherwise(status), F.when(F.col("model_name") == m, "not run").otherwise(reason)
     for m, why in advanced.failures.items():
         status, reason = F.when(F.col("model_name") == m, "failed").otherwise(status), F.when(F.col("model_name") == m, why).otherwise(reason)
     blank = rest.select("product", "model_name", "cand_ord", status.alias("status"), reason.alias("reason"), F.lit(False).alias("selected"))

@@ -1,12 +1,8 @@
-"""Forecasting models. The closed forms are column expressions over a product's series as an array; tree models use pyspark.ml.
-
-Models of packages that are not installed are reported as skipped, not failed.
-"""
+"""Forecasting models. The closed forms are column expressions over a product's series as an array; trees are fitted by pyspark.ml for all products
+together, seasonal ARIMA and the additive model for each product in blocks."""
 
 from __future__ import annotations
 
-from importlib.util import find_spec
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +10,9 @@ from ..types import MONTHLY, Granularity
 
 ALPHA = 0.3
 CROSTON_ALPHA = 0.1
-#: What a model needs; None: nothing beyond Spark.
-NEEDS = {"naive": None, "seasonal_naive": None, "moving_average": None, "exponential_smoothing": None, "croston": None, "random_forest": None, "xgboost": None, "sarima": "statsmodels", "prophet": "prophet"}
 CLOSED_FORM = ("naive", "seasonal_naive", "moving_average", "exponential_smoothing", "croston")
-
-
-def available(model: str) -> bool:
-    return NEEDS.get(model, model) is None or find_spec(NEEDS.get(model, model)) is not None
+#: The models beyond the closed forms.
+FITTED = ("sarima", "prophet", "random_forest", "xgboost")
 
 
 def series(panel: DataFrame) -> DataFrame:
@@ -96,39 +88,15 @@ def step_date(last: Column, step: Column, g: Granularity = MONTHLY) -> Column:
     return F.date_add(last, (7 * step).cast("int")) if g.name == "weekly" else F.add_months(last, step)
 
 
-def package_forecast(panel: DataFrame, model: str, g: Granularity = MONTHLY, horizon: int = 3) -> DataFrame | None:
-    """(product, date, forecast, horizon_step) by sarima or prophet, a product at a time; None if the package is missing.
-
-    A product whose fit fails, or that has too short a history, has no rows. A group is one product's history."""
-    if not available(model):
-        return None
-    season, step = g.season, g.step
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("date")
-        y = pdf["y"].astype(float)
-        try:
-            if model == "sarima":
-                from statsmodels.tsa.statespace.sarimax import SARIMAX
-
-                if len(y) < 2 * season + 4:
-                    raise ValueError("short history")
-                fit = SARIMAX(y.to_numpy(), order=(1, 1, 1), seasonal_order=(1, 1, 1, season), enforce_stationarity=False, enforce_invertibility=False).fit(disp=False, method="lbfgs", maxiter=150)
-                out = fit.forecast(horizon)
-            else:
-                from prophet import Prophet
-
-                fit = Prophet(yearly_seasonality="auto", weekly_seasonality=False, daily_seasonality=False).fit(pd.DataFrame({"ds": pd.to_datetime(pdf["date"]), "y": y}))
-                out = fit.predict(fit.make_future_dataframe(horizon, freq="MS" if "MONTH" in step else "W"))["yhat"].tail(horizon)
-        except Exception:  # noqa: BLE001  one product's fit must not lose the others
-            out = []
-        return pd.DataFrame({"product": pdf["product"].iloc[0], "forecast": [max(0.0, float(v)) for v in out], "horizon_step": range(1, len(out) + 1)})
+def statistical_forecast(panel: DataFrame, model: str, g: Granularity = MONTHLY, horizon: int = 3) -> DataFrame:
+    """(product, date, forecast, horizon_step) by seasonal ARIMA ("sarima") or the additive model of trend and season ("prophet"), fitted to each
+    product over blocks of products. A product whose history is too short has no rows."""
+    from .statistical import block_forecast
 
-    made = panel.select("product", "date", "y").groupBy("product").applyInPandas(run, "product string, forecast double, horizon_step int")
-    last = panel.groupBy("product").agg(F.max("date").alias("_last"))
-    return made.join(last, "product").select("product", step_date(F.col("_last"), F.col("horizon_step"), g).alias("date"), "forecast", "horizon_step")
+    rows = series(panel.select("product", F.col("date").cast("date").alias("date"), F.col("y").cast("double").alias("y")))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda k: step_date(F.col("last_date"), k, g))
+    told = block_forecast(rows.withColumn("ahead", ahead), model, g, horizon)
+    return told.select("product", step_date(F.col("last_date"), F.col("horizon_step"), g).alias("date"), "forecast", "horizon_step")
 
 
 def tree_regressor(model: str):

@@ -480,6 +480,16 @@ def fc_gradient_boosting(spark, d):
     return models.tree_forecast(B.brand_panel(spark, d), "xgboost", horizon=MONTHLY.horizon)
 
 
+@query()
+def fc_sarima(spark, d):
+    return models.statistical_forecast(B.brand_panel(spark, d), "sarima", horizon=MONTHLY.horizon)
+
+
+@query()
+def fc_additive(spark, d):
+    return models.statistical_forecast(B.brand_panel(spark, d), "prophet", horizon=MONTHLY.horizon)
+
+
 # --- validation and selection
 
 _M = _model_sql("tr_ys", "step")
@@ -696,8 +706,8 @@ def direction_total(spark, d):
 
 @query()
 def pipeline_end_to_end(spark, d):
-    """The whole run in fast mode: closed forms only, two folds. The trees have queries of their own."""
-    done = pipeline.run_pipeline(B.mixed_rows(spark, d).select("product", "date", "qty", "price"), RunConfig(auto_approve_quality=True, evaluation_mode="fast"))
+    """The whole run in balanced mode: closed forms, trees and the statistical models, three folds."""
+    done = pipeline.run_pipeline(B.mixed_rows(spark, d).select("product", "date", "qty", "price"), RunConfig(auto_approve_quality=True))
     if done.status != "ok":
         raise RuntimeError("; ".join(done.errors))
     return done.results["forecasts"]

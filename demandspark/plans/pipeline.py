@@ -127,7 +127,7 @@ def _forecasters(x: Context) -> dict:
     if not x.config.advanced_models:
         return {}
     trees = {m: (lambda p, h, m=m: models.tree_forecast(p, m, g, h, x.results["tree_fill"], x.config.sector)) for m in ("random_forest", "xgboost")}
-    return trees | {m: (lambda p, h, m=m: models.package_forecast(p, m, g, h)) for m in ("sarima", "prophet") if models.available(m)} | x.config.extra.get("forecasters", {})
+    return trees | {m: (lambda p, h, m=m: models.statistical_forecast(p, m, g, h)) for m in ("sarima", "prophet")} | x.config.extra.get("forecasters", {})
 
 
 def _model(x: Context) -> None:

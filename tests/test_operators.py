@@ -236,7 +236,6 @@ def test_model_validation_joins_the_leaderboard(spark):
     board, _ = evaluate.leaderboard(df, extra=extra)
     status = {(r.product, r.model_name): r.status for r in board.where("scope = 'product'").collect()}
     assert status["big", "random_forest"] == "ok" and status["big", "xgboost"] == "skipped"
-    assert models.package_forecast(df, "sarima") is None or models.available("sarima")
     told = board.where("model_name = 'lstm'").first()
     assert (told.scope, told.status, told.selected) == ("ALL", "future_extension", False)
 
@@ -259,7 +258,7 @@ def test_advanced_models_are_selected_and_may_fail(spark):
     board, _ = evaluate.leaderboard(df, advanced=done)
     mine = {r.model_name: r for r in board.where("scope = 'product' AND product = 'big'").collect()}
     assert mine["random_forest"].selected and mine["random_forest"].wmape == 0 and mine["random_forest"].seconds > 0
-    assert (mine["xgboost"].status, mine["xgboost"].reason) == ("failed", "no fit") and mine["sarima"].status == ("insufficient_history" if models.available("sarima") else "skipped")
+    assert (mine["xgboost"].status, mine["xgboost"].reason) == ("failed", "no fit") and mine["sarima"].status == "skipped"
     tree = lambda p, h: models.tree_forecast(p, "random_forest", horizon=h, regressor=RandomForestRegressor(numTrees=5, seed=1, labelCol="y"))
     used = forecast.used_models(board)
     others, notes = forecast.advanced_forecasts(df, used, {"random_forest": tree}, 4)
