@@ -53,7 +53,11 @@ def ffill(df: DataFrame, column: str, by: list[str] | None = None, order: str =
 
 def period_features(df: DataFrame, columns: list[str], g: Granularity = MONTHLY) -> DataFrame:
     """(product, date, columns) by period: the largest value of a column that has two distinct values at most, else the mean. One aggregate for all."""
-    binary = df.agg(*(F.coalesce(F.countDistinct(F.col(f"`{c}`")) <= 2, F.lit(True)).alias(f"b{i}") for i, c in enumerate(columns))).first()
+    # two distinct values at most: nothing but the smallest and the largest. Two plain aggregates instead of distinct counts
+    ends = df.agg(*(x for i, c in enumerate(columns) for x in (F.min(F.col(f"`{c}`")).alias(f"l{i}"), F.max(F.col(f"`{c}`")).alias(f"h{i}"))))
+    inner = [F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`") != F.col(f"_ends.l{i}")) & (F.col(f"`{c}`") != F.col(f"_ends.h{i}")) for i, c in enumerate(columns)]
+    held = df.crossJoin(F.broadcast(ends.select(F.struct("*").alias("_ends"))))  # one row
+    binary = held.agg(*((F.count_if(x) == 0).alias(f"b{i}") for i, x in enumerate(inner))).first()
     rows = df.where(F.col("product").isNotNull() & F.col("date").isNotNull()).withColumn("date", period_of(F.col("date"), g))
     value = lambda c: F.col(f"`{c}`").try_cast("double") if dict(df.dtypes)[c] == "string" else F.col(f"`{c}`").cast("double")
     return rows.groupBy("product", "date").agg(*((F.max(value(c)) if binary[i] else F.avg(value(c))).alias(c) for i, c in enumerate(columns)))

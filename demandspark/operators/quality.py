@@ -11,7 +11,7 @@ from ..functions.coerce import normalized
 from ..types import MONTHLY, Granularity
 from .panel import panel as build_panel
 from .panel import period_of
-from .quantiles import exact_quantile, medians
+from .quantiles import exact_quantile, grouped_quantile, medians
 
 PERIOD_DAYS = {"monthly": 30, "weekly": 7}
 #: The category of each kind of issue.
@@ -117,7 +117,7 @@ def mad_outliers(rows: DataFrame, by: str = "product", value: str = "qty", facto
     """(by, n, outliers): values further than 5 median absolute deviations from the group's median. Works on counts of distinct values."""
     per, middle = medians(rows, by, value)
     apart = per.join(middle.where(F.col("n") >= least), by).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
-    spread = apart.groupBy(by).agg(F.percentile(F.col("_dev"), F.lit(0.5), F.col("w")).alias("_mad")).where("_mad > 0")
+    spread = grouped_quantile(apart, by, "_dev", 0.5, "_mad").where("_mad > 0").drop("n")
     return apart.join(spread, by).groupBy(by).agg(F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("_dev") > factor * F.col("_mad"), F.col("w"))), F.lit(0)).alias("outliers"))
 
 
@@ -195,8 +195,12 @@ def identifier_columns(rows: DataFrame, least: float = 0.95) -> list[str]:
     extra = [c for c in rows.columns if c not in ("product", "date", "qty")]
     if not extra:
         return []
-    found = rows.agg(*(F.try_divide(F.countDistinct(F.col(f"`{c}`")), F.count(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(extra))).first()
-    return [c for i, c in enumerate(extra) if (found[i] or 0) > least]
+    # every cell once as (column, digest of its value), summed up before the shuffle; 64 bits tell values apart
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.lit(1), F.col(f"`{c}`"))).alias("v")) for i, c in enumerate(extra)))
+    counts = rows.select(F.inline(cells)).where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("w"))
+    shares = counts.groupBy("i").agg((F.count("*") / F.sum("w")).alias("share")).where(F.col("share") > least)  # a row for each column
+    found = {r["i"] for r in shares.collect()}
+    return [c for i, c in enumerate(extra) if i in found]
 
 
 def issues(rows: DataFrame, g: Granularity = MONTHLY, segments: dict[str, str] | None = None, counts: dict | None = None) -> list[Issue]:

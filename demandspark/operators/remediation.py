@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,34 +31,53 @@ def remove_empty_rows(df: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
     return df.na.drop(how="all")
 
 
-def standardize_date_format(df: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
-    return df.withColumn("date", to_date(df, "date", date_format_of(df, "date")))
+def standardize_date_format(df: DataFrame, g: Granularity = MONTHLY, rows: DataFrame | None = None) -> DataFrame:
+    """rows: df itself, watched; the format is told from df."""
+    return (df if rows is None else rows).withColumn("date", to_date(df, "date", date_format_of(df, "date")))
 
 
-def remove_exact_duplicates(df: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
-    return df.dropDuplicates()
+def remove_exact_duplicates(df: DataFrame, g: Granularity = MONTHLY, count: str | None = None) -> DataFrame:
+    """Every row once. count: a column for how many of each are dropped."""
+    if not count:
+        return df.dropDuplicates()
+    return df.groupBy(*(f"`{c}`" for c in df.columns)).agg((F.count("*") - 1).alias(count))
 
 
 def fill_missing_demand(df: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
     return df.withColumn("qty", F.coalesce(to_number(F.col("qty")), F.lit(0.0)))
 
 
-def aggregate_duplicates(df: DataFrame, g: Granularity = MONTHLY, order: str | None = None) -> DataFrame:
-    """One row for each product and date: qty summed, other columns their first value that isn't NULL (by `order`, else the smallest)."""
+def aggregate_duplicates(df: DataFrame, g: Granularity = MONTHLY, order: str | None = None, count: str | None = None) -> DataFrame:
+    """One row for each product and date: qty summed, other columns their first value that isn't NULL (by `order`, else the smallest). count: a
+    column for how many rows beyond the first each one stands for."""
     extras = [c for c in df.columns if c not in ("product", "date", "qty")]
     first = [(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))) if order and c != order else F.min(c)).alias(c) for c in extras]
-    return df.where("product IS NOT NULL AND date IS NOT NULL").groupBy("product", "date").agg(F.coalesce(F.sum(to_number(F.col("qty"))), F.lit(0.0)).alias("qty"), *first).select(*df.columns)
+    more = [(F.count("*") - 1).alias(count)] if count else []
+    out = df.where("product IS NOT NULL AND date IS NOT NULL").groupBy("product", "date").agg(F.coalesce(F.sum(to_number(F.col("qty"))), F.lit(0.0)).alias("qty"), *first, *more)
+    return out.select(*df.columns, *([count] if count else []))
 
 
-def insert_missing_periods(df: DataFrame, g: Granularity = MONTHLY, keep_extras: bool = False) -> DataFrame:
-    """Demand per period without gaps (product, date, qty); with keep_extras other columns carry their smallest value of the period."""
+def keep_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of the rows of each key, NULLs alike, the one that comes first by `order` (its values are all different); one partial aggregate, no sort."""
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(order, *rest), order).alias("_first"))
+    return first.select(*((F.col(f"`{c}`") if c in keys else F.col(f"_first.`{c}`")) for c in df.columns))
+
+
+def insert_missing_periods(df: DataFrame, g: Granularity = MONTHLY, keep_extras: bool = False, count: str | None = None) -> DataFrame:
+    """Demand per period without gaps (product, date, qty); with keep_extras other columns carry their smallest value of the period. count: a
+    column that is 1 for the periods that weren't there."""
     extras = {c: F.min(c) for c in df.columns if c not in ("product", "date", "qty")} if keep_extras else {}
-    return panel(df.withColumn("qty", to_number(F.col("qty"))), g, **extras).withColumnRenamed("y", "qty")
+    if not count:
+        return panel(df.withColumn("qty", to_number(F.col("qty"))), g, **extras).withColumnRenamed("y", "qty")
+    out = panel(df.withColumn("qty", to_number(F.col("qty"))), g, **extras, **{count: F.lit(1)}).withColumnRenamed("y", "qty")
+    return out.withColumn(count, F.when(F.col(count).isNull(), 1).otherwise(0))
 
 
-def remove_invalid_dates(df: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
+def remove_invalid_dates(df: DataFrame, g: Granularity = MONTHLY, rows: DataFrame | None = None) -> DataFrame:
+    """rows: df itself, watched; the format is told from df."""
     parsed = to_date(df, "date", date_format_of(df, "date"))
-    return df.where(~(parsed.isNull() & F.col("date").isNotNull()))
+    return (df if rows is None else rows).where(~(parsed.isNull() & F.col("date").isNotNull()))
 
 
 def remove_invalid_demand(df: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
@@ -81,43 +100,80 @@ EXECUTORS = {
 }
 
 
-def impact(df: DataFrame, actions: list[str], issues: list = (), g: Granularity = MONTHLY) -> dict[str, dict[str, int]]:
-    """action -> rows_affected, records_removed, values_modified, new_periods_created: what each would do to these rows. One aggregate for all
-    that are counted by row; duplicates and missing periods each take one of their own."""
-    from . import quality
+#: Repairs that count while they go over the rows, and those of them that look for the date format first.
+DATED = ("standardize_date_format", "remove_invalid_dates")
+REMOVES = ("remove_empty_rows", "remove_exact_duplicates", "remove_invalid_dates", "remove_invalid_demand", "remove_negative_demand", "aggregate_duplicate_product_date")
+
 
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+def _by_row(df: DataFrame, actions: list[str]) -> dict[str, Column]:
+    """For the actions that go row by row: how much each would do to a row."""
+    hit = lambda c: F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)
     raw, texts = F.col("qty"), [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    value, parsed = to_number(raw), to_date(df, "date", date_format_of(df, "date"))
+    value = to_number(raw)
+    parsed = to_date(df, "date", date_format_of(df, "date")) if "remove_invalid_dates" in actions else F.lit(None)
     empty = F.lit(True)
     for c in df.columns:
         empty = empty & F.col(f"`{c}`").isNull()
-    trims = sum((F.when(F.col(f"`{c}`") != F.trim(F.col(f"`{c}`")), 1).otherwise(0) for c in texts), F.lit(0))
+    trims = sum((hit(F.col(f"`{c}`") != F.trim(F.col(f"`{c}`"))) for c in texts), F.lit(0))
     counted = {
-        "trim_whitespace": F.sum(trims), "remove_empty_rows": n(empty), "standardize_date_format": F.count("*") if dict(df.dtypes)["date"] == "string" else F.lit(0), "fill_missing_demand": n(value.isNull()),
-        "remove_invalid_dates": n(parsed.isNull() & F.col("date").isNotNull()), "remove_invalid_demand": n(value.isNull() & raw.isNotNull()), "remove_negative_demand": n(value < 0), "standardize_product_identifiers": n(F.col("product").cast("string") != F.trim(F.col("product").cast("string"))),
+        "trim_whitespace": trims, "remove_empty_rows": hit(empty), "standardize_date_format": F.lit(int(dict(df.dtypes)["date"] == "string")), "fill_missing_demand": hit(value.isNull()),
+        "remove_invalid_dates": hit(parsed.isNull() & F.col("date").isNotNull()), "remove_invalid_demand": hit(value.isNull() & raw.isNotNull()), "remove_negative_demand": hit(value < 0), "standardize_product_identifiers": hit(F.col("product").cast("string") != F.trim(F.col("product").cast("string"))),
     }
-    asked = [a for a in actions if a in counted]
-    found = df.agg(F.lit(0).alias("_"), *(F.coalesce(counted[a], F.lit(0)).alias(a) for a in asked)).first().asDict()
-    removes = ("remove_empty_rows", "remove_exact_duplicates", "remove_invalid_dates", "remove_invalid_demand", "remove_negative_demand", "aggregate_duplicate_product_date")
+    return {a: c for a, c in counted.items() if a in actions}
+
+
+def _told(action: str, k: int) -> dict[str, int]:
+    removed, created = action in REMOVES, action == "insert_missing_periods"
+    return {"rows_affected": k, "records_removed": k if removed else 0, "values_modified": 0 if removed or created or action not in POLICY else k, "new_periods_created": k if created else 0}
+
+
+def impact(df: DataFrame, actions: list[str], issues: list = (), g: Granularity = MONTHLY) -> dict[str, dict[str, int]]:
+    """action -> rows_affected, records_removed, values_modified, new_periods_created: what each would do to these rows. One aggregate for all
+    that are counted by row; duplicates and missing periods each take one of their own."""
+    from . import quality
+
+    counted = _by_row(df, actions)
+    found = df.agg(F.lit(0).alias("_"), *(F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in counted.items())).first().asDict()
     out = {}
     for a in actions:
         if a in found:
             k = found[a]
         elif a == "remove_exact_duplicates":
             k = quality.exact_duplicates(df).first()["duplicate_rows"]
-        elif a == "aggregate_duplicate_product_date":
-            whole = df.select("product", parsed.alias("date")).where("product IS NOT NULL AND date IS NOT NULL").groupBy("product", "date").agg(F.count("*").alias("n"))
-            k = whole.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
-        elif a == "insert_missing_periods":
-            k = quality.missing_periods(df.select("product", parsed.alias("date")), g).agg(F.coalesce(F.sum("missing_periods"), F.lit(0))).first()[0]
+        elif a in ("aggregate_duplicate_product_date", "insert_missing_periods"):
+            rows = df.select("product", to_date(df, "date", date_format_of(df, "date")).alias("date"))
+            if a == "insert_missing_periods":
+                k = quality.missing_periods(rows, g).agg(F.coalesce(F.sum("missing_periods"), F.lit(0))).first()[0]
+            else:
+                whole = rows.where("product IS NOT NULL AND date IS NOT NULL").groupBy("product", "date").agg(F.count("*").alias("n"))
+                k = whole.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
         else:
             k = sum(i.affected_records for i in issues if i.recommended_action == a)
-        k, removed, created = int(k), a in removes, a == "insert_missing_periods"
-        out[a] = {"rows_affected": k, "records_removed": k if removed else 0, "values_modified": 0 if removed or created or a not in POLICY else k, "new_periods_created": k if created else 0}
+        out[a] = _told(a, int(k))
     return out
 
 
+def apply_counted(df: DataFrame, action: str, g: Granularity = MONTHLY, keep_extras: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """(the repaired rows, written; what was done to them), in one pass: the repair is counted by an observation on its own write.
+
+    The observation stands in the stage that writes: row by row before a row is changed or removed, or behind the shuffle on what each kept
+    row stands for. There a task that is run again after a lost executor isn't counted twice."""
+    seen = Observation()
+    by_row = _by_row(df, [action])
+    if by_row:
+        watched = df.observe(seen, F.coalesce(F.sum(by_row[action]), F.lit(0)).alias("k"))
+        new = EXECUTORS[action](df, g, rows=watched) if action in DATED else EXECUTORS[action](watched, g)
+    else:
+        count = "_beyond"
+        while count in df.columns:
+            count = "_" + count
+        more = {"keep_extras": keep_extras} if action == "insert_missing_periods" else {}
+        new = EXECUTORS[action](df, g, count=count, **more)
+        new = new.observe(seen, F.coalesce(F.sum(count), F.lit(0)).alias("k")).drop(count)
+    out = materialized(new)
+    return out, _told(action, int(seen.get["k"]))
+
+
 def build_plan(issues: list, df: DataFrame | None = None, g: Granularity = MONTHLY) -> dict[str, list[dict]]:
     """auto, review and advisory items, one for each action: hygiene first, then in the issues' order. With the rows given, every item tells
     what it would do (see impact), and hygiene that would do nothing is left out."""
@@ -142,8 +198,7 @@ AUDIT = "status string, action string, records_affected long, records_removed lo
 def execute_plan(df: DataFrame, plan: dict[str, list[dict]], approved: tuple[str, ...], g: Granularity = MONTHLY, override: tuple[str, ...] = (), keep_extras: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, audit frame): automatic items, then approved ones; the rest are listed as not applied, a failing one as failed.
 
-    Each step reads the written rows of the one before and writes its own. The audit holds what impact counted on the rows that the step
-    found. remove_negative_demand runs by override only, and is marked."""
+    Each step reads the written rows of the one before and writes its own, in one pass; the audit holds what was counted in it. remove_negative_demand runs by override only, and is marked."""
     log, now = [], datetime.datetime.now
     asked = [(x["action"], "auto") for x in plan["auto"]] + [(x["action"], "review") for x in plan["review"]] + [(a, "override") for a in override if POLICY.get(a) == "never"]
     none, mine = (0, 0, 0, 0), None
@@ -152,9 +207,7 @@ def execute_plan(df: DataFrame, plan: dict[str, list[dict]], approved: tuple[str
             log.append(("not_applied", action, *none, now(), "not approved"))
             continue
         try:
-            told = impact(df, [action], (), g)[action]
-            new = EXECUTORS[action](df, g, keep_extras=True) if action == "insert_missing_periods" and keep_extras else EXECUTORS[action](df, g)
-            new = materialized(new)
+            new, told = apply_counted(df, action, g, keep_extras)
         except Exception as e:  # noqa: BLE001  one failing repair must not lose the others
             log.append(("failed", action, *none, now(), str(e)[:200]))
             continue

@@ -329,12 +329,44 @@ def risk_alerts(spark, d):
     return insights.risk_scores(board, segments.product_segments(p), None, True, out).where("score > 0").select("product", "score", "level", "volume")
 
 
+# --- the order of the upload
+
+_ORD = "ord AS (SELECT *, row_number() OVER () - 1 AS _row FROM lineitem)"
+
+
+def _ordered(spark, d) -> DataFrame:
+    """Line items with their place in the file."""
+    items = B.read_table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_discount", "l_tax")
+    return tables.with_ordinal(items)
+
+
+@query(f"""WITH {_ORD} SELECT CAST(l_partkey AS VARCHAR) AS product, l_shipdate AS date, CAST(sum(l_quantity) AS DOUBLE) AS qty, arg_min(l_discount, CASE WHEN l_discount > 0.02 THEN _row END) FILTER (l_discount > 0.02) AS discount,
+arg_min(l_tax, _row) AS tax, min(_row) AS _row FROM ord GROUP BY 1, 2""")
+def r_first_by_order(spark, d):
+    """Records of one product and date as one: other columns keep their first value that isn't NULL, in the order of the upload."""
+    discount = F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("discount")
+    rows = _ordered(spark, d).select(F.col("l_partkey").cast("string").alias("product"), F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("qty"), discount, F.col("l_tax").alias("tax"), "_row")
+    return remediation.aggregate_duplicates(rows, order="_row")
+
+
+@query(f"""WITH {_ORD} SELECT l_partkey, l_discount, _row FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_discount ORDER BY _row) AS k FROM ord) WHERE k = 1""")
+def r_keep_first(spark, d):
+    """Of the records of a key the first of the upload."""
+    return remediation.keep_first(_ordered(spark, d).select("l_partkey", "l_discount", "_row"), ["l_partkey", "l_discount"], "_row")
+
+
+@query(f"""WITH {_ORD} SELECT _row, l_partkey, l_quantity FROM ord ORDER BY CASE WHEN _row < 1000 THEN '' ELSE md5('0:' || _row::VARCHAR) END, _row LIMIT 10000""")
+def head_plus_sample(spark, d):
+    """The rows that column understanding looks at: the first thousand and a draw from the rest."""
+    return tables.head_and_sample(_ordered(spark, d).select("_row", "l_partkey", "l_quantity"), "_row", intake.HEAD_ROWS, intake.SAMPLE_ROWS)
+
+
 # --- the stream
 
 
 @query("""SELECT event_type AS product, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS period_start, round(sum(value), 3) + 0.0 AS y, count(*) AS n FROM events GROUP BY 1, 2""", digits=3)
 def stream_period_sums(spark, d):
-    """The watermarked sums of the event stream, run once over what there is, with the windows that are still open."""
+    """The sums of the event stream, run once over what there is."""
     from ..streaming.ingest import run_available
 
     rows = materialized(B.read_table(spark, d, "events").select("event_type", "ts", "value").repartition(4))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import date_format_of, to_date, to_number
 from ..operators import analysis, evaluate, external, features, forecast, insights, intake, models, quality, remediation, segments
 from ..operators.panel import granularity, panel, with_period_features
+from ..sources import memory
 from ..sources.tables import materialized
 from ..types import RunConfig
 
@@ -32,7 +33,9 @@ class Context:
 
 
 def _intake(x: Context) -> None:
-    found = intake.run_intake(x.raw, x.config.extra.get("memory"), x.config.extra.get("reviewer"))
+    folder = x.config.extra.get("memory_path")
+    known = memory.load(x.raw.sparkSession, folder) if folder else x.config.extra.get("memory")
+    found = intake.run_intake(x.raw, known, x.config.extra.get("reviewer"))
     if x.config.mapping:
         found = intake.correct(found, {c: r for r, c in vars(x.config.mapping).items() if c})
     x.results["intake"] = found
@@ -45,8 +48,8 @@ def _intake(x: Context) -> None:
     rest = [c for c in x.raw.columns if c not in (m.date, m.product, m.qty)]
     x.results["names"] = {c: f"client_{c}" if c.lower() in ("date", "product", "qty", "y") else c for c in rest}
     x.results["meanings"] = {i["detected_meaning"]: x.results["names"][i["column"]] for i in found.inputs if i["confidence"] in ("high", "medium") and i["column"] in x.results["names"]}
-    if x.config.extra.get("memory_path"):
-        intake.confirm_mapping(found, x.config.extra["memory_path"])
+    if folder:
+        intake.confirm_mapping(found, folder, x.raw.sparkSession)
 
 
 def _named(x: Context) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -61,6 +61,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def with_ordinal(df: DataFrame, name: str = "_row") -> DataFrame:
+    """df, as read from files and not yet changed, with each row's place (from 0) in the order of file name, then of the file's rows; written.
+
+    A split is read from its start to its end, so that counts by split, added up in the order of splits, give every row its place: one
+    window over as many rows as there are splits, and no sort of the rows."""
+    held = ["_file", "_start", "_id"]
+    rows = df.select("*", F.col("_metadata.file_path").alias(held[0]), F.col("_metadata.file_block_start").alias(held[1]), F.monotonically_increasing_id().alias(held[2]))
+    rows = materialized(rows)
+    splits = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
+    earlier = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    places = splits.select("_file", "_start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")).alias("_shift"))
+    return rows.join(places, ["_file", "_start"]).select(*(f"`{c}`" for c in df.columns), (F.col("_id") + F.col("_shift")).alias(name))
+
+
+def head_and_sample(rows: DataFrame, ordinal: str, head: int, size: int, seed: int = 0) -> DataFrame:
+    """At most `size` rows: the first `head`, and of the rest those with the smallest digests of seed and ordinal. All rows if there are no more.
+
+    Reruns agree. The rest is cut to `size` rows by each task before anything is shuffled."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ordinal).cast("string")).cast("binary"))
+    ranked = rows.withColumn("_digest", F.when(F.col(ordinal) < head, F.lit("")).otherwise(digest))
+    return ranked.orderBy("_digest", ordinal).limit(size).drop("_digest")
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, its lineage cut."""
     spark = df.sparkSession

@@ -158,16 +158,29 @@ def test_intake(spark):
     assert intake.propose(lambda p: "no json", []) == {}
 
 
-def test_memory(tmp_path):
-    path = str(tmp_path / "m.json")
-    assert memory.load(path) == {"schemas": {}, "columns": {}}
-    memory.save_confirmed(path, ["Tag", "Menge"], {"Tag": "date", "Menge": "qty"})
-    store = memory.save_confirmed(path, ["Tag", "Menge"], {"Tag": "date", "Menge": "product"})
+def test_memory(spark, tmp_path):
+    path = str(tmp_path / "m")
+    assert memory.load(spark, path) == {"schemas": {}, "columns": {}}
+    memory.save_confirmed(spark, path, ["Tag", "Menge"], {"Tag": "date", "Menge": "qty"})
+    store = memory.save_confirmed(spark, path, ["Tag", "Menge"], {"Tag": "date", "Menge": "product"})
     assert store["columns"]["tag"]["count"] == 2 and store["columns"]["menge"] == {"role": "product", "count": 1}
     assert memory.lookup(store, ["MENGE", "tag"]) == ({"MENGE": "product", "tag": "date"}, 0.95)
     assert memory.lookup(store, ["tag", "x"])[1] == 0.90
-    (tmp_path / "m.json").write_text("{broken")
-    assert memory.load(path)["columns"] == {}
+    store = memory.save_confirmed(spark, path, ["Tag", "Menge"], {"Tag": "date"})  # the newest confirmation of a schema stands for it
+    assert list(store["schemas"].values()) == [{"tag": "date"}]
+
+
+def test_memory_of_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "m")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: memory.save_confirmed(spark, path, ["Tag", f"c{k}"], {"Tag": "date", f"c{k}": "qty"}), range(12)))
+    store = memory.load(spark, path)
+    assert store["columns"]["tag"] == {"role": "date", "count": 12} and len(store["schemas"]) == 12
+    # a table that was never moved into the log doesn't count
+    spark.range(1).write.parquet(f"{path}/open-x")
+    assert memory.load(spark, path) == store
 
 
 def test_quality_and_repairs(spark):
@@ -433,8 +446,21 @@ def test_json_and_csv(spark, tmp_path):
 def test_stream(spark, tmp_path):
     from demandspark.streaming.ingest import run_available
 
-    rows = [("e", dt.datetime(2024, 1, d), 1.0) for d in range(1, 29)]
-    df = spark.createDataFrame(rows, "event_type string, ts timestamp_ntz, value double")
-    df.write.parquet(str(tmp_path / "in"))
-    out = run_available(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), df.schema)
+    kind = "event_type string, ts timestamp_ntz, value double"
+    df = spark.createDataFrame([("e", dt.datetime(2024, 1, d), 1.0) for d in range(1, 29)], kind)
+    folder, run = str(tmp_path / "in"), lambda: run_available(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp"), df.schema)
+    df.limit(0).write.parquet(folder)
+    assert run().count() == 0
+    df.write.mode("append").parquet(folder)
+    out = run()
     assert out.agg(F.sum("y")).first()[0] == 28 and out.where("NOT finished").count() in (1, 2)
+    before = {(r.period_start, r.y) for r in out.collect()}
+    # nothing new: nothing changes. Then a late event corrects its window, an open one goes on; the first files aren't read again
+    assert {(r.period_start, r.y) for r in run().collect()} == before
+    for f in (tmp_path / "in").glob("part-*"):
+        f.write_bytes(b"")
+    spark.createDataFrame([("e", dt.datetime(2024, 1, 1, 5), 10.0), ("e", dt.datetime(2024, 1, 29), 1.0), ("new", dt.datetime(2024, 1, 30), None)], kind).write.mode("append").parquet(folder)
+    late = {(r["product"], r.period_start): (r.y, r.n) for r in run().collect()}
+    assert sum(y for y, _ in late.values()) == 39 and sum(n for _, n in late.values()) == 31
+    first = min(p for p, _ in before)
+    assert late["e", first][0] == next(y for p, y in before if p == first) + 10 and len(late) == len(before) + 1
