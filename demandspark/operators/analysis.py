@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import direction, error_pct
+from ..functions.wording import say
 
 DISCLAIMER = "Scenario figures follow from the stated assumptions; they are not a prediction of the model."
 
@@ -34,6 +35,28 @@ def performance_summary(validation: DataFrame) -> DataFrame:
     return validation.agg(F.count("*").alias("n_rows"), F.countDistinct("product").alias("n_products"), F.countDistinct("date").alias("n_periods"), *(F.count_if(d == k).alias(f"n_{k}") for k in ("over", "under", "exact")))
 
 
+#: The columns of results that are empty.
+PER_PERIOD = "product string, date date, fold int, horizon_step int, model_name string, actual double, predicted double, error double, error_pct double, direction string"
+TOTALS = "date date, total_actual double, total_predicted double, n_products long, error double, error_pct double, direction string"
+FORECASTS = "product string, date date, forecast double, lower_bound double, upper_bound double, model_used string, horizon_step int, forecast_start_date date"
+COMPARISON = "date date, baseline_total double, scenario_total double, delta double, delta_pct double"
+ECHOED = ("portfolio_wmape", "bias_direction", "confidence_label")
+
+
+def performance(spark: SparkSession, validation: DataFrame | None, summary: dict | None = None, cards: list[dict] | None = None) -> dict:
+    """Measured performance as a whole: per_period (by product, date and fold), totals (by date), summary and warnings.
+
+    summary counts the rows and repeats what the model has told (its portfolio figures and metric cards, as copies), computing none of it again.
+    Without validation rows the frames are empty, with their columns, and a warning says so."""
+    empty = validation is None or validation.isEmpty()
+    rows = spark.createDataFrame([], PER_PERIOD) if empty else performance_per_period(validation).select(*(c.split()[0] for c in PER_PERIOD.split(", ")))
+    totals = spark.createDataFrame([], TOTALS) if empty else performance_totals(validation)
+    counts = dict.fromkeys(("n_rows", "n_products", "n_periods", "n_over", "n_under", "n_exact"), 0) if empty else performance_summary(validation).first().asDict()
+    told = {k: (summary or {}).get(k) for k in ECHOED} | {"metric_cards": [dict(c) for c in cards or []]}
+    warnings = [say("no_validation") | {"level": "warning"}] if empty else []
+    return {"analysis_type": "measured", "per_period": rows.orderBy("product", "date", "fold", "horizon_step"), "totals": totals.orderBy("date"), "summary": told | counts, "warnings": warnings}
+
+
 @dataclass
 class Scenario:
     name: str = "scenario"
@@ -98,8 +121,9 @@ def run_scenario(forecasts: DataFrame, s: Scenario) -> DataFrame:
     else:
         moved = deviation
     pct = F.lit(float(s.demand_change_pct))
-    for p, v in s.per_product_change_pct.items():
-        pct = F.when(F.col("product") == p, F.lit(float(v))).otherwise(pct)
+    if s.per_product_change_pct:  # however many products are named, the plan stays as it is
+        named = forecasts.sparkSession.createDataFrame([(str(p), float(v)) for p, v in s.per_product_change_pct.items()], "product string, _pct double")
+        rows, pct = rows.join(named, "product", "left"), F.coalesce("_pct", pct)
     rows = rows.withColumn("_new", F.greatest((1 + pct / 100) * (F.col("_level") + moved), F.lit(0.0)))
     delta = F.col("_new") - F.col("forecast")
     bounds = {}
@@ -126,6 +150,25 @@ def most_affected(baseline: DataFrame, scenario: DataFrame, k: int = 5) -> DataF
     return out.orderBy(F.desc(F.bround(F.abs("delta"), 6)), "product").limit(k)
 
 
+def product_peaks(baseline: DataFrame, scenario: DataFrame) -> DataFrame:
+    """(product, peak_baseline, peak_scenario): the period of each product's largest forecast in either, the earlier of equal ones."""
+    peak = lambda df, name: df.groupBy("product").agg(F.max_by("date", F.struct("forecast", -F.datediff("date", F.lit("1970-01-01")))).alias(name))
+    return peak(baseline, "peak_baseline").join(peak(scenario, "peak_scenario"), "product", "full_outer")
+
+
+def simulate(spark: SparkSession, forecasts: DataFrame | None, asked: dict | None) -> dict:
+    """A scenario as a whole: scenario, forecast, comparison, impact, most_affected, peaks and warnings, the disclaimer always among them.
+
+    Without a forecast the frames are empty, with their columns, the impact has no figures, and a warning says so."""
+    base = spark.createDataFrame([], FORECASTS) if forecasts is None else forecasts
+    s, notes = resolve(asked, known_products(base, asked))
+    new = run_scenario(base, s)
+    if forecasts is None or forecasts.isEmpty():
+        notes = [*notes, say("no_forecast")["text"]]
+    comparison = scenario_comparison(base, new)
+    return {"analysis_type": "assumed", "scenario": s, "warnings": notes, "forecast": new, "comparison": comparison, "impact": impact_summary(comparison), "most_affected": most_affected(base, new), "peaks": product_peaks(base, new)}
+
+
 def impact_summary(comparison: DataFrame) -> DataFrame:
     """One row: totals, their difference (also in percent), and the first peak period of either."""
     peak = lambda c: F.max_by("date", F.struct(F.col(c), -F.datediff("date", F.lit("1970-01-01"))))

@@ -130,7 +130,7 @@ def selected(metrics: DataFrame) -> DataFrame:
 
 
 #: The row for the model that is only announced.
-LSTM = ("lstm", "future_extension", "Requires larger datasets, tuning, and additional runtime validation.")
+LSTM = ("lstm", "future_extension", "announced only; there is no such model here")
 
 
 def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, advanced: Advanced | None = None) -> tuple[DataFrame, DataFrame]:

@@ -72,7 +72,15 @@ def build_external(spark: SparkSession, start: str, end: str, folder: str, g: Gr
 
 
 def get_registry() -> dict:
-    return {k: dict(zip(("category", "future_availability", "industries", "file"), v, strict=True)) for k, v in REGISTRY.items()}
+    """Each feature with all that is known of it. What isn't in the table follows from it: a feature with a side file needs its column there, degree
+    days are derived from the temperature, weather is of one city, and only weather can be set in a scenario; nothing here looks at sales."""
+    out = {}
+    for name, (category, future, fields, file) in REGISTRY.items():
+        derived = name.endswith("_degree_days")
+        source = "side_file" if file else "derived" if derived else "generated"
+        needs = ["date", name] if file else ["temperature"] if derived else []
+        out[name] = {"category": category, "future_availability": future, "industries": fields, "file": file, "source": source, "required_columns": needs, "by_city": category == "weather", "scenario_capable": category == "weather", "leakage_risk": "low"}
+    return out
 
 
 def recommend(industry: str | None = None, granularity: str = "monthly", have: set[str] | None = None) -> list[dict]:

@@ -666,6 +666,12 @@ def scenario_impact_top5(spark, d):
     return analysis.most_affected(*_scenario(spark, d, _SCEN))
 
 
+@query(f"""{_SHIFT} SELECT product, arg_max(date, (round(base, 6), -datediff('day', DATE '1970-01-01', date))) AS peak_baseline, arg_max(date, (round(forecast, 6), -datediff('day', DATE '1970-01-01', date))) AS peak_scenario FROM sc GROUP BY 1""")
+def scenario_product_peaks(spark, d):
+    base, new = (df.withColumn("forecast", F.round("forecast", 6)) for df in _scenario(spark, d, _SCEN))
+    return analysis.product_peaks(base, new)
+
+
 @query(f"""{_CMP} SELECT round(sum(baseline_total), 3) AS total_demand_baseline, round(sum(scenario_total), 3) AS total_demand_scenario, arg_max(date, (baseline_total, -datediff('day', DATE '1970-01-01', date))) AS peak_period_baseline, arg_max(date, (scenario_total, -datediff('day', DATE '1970-01-01', date))) AS peak_period_scenario,
 round(sum(scenario_total) - sum(baseline_total), 3) AS total_demand_delta, round((sum(scenario_total) - sum(baseline_total)) / sum(baseline_total) * 100, 3) AS total_demand_delta_pct FROM cmp""", digits=3)
 def scenario_impact_summary(spark, d):

@@ -29,6 +29,7 @@ class Context:
     results: dict[str, Any] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
+    side_warnings: list[str] = field(default_factory=list)
     log: list[dict] = field(default_factory=list)
 
 
@@ -38,7 +39,7 @@ def _intake(x: Context) -> None:
     found = intake.run_intake(x.raw, known, x.config.extra.get("reviewer"))
     if x.config.mapping:
         found = intake.correct(found, {c: r for r, c in vars(x.config.mapping).items() if c})
-    x.results["intake"] = found
+    x.results |= {"intake": found} | intake.overviews(found)
     x.warnings += found.warnings
     missing = [r for r in ("date", "product", "qty") if getattr(found.mapping, r) is None]
     if missing:
@@ -71,7 +72,8 @@ def _quality(x: Context) -> None:
     found = quality.issues(rows, g, meant, counts)
     past = intake.history_summary(rows).first().asDict()
     x.results |= {"named": named, "rows": rows, "issues": found, "readiness": quality.readiness(found, set(meant)), "plan": remediation.build_plan(found, named, g), "history": past}
-    x.results["presence"] = intake.presence_readiness(x.results["intake"].mapping, x.results["intake"].inputs, past["n_products"], past["n_sufficient"], past["avg_zero_period_ratio"])
+    told = intake.readiness_report(x.results["intake"].mapping, x.results["intake"].inputs, past["n_products"], past["n_sufficient"], past["avg_zero_period_ratio"])
+    x.results |= {"presence": {area: t["score"] for area, t in told.items()}, "presence_reasons": told}
     if not quality.ready_for_features(found):
         x.warnings.append("quality: the data is not fully ready for features; going on may fail there")
 
@@ -90,7 +92,8 @@ def _external(x: Context) -> None:
         span = x.results["rows"].agg(F.min("date").cast("date").cast("string").alias("a"), F.max("date").cast("date").cast("string").alias("b")).first()
         if span["a"]:
             frame, notes, missing = external.build_external(x.raw.sparkSession, span["a"], span["b"], folder, granularity(x.config.granularity), x.config.city, x.config.sector)
-            x.warnings += notes + [f"{c}: no side file" for c in missing]
+            x.side_warnings += notes + [f"{c}: no side file" for c in missing]
+            x.warnings += x.side_warnings
     x.results["external"] = frame
 
 
@@ -106,6 +109,7 @@ def _features(x: Context) -> None:
     side = {}
     if x.results.get("external") is not None:
         full, notes = features.align_external(full, x.results["external"])
+        x.side_warnings += notes
         x.warnings += notes
         told = external.get_registry()
         side = {c: told[c]["future_availability"] if c in told else features.FUTURE_DEFAULT for c in full.columns if c not in (*base.columns, *client)}
@@ -154,13 +158,15 @@ def _performance(x: Context) -> None:
     board, rows = x.results["leaderboard"], x.results["validation"]
     best = board.where("scope = 'product' AND selected").select("product", "model_name")
     mine = rows.join(best, ["product", "model_name"])
-    x.results |= {"performance": analysis.performance_per_period(mine), "performance_totals": analysis.performance_totals(mine), "performance_summary": analysis.performance_summary(mine)}
+    cards = [r.asDict() for r in x.results["cards"].collect()]  # a row for each metric
+    told = analysis.performance(x.raw.sparkSession, mine, x.results["summary"].first().asDict(), cards)
+    x.warnings += [w["text"] for w in told["warnings"]]
+    x.results |= {"performance_result": told, "performance": told["per_period"], "performance_totals": told["totals"], "performance_summary": told["summary"]}
 
 
 def _insights(x: Context) -> None:
     r = x.results
-    told = r["performance_summary"].first().asDict() if "performance_summary" in r else None
-    r["insights"] = insights.generate(r["panel"], r["forecasts"], r["leaderboard"], r["segments"], r["issues"], x.config.extra.get("scenario"), r["summary"].first().asDict(), told)
+    r["insights"] = insights.generate(r["panel"], r["forecasts"], r["leaderboard"], r["segments"], r["issues"], x.config.extra.get("scenario"), r["summary"].first().asDict(), r.get("performance_summary"), x.side_warnings)
 
 
 #: (name, stage, whether the run goes on without it)
@@ -210,9 +216,5 @@ def resume(x: Context, approved: tuple[str, ...] = (), stages: list | None = Non
 
 
 def run_scenario(x: Context, asked: dict | None) -> dict[str, Any]:
-    """What-if on a finished run: scenario, comparison, impact and warnings; the baseline stays as it is."""
-    base = x.results["forecasts"]
-    s, notes = analysis.resolve(asked, analysis.known_products(base, asked))
-    new = analysis.run_scenario(base, s)
-    comparison = analysis.scenario_comparison(base, new)
-    return {"scenario": s, "warnings": notes, "forecast": new, "comparison": comparison, "impact": analysis.impact_summary(comparison), "most_affected": analysis.most_affected(base, new)}
+    """What-if on a run: see analysis.simulate; the baseline stays as it is. A run without a forecast gives empty frames and a warning."""
+    return analysis.simulate(x.raw.sparkSession, x.results.get("forecasts"), asked)

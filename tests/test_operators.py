@@ -154,7 +154,9 @@ def test_intake(spark):
     assert moved.mapping.qty == "Revenue" and any(i["column"] == "Quantity" and i["detected_meaning"] == "unknown" for i in moved.inputs)
     with pytest.raises(ValueError):
         intake.correct(found, {"Promo": "nonsense"})
-    assert intake.propose(lambda p: json.dumps({"Promo": {"meaning": "price"}, "zzz": {"meaning": "price"}, "LeadTime": {"meaning": "bogus"}}), [{"column": "Promo"}, {"column": "LeadTime"}]) == {"Promo": "price"}
+    assert intake.propose(lambda p: json.dumps({"Promo": {"meaning": "price"}, "zzz": {"meaning": "price"}, "LeadTime": {"meaning": "bogus"}}), [{"column": "Promo"}, {"column": "LeadTime"}]) == {"Promo": {"meaning": "price", "confidence": 0.0, "reason": ""}}
+    held = intake.propose(lambda p: json.dumps({"a": {"meaning": "price", "confidence": 0.99, "reason": "x" * 300}, "b": {"meaning": "price", "confidence": -1}, "c": {"meaning": "price", "confidence": "?"}}), [{"column": c} for c in "abc"])
+    assert {c: p["confidence"] for c, p in held.items()} == {"a": 0.70, "b": 0.0, "c": 0.0} and len(held["a"]["reason"]) == 200
     assert intake.propose(lambda p: "no json", []) == {}
 
 
@@ -208,6 +210,9 @@ def test_external(spark, tmp_path):
     assert missing == ["ahri_shipments", "construction_activity"]
     assert tables.read_side_series(spark, str(tmp_path / "none.csv"), ["x"]) is None
     assert "ahri_shipments" not in {x["feature"] for x in external.recommend()} and len(external.get_registry()) == 10
+    told = external.get_registry()
+    assert (told["humidity"]["source"], told["humidity"]["required_columns"], told["humidity"]["by_city"], told["humidity"]["scenario_capable"]) == ("side_file", ["date", "humidity"], True, True)
+    assert told["cooling_degree_days"]["required_columns"] == ["temperature"] and told["month"]["source"] == "generated" and not told["ahri_shipments"]["scenario_capable"]
 
 
 def test_scenarios(spark):
@@ -317,6 +322,46 @@ def test_presence_readiness():
     assert intake.presence_readiness(CoreMapping("d", None, "q"), inputs("price", level="low")) == {"forecast": 53, "inventory": 0, "scenario": 27}
 
 
+def test_capabilities_and_readiness_tell_why():
+    whole, part = CoreMapping("d", "p", "q"), CoreMapping("d", None, "q")
+    inputs = [{"column": c, "detected_meaning": m, "confidence": level, "stockout_signal": m == "stock_on_hand", "category": "advisory", "needs_confirmation": level == "low", "alternatives": []} for c, m, level in (("Preis", "price", "high"), ("Lager", "stock_on_hand", "medium"), ("x", "lead_time", "low"), ("y", "unknown", "low"))]
+    told = intake.capability_report(whole, inputs)
+    assert told["demand_forecasting"]["reason"]["code"] == "core_complete" and told["forecast_improvement"]["available_inputs"] == ["price"] and told["forecast_improvement"]["missing_inputs"] == []
+    assert not told["reorder_planning"]["unlocked"] and told["reorder_planning"]["missing_inputs"] and told["reorder_planning"]["reason"]["code"] in ("locked_without", "locked_without_all")
+    assert intake.capabilities(whole, inputs) == [c for c, t in told.items() if t["unlocked"]]
+    assert {t["reason"]["text"] for t in intake.capability_report(part, inputs).values()} == {"Still to be found: product."} and intake.capabilities(part, inputs) == []
+    report = intake.readiness_report(whole, inputs, 10, 5, 0.25)
+    assert [(r["code"], r["points"]) for r in report["forecast"]["reasons"]] == [("core_columns", 50), ("sufficient_products", 15), ("periods_with_demand", 15), ("demand_drivers", 5)] and report["forecast"]["score"] == 85
+    assert [r["code"] for r in report["inventory"]["reasons"]] == ["input_there", "input_there", "input_missing", "input_missing"]
+    seen = intake.overviews(intake.Intake(whole, inputs, capabilities=intake.capabilities(whole, inputs)))
+    assert seen["stockout"] == {"signals": [{"column": "Lager", "detected_meaning": "stock_on_hand", "confidence": "medium"}], "ready": True}
+    assert seen["contract"]["required"] == {"date": "d", "product": "p", "qty": "q"} and seen["contract"]["advisory"]["y"] == "y"
+    assert [c["column"] for c in seen["context"]["needs_review"]] == ["x"] and [i["key"] for i in seen["context"]["detected_inputs"]][:2] == ["demand_history", "product_catalog"]
+    assert len(seen["extra_columns"]) == 4
+
+
+def test_performance_echoes_and_empty_results_have_columns(spark):
+    v = spark.createDataFrame([("P2", "m", 0, 1, dt.date(2025, 2, 1), 0.0, 5.0), ("P1", "m", 1, 1, dt.date(2025, 1, 1), 100.0, 110.0), ("P1", "m", 0, 1, dt.date(2025, 1, 1), 100.0, 90.0)], "product string, model_name string, fold int, horizon_step int, date date, actual double, validation_prediction double")
+    cards = [{"metric": "wMAPE", "label": "good"}]
+    out = analysis.performance(spark, v, {"portfolio_wmape": 0.1, "bias_direction": "balanced", "confidence_label": "excellent", "other": 1}, cards)
+    assert [(r["product"], r.fold) for r in out["per_period"].collect()] == [("P1", 0), ("P1", 1), ("P2", 0)] and [str(r.date) for r in out["totals"].collect()] == ["2025-01-01", "2025-02-01"]
+    s = out["summary"]
+    assert (s["portfolio_wmape"], s["bias_direction"], s["confidence_label"], s["n_over"], s["n_rows"]) == (0.1, "balanced", "excellent", 2, 3) and "other" not in s
+    assert s["metric_cards"] == cards and s["metric_cards"][0] is not cards[0] and out["warnings"] == []
+    for nothing in (None, v.limit(0)):
+        out = analysis.performance(spark, nothing)
+        assert out["per_period"].count() == out["totals"].count() == 0 and out["summary"]["n_rows"] == 0 and out["summary"]["portfolio_wmape"] is None
+        assert out["per_period"].columns == ["product", "date", "fold", "horizon_step", "model_name", "actual", "predicted", "error", "error_pct", "direction"] and [w["code"] for w in out["warnings"]] == ["no_validation"]
+    told = analysis.simulate(spark, None, {"demand_change_pct": 10, "per_product_change_pct": {"P1": 5}})
+    assert told["forecast"].count() == told["comparison"].count() == told["peaks"].count() == 0 and told["forecast"].columns[:3] == ["product", "date", "forecast"]
+    assert told["warnings"][0] == analysis.DISCLAIMER and len(told["warnings"]) == 3 and told["impact"].first().total_demand_delta is None
+    base = spark.createDataFrame([("A", dt.date(2025, k, 1), float(f), k) for k, f in ((1, 5), (2, 9), (3, 9))], "product string, date date, forecast double, horizon_step int")
+    peaks = analysis.simulate(spark, base, {"peak_shift_periods": 2})["peaks"].first()
+    assert (str(peaks.peak_baseline), str(peaks.peak_scenario)) == ("2025-02-01", "2025-01-01")
+    many = analysis.simulate(spark, base, {"per_product_change_pct": {"A": 10} | {f"p{i}": 1 for i in range(3000)}})
+    assert len(many["warnings"]) == 3001 and many["forecast"].agg(F.sum("forecast")).first()[0] == pytest.approx(25.3)
+
+
 def test_meaning_levels():
     shape = {"dtype": "double", "n": 10, "n_null": 0, "n_unique": 9, "date_share": 1.0, "numeric_share": 1.0, "non_negative_share": 1.0, "binary": False, "zero_share": 0.0, "unit_share": 0.0}
     told = lambda column, steady, **more: intake.business_inputs([shape | {"column": column} | more], {column: {"constant_per_product": steady, "same_across_products": 0.0}}, CoreMapping("d", "p", "q"))[0]
@@ -369,7 +414,12 @@ def test_findings(spark):
     low = insights.generate(past, made, board, kinds, severe, {"delta_pct": 10.0, "products": ["A"]}, summary)
     assert low["confidence"] == "Low" and {r["product"]: r["drivers"] for r in low["risk_alerts"]}["A"] == ["scenario_sensitive", "large_with_low_confidence"]
     assert [f["source"] for f in low["key_findings"]] == ["performance", "quality", "scenario", "forecast", "explainability"] and len(low["recommended_actions"]) == 6
-    assert low["data_limitations"][:3] == ["missing_periods: 3 records", "large_temporal_gaps: 2 records", "invalid_dates: 1 records"]
+    assert [(f["code"], f["n"]) for f in low["data_limitations"][:3]] == [("missing_periods", 3), ("large_temporal_gaps", 2), ("invalid_dates", 1)]
+    assert low["data_limitations"][0]["text"] == "3 periods are missing between first and last ones."
+    assert {r["product"]: r["action"] for r in low["risk_alerts"]} == {"A": "prepare_for_scenario", "B": "check_error"}
+    side = insights.generate(past, made, board, kinds, [], None, summary, {"n_rows": 0, "n_over": 0, "n_under": 0}, ["no weather file for X", "second"])
+    assert [f["code"] for f in side["data_limitations"]] == ["no_product_validation", "side_table", "no_stock_columns", "no_feature_effects"] and side["data_limitations"][1]["detail"] == "no weather file for X"
+    assert [f["code"] for f in side["executive_summary"]] == ["demand_up", "trust", "products_at_high_risk"] and side["chatbot_context"]["executive_summary"].startswith("Total demand goes up (+")
     volume = insights.top_growth(insights.growth_ranking(past.limit(0), made)).collect()
     assert [(r.product, r.basis) for r in volume] == [("A", "highest_forecasted_volume"), ("B", "highest_forecasted_volume")]
     assert insights.generate(past, made.drop("forecast"), board, kinds)["status"] in ("partial", "failed")
