@@ -12,7 +12,7 @@ from ..functions.coerce import to_date, to_number
 from ..operators import analysis, evaluate, external, features, forecast, insights, intake, models, quality, remediation, segments
 from ..operators import panel as P
 from ..sources.tables import materialized
-from ..types import MONTHLY, WEEKLY, RunConfig
+from ..types import FOLDS, MONTHLY, WEEKLY, RunConfig
 from . import bindings as B
 from . import pipeline
 
@@ -386,9 +386,12 @@ def external_alignment(spark, d):
     return features.align_external(p, side)[0]
 
 
-@query("SELECT CAST(unnest(generate_series(DATE '2022-08-01', DATE '2024-02-10', INTERVAL 1 MONTH)) AS DATE) AS date")
+@query("""WITH s AS (SELECT min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS b FROM lineitem), f AS (SELECT CASE WHEN date_trunc('month', a) < a THEN date_trunc('month', a) + INTERVAL 1 MONTH ELSE date_trunc('month', a) END AS a, b FROM s)
+SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS date FROM f""")
 def calendar_grid(spark, d):
-    return external.period_grid(spark, "2022-07-15", "2024-02-10")
+    """The periods that the line items span."""
+    span = B.read_table(spark, d, "lineitem").agg(F.min("l_shipdate").cast("date").cast("string"), F.max("l_shipdate").cast("date").cast("string")).first()
+    return external.period_grid(spark, span[0], span[1])
 
 
 @query(f"""WITH {B.panel_sql(B.PART)}, m AS (SELECT DISTINCT product, unnest(range(1, 13)) AS month FROM panel), a AS (SELECT product, month(date) AS month, avg(y) AS v FROM panel GROUP BY 1, 2), w AS (SELECT product, avg(y) AS v FROM panel GROUP BY 1)
@@ -424,19 +427,22 @@ def fold_cutoffs(spark, d):
     return segments.fold_cutoffs(segments.product_segments(B.mixed_panel(spark, d))).select("product", "n_points", "fold", "cut")
 
 
-@query("""SELECT CAST(n AS BIGINT) AS n_points, CAST(f AS INT) AS fold, CAST(c AS INT) AS cut FROM (VALUES (7, 0, 4), (9, 0, 4), (10, 0, 4), (10, 1, 7), (16, 0, 10), (16, 1, 13), (17, 0, 14), (24, 0, 14), (24, 1, 17), (24, 2, 20),
-(36, 0, 14), (36, 1, 20), (36, 2, 26), (42, 0, 14), (42, 1, 22), (42, 2, 30), (60, 0, 14), (60, 1, 28), (60, 2, 42)) AS t(n, f, c)""")
+@query(f"""WITH {MPANEL}, n AS (SELECT DISTINCT count(*) AS n_points FROM panel GROUP BY product), t AS (SELECT *, CASE WHEN n_points >= 17 THEN 14 ELSE greatest(4, n_points - 6) END AS tr FROM n), s AS (SELECT *, least(4, (n_points - tr) // 3) AS sp FROM t WHERE n_points >= tr + 3)
+SELECT n_points, CAST(f AS INT) AS fold, CAST(tr + f * greatest(3, (n_points - tr - 3) // sp) AS INT) AS cut FROM (SELECT *, unnest(range(0, CAST(sp AS BIGINT))) AS f FROM s WHERE sp >= 1) WHERE tr + f * greatest(3, (n_points - tr - 3) // sp) + 3 <= n_points""")
 def fold_golden_values(spark, d):
-    return segments.fold_cutoffs(spark.createDataFrame([(n,) for n in (5, 7, 9, 10, 16, 17, 24, 36, 42, 60)], "n_points long"))
+    """The cuts of full mode for every length of history that there is."""
+    lengths = B.mixed_panel(spark, d).groupBy("product").agg(F.count("*").alias("n_points")).select("n_points").distinct()
+    return segments.fold_cutoffs(lengths, folds=FOLDS["full"])
 
 
 _CAND = [(s, m, k) for s, models_ in {"short_history": ("naive", "moving_average"), "intermittent": ("naive", "seasonal_naive", "moving_average", "croston"), "low_volume": ("naive", "seasonal_naive", "moving_average"), "normal": segments.FAST, "high_volume": segments.FAST + segments.ADVANCED}.items() for k, m in enumerate(models_)]
 _CAND_SQL = "cand(segment, model_name, cand_ord) AS (VALUES " + ", ".join(f"('{s}', '{m}', {k})" for s, m, k in _CAND) + ")"
 
 
-@query(f"WITH {_CAND_SQL} SELECT segment, model_name, CAST(cand_ord AS INT) AS cand_ord FROM cand")
+@query(f"WITH {MPANEL}, {_SEG}, {_CAND_SQL} SELECT product, n_points, segment, model_name, CAST(cand_ord AS INT) AS cand_ord FROM seg JOIN cand USING (segment)")
 def candidate_matrix(spark, d):
-    return segments.candidates(spark)
+    """Which models each product is validated with."""
+    return evaluate.asked_of(materialized(B.mixed_panel(spark, d)))
 
 
 # --- models

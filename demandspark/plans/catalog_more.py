@@ -44,25 +44,31 @@ def json_round_trip(spark, d):
     return tables.json_rows(rows).select(read.alias("x")).select("x.product", F.to_date("x.date").alias("date"), "x.y")
 
 
-_GRID = "grid AS (SELECT CAST(unnest(generate_series(DATE '2020-01-01', DATE '2024-12-01', INTERVAL 1 MONTH)) AS DATE) AS date)"
+_GRID = """sp AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders),
+grid AS (SELECT CAST(unnest(generate_series(CASE WHEN date_trunc('month', a) < a THEN date_trunc('month', a) + INTERVAL 1 MONTH ELSE date_trunc('month', a) END, b, INTERVAL 1 MONTH)) AS DATE) AS date FROM sp)"""
 
 
-def _side_files(spark) -> str:
-    """A folder of side files: weather of the default city without every fourth month, an industry series of every second one."""
-    days = external.period_grid(spark, "2020-01-01", "2024-12-31")
-    path = _folder(spark, "side")
-    tables.write_csv(_weather(days.where(F.month("date") % 4 != 0)).withColumn("humidity", F.month("date") * 2.0), f"{path}/weather_riyadh_monthly.csv", single=True)
-    tables.write_csv(days.where(F.month("date") % 2 == 0).withColumn("ahri_shipments", F.year("date") * 1.0), f"{path}/ahri_shipments.csv", single=True)
-    return path
+def _side_files(spark, d) -> tuple[str, str, str]:
+    """(folder, first day, last day): side files made of the orders, by month: their mean price stands for the temperature and their number for the
+    humidity, without every fourth month; their summed price for an industry series of every second one."""
+    orders = B.read_table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    first, last = (str(x) for x in orders.agg(F.min("day"), F.max("day")).first())
+    months = orders.groupBy(F.trunc("day", "month").cast("date").alias("date")).agg(F.round(F.avg("o_totalprice") / 8000, 3).alias("temperature"), F.count("*").cast("double").alias("humidity"), F.round(F.sum("o_totalprice"), 0).alias("ahri_shipments"))
+    months, path = materialized(months), _folder(spark, "side")
+    tables.write_csv(months.where(F.month("date") % 4 != 0).drop("ahri_shipments"), f"{path}/weather_riyadh_monthly.csv", single=True)
+    tables.write_csv(months.where(F.month("date") % 2 == 0).select("date", "ahri_shipments"), f"{path}/ahri_shipments.csv", single=True)
+    return path, first, last
 
 
-@query(f"""WITH {_GRID}, s AS (SELECT date, CASE WHEN month(date) % 4 != 0 THEN {_TEMP} END AS t, CASE WHEN month(date) % 4 != 0 THEN month(date) * 2.0 END AS h, CASE WHEN month(date) % 2 = 0 THEN year(date) * 1.0 END AS a FROM grid),
+@query(f"""WITH {_GRID}, mo AS (SELECT date_trunc('month', o_orderdate)::DATE AS date, round(avg(o_totalprice) / 8000, 3) AS t0, count(*)::DOUBLE AS h0, round(sum(o_totalprice), 0) AS a0 FROM orders GROUP BY 1),
+s AS (SELECT date, CASE WHEN month(date) % 4 != 0 THEN t0 END AS t, CASE WHEN month(date) % 4 != 0 THEN h0 END AS h, CASE WHEN month(date) % 2 = 0 THEN a0 END AS a FROM grid LEFT JOIN mo USING (date)),
 f AS (SELECT date, coalesce(t, lag(t, 1) OVER (ORDER BY date), lag(t, 2) OVER (ORDER BY date)) AS temperature, coalesce(h, lag(h, 1) OVER (ORDER BY date), lag(h, 2) OVER (ORDER BY date)) AS humidity, coalesce(a, lag(a, 1) OVER (ORDER BY date), lag(a, 2) OVER (ORDER BY date)) AS ahri_shipments FROM s)
-SELECT date, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, CAST(year(date) AS INT) AS year, {r('temperature', 'humidity', digits=4)}, round(greatest(temperature - 18, 0.0), 4) + 0.0 AS cooling_degree_days,
-round(greatest(18 - temperature, 0.0), 4) + 0.0 AS heating_degree_days, {r('ahri_shipments', digits=4)} FROM f""", digits=4)
+SELECT date, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, CAST(year(date) AS INT) AS year, {r('temperature', 'humidity', digits=2)}, round(greatest(temperature - 18, 0.0), 2) + 0.0 AS cooling_degree_days,
+round(greatest(18 - temperature, 0.0), 2) + 0.0 AS heating_degree_days, {r('ahri_shipments', digits=2)} FROM f""", digits=2)
 def external_frame(spark, d):
-    """Calendar, weather and industry side by side on the grid; a city without a file falls back to the default one."""
-    return external.build_external(spark, "2020-01-01", "2024-12-31", _side_files(spark), city="Nowhere", industry="HVAC")[0].select("date", "month", "quarter", "year", "temperature", "humidity", "cooling_degree_days", "heating_degree_days", "ahri_shipments")
+    """Calendar, weather and industry side by side on the months of the orders; a city without a file falls back to the default one."""
+    path, first, last = _side_files(spark, d)
+    return external.build_external(spark, first, last, path, city="Nowhere", industry="HVAC")[0].select("date", "month", "quarter", "year", "temperature", "humidity", "cooling_degree_days", "heating_degree_days", "ahri_shipments")
 
 
 @query(f"""WITH {PANEL}, e AS (SELECT product, date, round(y / 7, 4) AS shelf FROM panel WHERE month(date) % 3 = 0), j AS (SELECT p.*, shelf AS x FROM panel p LEFT JOIN e USING (product, date))

@@ -6,7 +6,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from demandspark.operators import evaluate, models, statistical, trees
+from demandspark.operators import evaluate, models, segments, statistical, trees
 from demandspark.types import MONTHLY, WEEKLY
 from pyspark.sql import functions as F
 
@@ -134,3 +134,9 @@ def test_steps_look_back_on_predictions(spark):
     # one step at a time over the history grown by hand gives the same
     one = models.tree_forecast(df, "random_forest", horizon=1, regressor=DecisionTreeRegressor(labelCol="y", seed=1, maxDepth=8)).collect()
     assert all(got[r["product"], 1] == pytest.approx(r.forecast) for r in one)
+
+
+def test_fold_cuts_by_hand(spark):
+    want = {5: [], 7: [4], 9: [4], 10: [4, 7], 16: [10, 13], 17: [14], 24: [14, 17, 20], 36: [14, 20, 26], 42: [14, 22, 30], 60: [14, 28, 42]}
+    rows = segments.fold_cutoffs(spark.createDataFrame([(n,) for n in want], "n_points long")).collect()
+    assert {n: [r.cut for r in sorted(rows, key=lambda r: r.fold) if r.n_points == n] for n in want} == want
