@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 UNKNOWN = "und"
-#: Letters are what \w matches but for digits of any kind: \w and \d disagree about superscripts and the like.
+#: Letters are what \w matches but for digits of any kind: \w and \d disagree about superscripts and the like, which are rare, and looked for first.
 _odd = "".join(c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_word = re.compile(rf"[^\W\d_{re.escape(_odd)}]+")
+_has_odd, _beyond = re.compile(f"[{re.escape(''.join(c for c in _odd if c <= chr(0xFFFF)))}]"), re.compile("[\U00010000-\U0010ffff]")
+_word, _careful_word = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{re.escape(_odd)}]+")
 #: Letters of a text that are counted at a time: bounds the arrays of a very long document.
 PART = 1 << 20
 
@@ -34,7 +35,8 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         end = at + PART
         while end < len(text) and not text[end].isspace() and end < at + 2 * PART:
             end += 1
-        words = _word.findall(text[at:end].lower())
+        part = text[at:end].lower()
+        words = (_careful_word if not part.isascii() and (_has_odd.search(part) or _beyond.search(part)) else _word).findall(part)
         at = end
         if words:
             a = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)

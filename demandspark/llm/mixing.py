@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fresh, hex_digits, running, written
 
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction in 64 bits: points are exact integers, so that no share gets too small for them however many slots there are.
+GOLDEN, WHOLE = 11400714819323198485, 1 << 64
 #: Words of a block, at every corpus size.
 BLOCK = 1024
 CHUNK = 4096
@@ -63,7 +64,7 @@ def _slots(plan: DataFrame, words: int) -> DataFrame:
     total = total or 0
     cell = lambda c: F.floor(c * CELLS / F.lit(float(max(1, total))))
     ranges = bounds.where("blocks > 0").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
-    points = plan.sparkSession.range(total).select(F.col("id").alias("slot"), F.floor(F.expr(f"(CAST(id AS DOUBLE) * {GOLDEN}D) % 1.0D") * total).alias("point"))
+    points = plan.sparkSession.range(total).select(F.col("id").alias("slot"), F.expr(f"(((CAST(id AS DECIMAL(20, 0)) * {GOLDEN}BD) % {WHOLE}BD) * CAST({total} AS DECIMAL(15, 0))) div {WHOLE}BD").alias("point"))
     fallen = points.withColumn("cell", cell(F.col("point"))).join(ranges, "cell").where("point >= low AND point < high")
     fallen = fallen.select("source_rank", "whole", "blocks", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), F.lit(1).alias("one"))
     ranked = written(running(fallen, ["source_rank"], "chunk", ["slot"], {"one": "block"}))
@@ -104,9 +105,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, wo
 
 
 def taken_words(mixed: Mix) -> DataFrame:
-    """documents with `taken`: the words that the schedule takes of each, repeats counted."""
-    sums = mixed.schedule.groupBy("source_rank", "row").agg(F.sum("words").alias("taken"))
-    return mixed.documents.join(sums, ["source_rank", "row"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+    """documents with taken, first_slot and n_slots: the words that the schedule takes of each, repeats counted, the first slot that takes some
+    (null if none does), and how many slots do."""
+    sums = mixed.schedule.groupBy("source_rank", "row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.countDistinct("slot").alias("n_slots"))
+    zero = F.lit(0).cast("long")
+    return mixed.documents.join(sums, ["source_rank", "row"], "left").withColumns({"taken": F.coalesce("taken", zero), "n_slots": F.coalesce("n_slots", zero)})
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -124,8 +127,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents, and where in the schedule each one is taken. Edge cases as in mix."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return taken_words(mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 OP7_SQL = rf"""
@@ -139,11 +143,21 @@ s3 AS (
     / sum(w) OVER (ORDER BY ratio, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM s2),
 f AS (SELECT arg_min(level, (ratio, r)) AS first_level FROM s3 WHERE level <= ratio),
 p AS (SELECT s3.*, CASE WHEN first_level IS NULL OR ratio < first_level THEN cap::DOUBLE ELSE first_level * w END AS target FROM s3, f),
+b AS (SELECT r, floor(target)::BIGINT AS lim, ceil(floor(target) / {BLOCK})::BIGINT AS blocks FROM p),
+c AS (SELECT *, sum(blocks) OVER (ORDER BY r)::BIGINT AS high, (sum(blocks) OVER (ORDER BY r) - blocks)::BIGINT AS low FROM b),
+n AS (SELECT max(high) AS total, count(*) AS sources FROM c),
+pt AS (SELECT slot, ((slot::HUGEINT * {GOLDEN}::HUGEINT) % {WHOLE}::HUGEINT * total) // {WHOLE}::HUGEINT AS point FROM n, unnest(range(0, total)) u(slot)),
+rk AS (SELECT c.r, pt.slot, row_number() OVER (PARTITION BY c.r ORDER BY slot) - 1 AS block, blocks FROM pt JOIN c ON point >= low AND point < high),
+had AS (SELECT r, count(*) AS had FROM rk GROUP BY r),
+sl AS (
+  SELECT r, block, slot FROM rk WHERE block < blocks
+  UNION ALL SELECT c.r, k, total + (k - coalesce(had, 0)) * sources + c.r FROM c LEFT JOIN had USING (r), n, unnest(range(coalesce(had, 0), greatest(blocks, coalesce(had, 0)))) u(k)),
 o AS (
-  SELECT d.*, p.r, p.source_size, p.target, coalesce(sum(size) OVER (PARTITION BY p.r ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, (
-    greatest(0, least(start + size, lim) - start) + greatest(0, least(start + source_size + size, lim) - start - source_size)
-    + greatest(0, least(start + 2 * source_size + size, lim) - start - 2 * source_size))::BIGINT AS taken
-FROM (SELECT o.*, floor(target) AS lim FROM o)
+  SELECT row_number() OVER () AS row, d.*, p.r, p.source_size, p.target, floor(p.target)::BIGINT AS lim, coalesce(sum(size) OVER (PARTITION BY p.r ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+a AS (SELECT row, r, size, lim, start + e * source_size AS pos FROM o, unnest(range(0, 3)) u(e) WHERE size > 0 AND start + e * source_size < lim),
+st AS (SELECT a.*, k AS block FROM a, unnest(range(pos // {BLOCK}, (pos + size - 1) // {BLOCK} + 1)) u(k)),
+m AS (SELECT st.row, sl.slot, least(pos + size, (block + 1) * {BLOCK}, lim) - greatest(pos, block * {BLOCK}) AS words FROM st JOIN sl USING (r, block)),
+t AS (SELECT row, sum(words)::BIGINT AS taken, min(slot)::BIGINT AS first_slot, count(DISTINCT slot) AS n_slots FROM m WHERE words > 0 GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots FROM o LEFT JOIN t USING (row)
 """

@@ -9,12 +9,13 @@ and only those are verified with the regex; a rule without a mandatory trigram s
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, split_by_ids, written
+from .common import bound, fresh, split_by_ids, written
 
 
 @dataclass(frozen=True)
@@ -37,75 +38,123 @@ BASE = (
 ADDED = (Rule("pem", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),)
 
 
-def _literals(pattern: str) -> list[list[str]]:
-    """The ways to match, each as the literals it must contain: a top-level sequence in which (a|b) of plain literals branches and x? is left out."""
-    ways, run, i = [[""]], True, 0
-
-    def add(text: str) -> None:
-        for way in ways:
-            if run:
-                way[-1] += text
-            else:
-                way.append(text)
-
-    while i < len(pattern):
-        c = pattern[i]
-        if pattern.startswith("(?i)", i):
-            i += 4
-            continue
-        if c == "(":
-            depth, j = 1, i + 1
-            while depth:
-                depth += {"(": 1, ")": -1}.get(pattern[j], 0)
-                j += 1
-            body, i = pattern[i + 1 : j - 1], j
-            if i < len(pattern) and pattern[i] in "*?":
-                run, i = False, i + 1
-                continue
-            options = [o for part in body.split("|") for o in ([part] if "?" not in part else [re.sub(".\\?", "", part), part.replace("?", "")])]
-            if all(re.fullmatch(r"[\w -]+", o) for o in options):
-                ways = [[*w[:-1], w[-1] + o] if run else [*w, o] for w in ways for o in options]
-                run = True
-            else:
-                run = False
-            continue
-        if c == "[":
-            i, plain = pattern.index("]", i + 2) + 1, None
-        elif c == "\\":
-            plain, i = None, i + (4 if pattern[i + 1] == "x" else 2)
-        else:
-            plain, i = c, i + 1
-        q = re.match(r"[*?]|\+|\{[\d,]+\}", pattern[i:])
-        i += q.end() if q else 0
-        if plain is None or q:
-            run = False
+#: An alternative in a trigram query, and a set of strings that a part of a regex stands for, have so many entries at most; beyond, less is asked for.
+CLAUSES, STRINGS = 64, 64
+#: A query is an OR of ANDs; this one asks for nothing.
+ANYTHING = (frozenset(),)
+#: What Java and Python read differently in a pattern that both accept: comments and Unicode case flags, and the class operators.
+_DIFFERENT = re.compile(r"\(\?[A-Za-z]*[uxU]|&&")
+
+
+def _least(query) -> tuple[frozenset[str], ...]:
+    """Without the ANDs that ask for more than another one."""
+    kept = set(query)
+    return tuple(sorted((a for a in kept if not any(b < a for b in kept)), key=sorted))
+
+
+def _either(parts) -> tuple[frozenset[str], ...]:
+    query = _least(a for q in parts for a in q)
+    return query if len(query) <= CLAUSES else ANYTHING
+
+
+def _both(left, right) -> tuple[frozenset[str], ...]:
+    """Both queries; where that takes too many ANDs, the one of fewer."""
+    if len(left) * len(right) > CLAUSES * CLAUSES:
+        return min(left, right, key=len)
+    query = _least(a | b for a in left for b in right)
+    return query if len(query) <= CLAUSES else min(left, right, key=len)
+
+
+def _asked(strings) -> tuple[frozenset[str], ...]:
+    """That one of the strings occurs; nothing if one of them is shorter than a trigram."""
+    return _either([(frozenset(x[i : i + 3] for i in range(len(x) - 2)),) for x in strings])
+
+
+@dataclass(frozen=True)
+class _Part:
+    """What is known of a part of a regex: the strings that it stands for (None: others too, or too many), and a query that all matches fulfil."""
+
+    strings: frozenset[str] | None
+    query: tuple[frozenset[str], ...] = ANYTHING
+
+
+_UNKNOWN, _NOTHING = _Part(None), _Part(frozenset({""}))
+
+
+def _alternatives(parts: list[_Part]) -> _Part:
+    if all(p.strings is not None for p in parts) and len(union := frozenset().union(*(p.strings for p in parts))) <= STRINGS:
+        return _Part(union, _asked(union))
+    return _Part(None, _either(_asked(p.strings) if p.strings is not None else p.query for p in parts))
+
+
+def _sequence(parts: list[_Part]) -> _Part:
+    """Neighbouring parts of known strings are joined to longer strings; between them stands whatever is unknown."""
+    run, whole, query = frozenset({""}), True, ANYTHING
+    for p in parts:
+        if p.strings is None:
+            query, run, whole = _both(_both(query, _asked(run)), p.query), frozenset({""}), False
+        elif len(joined := frozenset(a + b for a in run for b in p.strings)) <= STRINGS:
+            run = joined
         else:
-            add(plain)
-            run = True
-    return ways
+            query, run, whole = _both(query, _asked(run)), p.strings, False
+    query = _both(query, _asked(run))
+    return _Part(run if whole else None, query)
+
+
+def _part(node) -> _Part:
+    """One node of a parsed pattern. What isn't listed here stands for anything, so that a match is never ruled out."""
+    kind, of = str(node[0]), node[1]
+    if kind == "LITERAL":
+        return _Part(frozenset({chr(of).lower()})) if 32 <= of < 127 else _UNKNOWN
+    if kind == "IN" and all(str(k) == "LITERAL" and 32 <= v < 127 for k, v in of):
+        return _alternatives([_part(x) for x in of])
+    if kind in ("AT", "ASSERT", "ASSERT_NOT"):  # they match no characters
+        return _NOTHING
+    if kind in ("SUBPATTERN", "ATOMIC_GROUP"):
+        return _sequence([_part(x) for x in (of[3] if kind == "SUBPATTERN" else of)])
+    if kind == "BRANCH":
+        return _alternatives([_sequence([_part(x) for x in way]) for way in of[1]])
+    if kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+        least, most, body = of[0], of[1], _sequence([_part(x) for x in of[2]])
+        if most == 0:
+            return _NOTHING
+        if (least, most) == (0, 1):
+            return _alternatives([body, _NOTHING])
+        if least == most and least <= 8:
+            return _sequence([body] * least)
+        # more than once: the strings stand side by side somehow, each of them whole
+        return _Part(None, (_asked(body.strings) if body.strings is not None else body.query) if least else ANYTHING)
+    return _UNKNOWN
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
-    """An OR of ANDs of lower-cased trigrams that every match fulfils; None if a way to match has no mandatory trigram."""
-    ands = [frozenset(lit.lower()[i : i + 3] for lit in way for i in range(len(lit) - 2)) for way in _literals(pattern)]
-    return None if not all(ands) else sorted(set(ands), key=sorted)
+    """An OR of ANDs of lower-cased trigrams that every match fulfils; None if a way to match has no mandatory trigram.
+
+    The pattern is parsed, and the query follows from its parts by the rules of sequence, alternative and repetition. A pattern that can't be
+    parsed, or that Java and Python might read differently, has no query: its rule scans every text."""
+    if _DIFFERENT.search(pattern):
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # a warning tells of what may be read differently
+            tree = re._parser.parse(pattern)
+    except (re.error, Warning, OverflowError, RecursionError):
+        return None
+    whole = _sequence([_part(x) for x in tree])
+    query = _asked(whole.strings) if whole.strings is not None else whole.query
+    return None if not all(query) else sorted(query, key=sorted)
 
 
 def _vocabulary(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for a in trigram_query(r.pattern) or () for t in a})
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), with value computed once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index: (trigram, id) of each trigram that the rules ask for, for any number of them; rows without id are left out.
 
     lower() may fold letters beyond A-Z to these too: there are only more candidates."""
     grams = F.array(*map(F.lit, _vocabulary(rules))).cast("array<string>")
-    found = _bound(F.lower(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.filter(grams, lambda g: F.contains(t, g)))
+    found = bound(F.lower(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.filter(grams, lambda g: F.contains(t, g)))
     return docs.where(F.col(id_col).isNotNull()).select(F.explode(found).alias("trigram"), F.col(id_col).alias("id"))
 
 
@@ -145,15 +194,15 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         sums = lambda parts: F.transform(parts, lambda c: F.aggregate(c, F.lit(0), lambda acc, p: acc + p["gap"] + p["found"]))
         before = lambda totals: F.aggregate(totals, F.array(F.lit(0)), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + t))
         both = lambda parts: F.arrays_zip(parts.alias("part"), F.slice(before(sums(parts)), F.lit(1), F.size(parts)).alias("start"))
-        return _bound(chunks, lambda parts: F.flatten(F.transform(both(parts), lambda x: chunk(x["part"], x["start"]))))
+        return bound(chunks, lambda parts: F.flatten(F.transform(both(parts), lambda x: chunk(x["part"], x["start"]))))
 
     def between(found: Column) -> Column:
         gaps = F.slice(F.transform(F.split(text, rule.pattern, -1), F.length), F.lit(1), F.size(found))
         sizes, long = F.transform(found, F.length), F.transform(found, asked)
         pieces = F.arrays_zip(gaps.alias("gap"), sizes.alias("found"), long.alias("asked"))
-        return F.when(F.size(found) > 0, _bound(pieces, placed)).otherwise(F.array().cast(kind))
+        return F.when(F.size(found) > 0, bound(pieces, placed)).otherwise(F.array().cast(kind))
 
-    return _bound(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), between)
+    return bound(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), between)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, text_col: str = "text", out: str = "secrets", id_col: str = "doc_id") -> DataFrame:
@@ -198,6 +247,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The secrets of every document. Edge cases as in scan_secrets; a null text counts as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scan_secrets(docs).select("doc_id", "secrets")
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

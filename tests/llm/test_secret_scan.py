@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -82,3 +83,61 @@ def test_very_many_matches_in_linear_time(spark):
     began = time.time()
     spans = scan_secrets(make_docs(spark, [text])).first().secrets
     assert len(spans) == 60_000 and spans[59_999].start == 59_999 * 18 and time.time() - began < 60
+
+
+def _random_pattern(rng, depth=3):
+    """A regex that Java and Python read alike."""
+    kind = rng.random()
+    if depth == 0 or kind < 0.35:
+        return "".join(rng.choice(["a", "b", "B", "c", "abc", "foo", "1", r"\.", r"\x20", "é"]) for _ in range(rng.randint(1, 4)))
+    if kind < 0.45:
+        return rng.choice([".", "[ab]", "[^a]", "[a-c]", r"\d", r"\w", "[AB1]", "^", r"\b", "(?=a)", "(?!b)"])
+    if kind < 0.65:
+        return "(" + "|".join(_random_pattern(rng, depth - 1) for _ in range(rng.randint(1, 3))) + ")"
+    if kind < 0.85:
+        return "(?:" + _random_pattern(rng, depth - 1) + ")" + rng.choice(["?", "*", "+", "{2}", "{1,3}", "+?", "{0,2}"])
+    return "".join(_random_pattern(rng, depth - 1) for _ in range(rng.randint(1, 3)))
+
+
+def _a_match(rng, pattern):
+    """A text that the parsed pattern matches, as far as it is easily made."""
+    def of(node):
+        kind, v = str(node[0]), node[1]
+        if kind == "LITERAL":
+            return chr(v)
+        if kind == "IN":
+            return rng.choice("abcB1 x")
+        if kind in ("ANY", "NOT_LITERAL"):
+            return rng.choice("xyz")
+        if kind == "SUBPATTERN":
+            return "".join(map(of, v[3]))
+        if kind == "BRANCH":
+            return "".join(map(of, rng.choice(v[1])))
+        if "REPEAT" in kind:
+            return "".join("".join(map(of, v[2])) for _ in range(rng.randint(v[0], min(int(v[1]), v[0] + 2))))
+        return ""
+
+    return "".join(map(of, re._parser.parse(pattern)))
+
+
+def test_derived_queries_never_rule_out_a_match():
+    rng, asked = random.Random(9), 0
+    for _ in range(4000):
+        pattern = _random_pattern(rng)
+        query = trigram_query(pattern)
+        for flags in (0, re.IGNORECASE):
+            text = rng.choice(["", "xx ", "zz"]) + _a_match(rng, pattern) + rng.choice(["", "tail"])
+            if query and re.search(pattern, text, flags):
+                asked += 1
+                assert any(all(g in text.lower() for g in a) for a in query), (pattern, text, query)
+    assert asked > 1000
+
+
+def test_rules_of_every_kind_are_found(spark):
+    found = lambda pattern, text: [tuple(x)[0::3] for x in scan_secrets(make_docs(spark, [text, "nothing"]), (Rule("r", pattern),)).where("doc_id = 0").first().secrets]
+    for pattern, text in (("foo.bar", "a fooxbar"), ("foo|bar", "a bar"), ("(abc)+def", "abcabcdef"), ("^start of", "start of it"), ("to(ken){2}s?", "tokenken"), ("(?i)SeCReT", "sEcret"), (r"key\Q.\E", "key."), ("a[b-d&&[^c]]efg", "abefg"), ("(?x) ab c", "abc")):
+        assert len(found(pattern, text)) == 1, pattern
+    assert trigram_query("foo.bar") == [frozenset({"foo", "bar"})] and trigram_query("foo|bar") == [frozenset({"bar"}), frozenset({"foo"})]
+    assert trigram_query("(abc)+def") == [frozenset({"abc", "def"})] and trigram_query("(abc)?") is None and trigram_query("a|foo") is None
+    assert trigram_query("api_?key") == [frozenset({"api", "pi_", "i_k", "_ke", "key"}), frozenset({"api", "pik", "ike", "key"})]
+    assert trigram_query("(?x) ab c") is None and trigram_query("a[b&&[^c]]def") is None and trigram_query("(") is None and trigram_query("(foo|ba)rest") == [frozenset({"bar", "are", "res", "est"}), frozenset({"foo", "oor", "ore", "res", "est"})]
