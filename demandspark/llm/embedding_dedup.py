@@ -160,11 +160,29 @@ def embedding_links(vectors: DataFrame, least: float = 0.98, tables: int = 6, de
     known = written(known.join(counts, "node", "left"))
     least_id = written(known.groupBy("component").agg(F.min("first_id").alias("component_id")))
     named = written(known.join(least_id, "component").select("_k1", "_k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), "component_id"))
-    out = slim.join(named, ["_k1", "_k2"], "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    # unusable vectors have no key and stay out of the join, where they would meet in one task
+    linked = slim.where("_k1 IS NOT NULL").join(named, ["_k1", "_k2"]).select("id", "n_links", "component_id")
+    alone = slim.where("_k1 IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone).withColumnRenamed("id", id_col)
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Every vector with its links and component; nulls, zeros, repeats and empty tables as in embedding_links."""
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+link AS (
+  SELECT a.k AS u, b.k AS v, a.vec_id AS ui, b.vec_id AS vi FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(k, id) AS (SELECT u, vi FROM link UNION SELECT link.u, reach.id FROM link JOIN reach ON link.v = reach.k),
+least AS (SELECT k, min(id) AS id FROM reach GROUP BY k),
+n AS (SELECT u AS k, count(*) AS n_links FROM link GROUP BY u),
+told AS (SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, least(v.vec_id, least.id) AS component_id FROM v LEFT JOIN n USING (k) LEFT JOIN least USING (k)
+  UNION ALL SELECT vec_id, 0, vec_id FROM embeddings
+  WHERE NOT coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0, false))
+SELECT vec_id, CAST(n_links AS BIGINT) AS n_links, CAST(coalesce(component_id, vec_id) AS BIGINT) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM told
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP12_SQL, op12_decontaminate
-from .embedding_dedup import op6_embedding_dedup
+from .embedding_dedup import OP6_SQL, op6_embedding_dedup
 from .language_id import op3_language_id
 from .media import op4_chroma_match
 from .mixing import OP7_SQL, op7_mix
@@ -39,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_secret_scan": OP2_SQL,
+    "op6_embedding_dedup": OP6_SQL,
     "op7_mix": OP7_SQL,
     "op11_search": OP11_SQL,
     "op12_decontaminate": OP12_SQL,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: Hexadecimal digits of the digest on which urls and rules are joined.
 PREFIX_DIGITS = 8
@@ -65,10 +65,19 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     met = asked.withColumn("_salt", F.pmod(F.xxhash64("host", "_start"), F.lit(SALTS)).cast("int")).join(salted, ["_short", "_salt"]).where(F.col("_asked") == F.col("_digest"))
     rank = F.struct((F.col("_host_length") + F.col("_path_length")).alias("n"), F.col("_host_length").alias("h"), F.col("rule").alias("rule"), F.col("action").alias("action"))
     best = written(met.groupBy("host", "_start").agg(F.max(rank).alias("_best")))
-    told = best.select(F.col("host").alias("_h"), F.col("_start").alias("_s"), "_best")
-    out = rows.join(told, (F.col("host") == F.col("_h")) & (start == F.col("_s")), "left")
+    # a page without host asks for nothing: its key is a digest that no host can be, so that such pages don't meet in one task
     kept = [c for c in rows.columns if c not in ("host", "path")]
-    return out.select(*kept, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
+    digest = F.xxhash64(*(F.col(f"`{c}`") for c in kept if "map<" not in rows.schema[c].dataType.simpleString()))
+    nowhere = F.concat(F.lit("/"), digest.cast("string"))
+    named, salt, asked_host, asked_start, told_best = fresh(rows, "_named", "_salt", "_asked_host", "_asked_start", "_best")
+    rows = rows.withColumn(named, F.when(F.col("host") == "", nowhere).otherwise(F.col("host")))
+    rows = rows.withColumn(salt, F.pmod(digest, F.lit(SALTS)).cast("int"))
+    # a hot host's pages are spread over SALTS keys; the table of verdicts, one row for each place, stands in as many rows
+    told = best.select(F.col("host").alias(asked_host), F.col("_start").alias(asked_start), F.col("_best").alias(told_best), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    told = told.withColumnRenamed(salt, salt + "_")
+    met_by = (F.col(named) == F.col(asked_host)) & (start == F.col(asked_start)) & (F.col(salt) == F.col(salt + "_"))
+    out = rows.join(told, met_by, "left")
+    return out.select(*kept, "host", "path", F.col(told_best)["rule"].alias("rule"), F.coalesce(F.col(told_best)["action"], F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query.

@@ -38,3 +38,14 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert [r.verdict for r in filter_urls(pages, rules).collect()] == ["allow"]
     assert filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_hot_host_and_clashing_names(spark):
+    urls = ["http://hot.example.net/en/x"] * 60 + [None, "no scheme"] * 20 + URLS
+    columns = "page_id long, url string, _named string, _salt int, _asked_host string, _best string, Host string, verdict string"
+    pages = spark.createDataFrame([(i % 50, u, "kept", 7, "kept", "kept", "gone", "gone") for i, u in enumerate(urls)], columns)
+    got = filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, action string"))
+    assert got.columns == ["page_id", "url", "_named", "_salt", "_asked_host", "_best", "host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert sorted(str(r.url) for r in rows) == sorted(map(str, urls)) and all((r._named, r._salt, r._asked_host) == ("kept", 7, "kept") for r in rows)
+    assert all((r.host, r.path, r.rule, r.verdict) == brute(r.url, RULES) for r in rows)
