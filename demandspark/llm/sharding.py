@@ -19,6 +19,8 @@ from .common import dropped, hex_digits, running, written
 
 #: About how many documents a running total sees in one task.
 ROWS = 2000
+#: What is known of a group that holds more than one in so many documents is broadcast; there are fewer such groups than that.
+HOT = 1024
 
 
 def _loads(rows: DataFrame, shards: int) -> list[int]:
@@ -31,23 +33,31 @@ def _pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*(F.lit(int(v)) for v in values)).cast("array<long>"), index + 1)
 
 
-def _propagate(linked: DataFrame, shards: int, capacity: int, base: list[int]) -> DataFrame:
-    """One round: linked(group, key, turn, size, shard, ...) with the admitted moves made.
+def _split(facts: DataFrame, count: str, docs: int) -> tuple[DataFrame, DataFrame]:
+    """(facts of hot groups, to be broadcast; facts of the others): `count` tells the documents of a group, docs those of all."""
+    hot = F.col(count) * HOT > docs
+    return F.broadcast(facts.where(hot)), facts.where(~hot)
+
+
+def _propagate(linked: DataFrame, shards: int, capacity: int, base: list[int], docs: int) -> DataFrame:
+    """One round: linked(group, key, turn, size, shard, ...) with the admitted moves made; docs: how many documents there are.
 
     Groups that lie in one shard are settled and fill it. Each other group wishes for the shard that holds most of its bytes among those
     with room for all of it (if none has, among all); the groups that wish for a shard are admitted one after the other while it has room."""
-    votes = written(linked.groupBy("group", "shard").agg(F.sum("size").alias("bytes")))
-    whole = written(votes.groupBy("group").agg(F.count("*").alias("_shards"), F.sum("bytes").alias("_whole")))
+    votes = written(linked.groupBy("group", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("_rows")))
+    whole = written(votes.groupBy("group").agg(F.count("*").alias("_shards"), F.sum("bytes").alias("_whole"), F.sum("_rows").alias("_rows")))
     settled = votes.join(whole.where("_shards = 1").select("group"), "group").select("shard", F.col("bytes").alias("size"))
     room = [max(0, capacity - b - x) for b, x in zip(base, _loads(settled, shards), strict=True)]
-    open_ = whole.where("_shards > 1").select("group", "_whole")
+    open_ = whole.where("_shards > 1").select("group", "_whole", F.col("_rows").alias("_docs"))
     rank = F.struct((_pick(room, F.col("shard")) >= F.col("_whole")).alias("fits"), "bytes", (-F.col("shard")).alias("s"))
-    wish = written(votes.join(open_, "group").groupBy("group").agg((-F.max(rank)["s"]).cast("int").alias("wish")))
-    moving = linked.join(wish, "group")
+    wish = written(votes.join(open_, "group").groupBy("group").agg((-F.max(rank)["s"]).cast("int").alias("wish"), F.first("_docs").alias("_docs")))
+    hot, rest = _split(wish, "_docs", docs)
+    cold = linked.join(hot.select("group"), "group", "left_anti")
+    moving = linked.join(hot, "group").unionByName(cold.join(rest, "group"))
     ranked = running(moving, ["wish"], "turn", ["group", "key", "doc_id", "size"], {"size": "_before"})
     fits = F.col("_before") + F.col("size") <= _pick(room, F.col("wish"))
     moved = ranked.withColumn("shard", F.when(fits, F.col("wish")).otherwise(F.col("shard"))).select(*linked.columns)
-    return linked.join(wish.select("group"), "group", "left_anti").select(*linked.columns).unionByName(moved)
+    return cold.join(rest.select("group"), "group", "left_anti").select(*linked.columns).unionByName(moved)
 
 
 def _level(rows: DataFrame, shards: int, most: float) -> DataFrame:
@@ -87,7 +97,9 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 4, room: float = 1.25,
     first = F.pmod(F.conv(F.substring("key", 25, 8), 16, 10).cast("long"), F.lit(shards)).cast("int")
     groups = written(slim.groupBy("text_md5").agg(F.count("*").alias("_n"), F.sum("size").alias("_bytes")).where("_n > 1"))
     part = max(1, total // shards)
-    rows = slim.join(groups, "text_md5", "left").withColumns({"linked": F.col("_n").isNotNull(), "bucket": bucket, "shard": first})
+    hot, rest = _split(groups, "_n", n)
+    cold = slim.join(hot.select("text_md5"), "text_md5", "left_anti").join(rest, "text_md5", "left")
+    rows = slim.join(hot, "text_md5").unionByName(cold).withColumns({"linked": F.col("_n").isNotNull(), "bucket": bucket, "shard": first})
     parts = F.ceil(F.col("_bytes") / part)
     rows = rows.withColumn("group", F.when(F.col("linked"), F.concat_ws(":", "text_md5", F.pmod(F.conv(F.substring("key", 17, 8), 16, 10).cast("long"), parts).cast("string"))))
     # a group's documents follow each other; a group of very many is itself cut by its documents' digests
@@ -97,7 +109,7 @@ def shard(docs: DataFrame, shards: int = 8, rounds: int = 4, room: float = 1.25,
     free = rows.where("NOT linked")
     base, linked = _loads(free, shards), rows.where("linked")
     for _ in range(rounds):
-        new = written(_propagate(linked, shards, capacity, base))
+        new = written(_propagate(linked, shards, capacity, base, n))
         dropped(linked)
         linked = new
     now = written(free.unionByName(linked))
