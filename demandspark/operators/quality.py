@@ -90,10 +90,13 @@ def missing_periods(rows: DataFrame, g: Granularity = MONTHLY) -> DataFrame:
 def zero_classification(panel: DataFrame, share: float = 0.7) -> DataFrame:
     """panel with `zero_kind`: seasonal if the product's calendar month is all zero in at least 70 % of its years, else structural; unclassified
     below two observed years; NULL where demand isn't zero."""
-    years = panel.groupBy("product", F.month("date").alias("m"), F.year("date").alias("yr")).agg(F.bool_and(F.col("y") == 0).alias("_zero"))
-    months = years.groupBy("product", "m").agg(F.avg(F.col("_zero").cast("double")).alias("_share"))
-    span = panel.groupBy("product").agg(F.countDistinct(F.year("date")).alias("_years"))
-    met = panel.withColumn("m", F.month("date")).join(months, ["product", "m"]).join(span, "product")
+    known = panel.where("product IS NOT NULL AND date IS NOT NULL").withColumns({"_m": F.month("date"), "_yr": F.year("date")})
+    # one order of a product's rows, by month, year and date, serves all three windows; the widest comes first
+    mine = Window.partitionBy("product").orderBy("_m", "_yr", "date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    year = Window.partitionBy("product", "_m", "_yr").orderBy("date")
+    met = known.withColumn("_years", F.size(F.collect_set("_yr").over(mine)))
+    met = met.withColumns({"_zero": F.bool_and(F.col("y") == 0).over(year.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_at": F.row_number().over(year)})
+    met = met.withColumn("_share", F.avg(F.when(F.col("_at") == 1, F.col("_zero").cast("double"))).over(Window.partitionBy("product", "_m")))
     kind = F.when(F.col("y") != 0, F.lit(None)).when(F.col("_years") < 2, "unclassified").when(F.col("_share") >= share, "seasonal").otherwise("structural")
     return met.select(*panel.columns, kind.alias("zero_kind"))
 
