@@ -53,3 +53,31 @@ def test_tasks_grow_with_the_files(spark, tmp_path, capsys, monkeypatch):
     many = P.panel(rows)
     assert "REPARTITION_BY_NUM" in plan_of(many, capsys) and many.rdd.getNumPartitions() in (20, 21)
     assert {(r["product"], r["date"], r["y"]) for r in many.collect()} == want
+
+
+def test_issues_build_one_panel(spark, monkeypatch):
+    made, per = [], quality.build_panel
+    ids = [(f"p{i % 3}", dt.datetime(2020 + k // 12, k % 12 + 1, 1), float(i + 1)) for i in range(3) for k in range(30) if i != 1 or k % 9 in (0, 1)]
+    df = spark.createDataFrame(ids, "product string, date timestamp, qty double")
+    panel = quality.build_panel(df)
+    found = {r["product"]: r for r in quality.product_history(panel).collect()}
+    zeros = quality.zero_classification(panel).where("zero_kind IN ('structural', 'unclassified')").groupBy("product").count()
+    assert {r["product"]: r["count"] for r in zeros.collect()} == {p: r["structural"] for p, r in found.items() if r["structural"]}
+    assert {r["product"]: r["longest_run"] for r in quality.longest_zero_run(panel).collect()} == {p: r["longest_run"] for p, r in found.items()}
+
+    class Counted:
+        def __call__(self, rows, g):
+            out = per(rows, g)
+            run = out.sparkSession.sparkContext.accumulator(0)
+            made.append(run)
+
+            def seen(batches):
+                run.add(1)
+                yield from batches
+
+            return out.coalesce(1).mapInArrow(seen, out.schema)
+
+    monkeypatch.setattr(quality, "build_panel", Counted())
+    issues = {i.issue_type: i for i in quality.issues(df)}
+    assert [m.value for m in made] == [1]
+    assert issues["large_temporal_gaps"].affected_records == 1 and issues["large_temporal_gaps"].affected_products == ["p1"]
