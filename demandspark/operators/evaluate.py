@@ -49,7 +49,8 @@ def fold_validation(panel: DataFrame, model: str, forecaster, fold: int, g: Gran
     sees each product that asks for the model up to the fold's cut, in one call for all of them."""
     mine = (asked_of(panel, g, mode) if asked is None else asked).where(F.col("model_name") == model)
     cuts = fold_cutoffs(mine.select("product", "n_points", "cand_ord"), g.season, horizon, FOLDS[mode]).where(F.col("fold") == fold).select("product", "cand_ord", "cut")
-    numbered = panel.withColumn("_rn", F.row_number().over(Window.partitionBy("product").orderBy("date")))
+    # few products ask for a fitted model: the others' rows are left before anything is ordered
+    numbered = panel.join(cuts.select("product"), "product", "left_semi").withColumn("_rn", F.row_number().over(Window.partitionBy("product").orderBy("date")))
     known = numbered.join(cuts, "product")
     made = forecaster(known.where("_rn <= cut").select(*panel.columns), horizon)
     true = known.where((F.col("_rn") > F.col("cut")) & (F.col("_rn") <= F.col("cut") + horizon)).select("product", "date", "cand_ord", F.col("y").alias("actual"))

@@ -81,3 +81,18 @@ def test_issues_build_one_panel(spark, monkeypatch):
     issues = {i.issue_type: i for i in quality.issues(df)}
     assert [m.value for m in made] == [1]
     assert issues["large_temporal_gaps"].affected_records == 1 and issues["large_temporal_gaps"].affected_products == ["p1"]
+
+
+def test_folds_order_only_products_that_ask(spark):
+    from demandspark.operators import evaluate, models
+
+    rows = [(p, dt.date(2020 + k // 12, k % 12 + 1, 1), float(k + 1)) for p in ("asks", "other") for k in range(36)]
+    panel = spark.createDataFrame(rows, "product string, date date, y double")
+    asked = spark.createDataFrame([("asks", 36, "high_volume", "sarima", 4)], "product string, n_points long, segment string, model_name string, cand_ord int")
+    told = lambda p, h: models.forecast(p, "naive", horizon=h)
+    out = evaluate.fold_validation(panel, "sarima", told, 0, asked=asked)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    ordered = [part for part in plan.split("Window")[1:] if "row_number" in part.split("\n")[0]]
+    assert ordered and all("LeftSemi" in part for part in ordered)
+    rows = out.orderBy("horizon_step").collect()
+    assert [(r["product"], r["actual"], r["validation_prediction"]) for r in rows] == [("asks", 15.0, 14.0), ("asks", 16.0, 14.0), ("asks", 17.0, 14.0)]
