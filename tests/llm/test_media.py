@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
-from demandspark.llm.media import Pcm, align, chroma, classes_of, fingerprint, keys_of, match_recordings, recordings, search_result
+from demandspark.llm.media import Asking, Pcm, align, chroma, classes_of, fingerprint, keys_of, match_recordings, recordings, search_result
 
 PCM = Pcm("s16", 8000, 1024, 256)
 
@@ -106,3 +106,35 @@ def test_recall_of_near_copies(spark):
     links = {(r.query_class, r.class_id) for r in match_recordings(media, pcm, "id", "audio", classes, classes.where("asked")).collect()}
     assert sum((100 * k, 100 * k + 1) in links for k in range(240)) >= 216
     assert all(b == a + 1 for a, b in links)
+
+
+def test_every_pair_that_meets_is_found(spark):
+    """Equal integers that aren't neighbours, in long texts with changes everywhere: all links of brute force, by the thresholds alone."""
+    rng, pcm, texts = np.random.default_rng(2), Pcm("u8", 8000, 64, 8), []
+    for k in range(12):
+        words = ["".join(rng.choice(list("aeinorst"), rng.integers(2, 9))) for _ in range(300)]
+        texts.append((100 * k, " ".join(words)))
+        for j in range(1, 5):  # every 25th word and more of them changes
+            texts.append((100 * k + j, " ".join("x" * len(w) if i % (60 - 10 * j) == 0 else w for i, w in enumerate(words))))
+    texts += [(7000, "a" * 3000), (7001, "a" * 2500), (7002, "a" * 3000 + texts[0][1])]
+    media = spark.createDataFrame([(i, t.encode()) for i, t in texts], "id long, audio binary")
+    rows = recordings(media, pcm, "id", "audio")
+    classes = classes_of(rows, rows["_id"] % 100 == 0)
+    found = match_recordings(media, pcm, "id", "audio", classes, classes.where("asked")).collect()
+    held, want = {i: fingerprint(t.encode(), pcm) for i, t in texts}, {}
+    for q in (i for i, _ in texts if i % 100 == 0):
+        for i in held:
+            offset, votes, overlap, error = align(held[q], held[i])
+            if q != i and votes >= 2 and overlap >= 4 and error <= 0.25:
+                want[q, i] = (offset, votes, overlap, round(error, 9))
+    assert {(r.query_class, r.class_id): (r.offset, r.votes, r.overlap, round(r.bit_error, 9)) for r in found} == want and len(want) > 40
+
+
+def test_meetings_counted_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    held = [rng.integers(0, 6, int(rng.integers(5, 60))).astype(np.uint32) for _ in range(20)]
+    other = rng.integers(0, 7, 80).astype(np.uint32)
+    for pieces in (1, 50, 1 << 22):
+        monkeypatch.setattr("demandspark.llm.media.MEETINGS", pieces)
+        got = {k: rest for k, *rest in Asking(np.arange(20), held).aligned(other, 2)}
+        assert got == {k: list(align(h, other)) for k, h in enumerate(held)}
