@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metric_columns
@@ -105,7 +105,12 @@ def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONT
 
 def product_metrics(validated: DataFrame) -> DataFrame:
     """A row for each product and model: metrics, n_folds."""
-    return validated.groupBy("product", "model_name", "cand_ord").agg(*metric_columns(), F.countDistinct("fold").alias("n_folds"))
+    return validated.groupBy("product", "model_name", "cand_ord").agg(*metric_columns(), _folds().alias("n_folds"))
+
+
+def _folds() -> Column:
+    """The count of distinct folds (numbers below 64) as the bits of one number: a distinct count would shuffle every row."""
+    return F.bit_count(F.coalesce(F.bit_or(F.expr("shiftleft(1L, fold)")), F.lit(0))).cast("long")
 
 
 def hybrid_weights(metrics: DataFrame) -> DataFrame:
@@ -158,7 +163,8 @@ def leaderboard(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balance
         status, reason = F.when(F.col("model_name") == m, "failed").otherwise(status), F.when(F.col("model_name") == m, why).otherwise(reason)
     blank = rest.select("product", "model_name", "cand_ord", status.alias("status"), reason.alias("reason"), F.lit(False).alias("selected"))
     product = metrics.withColumn("status", F.lit("ok")).unionByName(blank, allowMissingColumns=True).withColumn("scope", F.lit("product"))
-    pooled = every.groupBy("model_name", "cand_ord").agg(*metric_columns(), F.countDistinct("fold").alias("n_folds"), F.countDistinct("product").alias("n_products"))
+    pooled = every.groupBy("model_name", "cand_ord").agg(*metric_columns(), _folds().alias("n_folds"))
+    pooled = pooled.join(metrics.groupBy("model_name", "cand_ord").agg(F.count("product").alias("n_products")), ["model_name", "cand_ord"])  # metrics: a row for each product and model
     pooled = selected(pooled.withColumn("product", F.lit("ALL"))).withColumn("status", F.lit("ok"))
     told = panel.sparkSession.createDataFrame([("ALL", *LSTM, False)], "product string, model_name string, status string, reason string, selected boolean")
     pooled = pooled.unionByName(told, allowMissingColumns=True).withColumn("scope", F.lit("ALL"))

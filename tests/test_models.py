@@ -140,3 +140,42 @@ def test_fold_cuts_by_hand(spark):
     want = {5: [], 7: [4], 9: [4], 10: [4, 7], 16: [10, 13], 17: [14], 24: [14, 17, 20], 36: [14, 20, 26], 42: [14, 22, 30], 60: [14, 28, 42]}
     rows = segments.fold_cutoffs(spark.createDataFrame([(n,) for n in want], "n_points long")).collect()
     assert {n: [r.cut for r in sorted(rows, key=lambda r: r.fold) if r.n_points == n] for n in want} == want
+
+
+def test_prefixes_against_a_plain_loop(spark):
+    """All products of a batch go forward together: the same as one value after another, with histories of every length and no lambda in the plan."""
+    import random
+
+    from demandspark.operators.models import prefixes
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(f"p{k}", [0.0 if rng.random() < 0.4 else rng.random() * 90 for _ in range(n)]) for k, n in enumerate((0, 1, 2, 5, 11, 12, 13, 40, 90, 3))] + [("zero", [0.0] * 20)]
+    cuts = lambda ys: sorted({1, len(ys) // 2, len(ys), len(ys) + 3})
+    df = spark.createDataFrame([(p, ys, cuts(ys)) for p, ys in rows], "product string, y array<double>, cuts array<int>")
+    told = df.select("product", prefixes(F.col("y"), F.col("cuts"), horizon=3).alias("told"))
+    assert "aggregate(" not in told._jdf.queryExecution().executedPlan().toString()
+    got = {r.product: r.told for r in told.collect()}
+    for p, ys in rows:
+        want = []
+        for cut in (c for c in cuts(ys) if 1 <= c <= len(ys)):
+            level = size = gap = None
+            since = 1.0
+            for y in ys[:cut]:
+                level = y if level is None else 0.3 * y + 0.7 * level
+                if y:
+                    size, gap = (y, since) if size is None else (0.1 * y + 0.9 * size, 0.1 * since + 0.9 * gap)
+                since = 1.0 if y else since + 1
+            recent = ys[max(0, cut - 3) : cut]
+            season = ys[cut - 12 : cut - 9] if cut >= 12 else None
+            want.append((cut, ys[cut - 1], sum(recent) / len(recent), level, size / gap if size is not None else 0.0, season))
+        assert [tuple(x) for x in got[p]] == want
+
+
+def test_metrics_count_folds_without_a_distinct(spark):
+    from demandspark.operators.evaluate import product_metrics
+
+    rows = spark.createDataFrame([("a", "naive", 0, f, s, 2.0, 1.0) for f in (0, 2, 3) for s in (1, 2, 3)], "product string, model_name string, cand_ord int, fold int, horizon_step int, actual double, validation_prediction double")
+    found = product_metrics(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.n_folds, r.n_rows) for r in found.collect()] == [(3, 9)]
