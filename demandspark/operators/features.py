@@ -56,13 +56,15 @@ def seasonal_detection(panel: DataFrame, sector: str | None = None, least_span:
 
 
 def seasonal_features(panel: DataFrame, detected: DataFrame) -> DataFrame:
-    met = panel.join(detected, "product", "left")
+    # the way to the peak is found for twelve months of a product, not for each of its periods
+    ways = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: months_to_peak(m, F.col("peak_months")))
+    met = panel.join(detected.withColumn("_ways", ways), "product", "left")
     m = F.month("date")
     return met.select(
         *panel.columns,
         F.coalesce(F.array_contains("peak_months", m), F.lit(False)).alias("is_peak_season"),
         F.coalesce(F.array_contains("low_months", m), F.lit(False)).alias("is_low_season"),
-        months_to_peak(m, F.col("peak_months")).alias("months_to_peak"),
+        F.get("_ways", m - 1).alias("months_to_peak"),
         F.coalesce("pattern_type", F.lit("undetected")).alias("seasonal_pattern_type"),
     )
 

@@ -204,18 +204,26 @@ _FEATURES = f"""{MPANEL}, {_SEASON}, ftr AS (SELECT product, date, y, CAST(row_n
 ftp AS (SELECT f.*, CASE WHEN lag_1 IS NOT NULL AND lag_3 IS NOT NULL THEN CASE WHEN lag_3 > 0 THEN lag_1 / lag_3 - 1 ELSE 0.0 END END AS pop_growth, peak_list, low_list, pattern_type FROM ftr f JOIN det USING (product))"""
 _FCOLS = f"""product, date, {r('y', digits=4)}, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, CAST(year(date) AS INT) AS year, round(sin(2 * pi() * (month(date) - 1) / 12), 4) + 0.0 AS month_sin, round(cos(2 * pi() * (month(date) - 1) / 12), 4) + 0.0 AS month_cos,
 time_index, {r('lag_1', 'lag_3', 'lag_12', 'rolling_mean_3', 'rolling_mean_6', 'rolling_std_3', 'pop_growth', digits=4)}"""
+def _seasoned(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(panel, its seasons), each written once; the panel is dealt by product again."""
+    p = materialized(B.mixed_panel(spark, d))
+    return tables.spread_again(p, "product", p), materialized(features.seasonal_detection(p))
+
+
 _TO_PEAK = "CAST(list_min(list_transform(peak_list, lambda k: (k - month(date) + 12) % 12)) AS INT)"
 
 
 @query(f"WITH {_FEATURES} SELECT {_FCOLS}, list_contains(peak_list, month(date)) AS is_peak_season, list_contains(low_list, month(date)) AS is_low_season, {_TO_PEAK} AS months_to_peak, pattern_type AS seasonal_pattern_type FROM ftp", digits=4)
 def feature_panel(spark, d):
-    return features.build_features(B.mixed_panel(spark, d)).withColumn("months_to_peak", F.col("months_to_peak").cast("int"))
+    p, seasons = _seasoned(spark, d)
+    return features.build_features(p, detected=seasons).withColumn("months_to_peak", F.col("months_to_peak").cast("int"))
 
 
 @query(f"""WITH {_FEATURES} SELECT {_FCOLS}, CAST(list_contains(peak_list, month(date)) AS INT) AS is_peak_season, CAST(list_contains(low_list, month(date)) AS INT) AS is_low_season, {_TO_PEAK} AS months_to_peak,
 CAST(CASE pattern_type WHEN 'summer_peak' THEN 0 WHEN 'winter_peak' THEN 1 WHEN 'shoulder_peak' THEN 2 WHEN 'year_round' THEN 3 WHEN 'irregular' THEN 4 ELSE 5 END AS INT) AS seasonal_pattern_type FROM ftp""", digits=4)
 def tree_matrix(spark, d):
-    return features.numeric_features(B.mixed_panel(spark, d)).withColumn("months_to_peak", F.col("months_to_peak").cast("int"))
+    p, seasons = _seasoned(spark, d)
+    return features.numeric_features(p, detected=seasons).withColumn("months_to_peak", F.col("months_to_peak").cast("int"))
 
 
 @query(f"WITH {MPANEL}, {_SEASON} SELECT product, CAST(CASE pattern_type WHEN 'summer_peak' THEN 0 WHEN 'winter_peak' THEN 1 WHEN 'shoulder_peak' THEN 2 WHEN 'year_round' THEN 3 WHEN 'irregular' THEN 4 ELSE 5 END AS INT) AS code FROM det")

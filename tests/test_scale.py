@@ -96,3 +96,19 @@ def test_folds_order_only_products_that_ask(spark):
     assert ordered and all("LeftSemi" in part for part in ordered)
     rows = out.orderBy("horizon_step").collect()
     assert [(r["product"], r["actual"], r["validation_prediction"]) for r in rows] == [("asks", 15.0, 14.0), ("asks", 16.0, 14.0), ("asks", 17.0, 14.0)]
+
+
+def test_ways_to_the_peak_are_found_for_a_product(spark, capsys):
+    """Below the join with the panel, for twelve months of a product; not for each row of the panel."""
+    import datetime as dt
+
+    from demandspark.operators import features
+
+    seasons = spark.createDataFrame([("a", "irregular", [3, 11], [6], "data_driven"), ("b", "undetected", [], [], "undetected")], "product string, pattern_type string, peak_months array<int>, low_months array<int>, detection_source string")
+    rows = spark.createDataFrame([(p, dt.date(2021, m, 1), 1.0) for p in "abc" for m in range(1, 13)], "product string, date date, y double")
+    out = features.seasonal_features(rows, seasons)
+    plan = plan_of(out, capsys)
+    assert "transform(" not in plan[: plan.index("Join")]
+    found = {(r["product"], r["date"].month): r["months_to_peak"] for r in out.collect()}
+    assert [found["a", m] for m in range(1, 13)] == [2, 1, 0, 7, 6, 5, 4, 3, 2, 1, 0, 3]
+    assert found["b", 5] is None and found["c", 5] is None
