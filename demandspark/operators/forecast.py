@@ -39,25 +39,55 @@ def advanced_forecasts(panel: DataFrame, used: DataFrame, forecasters: dict, hor
     return (reduce(DataFrame.unionByName, made) if made else None), notes
 
 
-def product_forecasts(panel: DataFrame, board: DataFrame, g: Granularity = MONTHLY, horizon: int | None = None, others: DataFrame | None = None) -> DataFrame:
+def used_by(panel: DataFrame, board: DataFrame, g: Granularity, horizon: int) -> DataFrame:
+    """(product, last_date, whole, model_used, rmse, parts): a row for each product, parts: array of (model_name, weight)."""
+    parts = F.collect_list(F.struct("model_name", F.col("weight").cast("double").alias("weight"))).alias("parts")
+    return histories(panel, g, horizon).withColumnRenamed("prefix", "whole").join(used_models(board).groupBy("product", "model_used", "rmse").agg(parts), "product", "left")
+
+
+def used_of(told: DataFrame) -> DataFrame:
+    """used_by, of evaluate.judged(): no row is shuffled."""
+    return told.select("product", "last_date", "whole", F.col("best.model_name").alias("model_used"), F.col("best.rmse").alias("rmse"), "parts")
+
+
+def product_forecasts(panel: DataFrame | None, board: DataFrame | None, g: Granularity = MONTHLY, horizon: int | None = None, others: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
     """(product, date, forecast, lower_bound, upper_bound, model_used, horizon_step, forecast_start_date).
 
     The selected model, or the weighted sum of the hybrid's components, over the whole history; naive where none was validated, and for a
     product for which any part has no forecast (others: those of models that aren't closed forms, see advanced_forecasts). Bounds:
-    1.28 validation RMSE to either side, from 0; NULL without validation."""
+    1.28 validation RMSE to either side, from 0; NULL without validation. used: used_of(), in place of panel and board."""
     horizon = horizon or g.horizon
-    used = histories(panel, g, horizon).join(used_models(board), "product", "left").fillna({"model_used": "naive", "model_name": "naive", "weight": 1.0})
-    rows = used.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    told = F.lit(None).cast("double")
+    rows = used_by(panel, board, g, horizon) if used is None else used
+    plain = F.array(F.struct(F.lit("naive").alias("model_name"), F.lit(1.0).alias("weight")))
+    rows = rows.withColumns({"model_used": F.coalesce("model_used", F.lit("naive")), "parts": F.coalesce("parts", plain)})
     if others is not None:
-        rows, told = rows.join(others, ["product", "model_name", "horizon_step"], "left"), F.greatest(F.col("_told"), F.lit(0.0))
-        told = F.when(F.col("_told").isNotNull() & ~F.isnan("_told"), told)
-    value = predicted_by(F.col("model_name"), F.col("prefix"), F.col("horizon_step"), g, told)
-    plain = predicted("naive", F.col("prefix"), F.col("horizon_step"), g)
-    rows = rows.withColumns({"_f": value, "_naive": plain}).groupBy("product", "last_date", "model_used", "rmse", "horizon_step")
-    rows = rows.agg(F.sum(F.col("weight") * F.col("_f")).alias("forecast"), F.bool_or(F.col("_f").isNull()).alias("_lost"), F.first("_naive").alias("_naive"))
-    lost = F.bool_or("_lost").over(Window.partitionBy("product"))
-    rows = rows.withColumn("_lost", lost).withColumns({"forecast": F.when(F.col("_lost"), F.col("_naive")).otherwise(F.col("forecast")), "model_used": F.when(F.col("_lost"), F.lit("naive")).otherwise(F.col("model_used"))})
+        rows = rows.join(others.groupBy("product").agg(F.collect_list(F.struct("model_name", "horizon_step", "_told")).alias("_others")), "product", "left")
+
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+
+    def other(part, step):
+        """A part's forecast that isn't a closed form's."""
+        if others is None:
+            return F.lit(None).cast("double")
+        mine = F.get(F.filter("_others", lambda o: (o["model_name"] == part["model_name"]) & (o["horizon_step"] == step)), F.lit(0))["_told"]
+        return F.when(mine.isNotNull() & ~F.isnan(mine), F.greatest(mine, F.lit(0.0)))
+
+    def weighed(value):
+        return F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + value(p))
+
+    # all but the seasonal parts are level: they are added up once for a product. A part without a forecast makes the whole product naive
+    level = [m for m in CLOSED_FORM if m != "seasonal_naive"]
+    no_closed_form = lambda p: ~p["model_name"].isin(*CLOSED_FORM)
+    rows = rows.withColumns({
+        "_level": weighed(lambda p: F.when(p["model_name"].isin(*level), p["weight"] * predicted_by(p["model_name"], F.col("whole"), F.lit(1), g)).otherwise(0.0)),
+        "_turn": weighed(lambda p: F.when(p["model_name"] == "seasonal_naive", p["weight"]).otherwise(0.0)),
+        "_lost": F.exists("parts", lambda p: no_closed_form(p) & (F.lit(True) if others is None else F.exists(steps, lambda k: other(p, k).isNull()))),
+    })
+    rows = rows.withColumn("horizon_step", F.explode(steps))
+    step = F.col("horizon_step")
+    beyond = F.lit(0.0) if others is None else weighed(lambda p: F.when(no_closed_form(p), p["weight"] * other(p, step)).otherwise(0.0))
+    summed = F.col("_level") + F.when(F.col("_turn") > 0, F.col("_turn") * predicted("seasonal_naive", F.col("whole"), step, g)).otherwise(0.0) + beyond
+    rows = rows.withColumns({"forecast": F.when(F.col("_lost"), predicted("naive", F.col("whole"), step, g)).otherwise(summed), "model_used": F.when(F.col("_lost"), F.lit("naive")).otherwise(F.col("model_used"))})
     date = step_date(F.col("last_date"), F.col("horizon_step"), g)
     spread = INTERVAL_Z * F.col("rmse")
     lower = F.when(F.col("rmse").isNotNull() & F.col("forecast").isNotNull(), F.greatest(F.col("forecast") - spread, F.lit(0.0)))
@@ -93,8 +123,7 @@ def direct_total(panel: DataFrame, g: Granularity = MONTHLY, mode: str = "balanc
 
 def chart_data(panel: DataFrame, validation: DataFrame, board: DataFrame, forecasts: DataFrame) -> DataFrame:
     """(product, date, kind, value): history, validation of the selected model and forecast, by product and for ALL."""
-    best = board.where("scope = 'product' AND selected").select("product", "model_name")
-    shown = validation.join(best, ["product", "model_name"])
+    shown = evaluate.of_selected(board, validation)
     parts = [panel.select("product", "date", F.lit("history").alias("kind"), F.col("y").alias("value")), shown.select("product", "date", F.lit("validation").alias("kind"), F.col("validation_prediction").alias("value")), forecasts.select("product", "date", F.lit("forecast").alias("kind"), F.col("forecast").alias("value"))]
     rows = reduce(DataFrame.unionByName, parts)
     whole = rows.where("kind != 'validation'").groupBy("date", "kind").agg(F.sum("value").alias("value"))
@@ -103,7 +132,12 @@ def chart_data(panel: DataFrame, validation: DataFrame, board: DataFrame, foreca
 
 def mean_demand(panel: DataFrame) -> DataFrame:
     """One row: the mean over products of their mean demand a period."""
-    return panel.groupBy("product").agg(F.avg("y").alias("m")).agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("mean_demand"))
+    return overall_mean(panel.groupBy("product").agg(F.avg("y").alias("mean")))
+
+
+def overall_mean(held: DataFrame) -> DataFrame:
+    """mean_demand, of the `mean` of each product."""
+    return held.agg(F.coalesce(F.avg("mean"), F.lit(0.0)).alias("mean_demand"))
 
 
 def overlay(panel: DataFrame, total: DataFrame) -> DataFrame:
@@ -112,10 +146,10 @@ def overlay(panel: DataFrame, total: DataFrame) -> DataFrame:
     return actual.join(total.select("date", F.col("total_forecast").alias("forecast")), "date", "full_outer")
 
 
-def metric_cards(board: DataFrame, rows: DataFrame, panel: DataFrame) -> DataFrame:
+def metric_cards(board: DataFrame, rows: DataFrame, panel: DataFrame | None, means: DataFrame | None = None) -> DataFrame:
     """(metric, value, label, direction): five cards over the validation rows of the selected models. MAE and RMSE are labelled by their share of
-    mean demand; an undefined value is poor, of these two needs_attention. direction is the bias's, beyond 5 %."""
-    one = evaluate.portfolio_metrics(board, rows).crossJoin(mean_demand(panel))  # one row each
+    mean demand; an undefined value is poor, of these two needs_attention. direction is the bias's, beyond 5 %. means: (product, mean), in place of the panel."""
+    one = evaluate.portfolio_metrics(board, rows).crossJoin(mean_demand(panel) if means is None else overall_mean(means))  # one row each
     cards = one.select("mean_demand", F.expr("stack(5, 'wMAPE', wmape, 'Forecast Bias', forecast_bias, 'MAPE', mape, 'MAE', mae, 'RMSE', rmse) AS (metric, value)"))
     relative = F.when(F.col("mean_demand") > 0, F.col("value") / F.col("mean_demand"))
     label = F.when(F.col("metric").isin("wMAPE", "MAPE"), band(F.col("value"), ERROR_BANDS, "poor")).when(F.col("metric") == "Forecast Bias", band(F.abs("value"), BIAS_BANDS, "poor")).otherwise(band(relative, RELATIVE_BANDS, "needs_attention"))
@@ -132,4 +166,4 @@ def forecast_summary(board: DataFrame, rows: DataFrame, forecasts: DataFrame, to
     peak = F.max_by("date", F.struct("total_forecast", -F.datediff("date", F.lit("1970-01-01"))))
     whole = total.agg(F.coalesce(F.sum("total_forecast"), F.lit(0.0)).alias("total_expected_demand"), peak.alias("peak_forecast_period"), F.count("*").alias("forecast_horizon"))
     best = board.where("scope = 'ALL' AND selected").agg(F.first("model_name").alias("best_overall_model"))
-    return own.crossJoin(whole).crossJoin(best).crossJoin(forecasts.agg(F.countDistinct("product").alias("n_products_forecasted")))  # one row each
+    return own.crossJoin(whole).crossJoin(best).crossJoin(forecasts.agg(F.count_if(F.col("horizon_step") == 1).alias("n_products_forecasted")))  # one row each

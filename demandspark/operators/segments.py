@@ -13,28 +13,50 @@ ADVANCED = ("sarima", "prophet", "random_forest", "xgboost")
 INTERMITTENT_RATIO = 0.35
 
 
+def product_totals(panel: DataFrame) -> DataFrame:
+    """(product, n_points, total_demand, zero_ratio): negative demand counts as 0."""
+    y = F.greatest("y", F.lit(0.0))
+    return panel.groupBy("product").agg(F.count("*").alias("n_points"), F.sum(y).alias("total_demand"), F.avg((F.col("y") == 0).cast("double")).alias("zero_ratio"))
+
+
 def product_segments(panel: DataFrame, season: int = MONTHLY.season) -> DataFrame:
     """(product, n_points, total_demand, zero_ratio, segment), the first that holds: short_history (shorter than a season), intermittent
     (zero ratio over 0.35), high_volume (largest products up to half of all demand, the one that crosses included), low_volume (up to
     the 20th percentile, with five products or more), normal. Ties of totals go by product."""
-    y = F.greatest("y", F.lit(0.0))
-    per = panel.groupBy("product").agg(F.count("*").alias("n_points"), F.sum(y).alias("total_demand"), F.avg((F.col("y") == 0).cast("double")).alias("zero_ratio"))
-    whole = per.agg(F.sum("total_demand").alias("_all"), F.count("*").alias("_n")).crossJoin(exact_quantile(per, "total_demand", 0.2, "_p20"))  # one row each
-    # running totals in two levels: whole buckets of similar totals first, then within a bucket, so that no task orders all products
-    per = per.withColumn("_bucket", F.floor(-16 * F.log2(F.col("total_demand") + 1)).cast("int"))
-    sums = per.groupBy("_bucket").agg(F.sum("total_demand").alias("_sum"))  # a double has 2^1024 at most: 16,385 buckets
-    larger = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_larger"))
-    within = Window.partitionBy("_bucket").orderBy(F.desc("total_demand"), "product").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per.join(F.broadcast(larger), "_bucket").withColumn("_upto", F.col("_larger") + F.sum("total_demand").over(within))
-    low = (F.col("_n") >= 5) & (F.col("total_demand") <= F.col("_p20"))
+    return segmented(product_totals(panel), season)
+
+
+def _largest(per: DataFrame) -> DataFrame:
+    """One row (_cut, _last): total and name of the last product, by falling totals and then by name, that less than half of all demand stands
+    before; NULL without any. Sums by bucket of similar totals find the bucket that holds it, then only its distinct totals are ordered, then
+    the names of one total."""
+    rows = per.select("product", "total_demand", F.floor(-16 * F.log2(F.col("total_demand") + 1)).cast("int").alias("_bucket"))
+    sums = rows.groupBy("_bucket").agg(F.sum("total_demand").alias("_sum"))  # a double has 2^1024 at most: 16,385 buckets
+    falling = Window.orderBy("_bucket")
+    before, all_of = falling.rowsBetween(Window.unboundedPreceding, -1), falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_larger"), (0.5 * F.sum("_sum").over(all_of)).alias("_half"))
+    edge = held.where("_larger < _half").agg(F.max("_bucket").alias("_bucket"), F.max("_larger").alias("_larger"), F.max("_half").alias("_half"))
+    totals = rows.join(F.broadcast(edge), "_bucket").groupBy("total_demand").agg(F.count("*").alias("_w"), F.first("_larger").alias("_larger"), F.first("_half").alias("_half"))  # one row
+    before = Window.orderBy(F.desc("total_demand")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_upto", F.col("_larger") + F.coalesce(F.sum(F.col("total_demand") * F.col("_w")).over(before), F.lit(0.0))).where("_upto < _half")
+    at = totals.agg(F.min("total_demand").alias("_cut"), F.min_by(F.ceil((F.col("_half") - F.col("_upto")) / F.col("total_demand")), "total_demand").alias("_taken"))
+    tied = rows.join(F.broadcast(at), F.col("total_demand") == F.col("_cut")).withColumn("_k", F.row_number().over(Window.partitionBy("total_demand").orderBy("product")))  # one row
+    return tied.where("_k <= _taken").agg(F.max("_cut").alias("_cut"), F.max("product").alias("_last"))
+
+
+def segmented(per: DataFrame, season: int = MONTHLY.season) -> DataFrame:
+    """per (product_totals, with any other columns) with `segment`: a few figures of all products decide, no product's row is moved."""
+    whole = per.agg(F.sum("total_demand").alias("_all"), F.count("*").alias("_n")).crossJoin(exact_quantile(per, "total_demand", 0.2, "_p20")).crossJoin(_largest(per))  # one row each
+    total = F.col("total_demand")
+    large = F.coalesce((total > F.col("_cut")) | ((total == F.col("_cut")) & (F.col("product") <= F.col("_last"))), F.lit(False))
     segment = (
         F.when(F.col("n_points") < season, "short_history")
         .when(F.col("zero_ratio") > INTERMITTENT_RATIO, "intermittent")
-        .when(F.col("_upto") - F.col("total_demand") < 0.5 * F.col("_all"), "high_volume")
-        .when(low, "low_volume")
+        .when(large, "high_volume")
+        .when((F.col("_n") >= 5) & (total <= F.col("_p20")), "low_volume")
         .otherwise("normal")
     )
-    return ranked.crossJoin(F.broadcast(whole)).select("product", "n_points", "total_demand", "zero_ratio", segment.alias("segment"))  # one row
+    return per.crossJoin(F.broadcast(whole)).select(*(F.col(c) for c in per.columns), segment.alias("segment"))  # one row
 
 
 def candidates(spark: SparkSession, mode: str = "balanced") -> DataFrame:

@@ -156,8 +156,7 @@ def _model(x: Context) -> None:
 
 def _performance(x: Context) -> None:
     board, rows = x.results["leaderboard"], x.results["validation"]
-    best = board.where("scope = 'product' AND selected").select("product", "model_name")
-    mine = rows.join(best, ["product", "model_name"])
+    mine = evaluate.of_selected(board, rows).drop("selected")
     cards = [r.asDict() for r in x.results["cards"].collect()]  # a row for each metric
     told = analysis.performance(x.raw.sparkSession, mine, x.results["summary"].first().asDict(), cards)
     x.warnings += [w["text"] for w in told["warnings"]]

@@ -112,3 +112,27 @@ def test_ways_to_the_peak_are_found_for_a_product(spark, capsys):
     found = {(r["product"], r["date"].month): r["months_to_peak"] for r in out.collect()}
     assert [found["a", m] for m in range(1, 13)] == [2, 1, 0, 7, 6, 5, 4, 3, 2, 1, 0, 3]
     assert found["b", 5] is None and found["c", 5] is None
+
+
+def test_products_are_judged_where_they_lie(spark, tmp_path, capsys):
+    """From the written series on, no row of a product is shuffled. A part may bear a brand's name, have no brand, or stand twice in its table."""
+    from demandspark.operators import evaluate, forecast
+    from demandspark.plans import bindings as B
+
+    items = [(k, dt.datetime(2020 + m // 12, m % 12 + 1, 3 + m % 9), float((k * 7 + m * m) % 13)) for k in range(6) for m in range(40) if (k + m) % (k + 1) == 0]
+    items += [(9, dt.datetime(2021, 1, 5), None), (None, dt.datetime(2021, 1, 5), 2.0), (1, None, 2.0)]
+    spark.createDataFrame(items, "l_partkey long, l_shipdate timestamp_ntz, l_quantity double").selectExpr("*", "1L AS l_orderkey", "1L AS l_suppkey", "1D AS l_extendedprice", "0D AS l_discount").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(0, "3"), (1, "B"), (2, "B"), (2, "B"), (4, None), (9, "B"), (77, "C")], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    held, panel = B.mixed_series(spark, str(tmp_path)), B.mixed_panel(spark, str(tmp_path))
+    triples = lambda df: sorted((r["product"], r["date"], r["y"]) for r in df.collect())
+    assert triples(P.rows_of(held)) == triples(panel) and held.count() == panel.select("product").distinct().count()
+    told = evaluate.judged(held)
+    board, rows = evaluate.board_of(told)
+    ahead = forecast.product_forecasts(None, None, used=forecast.used_of(told))
+    for df in (rows, ahead, board.where("scope = 'product' AND selected")):
+        assert "Exchange hashpartitioning" not in plan_of(df, capsys)
+    want = evaluate.product_metrics(rows).select("product", "model_name", "wmape", "rmse", "n_rows", "n_folds")
+    got = board.where("scope = 'product' AND status = 'ok'").select(*want.columns)
+    near = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.fillna(-1.0).collect())
+    assert near(got) == near(want)
+    assert near(ahead.select("product", "horizon_step", "forecast")) == near(forecast.product_forecasts(panel, board).select("product", "horizon_step", "forecast"))
