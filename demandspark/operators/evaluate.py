@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import metric_columns
 from ..sources.tables import dropped, materialized
 from ..types import FOLDS, MONTHLY, VALIDATION_HORIZON, Granularity
-from .models import CLOSED_FORM, FITTED, PREFIX, VALIDATED, batch_tests, series, validated_rows
+from .models import CLOSED_FORM, FITTED, PREFIX, ROW, VALIDATED, batch_tests, series, validated_rows
 from .segments import candidates, fold_cuts, fold_cutoffs, product_segments, segmented
 
 INTERVAL_Z = 1.28
@@ -171,8 +171,8 @@ def _with_more(rows: dict[str, np.ndarray], more: pa.Array) -> tuple[dict[str, n
     return {c: v[order] for c, v in both.items()}, names
 
 
-def _judge(n: int, rows: dict[str, np.ndarray], names: list[str], every: bool) -> tuple[pa.Array, pa.Array]:
-    """(lists of MODEL, lists of VALIDATED) of n products, the hybrid included; every: rows of all models, else those of the selected one."""
+def _judge(n: int, rows: dict[str, np.ndarray], names: list[str], every: bool | None) -> tuple[pa.Array, pa.Array]:
+    """(lists of MODEL, lists of VALIDATED) of n products, the hybrid included; every: rows of all models, False: of the selected one, None: no rows."""
     product = rows["product"]
     keys, first, group = np.unique((product << 20) + (rows["cand_ord"] << 10) + rows["code"], return_index=True, return_inverse=True)
     own = _sums(group, len(keys), rows)
@@ -209,9 +209,13 @@ def _judge(n: int, rows: dict[str, np.ndarray], names: list[str], every: bool) -
     chosen = np.zeros(len(whose), bool)
     chosen[best[np.unique(whose[best], return_index=True)[1]]] = True
     chosen &= ~np.isnan(told["wmape"])
-    called, listed = pa.array([*names, HYBRID], pa.string()), np.lexsort((rank, whose))
+    called, order = pa.array([*names, HYBRID], pa.string()), np.lexsort((rank, whose))
     cols = [called.take(pa.array(code)), pa.array(rank.astype(np.int32)), *(pa.array(v.astype(np.int64)) if c.startswith("n_") else pa.array(v, from_pandas=True) for c, v in told.items()), pa.array(chosen), pa.array(weight, from_pandas=True)]
-    models = pa.StructArray.from_arrays(cols, ["model_name", "cand_ord", *told, "selected", "weight"]).take(pa.array(listed))
+    models = pa.StructArray.from_arrays(cols, ["model_name", "cand_ord", *told, "selected", "weight"]).take(pa.array(order))
+    offsets = pa.array(np.concatenate([[0], np.bincount(whose, minlength=n).cumsum()]).astype(np.int32))
+    listed = pa.ListArray.from_arrays(offsets, models)
+    if every is None:
+        return listed, pa.nulls(n, pa.list_(pa.struct(ROW)))
     if not every:
         one = np.full(n, -1)
         one[whose[chosen]] = code[chosen]
@@ -219,15 +223,14 @@ def _judge(n: int, rows: dict[str, np.ndarray], names: list[str], every: bool) -
         rows, hybrid = keep(rows), keep(hybrid)
     rows = {c: np.concatenate([v, hybrid[c]]) for c, v in rows.items()}
     order = np.argsort(rows["product"], kind="stable")
-    offsets = pa.array(np.concatenate([[0], np.bincount(whose, minlength=n).cumsum()]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, models), validated_rows(n, {c: v[order] for c, v in rows.items()}, [*names, HYBRID])
+    return listed, validated_rows(n, {c: v[order] for c, v in rows.items()}, [*names, HYBRID])
 
 
-def judged(held: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, every: bool = True) -> DataFrame:
+def judged(held: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, every: bool | None = True, once: bool = False) -> DataFrame:
     """held (written series) as a row for each product, written: what forecasts and leaderboards read. Validation needs nothing but a product's own
-    series, so that no row of it is ever shuffled.
+    series, so that no row of it is ever shuffled. once: not written, for a caller that reads it a single time.
 
-    (product, segment, last_date, mean, rows: the validation rows with the hybrid's (every=False: of the selected model only), models: the
+    (product, segment, last_date, mean, rows: the validation rows with the hybrid's (every=False: of the selected model only, None: NULL), models: the
     metrics of each model, with `selected` and the weight that it has in the hybrid, best: the selected model and its RMSE, parts: it, or the
     parts of the hybrid, with weights, whole: the history
     as an entry of prefixes). extra: rows of models that aren't closed forms."""
@@ -246,13 +249,15 @@ def judged(held: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", ho
         rows, names = _with_more(rows | {"told": np.ones(len(rows["guess"]), bool)}, more)
         return pa.StructArray.from_arrays([whole, *_judge(len(y), rows, names, every)], ["whole", "models", "rows"])
 
-    judge_of = F.arrow_udf(judge, f"struct<whole:{PREFIX},models:array<{MODEL}>,rows:array<{VALIDATED}>>")
+    # a filter on what it returns would run a deterministic function a second time
+    judge_of = F.arrow_udf(judge, f"struct<whole:{PREFIX},models:array<{MODEL}>,rows:array<{VALIDATED}>>").asNondeterministic()
     told = told.withColumn("_j", judge_of("y", "dates", "cuts", "asked", "more")).select("product", "segment", "last_date", "mean", "_j.*")
     best = F.get(F.filter("models", lambda m: m["selected"]), F.lit(0))
     told = told.withColumn("best", best).withColumn("best", F.struct("best.model_name", "best.rmse"))
     single = F.array(F.struct(F.col("best.model_name").alias("model_name"), F.lit(1.0).alias("weight")))
     mixed = F.transform(F.filter("models", lambda m: m["weight"].isNotNull()), lambda m: F.struct(m["model_name"].alias("model_name"), m["weight"].alias("weight")))
-    return materialized(told.withColumn("parts", F.when(F.col("best.model_name") == HYBRID, mixed).when(F.col("best.model_name").isNotNull(), single)))
+    told = told.withColumn("parts", F.when(F.col("best.model_name") == HYBRID, mixed).when(F.col("best.model_name").isNotNull(), single))
+    return told if once else materialized(told)
 
 
 def product_metrics(validated: DataFrame) -> DataFrame:

@@ -80,6 +80,7 @@ def prefixes(y: Column, cuts: Column, g: Granularity = MONTHLY, horizon: int = 1
 
 #: A row of validation, as an entry of a product's list of them.
 VALIDATED = "struct<model_name:string,cand_ord:int,fold:int,horizon_step:int,date:date,actual:double,validation_prediction:double>"
+ROW = [("model_name", pa.string()), ("cand_ord", pa.int32()), ("fold", pa.int32()), ("horizon_step", pa.int32()), ("date", pa.date32()), ("actual", pa.float64()), ("validation_prediction", pa.float64())]
 PREFIX = "struct<cut:int,naive:double,moving_average:double,exponential_smoothing:double,croston:double,season:array<double>>"
 
 

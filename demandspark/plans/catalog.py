@@ -572,6 +572,11 @@ def _told(spark, d) -> tuple[DataFrame, DataFrame]:
     return held, evaluate.judged(held, every=False)
 
 
+def _told_once(spark, d) -> DataFrame:
+    """What validation tells, without its rows, for queries that read it a single time: it is never written."""
+    return evaluate.judged(B.mixed_series(spark, d), every=None, once=True)
+
+
 def _board(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(series, leaderboard, validation rows of the selected models)."""
     held, told = _told(spark, d)
@@ -579,7 +584,7 @@ def _board(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _forecasts(spark, d) -> DataFrame:
-    return forecast.product_forecasts(None, None, used=forecast.used_of(_told(spark, d)[1]))
+    return forecast.product_forecasts(None, None, used=forecast.used_of(_told_once(spark, d)))
 
 
 @query(f"{_FC} SELECT product, date, {r('forecast', 'lower_bound', 'upper_bound', digits=6)}, model_used, horizon_step, forecast_start_date FROM fc", digits=6)

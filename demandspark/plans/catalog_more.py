@@ -15,7 +15,7 @@ from ..sources import tables
 from ..sources.tables import materialized
 from ..types import BIAS_BANDS, ERROR_BANDS, MONTHLY
 from . import bindings as B
-from .catalog import _ALL, _FC, _FOLD, _M, _SCEN, _SEASON, _SERIES, _SHIFT, _SN, _VAL, _ZERO, MPANEL, PANEL, _baseline, _board, _forecasts, _told, _w, _weather, query, r
+from .catalog import _ALL, _FC, _FOLD, _M, _SCEN, _SEASON, _SERIES, _SHIFT, _SN, _VAL, _ZERO, MPANEL, PANEL, _baseline, _board, _told, _told_once, _w, _weather, query, r
 
 PPANEL = B.panel_sql(B.PART)
 

@@ -136,3 +136,23 @@ def test_products_are_judged_where_they_lie(spark, tmp_path, capsys):
     near = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.fillna(-1.0).collect())
     assert near(got) == near(want)
     assert near(ahead.select("product", "horizon_step", "forecast")) == near(forecast.product_forecasts(panel, board).select("product", "horizon_step", "forecast"))
+
+
+def test_what_is_read_once_is_judged_once_and_not_written(spark, monkeypatch):
+    """A filter on the models would have run the judging a second time, were it not written; the rows of validation are left out."""
+    from demandspark.operators import evaluate, forecast, models
+    from demandspark.sources.tables import materialized
+
+    rows = [(p, dt.date(2020 + k // 12, k % 12 + 1, 1), float((k * s) % 7 + s)) for p, s in (("a", 3), ("b", 5)) for k in range(36)] + [("c", dt.date(2020, 1, 1), 1.0)]
+    held = materialized(models.series(spark.createDataFrame(rows, "product string, date date, y double")))
+    written = evaluate.judged(held, every=False)
+    monkeypatch.setattr(evaluate, "materialized", lambda df: (_ for _ in ()).throw(AssertionError("written")))
+    once = evaluate.judged(held, every=None, once=True)
+    assert once.where("rows IS NOT NULL").count() == 0
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    for part in ("scope = 'ALL'", "scope = 'product' AND selected", "scope = 'product' AND status != 'ok'"):
+        got, want = (evaluate.board_of(t)[0].where(part) for t in (once, written))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert same(got, want)
+    ahead = [forecast.product_forecasts(None, None, used=forecast.used_of(t)) for t in (once, written)]
+    assert ahead[0].count() == 36 and same(*ahead)
