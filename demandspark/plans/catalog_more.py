@@ -249,7 +249,7 @@ def feature_ranking(spark, d):
 @query(f"""{_ALL} SELECT product, model_name, CASE WHEN wmape IS NULL THEN 'poor' WHEN wmape <= 0.10 THEN 'excellent' WHEN wmape <= 0.20 THEN 'good' WHEN wmape <= 0.35 THEN 'needs_attention' ELSE 'poor' END AS error_label,
 CASE WHEN forecast_bias IS NULL THEN 'poor' WHEN abs(forecast_bias) <= 0.05 THEN 'excellent' WHEN abs(forecast_bias) <= 0.15 THEN 'good' WHEN abs(forecast_bias) <= 0.30 THEN 'needs_attention' ELSE 'poor' END AS bias_label FROM sel WHERE selected""")
 def label_bands(spark, d):
-    best = _board(spark, d)[1].where("scope = 'product' AND selected")
+    best = evaluate.board_of(_told_once(spark, d))[0].where("scope = 'product' AND selected")
     return best.select("product", "model_name", band(F.col("wmape"), ERROR_BANDS, "poor").alias("error_label"), band(F.abs("forecast_bias"), BIAS_BANDS, "poor").alias("bias_label"))
 
 
@@ -274,7 +274,7 @@ def metric_cards(spark, d):
 @query(f"""{_ALL} SELECT model_name, status, count(*) AS n FROM (SELECT product, model_name, CASE WHEN model_name IN ('sarima', 'prophet', 'random_forest', 'xgboost') THEN 'skipped' ELSE 'insufficient_history' END AS status FROM (SELECT product, model_name FROM seg JOIN cand USING (segment)) a
 WHERE NOT EXISTS (SELECT 1 FROM emet WHERE emet.product = a.product AND emet.model_name = a.model_name)) GROUP BY 1, 2""")
 def unvalidated_run_counts(spark, d):
-    return _board(spark, d)[1].where("scope = 'product' AND status != 'ok'").groupBy("model_name", "status").agg(F.count("*").alias("n"))
+    return evaluate.board_of(_told_once(spark, d))[0].where("scope = 'product' AND status != 'ok'").groupBy("model_name", "status").agg(F.count("*").alias("n"))
 
 
 _TOTAL = MPANEL.replace("panel AS (", "prd AS (") + ", panel AS (SELECT '__TOTAL__' AS product, date, sum(y) AS y FROM prd GROUP BY date), seg AS (SELECT product, count(*) AS n_points, 'normal' AS segment FROM panel GROUP BY 1)"
