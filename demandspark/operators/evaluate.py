@@ -347,3 +347,8 @@ def portfolio_metrics(board: DataFrame, rows: DataFrame) -> DataFrame:
         return best.agg(*metric_columns(), F.countDistinct("product").alias("n_products"))
     # the board has one selected row for each product, no distinct count is needed
     return best.agg(*metric_columns()).crossJoin(board.where("scope = 'product' AND selected").agg(F.count("*").alias("n_products")))  # one row each
+
+
+def portfolio_of(told: DataFrame) -> DataFrame:
+    """portfolio_metrics, of judged(): the sums of the selected models are added up, no validation row is read."""
+    return told.select(F.inline("models")).where("selected").agg(*pooled_metrics(), F.count("*").alias("n_products"))

@@ -146,10 +146,11 @@ def overlay(panel: DataFrame, total: DataFrame) -> DataFrame:
     return actual.join(total.select("date", F.col("total_forecast").alias("forecast")), "date", "full_outer")
 
 
-def metric_cards(board: DataFrame, rows: DataFrame, panel: DataFrame | None, means: DataFrame | None = None) -> DataFrame:
+def metric_cards(board: DataFrame | None, rows: DataFrame | None, panel: DataFrame | None, means: DataFrame | None = None, portfolio: DataFrame | None = None) -> DataFrame:
     """(metric, value, label, direction): five cards over the validation rows of the selected models. MAE and RMSE are labelled by their share of
-    mean demand; an undefined value is poor, of these two needs_attention. direction is the bias's, beyond 5 %. means: (product, mean), in place of the panel."""
-    one = evaluate.portfolio_metrics(board, rows).crossJoin(mean_demand(panel) if means is None else overall_mean(means))  # one row each
+    mean demand; an undefined value is poor, of these two needs_attention. direction is the bias's, beyond 5 %. means: (product, mean), in place of the panel.
+    portfolio: evaluate.portfolio_of(), in place of board and rows."""
+    one = (evaluate.portfolio_metrics(board, rows) if portfolio is None else portfolio).crossJoin(mean_demand(panel) if means is None else overall_mean(means))  # one row each
     cards = one.select("mean_demand", F.expr("stack(5, 'wMAPE', wmape, 'Forecast Bias', forecast_bias, 'MAPE', mape, 'MAE', mae, 'RMSE', rmse) AS (metric, value)"))
     relative = F.when(F.col("mean_demand") > 0, F.col("value") / F.col("mean_demand"))
     label = F.when(F.col("metric").isin("wMAPE", "MAPE"), band(F.col("value"), ERROR_BANDS, "poor")).when(F.col("metric") == "Forecast Bias", band(F.abs("value"), BIAS_BANDS, "poor")).otherwise(band(relative, RELATIVE_BANDS, "needs_attention"))
@@ -157,12 +158,12 @@ def metric_cards(board: DataFrame, rows: DataFrame, panel: DataFrame | None, mea
     return cards.select("metric", "value", label.alias("label"), F.when(F.col("metric") == "Forecast Bias", way).alias("direction"))
 
 
-def forecast_summary(board: DataFrame, rows: DataFrame, forecasts: DataFrame, total: DataFrame) -> DataFrame:
+def forecast_summary(board: DataFrame, rows: DataFrame | None, forecasts: DataFrame, total: DataFrame, portfolio: DataFrame | None = None) -> DataFrame:
     """One row: portfolio wMAPE and bias, their label and direction, the whole expected demand, its first peak period, steps, products
-    forecast and validated, and the best pooled model."""
+    forecast and validated, and the best pooled model. portfolio: evaluate.portfolio_of(), in place of rows."""
     bias = F.col("forecast_bias")
     way = F.when(bias > 0.05, "over-forecasting").when(bias < -0.05, "under-forecasting").otherwise("balanced")
-    own = evaluate.portfolio_metrics(board, rows).select(F.round("wmape", 4).alias("portfolio_wmape"), "forecast_bias", way.alias("bias_direction"), band(F.col("wmape"), ERROR_BANDS, "poor").alias("confidence_label"), F.col("n_products").alias("n_products_evaluated"))
+    own = (evaluate.portfolio_metrics(board, rows) if portfolio is None else portfolio).select(F.round("wmape", 4).alias("portfolio_wmape"), "forecast_bias", way.alias("bias_direction"), band(F.col("wmape"), ERROR_BANDS, "poor").alias("confidence_label"), F.col("n_products").alias("n_products_evaluated"))
     peak = F.max_by("date", F.struct("total_forecast", -F.datediff("date", F.lit("1970-01-01"))))
     whole = total.agg(F.coalesce(F.sum("total_forecast"), F.lit(0.0)).alias("total_expected_demand"), peak.alias("peak_forecast_period"), F.count("*").alias("forecast_horizon"))
     best = board.where("scope = 'ALL' AND selected").agg(F.first("model_name").alias("best_overall_model"))

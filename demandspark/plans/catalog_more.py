@@ -15,7 +15,7 @@ from ..sources import tables
 from ..sources.tables import materialized
 from ..types import BIAS_BANDS, ERROR_BANDS, MONTHLY
 from . import bindings as B
-from .catalog import _ALL, _FC, _FOLD, _M, _SCEN, _SEASON, _SERIES, _SHIFT, _SN, _VAL, _ZERO, MPANEL, PANEL, _baseline, _board, _told, _told_once, _w, _weather, query, r
+from .catalog import _ALL, _FC, _FOLD, _M, _SCEN, _SEASON, _SERIES, _SHIFT, _SN, _VAL, _ZERO, MPANEL, PANEL, _baseline, _told, _told_once, _w, _weather, query, r
 
 PPANEL = B.panel_sql(B.PART)
 
@@ -267,8 +267,9 @@ def portfolio_mean_demand(spark, d):
 lab AS (SELECT metric, value, CASE WHEN metric = 'Forecast Bias' THEN abs(value) WHEN metric IN ('MAE', 'RMSE') THEN value / md ELSE value END AS x, CASE WHEN metric = 'Forecast Bias' THEN [0.05, 0.15, 0.30] WHEN metric IN ('MAE', 'RMSE') THEN [0.15, 0.30, 0.50] ELSE [0.10, 0.20, 0.35] END AS b FROM crd)
 SELECT metric, {r('value', digits=4)}, CASE WHEN x <= b[1] THEN 'excellent' WHEN x <= b[2] THEN 'good' WHEN x <= b[3] THEN 'needs_attention' ELSE 'poor' END AS label, CASE WHEN metric = 'Forecast Bias' THEN CASE WHEN value > 0.05 THEN 'over-forecasting' WHEN value < -0.05 THEN 'under-forecasting' ELSE 'balanced' END END AS direction FROM lab""", digits=4)
 def metric_cards(spark, d):
-    held, board, rows = _board(spark, d)
-    return forecast.metric_cards(board, rows, None, held.select("product", "mean"))
+    held = B.mixed_series(spark, d)
+    told = evaluate.judged(held, every=None, once=True)
+    return forecast.metric_cards(None, None, None, held.select("product", "mean"), evaluate.portfolio_of(told))
 
 
 @query(f"""{_ALL} SELECT model_name, status, count(*) AS n FROM (SELECT product, model_name, CASE WHEN model_name IN ('sarima', 'prophet', 'random_forest', 'xgboost') THEN 'skipped' ELSE 'insufficient_history' END AS status FROM (SELECT product, model_name FROM seg JOIN cand USING (segment)) a
