@@ -87,13 +87,15 @@ class Advanced:
     seconds: dict[str, float] = field(default_factory=dict)
 
 
-def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, parallel: int = 4) -> Advanced:
+def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, parallel: int = 8, segments: DataFrame | None = None) -> Advanced:
     """Validates each of forecasters (model -> forecaster) for the products that ask for it. Folds and models don't depend on each other: `parallel`
-    of them are fitted at a time. A fold that fails loses its own rows only; a model without any row is failed, with the first reason. A
-    model that no product asks for isn't run. The rows are written."""
-    asked = materialized(asked_of(panel, g, mode))
+    of them are fitted at a time, the longest first. A fold that fails loses its own rows only; a model without any row is failed, with the first
+    reason. A model that no product asks for isn't run. The rows are written, and those of the panel that are asked for: it is read once for all folds.
+    segments: product_segments, where they are known."""
+    asked = materialized(asked_of(panel, g, mode, segments).where(F.col("model_name").isin(*forecasters)))
     wanted = {r["model_name"] for r in asked.select("model_name").distinct().collect()}
-    models, out, made = [m for m in forecasters if m in wanted], Advanced(), []
+    models, out, made = sorted((m for m in forecasters if m in wanted), key=lambda m: m != "xgboost"), Advanced(), []
+    panel = materialized(panel.join(asked.select("product").distinct(), "product", "left_semi")) if models else panel
 
     def run(model: str, fold: int) -> tuple[DataFrame | None, str, float]:
         began = time.time()
@@ -114,6 +116,7 @@ def validate_advanced(panel: DataFrame, forecasters: dict, g: Granularity = MONT
                 out.failures[model] = reason
             made += rows
     dropped(asked)
+    dropped(panel if models else None)
     out.rows = reduce(DataFrame.unionByName, made) if made else None
     return out
 
@@ -226,14 +229,14 @@ def _judge(n: int, rows: dict[str, np.ndarray], names: list[str], every: bool |
     return listed, validated_rows(n, {c: v[order] for c, v in rows.items()}, [*names, HYBRID])
 
 
-def judged(held: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, every: bool | None = True, once: bool = False) -> DataFrame:
+def judged(held: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", horizon: int = VALIDATION_HORIZON, extra: DataFrame | None = None, every: bool | None = True, once: bool = False, ahead: int | None = None) -> DataFrame:
     """held (written series) as a row for each product, written: what forecasts and leaderboards read. Validation needs nothing but a product's own
     series, so that no row of it is ever shuffled. once: not written, for a caller that reads it a single time.
 
     (product, segment, last_date, mean, rows: the validation rows with the hybrid's (every=False: of the selected model only, None: NULL), models: the
     metrics of each model, with `selected` and the weight that it has in the hybrid, best: the selected model and its RMSE, parts: it, or the
     parts of the hybrid, with weights, whole: the history
-    as an entry of prefixes). extra: rows of models that aren't closed forms."""
+    as an entry of prefixes). extra: rows of models that aren't closed forms. ahead: the steps of the forecast, the granularity's if it isn't told."""
     columns = ("model_name", "cand_ord", "fold", "horizon_step", "date", "actual", "validation_prediction")
     kinds = ("string", "int", "int", "int", "date", "double", "double")
     told = _asking(segmented(held, g.season), g, mode, horizon)
@@ -242,7 +245,7 @@ def judged(held: DataFrame, g: Granularity = MONTHLY, mode: str = "balanced", ho
         told = told.join(more, "product", "left")
     else:
         told = told.withColumn("more", F.lit(None).cast(f"array<{VALIDATED}>"))
-    season, average, ahead = g.season, g.average, g.horizon
+    season, average, ahead = g.season, g.average, ahead or g.horizon
 
     def judge(y: pa.Array, dates: pa.Array, cuts: pa.Array, asked: pa.Array, more: pa.Array) -> pa.Array:
         whole, rows = batch_tests(y, dates, cuts, asked, season, average, horizon, ahead)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import band
-from ..sources.tables import materialized
+from ..sources.tables import dropped, materialized, side_by_side
 from ..types import BIAS_BANDS, ERROR_BANDS, MONTHLY, RELATIVE_BANDS, VALIDATION_HORIZON, Granularity
 from . import evaluate
 from .evaluate import HYBRID, INTERVAL_Z, hybrid_weights, product_metrics, selected, validation_predictions
@@ -26,17 +26,31 @@ def used_models(board: DataFrame) -> DataFrame:
 
 
 def advanced_forecasts(panel: DataFrame, used: DataFrame, forecasters: dict, horizon: int) -> tuple[DataFrame | None, list[str]]:
-    """((product, model_name, horizon_step, forecast) of the models in use that aren't closed forms, warnings). A model that fails has no rows."""
-    wanted = {r["model_name"] for r in used.where(~F.col("model_name").isin(*CLOSED_FORM)).select("model_name").distinct().collect()}
-    made, notes = [], []
-    for model in sorted(wanted):
+    """((product, model_name, horizon_step, forecast) of the models in use that aren't closed forms, warnings). A model that fails has no rows. The models
+    are fitted side by side, on the rows of their products, which are written once."""
+    fitted = used.where(~F.col("model_name").isin(*CLOSED_FORM)).select("product", "model_name")
+    wanted = sorted(r["model_name"] for r in fitted.select("model_name").distinct().collect())
+    if not wanted:
+        return None, []
+    few = materialized(panel.join(fitted.select("product").distinct(), "product", "left_semi"))
+
+    def told(model: str) -> tuple[DataFrame | None, str]:
         try:
-            mine = panel.join(used.where(F.col("model_name") == model).select("product").distinct(), "product", "left_semi")
+            mine = few.join(fitted.where(F.col("model_name") == model).select("product").distinct(), "product", "left_semi")
             rows = forecasters[model](mine, horizon).select("product", F.lit(model).alias("model_name"), F.col("horizon_step").cast("int").alias("horizon_step"), F.col("forecast").alias("_told"))
-            made.append(materialized(rows))
+            return materialized(rows), ""
         except Exception as e:  # noqa: BLE001  its products fall back to naive
-            notes.append(f"{model}: the final forecast failed ({type(e).__name__}: {str(e)[:150]}); naive is used")
-    return (reduce(DataFrame.unionByName, made) if made else None), notes
+            return None, f"{model}: the final forecast failed ({type(e).__name__}: {str(e)[:150]}); naive is used"
+
+    found = side_by_side(panel.sparkSession, [lambda m=m: told(m) for m in wanted])
+    dropped(few)
+    made = [rows for rows, _ in found if rows is not None]
+    return (reduce(DataFrame.unionByName, made) if made else None), [note for _, note in found if note]
+
+
+def used_parts(told: DataFrame) -> DataFrame:
+    """(product, model_name, weight) as of used_models, of evaluate.judged(): no row is shuffled."""
+    return told.select("product", F.inline("parts"))
 
 
 def used_by(panel: DataFrame, board: DataFrame, g: Granularity, horizon: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.coerce import date_format_of, to_date, to_number
 from ..operators import analysis, evaluate, external, features, forecast, insights, intake, models, quality, remediation, segments
 from ..operators.panel import granularity, panel, with_period_features
 from ..sources import memory
-from ..sources.tables import materialized
+from ..sources.tables import dropped, materialized
 from ..types import RunConfig
 
 
@@ -60,17 +60,23 @@ def _named(x: Context) -> DataFrame:
 
 
 def _typed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({"date": to_date(rows, "date", date_format_of(rows, "date")), "qty": to_number(F.col("qty"))})
+    """rows (written) with typed values; written again only if text has to be read."""
+    kinds = dict(rows.dtypes)
+    if kinds["qty"] != "double" or kinds["date"] == "string":
+        return materialized(rows.withColumns({"date": to_date(rows, "date", date_format_of(rows, "date")), "qty": to_number(F.col("qty"))}))
+    return rows.withColumns({"date": to_date(rows, "date", None), "qty": F.when(~F.isnan("qty"), F.col("qty"))})
 
 
 def _quality(x: Context) -> None:
     g = granularity(x.config.granularity)
     named = materialized(_named(x))
-    rows = materialized(_typed(named))
-    counts = quality.invalid_counts(named, to_date(named, "date", date_format_of(named, "date")), to_number(F.col("qty")), F.col("date"), F.col("qty"), F.col("product")).first().asDict()
+    rows = _typed(named)
     meant = x.results["meanings"]
-    found = quality.issues(rows, g, meant, counts)
-    past = intake.history_summary(rows).first().asDict()
+    counts = quality.invalid_counts(named, to_date(named, "date", date_format_of(named, "date")), to_number(F.col("qty")), F.col("date"), F.col("qty"), F.col("product")).first().asDict()
+    facts = quality.product_facts(rows, g)
+    found = quality.issues(rows, g, meant, counts, facts)
+    past = intake.history_of(facts).first().asDict()
+    dropped(facts)
     x.results |= {"named": named, "rows": rows, "issues": found, "readiness": quality.readiness(found, set(meant)), "plan": remediation.build_plan(found, named, g), "history": past}
     told = intake.readiness_report(x.results["intake"].mapping, x.results["intake"].inputs, past["n_products"], past["n_sufficient"], past["avg_zero_period_ratio"])
     x.results |= {"presence": {area: t["score"] for area, t in told.items()}, "presence_reasons": told}
@@ -82,7 +88,7 @@ def _repair(x: Context) -> None:
     plan = x.results["plan"]
     approved = tuple(p["action"] for p in plan["review"]) if x.config.auto_approve_quality else x.config.approved
     rows, audit = remediation.execute_plan(x.results["named"], plan, approved, granularity(x.config.granularity), keep_extras=x.config.keep_extras)
-    x.results |= {"rows": materialized(_typed(rows)), "audit": audit}
+    x.results |= {"rows": _typed(rows), "audit": audit}
 
 
 def _external(x: Context) -> None:
@@ -141,17 +147,21 @@ def _model(x: Context) -> None:
     g, mode = granularity(x.config.granularity), x.config.evaluation_mode
     base, horizon = x.results["panel"], x.config.horizon or g.horizon
     wide = x.results["features"].select("product", "date", "y", *(F.col(f"`{c}`").cast("double").alias(c) for c in x.results["tree_inputs"]))
+    # a row for each product from here on: its series, the metrics of its models, the parts of its forecast
+    held = materialized(models.series(base))
+    known = materialized(segments.segmented(held.select("product", "n_points", "total_demand", "zero_ratio"), g.season))
     forecasters = _forecasters(x)
-    advanced = evaluate.validate_advanced(wide, forecasters, g, mode) if forecasters else evaluate.Advanced()
-    board, rows = evaluate.leaderboard(base, g, mode, advanced=advanced)
+    advanced = evaluate.validate_advanced(wide, forecasters, g, mode, segments=known) if forecasters else evaluate.Advanced()
+    told = evaluate.judged(held, g, mode, extra=advanced.rows, ahead=horizon)
+    board, rows = evaluate.board_of(told, mode, advanced)
     board = materialized(board)
-    others, notes = forecast.advanced_forecasts(wide, materialized(forecast.used_models(board)), forecasters, horizon)
+    others, notes = forecast.advanced_forecasts(wide, forecast.used_parts(told), forecasters, horizon)
     x.warnings += notes
-    out = materialized(forecast.product_forecasts(base, board, g, horizon, others))
+    out = materialized(forecast.product_forecasts(None, None, g, horizon, others, forecast.used_of(told)))
     if out.isEmpty():
         raise Halt("no forecast was made")
     total = forecast.total_forecast(out)
-    x.results |= {"leaderboard": board, "validation": rows, "forecasts": out, "total": total, "direct_total": forecast.direct_total(base, g, mode, horizon), "segments": materialized(segments.product_segments(base, g.season)), "chart_data": forecast.chart_data(base, rows, board, out), "cards": forecast.metric_cards(board, rows, base), "summary": forecast.forecast_summary(board, rows, out, total)}
+    x.results |= {"leaderboard": board, "series": held, "validation": rows, "forecasts": out, "total": total, "direct_total": forecast.direct_total(base, g, mode, horizon), "segments": known, "chart_data": forecast.chart_data(base, rows, board, out), "cards": forecast.metric_cards(board, rows, None, held.select("product", "mean")), "summary": forecast.forecast_summary(board, rows, out, total)}
 
 
 def _performance(x: Context) -> None:
@@ -165,7 +175,7 @@ def _performance(x: Context) -> None:
 
 def _insights(x: Context) -> None:
     r = x.results
-    r["insights"] = insights.generate(r["panel"], r["forecasts"], r["leaderboard"], r["segments"], r["issues"], x.config.extra.get("scenario"), r["summary"].first().asDict(), r.get("performance_summary"), x.side_warnings)
+    r["insights"] = insights.generate(r["panel"], r["forecasts"], r["leaderboard"], r["segments"], r["issues"], x.config.extra.get("scenario"), r["summary"].first().asDict(), r.get("performance_summary"), x.side_warnings, r["series"])
 
 
 #: (name, stage, whether the run goes on without it)
