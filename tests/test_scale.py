@@ -174,3 +174,24 @@ def test_portfolio_needs_no_validation_rows(spark):
     assert plain(forecast.metric_cards(None, None, None, means, evaluate.portfolio_of(none))) == plain(forecast.metric_cards(board, shown, None, means))
     empty = evaluate.portfolio_of(none.where("product = 'c'"))
     assert plain(empty.select(*want.columns)) == plain(evaluate.portfolio_metrics(board, shown.where("product = 'c'")).drop("n_products").selectExpr("*", "0L AS n_products"))
+
+
+def test_totals_of_products_are_built_once(spark):
+    """Every figure that decides on a segment reads the written totals, not the panel. NULL demand, a product without name, equal rows, no row."""
+    from demandspark.operators import segments
+
+    run = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        run.add(1)
+        yield from batches
+
+    rows = [(p, dt.date(2020 + k // 12, k % 12 + 1, 1), y) for p, n, y in (("a", 24, 9.0), ("b", 24, 2.0), ("c", 5, 4.0), ("d", 20, 0.0), (None, 14, 3.0)) for k in range(n)]
+    rows += [("b", dt.date(2021, 12, 1), 2.0), ("b", dt.date(2022, 1, 1), None), ("c", dt.date(2020, 6, 1), -4.0)]
+    panel = spark.createDataFrame(rows, "product string, date date, y double")
+    out = segments.product_segments(panel.coalesce(1).mapInArrow(seen, panel.schema))
+    found = {tuple(r) for r in out.collect()}
+    assert run.value == 1
+    assert found == {("a", 24, 216.0, 0.0, "high_volume"), ("b", 26, 50.0, 0.0, "normal"), ("c", 6, 20.0, 0.0, "short_history"), ("d", 20, 0.0, 1.0, "intermittent"), (None, 14, 42.0, 0.0, "normal")}
+    assert segments.product_segments(panel.limit(0)).collect() == []
+    assert [r["n_points"] for r in segments.fold_cutoffs(out).where("product = 'b'").collect()] == [26] * 3
