@@ -195,3 +195,24 @@ def test_totals_of_products_are_built_once(spark):
     assert found == {("a", 24, 216.0, 0.0, "high_volume"), ("b", 26, 50.0, 0.0, "normal"), ("c", 6, 20.0, 0.0, "short_history"), ("d", 20, 0.0, 1.0, "intermittent"), (None, 14, 42.0, 0.0, "normal")}
     assert segments.product_segments(panel.limit(0)).collect() == []
     assert [r["n_points"] for r in segments.fold_cutoffs(out).where("product = 'b'").collect()] == [26] * 3
+
+
+def test_seasons_read_the_panel_once(spark):
+    """Span and months come from one pass. Rows without product, date or demand, equal months, repeated rows, no row."""
+    from demandspark.operators import features
+
+    run = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        run.add(1)
+        yield from batches
+
+    rows = [(p, dt.date(2020 + k // 12, k % 12 + 1, 1), float(y(k))) for p, n, y in (("hot", 24, lambda k: 9 if 4 <= k % 12 <= 7 else 1), ("even", 24, lambda k: 5), ("new", 17, lambda k: k), (None, 24, lambda k: k % 12)) for k in range(n)]
+    rows += [("tie", dt.date(2020 + k // 6, k % 6 + 1, 1), float(k % 2)) for k in range(12)] + [("tie", dt.date(2020, 1, 1), 0.0), ("tie", dt.date(2022, 6, 1), None), ("tie", None, 8.0), ("undated", None, 1.0)]
+    panel = spark.createDataFrame(rows, "product string, date date, y double")
+    out = features.seasonal_detection(panel.coalesce(1).mapInArrow(seen, panel.schema))
+    found = {r["product"]: (r["pattern_type"], r["peak_months"], r["low_months"], r["detection_source"]) for r in out.collect()}
+    none = ("undetected", [], [], "undetected")
+    assert found == {"hot": ("summer_peak", [5, 6, 7, 8], [1, 2, 3, 4], "data_driven"), "even": ("year_round", [], [], "data_driven"), "tie": ("winter_peak", [2], [1, 3], "data_driven"), "new": none, "undated": none}
+    assert run.value == 1
+    assert features.seasonal_detection(panel.limit(0)).collect() == []
