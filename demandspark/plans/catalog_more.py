@@ -205,8 +205,8 @@ ftp AS (SELECT f.*, CASE WHEN lag_1 IS NOT NULL AND lag_3 IS NOT NULL THEN CASE
 _FCOLS = f"""product, date, {r('y', digits=4)}, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, CAST(year(date) AS INT) AS year, round(sin(2 * pi() * (month(date) - 1) / 12), 4) + 0.0 AS month_sin, round(cos(2 * pi() * (month(date) - 1) / 12), 4) + 0.0 AS month_cos,
 time_index, {r('lag_1', 'lag_3', 'lag_12', 'rolling_mean_3', 'rolling_mean_6', 'rolling_std_3', 'pop_growth', digits=4)}"""
 def _seasoned(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(panel, its seasons), each written once; the panel is dealt by product again."""
-    p = materialized(B.mixed_panel(spark, d))
+    """(panel, its seasons), each written once; the panel stays dealt by product."""
+    p = materialized(B.mixed_panel(spark, d), by="product")
     return tables.spread_again(p, "product", p), materialized(features.seasonal_detection(p))
 
 

@@ -90,13 +90,27 @@ def head_and_sample(rows: DataFrame, ordinal: str, head: int, size: int, seed: i
     return ranked.orderBy("_digest", ordinal).limit(size).drop("_digest")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, its lineage cut."""
+def materialized(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, its lineage cut.
+
+    by: a column that the rows of df are dealt by, as after a window or spread(). The table keeps them so, in buckets: what groups, orders or
+    joins by it shuffles none of its rows again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    if by is None:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        # only a named table can have buckets; the name is given up once the files are known
+        name, writers = f"spark_catalog.default.kept_{path.rpartition('/')[2]}", spark.conf.get(WRITERS)
+        try:
+            spark.conf.set(WRITERS, 16)  # a task has few buckets: their files are open at once, so that it need not order its rows by bucket
+            df.write.option("path", path).bucketBy(buckets(df), by).saveAsTable(name, format="parquet")
+        finally:
+            spark.conf.set(WRITERS, writers)
+        out = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+    out._written_at, out._dealt_by = path, by
     return out
 
 
@@ -115,26 +129,37 @@ def side_by_side(spark: SparkSession, jobs: list[Callable[[], Any]], parallel: i
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Of the files that a table is made of, how many bytes a task takes that holds rows by key.
 TASK_BYTES = 8 << 20
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Size of the files behind df, 0 if it is made of none."""
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(f)) for f in df.inputFiles()]  # names, no patterns
+    return paths and df.sparkSession.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0  # of the listing, no content is read
+
+
 def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
     """df shuffled by key into tasks whose number grows with the files behind it (or behind `source`), so that what a task orders stays the same at
     every size. Tables of fewer than TASK_BYTES for each of the session's tasks, or made of no files, are left to AQE."""
-    files = (source or df).inputFiles()
-    if not files:
-        return df
-    spark = df.sparkSession
-    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(f)) for f in files]  # names, no patterns
-    size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0  # of the listing, no content is read
-    tasks = -(-size // TASK_BYTES)
-    return df.repartition(tasks, key) if tasks > spark.sparkContext.defaultParallelism else df
+    tasks = -(-file_bytes(source or df) // TASK_BYTES)
+    return df.repartition(tasks, key) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def buckets(df: DataFrame) -> int:
+    """Into how many buckets df is written: two for each task of spread(), so that a task writes two files and those who read them have room for the gaps
+    that a panel fills. Of a table left to AQE two for each core, where each gets an eighth of TASK_BYTES; not more than AQE has parts."""
+    conf, cores, size = df.sparkSession.conf, df.sparkSession.sparkContext.defaultParallelism, file_bytes(df)
+    tasks, small = -(-size // TASK_BYTES), -(-size // max(1, TASK_BYTES // 8))
+    if tasks > cores:
+        return min(2 * tasks, int(conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    return max(1, min(max(2 * tasks, min(2 * cores, small)), int(conf.get("spark.sql.shuffle.partitions"))))
 
 
 def spread_again(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """As spread, for columns df of a table of materialized(), whose rows have lost their dealing. Those of other tables keep theirs."""
-    return spread(df, key, table) if getattr(table, "_written_at", None) else df
+    """As spread, for columns df of a table of materialized() whose rows have lost their dealing. Those of other tables keep theirs."""
+    return spread(df, key, table) if getattr(table, "_written_at", None) and getattr(table, "_dealt_by", None) != key else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

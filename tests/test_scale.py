@@ -216,3 +216,53 @@ def test_seasons_read_the_panel_once(spark):
     assert found == {"hot": ("summer_peak", [5, 6, 7, 8], [1, 2, 3, 4], "data_driven"), "even": ("year_round", [], [], "data_driven"), "tie": ("winter_peak", [2], [1, 3], "data_driven"), "new": none, "undated": none}
     assert run.value == 1
     assert features.seasonal_detection(panel.limit(0)).collect() == []
+
+
+def test_a_dealt_table_is_not_shuffled_again(spark, capsys, monkeypatch, tmp_path):
+    """A panel written by product: seasons, features and their join find each product in one task. Keys without value and repeated rows are kept."""
+    from demandspark.operators import features
+
+    path = str(tmp_path / "items.parquet")
+    spark.range(20000).selectExpr("IF(id % 50 = 0, NULL, CAST(id % 50 AS STRING)) AS product", "add_months(DATE'2020-01-01', CAST(id DIV 50 % 40 AS INT)) AS date", "CAST(id % 7 AS DOUBLE) AS y").write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = spark.conf.get(tables.WRITERS)
+    held = tables.materialized(rows, by="product")
+    listed = lambda df: sorted(map(repr, df.collect()))
+    assert listed(held) == listed(rows) and listed(held.where("product IS NULL")) == listed(rows.where("product IS NULL"))
+    assert spark.conf.get(tables.WRITERS) == before and not [t for t in spark.catalog.listTables() if t.name.startswith("kept_")]
+    assert tables.materialized(rows.limit(0), by="product").count() == 0
+
+    p = tables.materialized(P.panel(rows.withColumnRenamed("y", "qty")), by="product")
+    assert tables.spread_again(p, "product", p) is p
+    seasons = features.seasonal_detection(p)
+    assert "Exchange" not in plan_of(seasons, capsys)
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 30)  # the seasons' own files are few
+    told, plain = tables.materialized(seasons), tables.materialized(p.select("*"))
+    level = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        whole = features.build_features(p, detected=told)
+        plan = plan_of(whole, capsys)
+        assert plan.count("Exchange") <= 1 and "Exchange" not in plan[: plan.index("Bucketed: true")]  # none above the panel
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", level)
+    assert listed(whole) == listed(features.build_features(plain, detected=features.seasonal_detection(plain)))
+    tables.dropped(p)
+
+
+def test_buckets_grow_with_the_files(spark, monkeypatch, tmp_path):
+    path = tmp_path / "rows.parquet"
+    spark.range(40000).selectExpr("id % 500 AS product", "id").write.parquet(str(path))
+    rows, size = spark.read.parquet(str(path)), sum(f.stat().st_size for f in path.glob("part-*"))
+    cores = spark.sparkContext.defaultParallelism
+    found = []
+    for tasks in (cores * 5, cores * 10):
+        monkeypatch.setattr(tables, "TASK_BYTES", -(-size // tasks))
+        found.append(tables.buckets(rows))
+        dealt = tables.spread(rows, "product")
+        held = tables.materialized(dealt, by="product")
+        assert held.groupBy("product").count().rdd.getNumPartitions() == found[-1] == 2 * dealt.rdd.getNumPartitions()
+        assert len(held.inputFiles()) <= found[-1]  # a task's files are its own
+    assert found[1] > 1.5 * found[0]
+    monkeypatch.setattr(tables, "TASK_BYTES", 1 << 30)
+    assert tables.buckets(rows) == 2 and tables.buckets(spark.range(3)) == 1
